@@ -6,12 +6,15 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .bpe_tree import op10_bpe_tree
+from .decontaminate import OP8_SQL, op8_decontaminate
 from .gif_media import op3_gif_media
+from .licences import OP7_SQL, op7_licences
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op3_gif_media,)}
+    return {f.__name__: f for f in (op3_gif_media, op7_licences, op8_decontaminate, op10_bpe_tree)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op7_licences": OP7_SQL, "op8_decontaminate": OP8_SQL}
