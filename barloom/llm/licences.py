@@ -128,11 +128,11 @@ def _sql() -> str:
     return rf"""
 WITH s AS (
   SELECT doc_id, list_filter(list_transform(string_split_regex(regexp_replace(lower(coalesce(text, '')), '[.!?;:]+(\s|$)', chr(10), 'g'), '\n'),
-         x -> trim(regexp_replace(x, '[^a-z0-9]+', ' ', 'g'))), x -> x <> '') AS s
+         lambda x: trim(regexp_replace(x, '[^a-z0-9]+', ' ', 'g'))), lambda x: x <> '') AS s
   FROM documents),
-i AS (SELECT doc_id, len(s) AS n, list_transform(s, x -> coalesce(list_position([{keys}], x), 0)) AS i FROM s),
-t AS (SELECT doc_id, n, len(list_filter(i, x -> x > 0)) AS k, ' ' || array_to_string(list_transform(i, x -> x::VARCHAR), ' ') || ' ' AS q FROM i)
-SELECT doc_id, n::BIGINT AS n_sentences, k::BIGINT AS licence_sentences, array_to_string(list_filter([{cases}], x -> x IS NOT NULL), ',') AS licences FROM t
+i AS (SELECT doc_id, len(s) AS n, list_transform(s, lambda x: coalesce(list_position([{keys}], x), 0)) AS i FROM s),
+t AS (SELECT doc_id, n, len(list_filter(i, lambda x: x > 0)) AS k, ' ' || array_to_string(list_transform(i, lambda x: x::VARCHAR), ' ') || ' ' AS q FROM i)
+SELECT doc_id, n::BIGINT AS n_sentences, k::BIGINT AS licence_sentences, array_to_string(list_filter([{cases}], lambda x: x IS NOT NULL), ',') AS licences FROM t
 """
 
 
