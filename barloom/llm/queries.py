@@ -12,11 +12,12 @@ from .gif_media import op3_gif_media
 from .licences import OP7_SQL, op7_licences
 from .line_dedup import op4_line_dedup
 from .near_dedup import op1_near_dedup
+from .templates import op9_main_text
 from .toxicity import op6_toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_near_dedup, op3_gif_media, op4_line_dedup, op6_toxicity, op7_licences, op8_decontaminate, op10_bpe_tree)}
+    return {f.__name__: f for f in (op1_near_dedup, op3_gif_media, op4_line_dedup, op6_toxicity, op7_licences, op8_decontaminate, op9_main_text, op10_bpe_tree)}
 
 
 def oracle_sql() -> dict[str, str]:
