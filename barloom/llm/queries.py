@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from .bpe_tree import op10_bpe_tree
 from .class_lm import op5_class_lm
 from .decontaminate import OP8_SQL, op8_decontaminate
+from .edit_counts import op2_edit_counts
 from .gif_media import op3_gif_media
 from .licences import OP7_SQL, op7_licences
 from .line_dedup import op4_line_dedup
@@ -18,7 +19,7 @@ from .toxicity import op6_toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_near_dedup, op3_gif_media, op4_line_dedup, op5_class_lm, op6_toxicity, op7_licences, op8_decontaminate, op9_main_text, op10_bpe_tree)}
+    return {f.__name__: f for f in (op1_near_dedup, op2_edit_counts, op3_gif_media, op4_line_dedup, op5_class_lm, op6_toxicity, op7_licences, op8_decontaminate, op9_main_text, op10_bpe_tree)}
 
 
 def oracle_sql() -> dict[str, str]:
