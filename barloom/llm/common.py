@@ -34,5 +34,15 @@ def shared_dir(spark: SparkSession) -> str:
 def stash(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as Parquet in the shared folder and read it back: lineage is cut, columns stay prunable."""
     path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+#: Rows of one or two numbers that may be broadcast; larger sides are shuffled instead.
+MAX_BROADCAST = 400_000
+
+
+def only(df: DataFrame, wanted: DataFrame, on: str) -> DataFrame:
+    """The rows of ``df`` whose ``on`` is in ``wanted``: by broadcast if that was counted as small, else by a shuffled join."""
+    small = wanted.limit(MAX_BROADCAST + 1).count() <= MAX_BROADCAST
+    return df.join(F.broadcast(wanted) if small else wanted, on, "left_semi")

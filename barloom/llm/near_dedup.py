@@ -12,26 +12,27 @@ sorted fingerprints, which miss nothing.
 Candidate pairs are not all pairs of a bucket. First each member is held
 against the bucket's smallest one; links join into components. Only where a
 bucket still has several components, its members outside the smallest one's
-component are compared with the members of other components, register against
-register, in blocks.
+component are compared with those of other components, register against
+register, in blocks; nodes linked with the smallest one are left out of this
+where the triangle inequality of the Jaccard distance rules a link out.
 
 Defined cases: NULL and wordless texts have an empty set and stay alone;
-repeated rows and equal texts are one node and share a component; ties of ids
-give one component_id; other columns are ignored by ``near_duplicates`` and
+repeated rows and equal texts share a component; rows of one id are one
+document, which is kept or not as a whole; other columns are ignored by ``near_duplicates`` and
 kept by ``keep_first``.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import stash, table
+from .common import only, stash, table
 from .components import components
 
 SHINGLE = 5
@@ -41,6 +42,8 @@ BAND = 5  # registers in a band; 51 bands find a pair of similarity 0.75 with pr
 SMALL = 64  # sets of up to so many shingles are found by prefixes
 SMALL_TOO = SMALL * 4 // 3 + 1  # and the largest sets that can be similar to them
 MARGIN = 0.2  # a pair is verified unless its estimate is more than this (six standard deviations) too low
+SMALL_MARGIN = 0.25  # the same for small sets, whose registers are all but the set itself
+TINY = 12  # sets for which a single shared bucket tells too much: always verified
 BLOCK = 512
 WORDS = 500_000  # word fingerprints that a worker remembers
 
@@ -132,13 +135,15 @@ def estimate(a: np.ndarray, b: np.ndarray, n_a: np.ndarray, n_b: np.ndarray) ->
     return np.maximum(equal - chance, 0) / np.maximum(either - chance, 1)
 
 
-def _may_link(a: np.ndarray, b: np.ndarray, n_a: np.ndarray, n_b: np.ndarray) -> np.ndarray:
-    sizes = 4 * np.minimum(n_a, n_b) >= 3 * np.maximum(n_a, n_b)
-    return sizes & ((np.minimum(n_a, n_b) <= SMALL_TOO) | (estimate(a, b, n_a, n_b) >= 0.75 - MARGIN))
+def _may_have(least: float, a: np.ndarray, b: np.ndarray, n_a: np.ndarray, n_b: np.ndarray) -> np.ndarray:
+    """Whether sizes and registers leave a similarity of ``least`` possible."""
+    smaller = np.minimum(n_a, n_b)
+    sizes = smaller >= least * np.maximum(n_a, n_b)
+    return sizes & ((smaller <= TINY) | (estimate(a, b, n_a, n_b) >= least - np.where(smaller <= SMALL_TOO, SMALL_MARGIN, MARGIN)))
 
 
 def sketches(docs: DataFrame, key: str, text: str) -> DataFrame:
-    """(key, node, n, regs, keys, words) of each document; node is the 128-bit digest of its words."""
+    """(key, node, n, regs, keys, words) of each row; node is a number of its own, fixed once this is written."""
     kind = docs.schema[key].dataType.simpleString()
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -148,109 +153,148 @@ def sketches(docs: DataFrame, key: str, text: str) -> DataFrame:
                 w = words_of(t)
                 u = shingles(w)
                 regs = registers(u)
-                joined = b" ".join(w)
-                rows.append((k, xxhash.xxh3_128_digest(joined), len(u), regs.tobytes(), keys_of(u, regs), joined))
-            yield pd.DataFrame(rows, columns=[key, "node", "n", "regs", "keys", "words"])
-
-    return docs.select(key, text).mapInPandas(run, f"{key} {kind}, node binary, n int, regs binary, keys array<long>, words binary")
-
-
-def _regs(column: pd.Series) -> np.ndarray:
+                rows.append((k, len(u), regs.tobytes(), keys_of(u, regs), b" ".join(w)))
+            yield pd.DataFrame(rows, columns=[key, "n", "regs", "keys", "words"])
+
+    made = docs.select(key, text).mapInPandas(run, f"{key} {kind}, n int, regs binary, keys array<long>, words binary")
+    return made.withColumn("node", F.monotonically_increasing_id())
+
+
+def groups(batches: Iterator[pd.DataFrame], keys: list[str]) -> Iterator[dict[str, np.ndarray]]:
+    """The columns of each run of equal keys in rows that are sorted by them, over batches."""
+    held: dict[str, np.ndarray] | None = None
+    for batch in batches:
+        columns = {c: batch[c].to_numpy() for c in batch.columns}
+        if not len(batch):
+            continue
+        changes = np.flatnonzero(np.logical_or.reduce([columns[k][1:] != columns[k][:-1] for k in keys])) + 1
+        for a, b in zip([0, *changes], [*changes, len(batch)], strict=True):
+            part = {c: v[a:b] for c, v in columns.items()}
+            if held is not None and all(held[k][0] == part[k][0] for k in keys):
+                held = {c: np.concatenate([held[c], part[c]]) for c in held}
+            else:
+                if held is not None:
+                    yield held
+                held = part
+    if held is not None:
+        yield held
+
+
+def _regs(column: Iterable[bytes]) -> np.ndarray:
     return np.frombuffer(b"".join(column), np.uint16).reshape(-1, BUCKETS)
 
 
-def verify(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
-    """The pairs (u, v) whose full sets have 100 * intersection >= 75 * union.
+def verify(pairs: DataFrame, sketch: DataFrame) -> DataFrame:
+    """(u, v, linked) of the pairs whose similarity is, or may be, 0.5 or more.
+
+    linked is whether their full sets have 100 * intersection >= 75 * union;
+    only pairs whose registers rule that out go without a look at the sets.
 
     The words of v travel to u; a u with many partners is split into groups of
     about ``BLOCK``, each with its own copy of u's words.
     """
+    wanted = stash(pairs.select(F.col("u").alias("node")).union(pairs.select(F.col("v").alias("node"))).distinct(), "wanted")
+    texts = only(sketch, wanted, "node").select("node", "n", "regs", "words")
     degree = pairs.groupBy("u").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("parts"))
     dealt = pairs.join(degree, "u").withColumn("part", F.pmod(F.xxhash64("v"), F.col("parts")).cast("int"))
-    left = dealt.join(nodes.select(F.col("node").alias("v"), F.col("words").alias("other")), "v").select("u", "part", "v", "other")
-    right = dealt.select(F.col("u").alias("own_u"), F.col("part").alias("own_part")).distinct().join(nodes.select(F.col("node").alias("own_u"), "words"), "own_u")
-
-    def run(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
-        if not len(a) or not len(b):
-            return pd.DataFrame({"u": [], "v": []})
-        own, keep = shingles(b["words"].iloc[0].split()), []
-        for other in a["other"]:
-            s = shingles(other.split())
-            both = np.isin(s, own, assume_unique=True).sum()
-            keep.append(100 * both >= 75 * (len(s) + len(own) - both))
-        return a.loc[keep, ["u", "v"]]
-
-    return left.groupBy("u", "part").cogroup(right.groupBy("own_u", "own_part")).applyInPandas(run, "u binary, v binary")
-
-
-def _may_link_column(a: Column, b: Column, n_a: Column, n_b: Column) -> Column:
-    @F.pandas_udf("boolean")
-    def run(a: pd.Series, b: pd.Series, n_a: pd.Series, n_b: pd.Series) -> pd.Series:
-        return pd.Series(_may_link(_regs(a), _regs(b), n_a.to_numpy(), n_b.to_numpy()))
+    named = texts.select(F.col("node").alias("t"), "n", "regs", "words")
+    left = dealt.join(named, F.col("v") == F.col("t")).select("u", "part", "v", "n", "regs", "words")
+    # u itself comes first in each of its groups
+    right = dealt.select("u", "part").distinct().join(named, F.col("u") == F.col("t")).select("u", "part", F.lit(-1).cast("long").alias("v"), "n", "regs", "words")
+    rows = left.unionByName(right).repartition("u", "part").sortWithinPartitions("u", "part", "v")
 
-    return run(a, b, n_a, n_b)
-
-
-def _first_links(keys: DataFrame, sketch: DataFrame) -> DataFrame:
-    """Pairs of each bucket's smallest node with its other members that the registers don't rule out."""
-    heads = keys.groupBy("key").agg(F.min("node").alias("u"), F.max("node").alias("last")).where("u <> last").select("key", "u")
-    pairs = keys.join(heads, "key").where("node <> u").select("u", F.col("node").alias("v")).distinct()
-    a = sketch.select(F.col("node").alias("u"), F.col("regs").alias("a"), F.col("n").alias("n_a"))
-    b = sketch.select(F.col("node").alias("v"), F.col("regs").alias("b"), F.col("n").alias("n_b"))
-    joined = pairs.join(b, "v").join(a, "u")
-    return joined.where(_may_link_column(*map(F.col, ("a", "b", "n_a", "n_b")))).select("u", "v")
-
-
-def _other_links(keys: DataFrame, sketch: DataFrame, labels: DataFrame) -> DataFrame:
-    """Pairs of different components that share a bucket, but for those with its smallest node, which were verified."""
-    named = keys.join(labels, "node", "left").select("key", "node", F.coalesce("label", "node").alias("label"))
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for g in groups(batches, ["u", "part"]):
+            start = int((g["v"] < 0).sum())  # repeated rows of u
+            if not start or start == len(g["v"]):
+                continue
+            own = shingles(g["words"][0].split())
+            regs, n, v = _regs(g["regs"]), g["n"][start:], g["v"][start:]
+            sides = regs[start:], regs[:1], n, np.full(len(n), len(own))
+            near, may = _may_have(0.5, *sides), _may_have(0.75, *sides)
+            linked = np.zeros(len(n), bool)
+            for i in np.flatnonzero(may):
+                s = shingles(g["words"][start + i].split())
+                both = np.isin(s, own, assume_unique=True).sum()
+                union = len(s) + len(own) - both
+                linked[i], near[i] = 100 * both >= 75 * union, 2 * both >= union
+            yield pd.DataFrame({"u": g["u"][start:][near], "v": v[near], "linked": linked[near]})
+
+    return rows.mapInPandas(run, "u long, v long, linked boolean")
+
+
+def _other_pairs(named: DataFrame, sketch: DataFrame) -> DataFrame:
+    """Pairs of different components that share a bucket, but for those with its smallest node, which were verified.
+
+    ``named`` has (key, node, head, label, linked) of all buckets with several
+    nodes; linked tells of the head and the node, NULL if they are not near.
+    1 - similarity is a distance: a node can only be linked with one that is
+    linked with the head if it has itself a similarity of 0.5 with the head.
+    Others are not compared with the nodes linked with the head.
+    """
+    outside, near = F.col("label") != F.col("head_label"), F.col("linked").isNotNull()
     open_ = (
         named.groupBy("key")
-        .agg(F.min_by("label", "node").alias("head_label"), F.min("node").alias("head"), F.min("label").alias("lo"), F.max("label").alias("hi"), F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"), F.count("*").alias("size"))
+        .agg(F.max(F.when(F.col("node") == F.col("head"), F.col("label"))).alias("head_label"), F.min("label").alias("lo"), F.max("label").alias("hi"), F.count("*").alias("size"))
         .where("lo <> hi and size > 2")
-        .select("key", "head", "head_label", "blocks")
+        .select("key", "head_label")
     )
-    members = named.join(open_, "key").where("node <> head").join(sketch.select("node", "regs", "n"), "node")
-    columns = ["node", "label", "head_label", "regs", "n"]
-    right = members.select(F.col("key").alias("x_key"), F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int").alias("x_block"), *(F.col(c).alias(c) for c in columns))
-    left = members.where("label <> head_label").select("key", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), *(F.col(c).alias(c) for c in columns))
-
-    def run(y: pd.DataFrame, x: pd.DataFrame) -> pd.DataFrame:
-        out: list[tuple[bytes, bytes]] = []
-        if len(y) and len(x):
-            regs, n, node, label = _regs(x["regs"]), x["n"].to_numpy(), x["node"].to_numpy(), x["label"].to_numpy()
-            outside = label != x["head_label"].iloc[0]
-            for k, lab, r, m in zip(y["node"], y["label"], y["regs"], y["n"], strict=True):
-                todo = np.flatnonzero((label != lab) & (~outside | (node > k)))
+    members = named.join(open_, "key").where("node <> head").select("key", "node", "label", "head_label", (outside & near).alias("near"), F.coalesce("linked", F.lit(False)).alias("linked"))
+    members = stash(members, "open")
+    sizes = members.groupBy("key").agg(F.bool_or("near").alias("any_near"), F.count_if(~F.col("linked")).alias("others"), F.count_if("linked").alias("links"))
+    # what has no one to be compared with drops out
+    sizes = sizes.where("others > 1 or (any_near and links > 0)").select("key", "any_near", F.ceil((F.col("others") + F.when(F.col("any_near"), F.col("links")).otherwise(0)) / BLOCK).cast("int").alias("blocks"))
+    members = stash(members.join(sizes, "key").where("any_near or not linked").drop("any_near"), "open")
+    wanted = stash(members.select("node").distinct(), "wanted")
+    regs_of = only(sketch, wanted, "node").select(F.col("node").alias("s_node"), F.col("n").alias("s_n"), F.col("regs").alias("s_regs"))
+    members = members.join(regs_of, F.col("node") == F.col("s_node")).withColumnsRenamed({"s_n": "n", "s_regs": "regs"})
+    columns = ["node", "label", "head_label", "near", "linked", "n", "regs"]
+    block = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
+    right = members.select("key", block.alias("block"), F.lit(True).alias("inside"), *columns)
+    left = members.where("label <> head_label").select("key", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.lit(False).alias("inside"), *columns)
+    rows = left.unionByName(right).repartition("key", "block").sortWithinPartitions("key", "block")
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for g in groups(batches, ["key", "block"]):
+            inside = g["inside"].astype(bool)
+            if inside.all() or not inside.any():
+                continue
+            all_regs, near = _regs(g["regs"]), g["near"].astype(bool)
+            regs, n, node, label = all_regs[inside], g["n"][inside], g["node"][inside], g["label"][inside]
+            linked, apart = g["linked"][inside].astype(bool), label != g["head_label"][inside]
+            us, vs = [], []
+            for i in np.flatnonzero(~inside):
+                k, m = g["node"][i], g["n"][i]
+                todo = np.flatnonzero((label != g["label"][i]) & (~apart | (node > k)) & (near[i] | ~linked) & (4 * np.minimum(n, m) >= 3 * np.maximum(n, m)))
                 if len(todo):
-                    fits = _may_link(np.frombuffer(r, np.uint16)[None, :], regs[todo], np.full(len(todo), m), n[todo])
-                    out += [(min(k, node[i]), max(k, node[i])) for i in todo[fits]]
-        return pd.DataFrame(out, columns=["u", "v"])
+                    other = node[todo[_may_have(0.75, all_regs[i][None, :], regs[todo], np.full(len(todo), m), n[todo])]]
+                    us.append(np.minimum(other, k))
+                    vs.append(np.maximum(other, k))
+            if us:
+                yield pd.DataFrame({"u": np.concatenate(us), "v": np.concatenate(vs)})
 
-    found = left.groupBy("key", "block").cogroup(right.groupBy("x_key", "x_block")).applyInPandas(run, "u binary, v binary")
-    return found.distinct()
+    return rows.mapInPandas(run, "u long, v long").distinct()
 
 
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(key, n_shingles, component_id, kept) of each document row."""
     sketch = stash(sketches(docs, key, text), "sketches")
-    firsts = sketch.groupBy("node").agg(F.min(key).alias(key))
-    nodes = stash(sketch.where("n > 0").select("node", key, "n", "regs", "keys").join(firsts, ["node", key], "left_semi"), "nodes")
-    keys = nodes.select("node", F.explode("keys").alias("key"))
-    words = sketch.select("node", key, "words").join(firsts, ["node", key], "left_semi").select("node", "words")
-
-    links = stash(verify(_first_links(keys, nodes), words), "first")
-    labels = components(links)
-    more = stash(verify(_other_links(keys, nodes, labels), words), "more")
-    # two components that are linked become one; their labels stand for them
+    keys = sketch.select("node", F.explode("keys").alias("key"))
+    heads = keys.groupBy("key").agg(F.min("node").alias("head"), F.max("node").alias("last")).where("head <> last").select("key", "head")
+    shared = stash(keys.join(heads, "key"), "buckets")
+
+    near = stash(verify(stash(shared.where("node <> head").select(F.col("head").alias("u"), F.col("node").alias("v")).distinct(), "pairs"), sketch), "near")
+    labels = components(near.where("linked").select("u", "v"))
+    named = shared.join(labels, "node", "left").select("key", "node", "head", F.coalesce("label", "node").alias("label"))
+    named = named.join(near.select(F.col("u").alias("head"), F.col("v").alias("node"), "linked"), ["head", "node"], "left")
+    more = stash(verify(stash(_other_pairs(named, sketch), "pairs"), sketch).where("linked").select("u", "v"), "more")
+    # what is linked later joins whole components, for which their labels stand
     name = lambda c: labels.select(F.col("node").alias(c), F.col("label").alias(f"{c}_label"))
     merged = more.join(name("u"), "u", "left").join(name("v"), "v", "left").select(F.coalesce("u_label", "u").alias("u"), F.coalesce("v_label", "v").alias("v"))
-    second = components(merged).select(F.col("node").alias("label"), F.col("label").alias("top"))
-    alone = merged.select(F.col("u").alias("node")).union(merged.select("v")).distinct().select("node", F.col("node").alias("label")).join(labels, "node", "left_anti")
-    final = labels.union(alone).join(second, "label", "left").select("node", F.coalesce("top", "label").alias("label"))
+    second = components(stash(merged.distinct(), "merged")).select(F.col("node").alias("label"), F.col("label").alias("top"))
 
-    named = sketch.select(key, "node", "n").join(final, "node", "left").select(key, "n", F.when(F.col("n") > 0, F.coalesce("label", "node")).alias("label"))
-    named = stash(named, "named")
+    named = sketch.select(key, "node", "n").join(labels, "node", "left").withColumn("label", F.when(F.col("n") > 0, F.coalesce("label", "node")))
+    named = stash(named.join(second, "label", "left").select(key, "n", F.coalesce("top", "label").alias("label")), "named")
     ids = named.where("label is not null").groupBy("label").agg(F.min(key).alias("component_id"))
     out = named.join(ids, "label", "left").withColumn("component_id", F.coalesce("component_id", key))
     return out.select(key, F.col("n").cast("long").alias("n_shingles"), "component_id", (F.col(key) == F.col("component_id")).alias("kept"))
