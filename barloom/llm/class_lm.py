@@ -4,7 +4,7 @@ P(word | previous word) = P(class | previous class) * P(word | class).
 
 Each training document is kept as unit numbers: one unit for each of the ``UNITS``
 commonest words, and for the other words one of ``SUFFIXES`` units by their
-last three characters, so that every word has a class. The exchange steps move
+last three bytes, so that every word has a class. The exchange steps move
 units between classes: each step counts, over all documents, the classes
 before and after every unit, and moves each unit to the class that gives the
 training text the highest probability, given the class counts of that step.
@@ -50,12 +50,24 @@ END = "\n"  # no word holds white space
 PULL = 20.0  # how many observations the class frequencies are worth
 
 
-def words_of(text: str | None) -> list[str]:
-    return [w.decode() for w in (text or "").encode().lower().split()]
+def words_of(text: str | None) -> list[bytes]:
+    """Words in UTF-8; both bytes methods touch ASCII only."""
+    return (text or "").encode().lower().split()
 
 
-def suffix_unit(word: str) -> int:
-    return UNITS + 1 + xxhash.xxh32_intdigest(word[-3:]) % SUFFIXES
+class _SuffixUnits(dict):
+    def __missing__(self, suffix: bytes) -> int:
+        if len(self) >= 1 << 18:
+            self.clear()
+        self[suffix] = unit = UNITS + 1 + xxhash.xxh32_intdigest(suffix) % SUFFIXES
+        return unit
+
+
+_suffix_units = _SuffixUnits()
+
+
+def suffix_unit(word: bytes) -> int:
+    return _suffix_units[word[-3:]]
 
 
 #: Unit UNITS is the end of a text; class CLASSES is its class.
@@ -100,9 +112,9 @@ def common_words(counts: DataFrame, most: int) -> tuple[list[tuple[str, int]], f
 
 class Units:
     def __init__(self, frequent: list[tuple[str, int]]):
-        self.index = {w: i for i, (w, _) in enumerate(frequent)}
+        self.index = {w.encode(): i for i, (w, _) in enumerate(frequent)}
 
-    def encode(self, words: list[str]) -> np.ndarray:
+    def encode(self, words: list[bytes]) -> np.ndarray:
         get = self.index.get
         return np.array([i if (i := get(w, UNITS)) < UNITS else suffix_unit(w) for w in words] + [UNITS], np.int32)
 
@@ -218,7 +230,7 @@ class Model:
         self.log_end_base = math.log10(ends + 0.5)
         self.known_end = int(ends > 0)
 
-    def score(self, words: list[str]) -> tuple[int, int, float, float, dict[str, int]]:
+    def score(self, words: list[bytes]) -> tuple[int, int, float, float, dict[bytes, int]]:
         """(tokens, known, base score, score, others): without what the counts of the other words add."""
         get = self.units.index.get
         index = np.fromiter((get(w, -1) for w in words), np.int64, len(words))
@@ -246,7 +258,8 @@ def train(docs: DataFrame) -> tuple[Model, DataFrame, float, float]:
     def tell(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         index = Units(shared.value[:UNITS]).index
         for batch in batches:
-            kinds = [int(classes[UNITS if w == END else index[w] if w in index else suffix_unit(w)]) for w in batch["word"]]
+            words = [w.encode() for w in batch["word"]]
+            kinds = [int(classes[UNITS if w == END.encode() else index[w] if w in index else suffix_unit(w)]) for w in words]
             yield batch.assign(kind=kinds).groupby("kind")["n"].agg(types="count", n="sum", ones=lambda x: (x == 1).sum(), twos=lambda x: (x == 2).sum()).reset_index()
 
     rows = counts.mapInPandas(tell, "kind int, types long, n long, ones long, twos long").groupBy("kind").agg(*(F.sum(c).alias(c) for c in ("types", "n", "ones", "twos"))).collect()
@@ -273,7 +286,7 @@ def score(docs: DataFrame, trained: tuple[Model, DataFrame, float, float], key:
             for k, t in zip(batch[key], batch["text"], strict=True):
                 tokens, known, base, total, others = m.score(words_of(t))
                 unseen = [float(m.log_unknown[m.classes[suffix_unit(w)]]) for w in others]
-                rows.append((k, tokens, known, base, total, list(others), list(others.values()), unseen))
+                rows.append((k, tokens, known, base, total, [w.decode() for w in others], list(others.values()), unseen))
             yield pd.DataFrame(rows, columns=[key, "n_tokens", "known", "base", "total", "words", "times", "unseen"])
 
     local = docs.select(key, "text").mapInPandas(run, f"{key} {kind}, n_tokens long, known long, base double, total double, words array<string>, times array<long>, unseen array<double>")

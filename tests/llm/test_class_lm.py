@@ -39,7 +39,7 @@ def test_probabilities_add_up(spark):
     docs = spark.createDataFrame(made(200), "doc_id long, text string")
     model, counts, discount, _ = train(docs)
     c = {r["word"]: r["n"] for r in counts.collect()}
-    kind = lambda w: model.classes[model.units.index.get(w, suffix_unit(w))] if w != END else CLASSES
+    kind = lambda w: model.classes[model.units.index.get(w.encode(), suffix_unit(w.encode()))] if w != END else CLASSES
     t, z, u = 10**model.log_t, 10**model.log_z, 10**model.log_unknown
     for before in range(0, CLASSES + 1, 8):
         total = sum(t[before, kind(w)] * (n - discount) / z[kind(w)] for w, n in c.items()) + float((t[before] * u / z).sum())
@@ -55,6 +55,6 @@ def test_no_training_rows(spark):
 
 def test_classes_separate_contexts(spark):
     model, *_ = train(spark.createDataFrame(made(400), "doc_id long, text string"))
-    a = {int(model.classes[model.units.index["a%d" % i]]) for i in range(60)}
-    b = {int(model.classes[model.units.index["b%d" % i]]) for i in range(60)}
+    a = {int(model.classes[model.units.index[b"a%d" % i]]) for i in range(60)}
+    b = {int(model.classes[model.units.index[b"b%d" % i]]) for i in range(60)}
     assert not a & b and np.isfinite(model.log_t).all()
