@@ -8,9 +8,10 @@ more with it, whether or not that earlier line stays itself.
 Equal sets are one class, of which the first line stands for all. The words of
 a class are ordered by rarity; two similar sets share a word of their prefixes.
 Pairs come in two steps, so that a group of near copies is never expanded: each
-class is first held against the first class of each shared prefix word, and
-only classes without an earlier match are then joined with all others, under
-the length and positional filters. Every pair is verified on its words.
+class is first held against the first class of each of its rarest words, and
+only classes without such a match are then joined, by all prefix words, with
+all earlier classes, under the length and positional filters. Every pair is
+verified on its words.
 
 Rarity only orders words and needs no exactness: it is the power of two of the
 number of occurrences in the word's hash bucket, over all documents, in a table
@@ -23,105 +24,190 @@ lines stay; other columns stay as they are.
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import DataType
 
-from .common import stash, table
+from .common import MAX_BROADCAST, only, stash, table
 
 MIN_WORDS = 5
-RARITY_BUCKETS = 1 << 17
-MAX_BROADCAST = 400_000  # rows of 16-byte keys; larger sides are shuffled
-BIG = "cast(4294967296 as decimal(10,0))"
+RARITY_BUCKETS = 1 << 15
+HEAD_TOKENS = 3
+
+
+def split_words(text: Column) -> Column:
+    """Words between white space, and '' for each further blank; a split at one character needs no pattern."""
+    blank = F.when(text.rlike(r"[\x09-\x0D]"), F.regexp_replace(text, r"[\x09-\x0D]", " ")).otherwise(text)
+    return F.split(blank, " ")
 
 
 def words_of(line: Column) -> Column:
-    return F.array_distinct(F.filter(F.split(line, r"[\x20\x09-\x0D]+"), lambda w: w != ""))
+    return F.array_remove(F.array_distinct(split_words(line)), "")
 
 
-def split_lines(docs: DataFrame, key: str, text: str) -> DataFrame:
-    """(at, line) of each line, lower-cased; at orders lines by document and number."""
-    each = docs.where(F.col(text).isNotNull()).select(F.col(key).cast("decimal(20,0)").alias("k"), F.posexplode(F.split(F.lower(F.col(text)), "\n")).alias("no", "line"))
-    return each.select(F.expr(f"cast(k * {BIG} + no as decimal(31,0))").alias("at"), "line")
+class Place:
+    """Puts a document's id and a line's number into one number that orders lines: a long if all ids fit, else a decimal."""
 
+    def __init__(self, docs: DataFrame, key: str, text: str):
+        newlines = F.char_length(text) - F.char_length(F.replace(F.col(text), F.lit("\n"), F.lit("")))
+        low, high, most = docs.agg(F.min(key), F.max(key), F.max(newlines)).first()
+        bits = max(1, int(most or 0).bit_length())
+        self.long = low is None or 0 <= low and high < 1 << (62 - bits)
+        self.base, self.kind = (1 << bits, "long") if self.long else (1 << 32, "decimal(31,0)")
 
-def rarity(docs: DataFrame, text: str) -> Column:
-    """A binary literal of fixed size: for each hash bucket the power of two of its words' occurrences."""
-    words = docs.select(F.explode(F.split(F.lower(F.col(text)), r"[\x20\x09-\x0D]+")).alias("w"))
-    counts = words.groupBy(F.pmod(F.xxhash64("w"), F.lit(RARITY_BUCKETS)).alias("bucket")).count()
-    levels = bytearray(RARITY_BUCKETS)
-    for row in counts.select("bucket", F.floor(F.log2(F.col("count") + 1)).cast("int").alias("level")).collect():  # RARITY_BUCKETS rows at most
-        levels[row["bucket"]] = row["level"]
-    return F.lit(bytes(levels))
-
-
-def classes(lines: DataFrame, levels: Column) -> DataFrame:
-    """(at, h1, h2, n, prefix) of each line with enough words: h1 and h2 are the digest of its set, prefix its rarest tokens."""
-    level = lambda h: F.ascii(F.substring(levels, F.pmod(h, F.lit(RARITY_BUCKETS)).cast("int") + 1, F.lit(1)).cast("string")).cast("long")
-    hashed = F.transform(words_of(F.col("line")), lambda w: F.xxhash64(w))
-    tokens = F.sort_array(F.transform(hashed, lambda h: F.shiftleft(level(h), 57).bitwiseOR(F.shiftrightunsigned(h, 7))))
-    sets = lines.select("at", tokens.alias("tokens")).where(F.size("tokens") >= MIN_WORDS)
-    # a set of n shares one of its n - ceil(0.75 n) + 1 rarest tokens with each similar set
-    prefix = F.slice("tokens", 1, (F.floor(F.size("tokens") / 4) + 1).cast("int"))
-    return sets.select("at", F.xxhash64("tokens").alias("h1"), F.xxhash64(F.lit(1), "tokens").alias("h2"), F.size("tokens").alias("n"), prefix.alias("prefix"))
+    def of(self, key: Column, number: Column) -> Column:
+        if self.long:
+            return key.cast("long") * F.lit(self.base).cast("long") + number
+        return (key.cast("decimal(20,0)") * F.lit(self.base).cast("decimal(10,0)") + number).cast(self.kind)
 
+    def split(self, at: Column, key_type: DataType) -> tuple[Column, Column]:
+        if self.long:
+            number = at.bitwiseAND(F.lit(self.base - 1).cast("long"))
+            return F.shiftright(at, self.base.bit_length() - 1).cast(key_type), number.cast("int")
+        number = F.pmod(at, F.lit(self.base).cast("decimal(31,0)"))
+        return ((at - number) / F.lit(self.base)).cast("decimal(20,0)").cast(key_type), number.cast("int")
 
-def _only(lines: DataFrame, wanted: DataFrame, small: bool) -> DataFrame:
-    """The lines whose place is in ``wanted``, which is broadcast if it was counted as small."""
-    return lines.join(F.broadcast(wanted) if small else wanted, "at", "left_semi")
 
+def split_lines(docs: DataFrame, key: str, text: str, place: Place) -> DataFrame:
+    """(at, line) of each line, lower-cased; at orders lines by document and number."""
+    each = docs.where(F.col(text).isNotNull() & F.col(key).isNotNull()).select(F.col(key).alias("k"), F.posexplode(F.split(F.lower(F.col(text)), "\n")).alias("no", "line"))
+    return each.select(place.of(F.col("k"), F.col("no")).alias("at"), "line")
 
-def verify(pairs: DataFrame, lines: DataFrame) -> DataFrame:
-    """Of the pairs (x, y) of places of lines those whose word sets have Jaccard 0.75 or more."""
-    wanted = pairs.select(F.col("x").alias("at")).union(pairs.select(F.col("y").alias("at"))).distinct()
-    small = wanted.limit(MAX_BROADCAST + 1).count() <= MAX_BROADCAST
-    # repeated documents have the same line at the same place
-    sets = _only(lines, wanted, small).groupBy("at").agg(F.min("line").alias("line")).select("at", words_of(F.col("line")).alias("words"))
-    sets = stash(sets, "sets")
-    both = pairs.join(sets.select(F.col("at").alias("x"), F.col("words").alias("a")), "x").join(sets.select(F.col("at").alias("y"), F.col("words").alias("b")), "y")
-    common = F.size(F.array_intersect("a", "b"))
-    return both.where(4 * common >= 3 * (F.size("a") + F.size("b") - common)).select("x", "y")
 
+def rarity(docs: DataFrame, text: str) -> Column:
+    """An array of fixed size: for each hash bucket the power of two of its words' occurrences, as the top bits of a token."""
+    words = docs.select(F.explode(split_words(F.lower(F.col(text)))).alias("w"))
+    counts = words.groupBy(F.xxhash64("w").bitwiseAND(F.lit(RARITY_BUCKETS - 1).cast("long")).alias("bucket")).count()
+    levels = np.zeros(RARITY_BUCKETS, np.int64)
+    for row in counts.collect():  # RARITY_BUCKETS rows at most
+        levels[row["bucket"]] = int(row["count"]).bit_length() << 57
+    return F.lit(levels)
+
+
+def line_sets(lines: DataFrame, levels: Column) -> DataFrame:
+    """(at, h1, h2, n, parity, head, prefix) of each line with enough words.
+
+    h1 and h2 are the digest of its set, prefix its rarest tokens, head the
+    first of them. parity has a bit for each of 64 groups of words, set if the
+    set holds an odd number of them: two sets differ in at least as many words
+    as their parities in bits.
+    """
+    hashes = F.array_remove(F.array_distinct(F.transform(split_words(F.col("line")), lambda w: F.xxhash64(w))), F.xxhash64(F.lit("")))
+    token = lambda h: F.get(levels, h.bitwiseAND(F.lit(RARITY_BUCKETS - 1).cast("long")).cast("int")).bitwiseOR(F.shiftrightunsigned(h, 7))
+    sets = lines.select("at", hashes.alias("hashes")).where(F.size("hashes") >= MIN_WORDS).select("at", F.sort_array(F.transform("hashes", token)).alias("tokens"))
+    # a set of n shares one of its n - ceil(0.75 n) + 1 rarest tokens with each similar set
+    length = (F.floor(F.size("tokens") / 4) + 1).cast("int")
+    bit = lambda t: F.call_function("shiftleft", F.lit(1).cast("long"), t.cast("int"))
+    return sets.select(
+        "at",
+        F.xxhash64("tokens").alias("h1"),
+        F.xxhash64(F.lit(1), "tokens").alias("h2"),
+        F.size("tokens").alias("n"),
+        F.aggregate("tokens", F.lit(0).cast("long"), lambda a, t: a.bitwiseXOR(bit(t.bitwiseAND(F.lit(63).cast("long"))))).alias("parity"),
+        F.slice("tokens", 1, F.least(F.lit(HEAD_TOKENS), length)).alias("head"),
+        F.slice("tokens", 1, length).alias("prefix"),
+    )
 
-def _long_enough(n: Column, m: Column) -> Column:
-    return (4 * F.least(n, m)) >= (3 * F.greatest(n, m))
 
+def _parities(words: Column) -> Column:
+    """As the parity of a line, for 512 groups of words."""
+    hashes = F.transform(words, lambda w: F.xxhash64(w))
+    bit = lambda h: F.call_function("shiftleft", F.lit(1).cast("long"), h.bitwiseAND(F.lit(63).cast("long")).cast("int"))
+    part = lambda j: F.aggregate(hashes, F.lit(0).cast("long"), lambda a, h: F.when(F.shiftright(h, 6).bitwiseAND(F.lit(7).cast("long")) == j, a.bitwiseXOR(bit(h))).otherwise(a))
+    return F.array(*map(part, range(8)))
 
-def earlier_matches(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(at, h1, h2, first, match): each line with enough words, the first line of its class, and an earlier class that it is like (or NULL)."""
-    lines = split_lines(docs, key, text)
-    each = stash(classes(lines, rarity(docs, text)), "lines")
-    firsts = each.groupBy("h1", "h2").agg(F.min("at").alias("first"))
-    own = each.join(firsts.select(F.col("first").alias("at"), "h1", "h2"), ["at", "h1", "h2"], "left_semi").dropDuplicates(["at"])
-    index = own.select("at", "n", F.posexplode("prefix").alias("pos", "token"))
 
-    heads = index.groupBy("token").agg(F.min("at").alias("head"), F.max("at").alias("last")).where("head <> last").select("token", "head")
-    shared = stash(index.join(heads, "token"), "shared")
-    matched = stash(verify(shared.where("at <> head").select(F.col("at").alias("x"), F.col("head").alias("y")).distinct(), lines), "matched")
-    done = matched.select("x").distinct()
+def verify(pairs: DataFrame, lines: DataFrame) -> DataFrame:
+    """Of the pairs (x, y) of places of lines those whose word sets have Jaccard 0.75 or more.
 
-    left = shared.where("at <> head").select("token", F.col("at").alias("x"), F.col("n").alias("n_x"), F.col("pos").alias("pos_x"), "head").join(done, "x", "left_anti")
-    right = shared.where("at <> head").select("token", F.col("at").alias("y"), F.col("n").alias("n_y"), F.col("pos").alias("pos_y"))
-    bound = 1 + F.least(F.col("n_x") - F.col("pos_x"), F.col("n_y") - F.col("pos_y")) - 1
-    pairs = left.join(right, "token").where("y < x").where(_long_enough(F.col("n_x"), F.col("n_y")) & (7 * bound >= 3 * (F.col("n_x") + F.col("n_y"))))
-    more = verify(stash(pairs.select("x", "y").distinct(), "pairs"), lines)
-    match = matched.union(more).groupBy("x").agg(F.min("y").alias("match"))
-    found = firsts.join(match, F.col("first") == F.col("x"), "left").select("h1", "h2", "first", "match")
-    return each.select("at", "h1", "h2").join(found, ["h1", "h2"])
+    Parities of 512 groups go first; words travel only for the pairs that pass.
+    """
+    wanted = pairs.select(F.col("x").alias("at")).union(pairs.select(F.col("y").alias("at"))).distinct()
+    # repeated documents have the same line at the same place
+    sets = only(lines, wanted, "at").groupBy("at").agg(F.min("line").alias("line")).select("at", words_of(F.col("line")).alias("words"))
+    sets = stash(sets.select("at", F.size("words").alias("n"), _parities(F.col("words")).alias("parities"), "words"), "sets")
+    side = lambda c, *names: sets.select(F.col("at").alias(c), *(F.col(f).alias(f"{f}_{c}") for f in names))
+    light = pairs.join(side("x", "n", "parities"), "x").join(side("y", "n", "parities"), "y")
+    differ = F.aggregate(F.zip_with("parities_x", "parities_y", lambda a, b: F.bit_count(a.bitwiseXOR(b))), F.lit(0), lambda a, n: a + n)
+    both = light.where(7 * differ <= F.col("n_x") + F.col("n_y")).select("x", "y").join(side("x", "words"), "x").join(side("y", "words"), "y")
+    common = F.size(F.array_intersect("words_x", "words_y"))
+    return both.where(4 * common >= 3 * (F.size("words_x") + F.size("words_y") - common)).select("x", "y")
+
+
+def _alike(n: Column, m: Column) -> Column:
+    """The length filter, and that of the parities."""
+    differ = F.bit_count(F.col("parity_x").bitwiseXOR(F.col("parity_y")))
+    return (4 * F.least(n, m) >= 3 * F.greatest(n, m)) & (7 * differ <= n + m)
+
+
+def _in_reach(n: Column, m: Column, i: Column, j: Column) -> Column:
+    """The positional filter: what follows a first shared token bounds the overlap."""
+    return 7 * F.least(n - i, m - j) >= 3 * (n + m)
+
+
+def _first_matches(sets: DataFrame, lines: DataFrame) -> DataFrame:
+    """(x, y): classes x that are similar to the first class y of one of their rarest tokens."""
+    first = sets.groupBy("h1", "h2").agg(F.min("at").alias("at"), F.min("n").alias("n"), F.min("parity").alias("parity"), F.first("head").alias("head"))
+    index = first.select("at", "n", "parity", F.posexplode("head").alias("pos", "token"))
+    index = stash(index.select("token", "at", F.col("parity").alias("parity_x"), (F.col("n").cast("long") * 4294967296 + F.col("pos")).cast("long").alias("size")), "heads")
+    heads = index.groupBy("token").agg(F.min("at").alias("y"), F.max("at").alias("last")).where("y <> last").select("token", "y")
+    tops = index.join(heads, (index["token"] == heads["token"]) & (index["at"] == heads["y"]), "left_semi").select("token", F.col("at").alias("y"), F.col("size").alias("size_y"), F.col("parity_x").alias("parity_y"))
+    n, i = _unpack("size")
+    m, j = _unpack("size_y")
+    pairs = index.join(tops, "token").where((F.col("at") > F.col("y")) & _alike(n, m) & _in_reach(n, m, i, j)).select(F.col("at").alias("x"), "y").distinct()
+    return stash(verify(stash(pairs, "pairs"), lines), "matched")
+
+
+def _unpack(size: str) -> tuple[Column, Column]:
+    return F.shiftright(size, 32).cast("int"), F.col(size).bitwiseAND(F.lit(0xFFFFFFFF).cast("long")).cast("int")
+
+
+def _other_matches(sets: DataFrame, lines: DataFrame, matched: DataFrame) -> DataFrame:
+    """(x, y): classes x without a first match that are similar to an earlier class y.
+
+    Both sides of the join are one and the same shuffle of the index; whether x
+    has a match already is the lowest bit of ``size`` and a condition on both.
+    """
+    classes = sets.groupBy("h1", "h2").agg(F.min("at").alias("at"), F.min("n").alias("n"), F.min("parity").alias("parity"), F.first("prefix").alias("prefix"))
+    done = matched.select(F.col("x").alias("at")).distinct().withColumn("done", F.lit(1))
+    flagged = classes.join(done, "at", "left").select("at", "n", "parity", "prefix", F.coalesce("done", F.lit(0)).alias("done"))
+    index = flagged.select("at", "n", "parity", "done", F.posexplode("prefix").alias("pos", "token"))
+    index = index.select("token", "at", "parity", (F.col("n").cast("long") * 4294967296 + F.col("pos") * 2 + F.col("done")).cast("long").alias("size"))
+    x = index.select("token", F.col("at").alias("x"), F.col("parity").alias("parity_x"), F.col("size").alias("size_x"))
+    y = index.select("token", F.col("at").alias("y"), F.col("parity").alias("parity_y"), F.col("size").alias("size_y"))
+    (n, i), (m, j) = _unpack("size_x"), _unpack("size_y")
+    open_ = (F.col("size_x") + (F.col("y") - F.col("y")).cast("long")).bitwiseAND(F.lit(1).cast("long")) == 0
+    shared = x.join(y, "token").where((F.col("y") < F.col("x")) & open_ & _alike(n, m))
+    pairs = shared.groupBy("x", "y").agg(F.count("*").alias("k"), F.min("size_x").alias("size_x"), F.min("size_y").alias("size_y"))
+    # min keeps the size and has the first position; the order of tokens makes both first positions those of one token
+    first = _in_reach(n, m, F.shiftright(i, 1), F.shiftright(j, 1))
+    # beyond its prefix, the set whose prefix ends first can share no more words than it has left
+    left = F.greatest(n - F.floor(n / 4) - 1, m - F.floor(m / 4) - 1)
+    pairs = pairs.where(first & (7 * (F.col("k") + left) >= 3 * (n + m)))
+    return verify(stash(pairs.select("x", "y"), "pairs"), lines)
 
 
 def removed_lines(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(key, removed): the numbers of the lines to cut, sorted, of each document that has any."""
-    kind = docs.schema[key].dataType
-    found = earlier_matches(docs, key, text).where("at <> first or match is not null").select("at").distinct()
-    place = found.select(F.expr(f"cast(floor(at / {BIG}) as decimal(20,0))").alias("k"), "at")
-    number = F.expr(f"cast(at - k * {BIG} as int)")
-    return place.select(F.col("k").cast(kind).alias(key), number.alias("no")).groupBy(key).agg(F.array_sort(F.collect_list("no")).alias("removed"))
+    place = Place(docs, key, text)
+    lines = split_lines(docs, key, text, place)
+    sets = stash(line_sets(lines, rarity(docs, text)), "lines")
+    matched = _first_matches(sets, lines)
+    match = stash(matched.union(_other_matches(sets, lines, matched)).select(F.col("x").alias("at")).distinct(), "match")
+    light = sets.select("at", "h1", "h2")
+    firsts = light.groupBy("h1", "h2").agg(F.min("at").alias("first"), F.max("at").alias("last")).where("first <> last")
+    copies = light.join(firsts, ["h1", "h2"]).where("at <> first").select("at")
+    k, number = place.split(F.col("at"), docs.schema[key].dataType)
+    gone = copies.union(match).distinct()
+    return gone.select(k.alias(key), number.alias("no")).groupBy(key).agg(F.array_sort(F.collect_list("no")).alias("removed"))
 
 
 def dedup_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", with_removed: bool = False) -> DataFrame:
     """``docs`` with the later similar lines cut out of ``text``; with ``with_removed`` also their numbers, in ``removed_lines``."""
     gone = stash(removed_lines(docs, key, text), "removed").withColumnsRenamed({key: "_key", "removed": "_removed"})
-    small = gone.limit(MAX_BROADCAST + 1).count() <= MAX_BROADCAST and gone.select(F.coalesce(F.sum(F.size("_removed")), F.lit(0))).first()[0] <= 4 * MAX_BROADCAST
+    rows, numbers = gone.agg(F.count("*"), F.coalesce(F.sum(F.size("_removed")), F.lit(0))).first()
+    small = rows <= MAX_BROADCAST and numbers <= 4 * MAX_BROADCAST
     joined = docs.join(F.broadcast(gone) if small else gone, F.col(key) == F.col("_key"), "left")
     lines = F.split(F.col(text), "\n")
     kept = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("_removed"))
