@@ -41,8 +41,7 @@ MANTISSA = 10
 BAND = 5  # registers in a band; 51 bands find a pair of similarity 0.75 with probability 1 - 1e-6
 SMALL = 64  # sets of up to so many shingles are found by prefixes
 SMALL_TOO = SMALL * 4 // 3 + 1  # and the largest sets that can be similar to them
-MARGIN = 0.2  # a pair is verified unless its estimate is more than this (six standard deviations) too low
-SMALL_MARGIN = 0.25  # the same for small sets, whose registers are all but the set itself
+DEVIATIONS = 4.5  # a pair is verified unless its estimate is more than so many standard deviations too low
 TINY = 12  # sets for which a single shared bucket tells too much: always verified
 BLOCK = 512
 WORDS = 500_000  # word fingerprints that a worker remembers
@@ -126,20 +125,24 @@ def keys_of(u: np.ndarray, regs: np.ndarray) -> np.ndarray:
     return np.concatenate(keys).view(np.int64) if keys else np.zeros(0, np.int64)
 
 
-def estimate(a: np.ndarray, b: np.ndarray, n_a: np.ndarray, n_b: np.ndarray) -> np.ndarray:
-    """Jaccard estimate of register rows: equal ones among those filled in either, less those expected to be equal by chance."""
+def estimate(a: np.ndarray, b: np.ndarray, n_a: np.ndarray, n_b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Jaccard estimate of register rows and its standard deviation at most.
+
+    Of the registers filled in either, the share of equal ones, less those
+    expected to be equal by chance.
+    """
     either = ((a > 0) | (b > 0)).sum(-1)
     equal = ((a == b) & (a > 0)).sum(-1)
     ratio = n_a / np.maximum(n_b, 1)
     chance = 0.17 * 2.0**-MANTISSA * 4 * ratio / (1 + ratio) ** 2 * either
-    return np.maximum(equal - chance, 0) / np.maximum(either - chance, 1)
+    return np.maximum(equal - chance, 0) / np.maximum(either - chance, 1), np.sqrt(0.25 / np.maximum(either, 1))
 
 
 def _may_have(least: float, a: np.ndarray, b: np.ndarray, n_a: np.ndarray, n_b: np.ndarray) -> np.ndarray:
     """Whether sizes and registers leave a similarity of ``least`` possible."""
     smaller = np.minimum(n_a, n_b)
-    sizes = smaller >= least * np.maximum(n_a, n_b)
-    return sizes & ((smaller <= TINY) | (estimate(a, b, n_a, n_b) >= least - np.where(smaller <= SMALL_TOO, SMALL_MARGIN, MARGIN)))
+    about, deviation = estimate(a, b, n_a, n_b)
+    return (smaller >= least * np.maximum(n_a, n_b)) & ((smaller <= TINY) | (about >= least - DEVIATIONS * 2 * np.sqrt(least * (1 - least)) * deviation))
 
 
 def sketches(docs: DataFrame, key: str, text: str) -> DataFrame:
@@ -184,9 +187,10 @@ def _regs(column: Iterable[bytes]) -> np.ndarray:
     return np.frombuffer(b"".join(column), np.uint16).reshape(-1, BUCKETS)
 
 
-def verify(pairs: DataFrame, sketch: DataFrame) -> DataFrame:
+def verify(pairs: DataFrame, sketch: DataFrame, with_near: bool = False) -> DataFrame:
     """(u, v, linked) of the pairs whose similarity is, or may be, 0.5 or more.
 
+    Without ``with_near`` only the linked ones are returned.
     linked is whether their full sets have 100 * intersection >= 75 * union;
     only pairs whose registers rule that out go without a look at the sets.
 
@@ -211,14 +215,16 @@ def verify(pairs: DataFrame, sketch: DataFrame) -> DataFrame:
             own = shingles(g["words"][0].split())
             regs, n, v = _regs(g["regs"]), g["n"][start:], g["v"][start:]
             sides = regs[start:], regs[:1], n, np.full(len(n), len(own))
-            near, may = _may_have(0.5, *sides), _may_have(0.75, *sides)
+            may = _may_have(0.75, *sides)
+            near = _may_have(0.5, *sides) if with_near else np.zeros(len(n), bool)
             linked = np.zeros(len(n), bool)
             for i in np.flatnonzero(may):
                 s = shingles(g["words"][start + i].split())
                 both = np.isin(s, own, assume_unique=True).sum()
                 union = len(s) + len(own) - both
-                linked[i], near[i] = 100 * both >= 75 * union, 2 * both >= union
-            yield pd.DataFrame({"u": g["u"][start:][near], "v": v[near], "linked": linked[near]})
+                linked[i], near[i] = 100 * both >= 75 * union, with_near and 2 * both >= union
+            told = near | linked
+            yield pd.DataFrame({"u": g["u"][start:][told], "v": v[told], "linked": linked[told]})
 
     return rows.mapInPandas(run, "u long, v long, linked boolean")
 
@@ -283,7 +289,7 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     heads = keys.groupBy("key").agg(F.min("node").alias("head"), F.max("node").alias("last")).where("head <> last").select("key", "head")
     shared = stash(keys.join(heads, "key"), "buckets")
 
-    near = stash(verify(stash(shared.where("node <> head").select(F.col("head").alias("u"), F.col("node").alias("v")).distinct(), "pairs"), sketch), "near")
+    near = stash(verify(stash(shared.where("node <> head").select(F.col("head").alias("u"), F.col("node").alias("v")).distinct(), "pairs"), sketch, True), "near")
     labels = components(near.where("linked").select("u", "v"))
     named = shared.join(labels, "node", "left").select("key", "node", "head", F.coalesce("label", "node").alias("label"))
     named = named.join(near.select(F.col("u").alias("head"), F.col("v").alias("node"), "linked"), ["head", "node"], "left")

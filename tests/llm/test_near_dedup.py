@@ -80,7 +80,7 @@ def test_registers_and_estimate():
     b = np.unique(np.concatenate([a[:15_000], rng.integers(0, 2**64, 5_000, dtype=np.uint64)]))
     a = np.unique(a)
     x, y = registers(a), registers(b)
-    assert abs(estimate(x, y, np.array(len(a)), np.array(len(b))) - 0.6) < 0.12
+    assert abs(estimate(x, y, np.array(len(a)), np.array(len(b)))[0] - 0.6) < 0.12
     assert (registers(np.unique(np.concatenate([a, b]))) == np.maximum(x, y)).all()
     u = np.array([3 << 56 | 1 << 54], np.uint64)
     assert registers(u)[3] >> 10 == 2
