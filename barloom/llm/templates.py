@@ -176,7 +176,7 @@ def tokens(pages: DataFrame) -> DataFrame:
             rows = []
             for h, p, page in zip(batch["host"], batch["page_id"], batch["html"], strict=True):
                 seen: dict[tuple[str, str, bool], int] = {}
-                key = xxhash.xxh64_intdigest(f"{p}") >> 2
+                key = xxhash.xxh64_intdigest(f"{p}") >> 20
                 for path, text, *_ in blocks(page):
                     seen[path, text, True] = seen.get((path, text, True), 0) + 1
                     seen[path, "", False] = seen.get((path, "", False), 0) + 1
@@ -193,7 +193,7 @@ def deduce_templates(pages: DataFrame, min_pages: int = MIN_PAGES, support: floa
     class which holds the nearest enclosing path (NULL at the root); texts are
     the token ids of the repeated blocks of text.
     """
-    weight = F.pmod(F.col("page") * F.col("n"), F.lit(2**40 + 15)).cast("decimal(38,0)")
+    weight = F.col("page").cast("decimal(14,0)") * F.col("n").cast("decimal(10,0)")
     counted = (
         tokens(pages)
         .groupBy("host", "token", "path", "parent", "is_text")

@@ -53,3 +53,9 @@ def test_few_pages_have_no_template(spark):
     df = spark.createDataFrame(site(5), "page_id long, url string, html string")
     assert main_texts(df).where("page_id = 4").first().text == "Welcome to our site\nBody 4 text\nTail 1\nImprint"
     assert [b[0] for b in blocks(site(1)[0][2])][0] == "/html/body/div.x1"
+
+
+def test_repeated_tokens_of_a_page(spark):
+    rows = [(i, "http://h/", "<ul>" + "<li>same</li>" * 50 + f"</ul><p>own {i}</p>") for i in range(12)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    assert {r.text for r in main_texts(df).collect()} == {f"own {i}" for i in range(12)}
