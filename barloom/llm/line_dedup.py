@@ -151,11 +151,11 @@ def _first_matches(sets: DataFrame, lines: DataFrame) -> DataFrame:
     first = sets.groupBy("h1", "h2").agg(F.min("at").alias("at"), F.min("n").alias("n"), F.min("parity").alias("parity"), F.first("head").alias("head"))
     index = first.select("at", "n", "parity", F.posexplode("head").alias("pos", "token"))
     index = stash(index.select("token", "at", F.col("parity").alias("parity_x"), (F.col("n").cast("long") * 4294967296 + F.col("pos")).cast("long").alias("size")), "heads")
-    heads = index.groupBy("token").agg(F.min("at").alias("y"), F.max("at").alias("last")).where("y <> last").select("token", "y")
-    tops = index.join(heads, (index["token"] == heads["token"]) & (index["at"] == heads["y"]), "left_semi").select("token", F.col("at").alias("y"), F.col("size").alias("size_y"), F.col("parity_x").alias("parity_y"))
+    first_of = lambda c, name: F.min_by(c, "at").alias(name)
+    heads = index.groupBy("token").agg(F.min("at").alias("y"), F.max("at").alias("last"), first_of("size", "size_y"), first_of("parity_x", "parity_y")).where("y <> last").drop("last")
     n, i = _unpack("size")
     m, j = _unpack("size_y")
-    pairs = index.join(tops, "token").where((F.col("at") > F.col("y")) & _alike(n, m) & _in_reach(n, m, i, j)).select(F.col("at").alias("x"), "y").distinct()
+    pairs = index.join(heads, "token").where((F.col("at") > F.col("y")) & _alike(n, m) & _in_reach(n, m, i, j)).select(F.col("at").alias("x"), "y").distinct()
     return stash(verify(stash(pairs, "pairs"), lines), "matched")
 
 
@@ -170,8 +170,9 @@ def _other_matches(sets: DataFrame, lines: DataFrame, matched: DataFrame) -> Dat
     has a match already is the lowest bit of ``size`` and a condition on both.
     """
     classes = sets.groupBy("h1", "h2").agg(F.min("at").alias("at"), F.min("n").alias("n"), F.min("parity").alias("parity"), F.first("prefix").alias("prefix"))
-    done = matched.select(F.col("x").alias("at")).distinct().withColumn("done", F.lit(1))
-    flagged = classes.join(done, "at", "left").select("at", "n", "parity", "prefix", F.coalesce("done", F.lit(0)).alias("done"))
+    done = stash(matched.select(F.col("x").alias("at")).distinct().withColumn("done", F.lit(1)), "done")
+    small = done.limit(MAX_BROADCAST + 1).count() <= MAX_BROADCAST
+    flagged = classes.join(F.broadcast(done) if small else done, "at", "left").select("at", "n", "parity", "prefix", F.coalesce("done", F.lit(0)).alias("done"))
     index = flagged.select("at", "n", "parity", "done", F.posexplode("prefix").alias("pos", "token"))
     index = index.select("token", "at", "parity", (F.col("n").cast("long") * 4294967296 + F.col("pos") * 2 + F.col("done")).cast("long").alias("size"))
     x = index.select("token", F.col("at").alias("x"), F.col("parity").alias("parity_x"), F.col("size").alias("size_x"))
