@@ -37,7 +37,7 @@ from .common import table
 SEGMENT = 32_768  # characters of a long text that one task encodes on its own
 LEAF = 256  # characters of a pre-token that are encoded at once
 WINDOW = 4  # tokens on each side of a join at first
-CACHE = 400_000  # pre-tokens that a worker remembers
+CACHE = 150_000  # pre-tokens that a worker remembers
 
 #: Characters whose class all Unicode versions in use agree on; texts with others are split by the library itself.
 _STABLE = regex.compile(r"[\x00-ͷЀ-ԯ‐-⁞₠-₿←-⏺ぁ-ゖ゠-ヿ一-龥가-힣]*+")

@@ -44,7 +44,7 @@ SMALL_TOO = SMALL * 4 // 3 + 1  # and the largest sets that can be similar to th
 DEVIATIONS = 4.5  # a pair is verified unless its estimate is more than so many standard deviations too low
 TINY = 12  # sets for which a single shared bucket tells too much: always verified
 BLOCK = 512
-WORDS = 500_000  # word fingerprints that a worker remembers
+WORDS = 100_000  # word fingerprints that a worker remembers
 
 _ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], np.uint64)
 

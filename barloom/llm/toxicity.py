@@ -156,7 +156,7 @@ def features(text: str | None, lexicon: Lexicon, least: list[int], weights: list
         if w in cache:
             found = cache[w]
         else:
-            if len(cache) >= 500_000:
+            if len(cache) >= 200_000:
                 cache.clear()
             found = cache[w] = lexicon.match(w.translate(LEET) if not w.isalpha() else w)
         if found is not None:
