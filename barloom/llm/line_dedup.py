@@ -7,11 +7,14 @@ more with it, whether or not that earlier line stays itself.
 
 Equal sets are one class, of which the first line stands for all. The words of
 a class are ordered by rarity; two similar sets share a word of their prefixes.
-Pairs come in two steps, so that a group of near copies is never expanded: each
-class is first held against the first class of each of its rarest words, and
-only classes without such a match are then joined, by all prefix words, with
-all earlier classes, under the length and positional filters. Every pair is
-verified on its words.
+``line_links`` is the whole result of the join: every class is joined, by all
+prefix words, with all earlier classes, under the length and positional filters,
+and every pair is verified on its words; equal sets are given by membership.
+
+To cut lines one link of a line is enough. ``removed_lines`` therefore takes two
+steps, so that a group of near copies is never expanded: each class is first
+held against the first class of each of its rarest words, and only classes
+without such a match are then joined with all earlier ones.
 
 Rarity only orders words and needs no exactness: it is the power of two of the
 number of occurrences in the word's hash bucket, over all documents, in a table
@@ -163,16 +166,19 @@ def _unpack(size: str) -> tuple[Column, Column]:
     return F.shiftright(size, 32).cast("int"), F.col(size).bitwiseAND(F.lit(0xFFFFFFFF).cast("long")).cast("int")
 
 
-def _other_matches(sets: DataFrame, lines: DataFrame, matched: DataFrame) -> DataFrame:
-    """(x, y): classes x without a first match that are similar to an earlier class y.
+def _matches(sets: DataFrame, lines: DataFrame, matched: DataFrame | None = None) -> DataFrame:
+    """(x, y): all pairs of a class x, if it isn't in ``matched`` already, and an earlier class y that is similar.
 
     Both sides of the join are one and the same shuffle of the index; whether x
     has a match already is the lowest bit of ``size`` and a condition on both.
     """
     classes = sets.groupBy("h1", "h2").agg(F.min("at").alias("at"), F.min("n").alias("n"), F.min("parity").alias("parity"), F.first("prefix").alias("prefix"))
-    done = stash(matched.select(F.col("x").alias("at")).distinct().withColumn("done", F.lit(1)), "done")
-    small = done.limit(MAX_BROADCAST + 1).count() <= MAX_BROADCAST
-    flagged = classes.join(F.broadcast(done) if small else done, "at", "left").select("at", "n", "parity", "prefix", F.coalesce("done", F.lit(0)).alias("done"))
+    if matched is None:
+        flagged = classes.withColumn("done", F.lit(0))
+    else:
+        done = stash(matched.select(F.col("x").alias("at")).distinct().withColumn("done", F.lit(1)), "done")
+        small = done.limit(MAX_BROADCAST + 1).count() <= MAX_BROADCAST
+        flagged = classes.join(F.broadcast(done) if small else done, "at", "left").select("at", "n", "parity", "prefix", F.coalesce("done", F.lit(0)).alias("done"))
     index = flagged.select("at", "n", "parity", "done", F.posexplode("prefix").alias("pos", "token"))
     index = index.select("token", "at", "parity", (F.col("n").cast("long") * 4294967296 + F.col("pos") * 2 + F.col("done")).cast("long").alias("size"))
     x = index.select("token", F.col("at").alias("x"), F.col("parity").alias("parity_x"), F.col("size").alias("size_x"))
@@ -189,24 +195,54 @@ def _other_matches(sets: DataFrame, lines: DataFrame, matched: DataFrame) -> Dat
     return verify(stash(pairs.select("x", "y"), "pairs"), lines)
 
 
+def _copies(sets: DataFrame) -> DataFrame:
+    """(x, y): lines x whose set is that of an earlier line, and the first line y of their class."""
+    light = sets.select("at", "h1", "h2")
+    firsts = light.groupBy("h1", "h2").agg(F.min("at").alias("first"), F.max("at").alias("last")).where("first <> last")
+    return light.join(firsts, ["h1", "h2"]).where("at <> first").select(F.col("at").alias("x"), F.col("first").alias("y")).distinct()
+
+
+def _links(docs: DataFrame, key: str, text: str, place: Place) -> DataFrame:
+    """(x, y, same): every link of a line x to an earlier line y, as in ``line_links``."""
+    lines = split_lines(docs, key, text, place)
+    sets = stash(line_sets(lines, rarity(docs, text)), "lines")
+    return stash(_matches(sets, lines).withColumn("same", F.lit(False)).union(_copies(sets).withColumn("same", F.lit(True))), "links")
+
+
+def line_links(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """(key, no, to_key, to_no, same): every verified pair of classes of lines, and with ``same`` each copy's membership.
+
+    A class is known by its first line; the pair stands with the later one.
+    """
+    place, kind = Place(docs, key, text), docs.schema[key].dataType
+    (k, no), (to, to_no) = place.split(F.col("x"), kind), place.split(F.col("y"), kind)
+    return _links(docs, key, text, place).select(k.alias(key), no.alias("no"), to.alias(f"to_{key}"), to_no.alias("to_no"), "same")
+
+
+def linked_lines(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """(key, removed, links): as ``removed_lines``, with the number of links that the lines have to earlier ones."""
+    place = Place(docs, key, text)
+    k, number = place.split(F.col("x"), docs.schema[key].dataType)
+    gone = _links(docs, key, text, place).groupBy("x").agg(F.count("*").alias("links"))
+    return gone.select(k.alias(key), number.alias("no"), "links").groupBy(key).agg(F.array_sort(F.collect_list("no")).alias("removed"), F.sum("links").alias("links"))
+
+
 def removed_lines(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(key, removed): the numbers of the lines to cut, sorted, of each document that has any."""
     place = Place(docs, key, text)
     lines = split_lines(docs, key, text, place)
     sets = stash(line_sets(lines, rarity(docs, text)), "lines")
     matched = _first_matches(sets, lines)
-    match = stash(matched.union(_other_matches(sets, lines, matched)).select(F.col("x").alias("at")).distinct(), "match")
-    light = sets.select("at", "h1", "h2")
-    firsts = light.groupBy("h1", "h2").agg(F.min("at").alias("first"), F.max("at").alias("last")).where("first <> last")
-    copies = light.join(firsts, ["h1", "h2"]).where("at <> first").select("at")
+    match = stash(matched.union(_matches(sets, lines, matched)).select(F.col("x").alias("at")).distinct(), "match")
     k, number = place.split(F.col("at"), docs.schema[key].dataType)
-    gone = copies.union(match).distinct()
+    gone = _copies(sets).select(F.col("x").alias("at")).union(match).distinct()
     return gone.select(k.alias(key), number.alias("no")).groupBy(key).agg(F.array_sort(F.collect_list("no")).alias("removed"))
 
 
-def dedup_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", with_removed: bool = False) -> DataFrame:
-    """``docs`` with the later similar lines cut out of ``text``; with ``with_removed`` also their numbers, in ``removed_lines``."""
-    gone = stash(removed_lines(docs, key, text), "removed").withColumnsRenamed({key: "_key", "removed": "_removed"})
+def dedup_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", with_links: bool = False) -> DataFrame:
+    """``docs`` with the later similar lines cut out of ``text``; with ``with_links`` also their numbers, in ``removed_lines``, and n_links, how many links they have."""
+    gone = linked_lines(docs, key, text) if with_links else removed_lines(docs, key, text)
+    gone = stash(gone, "removed").withColumnsRenamed({key: "_key", "removed": "_removed", "links": "_links"})
     rows, numbers = gone.agg(F.count("*"), F.coalesce(F.sum(F.size("_removed")), F.lit(0))).first()
     small = rows <= MAX_BROADCAST and numbers <= 4 * MAX_BROADCAST
     joined = docs.join(F.broadcast(gone) if small else gone, F.col(key) == F.col("_key"), "left")
@@ -214,16 +250,17 @@ def dedup_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", with_r
     kept = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("_removed"))
     new = F.when(F.col("_removed").isNull(), F.col(text)).otherwise(F.array_join(F.transform(kept, lambda i: F.get(lines, i)), "\n"))
     out = [new.alias(text) if c == text else F.col(c) for c in docs.columns]
-    return joined.select(*out, *([F.coalesce("_removed", F.array().cast("array<int>")).alias("removed_lines")] if with_removed else []))
+    if with_links:
+        out += [F.coalesce("_removed", F.array().cast("array<int>")).alias("removed_lines"), F.coalesce("_links", F.lit(0)).cast("long").alias("n_links")]
+    return joined.select(*out)
 
 
 def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    out = dedup_lines(docs, with_removed=True)
-    n = F.size("removed_lines")
+    out = dedup_lines(docs, with_links=True)
     return out.select(
         "doc_id",
-        n.cast("long").alias("n_links"),
+        "n_links",
         F.array_join("removed_lines", ",").alias("removed_lines"),
         F.char_length(F.coalesce("text", F.lit(""))).cast("long").alias("kept_chars"),
         F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"),
