@@ -1,7 +1,8 @@
 """Line dedup: an exact set-similarity join of lines (DataFrame functions only).
 
-A line's set is its distinct lower-cased words; lines of fewer than
-``MIN_WORDS`` distinct words are left alone. A line is removed if an earlier
+A line's set is its distinct lower-cased words. Lines of fewer than
+``min_words`` distinct words are left alone: ``op4_line_dedup`` takes every line
+that has a word, the default, ``MIN_WORDS``, is that of the pipeline. A line is removed if an earlier
 line, in the order (doc_id, line number), has a Jaccard similarity of 0.75 or
 more with it, whether or not that earlier line stays itself.
 
@@ -21,8 +22,8 @@ number of occurrences in the word's hash bucket, over all documents, in a table
 of fixed size.
 
 Defined cases: NULL texts stay NULL and have no lines; repeated rows have the
-same lines at the same place and are kept or cut alike; empty lines and short
-lines stay; other columns stay as they are.
+same lines at the same place and are kept or cut alike; empty lines and lines
+of fewer than ``min_words`` words stay; other columns stay as they are.
 """
 
 from __future__ import annotations
@@ -88,7 +89,7 @@ def rarity(docs: DataFrame, text: str) -> Column:
     return F.lit(levels)
 
 
-def line_sets(lines: DataFrame, levels: Column) -> DataFrame:
+def line_sets(lines: DataFrame, levels: Column, min_words: int = MIN_WORDS) -> DataFrame:
     """(at, h1, h2, n, parity, head, prefix) of each line with enough words.
 
     h1 and h2 are the digest of its set, prefix its rarest tokens, head the
@@ -98,7 +99,7 @@ def line_sets(lines: DataFrame, levels: Column) -> DataFrame:
     """
     hashes = F.array_remove(F.array_distinct(F.transform(split_words(F.col("line")), lambda w: F.xxhash64(w))), F.xxhash64(F.lit("")))
     token = lambda h: F.get(levels, h.bitwiseAND(F.lit(RARITY_BUCKETS - 1).cast("long")).cast("int")).bitwiseOR(F.shiftrightunsigned(h, 7))
-    sets = lines.select("at", hashes.alias("hashes")).where(F.size("hashes") >= MIN_WORDS).select("at", F.sort_array(F.transform("hashes", token)).alias("tokens"))
+    sets = lines.select("at", hashes.alias("hashes")).where(F.size("hashes") >= min_words).select("at", F.sort_array(F.transform("hashes", token)).alias("tokens"))
     # a set of n shares one of its n - ceil(0.75 n) + 1 rarest tokens with each similar set
     length = (F.floor(F.size("tokens") / 4) + 1).cast("int")
     bit = lambda t: F.call_function("shiftleft", F.lit(1).cast("long"), t.cast("int"))
@@ -202,36 +203,36 @@ def _copies(sets: DataFrame) -> DataFrame:
     return light.join(firsts, ["h1", "h2"]).where("at <> first").select(F.col("at").alias("x"), F.col("first").alias("y")).distinct()
 
 
-def _links(docs: DataFrame, key: str, text: str, place: Place) -> DataFrame:
+def _links(docs: DataFrame, key: str, text: str, place: Place, min_words: int) -> DataFrame:
     """(x, y, same): every link of a line x to an earlier line y, as in ``line_links``."""
     lines = split_lines(docs, key, text, place)
-    sets = stash(line_sets(lines, rarity(docs, text)), "lines")
+    sets = stash(line_sets(lines, rarity(docs, text), min_words), "lines")
     return stash(_matches(sets, lines).withColumn("same", F.lit(False)).union(_copies(sets).withColumn("same", F.lit(True))), "links")
 
 
-def line_links(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+def line_links(docs: DataFrame, key: str = "doc_id", text: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
     """(key, no, to_key, to_no, same): every verified pair of classes of lines, and with ``same`` each copy's membership.
 
     A class is known by its first line; the pair stands with the later one.
     """
     place, kind = Place(docs, key, text), docs.schema[key].dataType
     (k, no), (to, to_no) = place.split(F.col("x"), kind), place.split(F.col("y"), kind)
-    return _links(docs, key, text, place).select(k.alias(key), no.alias("no"), to.alias(f"to_{key}"), to_no.alias("to_no"), "same")
+    return _links(docs, key, text, place, min_words).select(k.alias(key), no.alias("no"), to.alias(f"to_{key}"), to_no.alias("to_no"), "same")
 
 
-def linked_lines(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+def linked_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
     """(key, removed, links): as ``removed_lines``, with the number of links that the lines have to earlier ones."""
     place = Place(docs, key, text)
     k, number = place.split(F.col("x"), docs.schema[key].dataType)
-    gone = _links(docs, key, text, place).groupBy("x").agg(F.count("*").alias("links"))
+    gone = _links(docs, key, text, place, min_words).groupBy("x").agg(F.count("*").alias("links"))
     return gone.select(k.alias(key), number.alias("no"), "links").groupBy(key).agg(F.array_sort(F.collect_list("no")).alias("removed"), F.sum("links").alias("links"))
 
 
-def removed_lines(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+def removed_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
     """(key, removed): the numbers of the lines to cut, sorted, of each document that has any."""
     place = Place(docs, key, text)
     lines = split_lines(docs, key, text, place)
-    sets = stash(line_sets(lines, rarity(docs, text)), "lines")
+    sets = stash(line_sets(lines, rarity(docs, text), min_words), "lines")
     matched = _first_matches(sets, lines)
     match = stash(matched.union(_matches(sets, lines, matched)).select(F.col("x").alias("at")).distinct(), "match")
     k, number = place.split(F.col("at"), docs.schema[key].dataType)
@@ -239,9 +240,9 @@ def removed_lines(docs: DataFrame, key: str = "doc_id", text: str = "text") -> D
     return gone.select(k.alias(key), number.alias("no")).groupBy(key).agg(F.array_sort(F.collect_list("no")).alias("removed"))
 
 
-def dedup_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", with_links: bool = False) -> DataFrame:
+def dedup_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", with_links: bool = False, min_words: int = MIN_WORDS) -> DataFrame:
     """``docs`` with the later similar lines cut out of ``text``; with ``with_links`` also their numbers, in ``removed_lines``, and n_links, how many links they have."""
-    gone = linked_lines(docs, key, text) if with_links else removed_lines(docs, key, text)
+    gone = linked_lines(docs, key, text, min_words) if with_links else removed_lines(docs, key, text, min_words)
     gone = stash(gone, "removed").withColumnsRenamed({key: "_key", "removed": "_removed", "links": "_links"})
     rows, numbers = gone.agg(F.count("*"), F.coalesce(F.sum(F.size("_removed")), F.lit(0))).first()
     small = rows <= MAX_BROADCAST and numbers <= 4 * MAX_BROADCAST
@@ -257,7 +258,7 @@ def dedup_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", with_l
 
 def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    out = dedup_lines(docs, with_links=True)
+    out = dedup_lines(docs, with_links=True, min_words=1)
     return out.select(
         "doc_id",
         "n_links",
