@@ -1,9 +1,13 @@
 """License scans by sentence rules (DataFrame functions only).
 
-Each sentence of a text is normalised and mapped to the identifier of a known
-licence sentence; the sequence of identifiers is then matched against ordered
-licence rules, which allow a bounded number of foreign sentences between two
-rule sentences. Everything happens inside the row: no shuffle, no Python.
+A text is cut at line ends and after the signs that end a clause, and its pieces
+are normalised. A known licence sentence is found wherever consecutive pieces
+have its words, however it is wrapped over lines and whatever signs are inside
+of it; so the pieces become a sequence of identifiers, which is matched against
+ordered licence rules, with a bounded number of foreign pieces between two rule
+sentences. Everything happens inside the row: no shuffle, no Python.
+
+``n_sentences`` counts the pieces.
 
 Defined cases: NULL and empty texts have no sentences and no licences; a
 sentence that is repeated counts each time; a rule that matches several times
@@ -12,6 +16,9 @@ is reported once; other columns pass through ``scan``.
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -87,9 +94,18 @@ def normalised_sentences(text: Column) -> Column:
 
 
 def sentence_ids(sentences: Column, known: dict[str, str] = SENTENCES) -> Column:
-    """The number of each known sentence, from 1, and 0 for every other."""
-    table_ = F.array(*(F.lit(_normal(s)) for s in known.values()))
-    return F.transform(sentences, lambda s: F.array_position(table_, s).cast("int"))
+    """The pieces as a sequence: the number of a known sentence, from 1, for the pieces that make it up, and 0 for every other piece."""
+    normal = {i: _normal(s) for i, s in enumerate(known.values(), 1)}
+    flat = F.concat(F.lit(" "), F.array_join(sentences, " "), F.lit(" "))
+    ids = F.concat(F.lit("|"), F.array_join(sentences, "|"), F.lit("|"))
+    # longer sentences first: a shorter one may be the first line of a longer one
+    for i, words in sorted(normal.items(), key=lambda x: (-len(x[1]), x[0])):
+        ids = F.regexp_replace(ids, r"\|" + words.replace(" ", "[ |]") + r"(?=\|)", f"|#{i}")
+    number = lambda p: F.when(F.startswith(p, F.lit("#")), F.substring(p, F.lit(2), F.lit(9)).cast("int")).otherwise(0)
+    marked = F.transform(F.filter(F.split(ids, r"\|"), lambda p: p != ""), number)
+    # patterns only for texts that hold the words of a known sentence; the array makes the text once for all of them
+    holds = F.exists(F.array(flat), lambda t: reduce(or_, (F.contains(t, F.lit(f" {words} ")) for words in normal.values())))
+    return F.when(holds, marked).otherwise(F.transform(sentences, lambda _: F.lit(0)))
 
 
 def licences(ids: Column, rules: list[tuple[str, list[str]]] = RULES, known: dict[str, str] = SENTENCES, max_gap: int = MAX_GAP) -> Column:
@@ -105,10 +121,11 @@ def licences(ids: Column, rules: list[tuple[str, list[str]]] = RULES, known: dic
 
 def scan(docs: DataFrame, text: str = "text") -> DataFrame:
     """``docs`` with n_sentences, licence_sentences (how many are known) and licences (array)."""
-    ids = docs.withColumn("_ids", sentence_ids(normalised_sentences(F.col(text))))
+    pieces = docs.withColumn("_pieces", normalised_sentences(F.col(text)))
+    ids = pieces.withColumn("_ids", sentence_ids(F.col("_pieces")))
     known = F.size(F.filter("_ids", lambda i: i > 0))
     names = F.when(known > 0, licences(F.col("_ids"))).otherwise(F.array().cast("array<string>"))
-    return ids.withColumns({"n_sentences": F.size("_ids").cast("long"), "licence_sentences": known.cast("long"), "licences": names}).drop("_ids")
+    return ids.withColumns({"n_sentences": F.size("_pieces").cast("long"), "licence_sentences": known.cast("long"), "licences": names}).drop("_pieces", "_ids")
 
 
 def op7_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
