@@ -33,7 +33,6 @@ from pyspark.sql import functions as F
 from .common import table
 
 SAMPLE = 20_000  # labelled rows that terms and weights are learnt from, at most
-MAX_TERMS = 2_000
 SIDE = 6  # words on each side of a hit that are its window
 STEMS = range(4, 9)  # letters of a stem
 MOST_TIMES = 4  # a term may have to occur up to so many times to count
@@ -195,12 +194,16 @@ def _learn_terms(sample: DataFrame) -> list[tuple[str, bool, int, float]]:
     base = toxic / size
     # how surprising it is that all but few holders are toxic, against a bound over all features of a sample
     surprise = F.col("k") * math.log(1 / base) - (F.col("n") - F.col("k")) * 3
-    strong = counts.where((F.col("k") >= 3) & (F.col("k") >= 0.8 * F.col("n")) & (surprise > 12)).orderBy(F.desc(surprise), "stem", F.desc(F.length("w")), "w", "least").limit(MAX_TERMS)
+    strong = counts.where((F.col("k") >= 3) & (F.col("k") >= 0.8 * F.col("n")) & (surprise > 12))
+    # of a word or stem only the best least count can be kept; how many there are is bounded by the sample alone
+    best = strong.groupBy("w", "stem").agg(F.min(F.struct((-surprise).alias("order"), "least", "n", "k")).alias("best")).select("w", "stem", "best.*")
     kept: dict[tuple[str, bool], tuple[int, float]] = {}
-    for r in strong.collect():
+    starts: set[str] = set()  # the first letters of what is kept
+    for r in best.orderBy("order", "stem", F.desc(F.length("w")), "w").collect():
         w, weight = r["w"], min(6.0, math.log((r["k"] + 0.5) / (r["n"] - r["k"] + 0.5)) - math.log(base / (1 - base)))
-        if any(o == w or is_stem and w.startswith(o) or r["stem"] and o.startswith(w) for o, is_stem in kept):
+        if (w, False) in kept or (w, True) in kept or any((w[:n], True) in kept for n in STEMS) or r["stem"] and w in starts:
             continue
+        starts |= {w[:n] for n in STEMS}
         kept[w, r["stem"]] = r["least"], weight
     return [(w, is_stem, least, x) for (w, is_stem), (least, x) in kept.items()]
 
