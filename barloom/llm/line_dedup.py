@@ -8,22 +8,30 @@ more with it, whether or not that earlier line stays itself.
 
 Equal sets are one class, of which the first line stands for all. The words of
 a class are ordered by rarity; two similar sets share a word of their prefixes.
-``line_links`` is the whole result of the join: every class is joined, by all
-prefix words, with all earlier classes, under the length and positional filters,
-and every pair is verified on its words; equal sets are given by membership.
-
-To cut lines one link of a line is enough. ``removed_lines`` therefore takes two
-steps, so that a group of near copies is never expanded: each class is first
-held against the first class of each of its rarest words, and only classes
-without such a match are then joined with all earlier ones.
+Every class is joined, by all prefix words, with all earlier classes, under the
+length, positional and parity filters, and every pair is verified on its words;
+equal sets are given by membership.
+
+Large groups of near copies are not expanded into pairs. The first class of each
+group of at least ``LARGE`` classes that agree in the smallest and the largest
+hash of their words is a pole. Classes that share a prefix word with a pole are
+held against it, and ``d``, the number of words in only one of the two sets, is
+kept for the first pole that is similar. Sets of n and m words are similar if
+they differ in (n + m) / 7 words at most; so two classes of one pole with
+7 (d + e) <= n + m are known to be similar, and such links are counted by
+``known_links``, not listed. All other pairs are.
+
+To cut lines one link of a line is enough: ``removed_lines`` leaves out the
+pairs of a class with an earlier pole.
 
 Rarity only orders words and needs no exactness: it is the power of two of the
 number of occurrences in the word's hash bucket, over all documents, in a table
 of fixed size.
 
-Defined cases: NULL texts stay NULL and have no lines; repeated rows have the
-same lines at the same place and are kept or cut alike; empty lines and lines
-of fewer than ``min_words`` words stay; other columns stay as they are.
+Defined cases: NULL texts and rows of NULL ids stay as they are and have no
+lines; repeated rows have the same lines at the same place and are kept or cut
+alike; empty lines and lines of fewer than ``min_words`` words stay; other
+columns stay as they are.
 """
 
 from __future__ import annotations
@@ -37,7 +45,9 @@ from .common import MAX_BROADCAST, only, stash, table
 
 MIN_WORDS = 5
 RARITY_BUCKETS = 1 << 15
-HEAD_TOKENS = 3
+LARGE = 32  # smaller groups of near copies are listed as pairs: at most so many for each class
+SURE = 120  # words of two lines up to which 64 parities tell unlike sets apart
+DIGIT = 4  # bits of a place that known_links takes at a time
 
 
 def split_words(text: Column) -> Column:
@@ -54,11 +64,11 @@ class Place:
     """Puts a document's id and a line's number into one number that orders lines: a long if all ids fit, else a decimal."""
 
     def __init__(self, docs: DataFrame, key: str, text: str):
-        newlines = F.char_length(text) - F.char_length(F.replace(F.col(text), F.lit("\n"), F.lit("")))
-        low, high, most = docs.agg(F.min(key), F.max(key), F.max(newlines)).first()
+        low, high, most = docs.agg(F.min(key), F.max(key), F.max(F.size(F.split(F.col(text), "\n")))).first()
         bits = max(1, int(most or 0).bit_length())
         self.long = low is None or 0 <= low and high < 1 << (62 - bits)
         self.base, self.kind = (1 << bits, "long") if self.long else (1 << 32, "decimal(31,0)")
+        self.digits = -(-(int(high or 0).bit_length() + bits) // DIGIT)
 
     def of(self, key: Column, number: Column) -> Column:
         if self.long:
@@ -73,10 +83,23 @@ class Place:
         return ((at - number) / F.lit(self.base)).cast("decimal(20,0)").cast(key_type), number.cast("int")
 
 
-def split_lines(docs: DataFrame, key: str, text: str, place: Place) -> DataFrame:
-    """(at, line) of each line, lower-cased; at orders lines by document and number."""
-    each = docs.where(F.col(text).isNotNull() & F.col(key).isNotNull()).select(F.col(key).alias("k"), F.posexplode(F.split(F.lower(F.col(text)), "\n")).alias("no", "line"))
-    return each.select(place.of(F.col("k"), F.col("no")).alias("at"), "line")
+class Lines:
+    """The lines of ``docs``, at places that order them by document and number."""
+
+    def __init__(self, docs: DataFrame, key: str, text: str):
+        self.key_type, self.place = docs.schema[key].dataType, Place(docs, key, text)
+        self.docs = docs.where(F.col(text).isNotNull() & F.col(key).isNotNull()).select(F.col(key).alias("k"), F.col(text).alias("text"))
+
+    def all(self, docs: DataFrame | None = None) -> DataFrame:
+        """(at, line), lower-cased."""
+        each = (docs or self.docs).select("k", F.posexplode(F.split(F.lower("text"), "\n")).alias("no", "line"))
+        return each.select(self.place.of(F.col("k"), F.col("no")).alias("at"), "line")
+
+    def at(self, wanted: DataFrame) -> DataFrame:
+        """(at, words) of the places in ``wanted``; only their documents are split. Repeated rows count once."""
+        ids = stash(wanted.select(self.place.split(F.col("at"), self.key_type)[0].alias("k")).distinct(), "ids")
+        found = only(self.all(only(self.docs, ids, "k")), wanted, "at")
+        return found.groupBy("at").agg(F.min("line").alias("line")).select("at", words_of(F.col("line")).alias("words"))
 
 
 def rarity(docs: DataFrame, text: str) -> Column:
@@ -89,54 +112,55 @@ def rarity(docs: DataFrame, text: str) -> Column:
     return F.lit(levels)
 
 
-def line_sets(lines: DataFrame, levels: Column, min_words: int = MIN_WORDS) -> DataFrame:
-    """(at, h1, h2, n, parity, head, prefix) of each line with enough words.
+def _prefix(n: Column) -> Column:
+    """A set of n shares one of its n - ceil(0.75 n) + 1 rarest tokens with each similar set."""
+    return F.shiftright(n, 2) + 1
+
 
-    h1 and h2 are the digest of its set, prefix its rarest tokens, head the
-    first of them. parity has a bit for each of 64 groups of words, set if the
-    set holds an odd number of them: two sets differ in at least as many words
-    as their parities in bits.
+def line_sets(lines: DataFrame, levels: Column) -> DataFrame:
+    """(at, h1, h2, ends, n, parity, prefix) of each line.
+
+    h1 and h2 are the digest of its set, ends that of its smallest and largest
+    hash, prefix its rarest tokens. parity has a bit for each of 64 groups of
+    words, set if the set holds an odd number of them: two sets differ in at
+    least as many words as their parities in bits.
     """
     hashes = F.array_remove(F.array_distinct(F.transform(split_words(F.col("line")), lambda w: F.xxhash64(w))), F.xxhash64(F.lit("")))
     token = lambda h: F.get(levels, h.bitwiseAND(F.lit(RARITY_BUCKETS - 1).cast("long")).cast("int")).bitwiseOR(F.shiftrightunsigned(h, 7))
-    sets = lines.select("at", hashes.alias("hashes")).where(F.size("hashes") >= min_words).select("at", F.sort_array(F.transform("hashes", token)).alias("tokens"))
-    # a set of n shares one of its n - ceil(0.75 n) + 1 rarest tokens with each similar set
-    length = (F.floor(F.size("tokens") / 4) + 1).cast("int")
-    bit = lambda t: F.call_function("shiftleft", F.lit(1).cast("long"), t.cast("int"))
+    sets = lines.select("at", hashes.alias("hashes"))
+    sets = sets.select("at", F.xxhash64(F.array_min("hashes"), F.array_max("hashes")).alias("ends"), F.sort_array(F.transform("hashes", token)).alias("tokens"))
+    bit = lambda t: F.call_function("shiftleft", F.lit(1).cast("long"), t.bitwiseAND(F.lit(63).cast("long")).cast("int"))
     return sets.select(
         "at",
         F.xxhash64("tokens").alias("h1"),
         F.xxhash64(F.lit(1), "tokens").alias("h2"),
+        "ends",
         F.size("tokens").alias("n"),
-        F.aggregate("tokens", F.lit(0).cast("long"), lambda a, t: a.bitwiseXOR(bit(t.bitwiseAND(F.lit(63).cast("long"))))).alias("parity"),
-        F.slice("tokens", 1, F.least(F.lit(HEAD_TOKENS), length)).alias("head"),
-        F.slice("tokens", 1, length).alias("prefix"),
+        F.aggregate("tokens", F.lit(0).cast("long"), lambda a, t: a.bitwiseXOR(bit(t))).alias("parity"),
+        F.slice("tokens", 1, _prefix(F.size("tokens"))).alias("prefix"),
     )
 
 
-def _parities(words: Column) -> Column:
-    """As the parity of a line, for 512 groups of words."""
-    hashes = F.transform(words, lambda w: F.xxhash64(w))
-    bit = lambda h: F.call_function("shiftleft", F.lit(1).cast("long"), h.bitwiseAND(F.lit(63).cast("long")).cast("int"))
-    part = lambda j: F.aggregate(hashes, F.lit(0).cast("long"), lambda a, h: F.when(F.shiftright(h, 6).bitwiseAND(F.lit(7).cast("long")) == j, a.bitwiseXOR(bit(h))).otherwise(a))
-    return F.array(*map(part, range(8)))
+def copies(sets: DataFrame) -> DataFrame:
+    """(x, y): lines x whose set is that of an earlier line, and the first line y of their class."""
+    light = sets.select("at", "h1", "h2")
+    firsts = light.groupBy("h1", "h2").agg(F.min("at").alias("first"), F.max("at").alias("last")).where("first <> last").drop("last")
+    return light.join(firsts, ["h1", "h2"]).where("at <> first").select(F.col("at").alias("x"), F.col("first").alias("y")).distinct()
 
 
-def verify(pairs: DataFrame, lines: DataFrame) -> DataFrame:
-    """Of the pairs (x, y) of places of lines those whose word sets have Jaccard 0.75 or more.
+def verify(pairs: DataFrame, lines: Lines) -> DataFrame:
+    """(x, y, d) of the pairs of places of lines whose word sets have Jaccard 0.75 or more; d words are in one of them only."""
+    wanted = stash(pairs.select(F.col("x").alias("at")).union(pairs.select(F.col("y").alias("at"))).distinct(), "wanted")
+    words = stash(lines.at(wanted), "words")
+    side = lambda c: words.select(F.col("at").alias(c), F.col("words").alias(f"words_{c}"))
+    both = pairs.join(side("x"), "x").join(side("y"), "y")
+    n = F.size("words_x") + F.size("words_y")
+    told = both.select("x", "y", n.alias("n"), (n - 2 * F.size(F.array_intersect("words_x", "words_y"))).alias("d"))
+    return told.where("7 * d <= n").select("x", "y", "d")
 
-    Parities of 512 groups go first; words travel only for the pairs that pass.
-    """
-    wanted = pairs.select(F.col("x").alias("at")).union(pairs.select(F.col("y").alias("at"))).distinct()
-    # repeated documents have the same line at the same place
-    sets = only(lines, wanted, "at").groupBy("at").agg(F.min("line").alias("line")).select("at", words_of(F.col("line")).alias("words"))
-    sets = stash(sets.select("at", F.size("words").alias("n"), _parities(F.col("words")).alias("parities"), "words"), "sets")
-    side = lambda c, *names: sets.select(F.col("at").alias(c), *(F.col(f).alias(f"{f}_{c}") for f in names))
-    light = pairs.join(side("x", "n", "parities"), "x").join(side("y", "n", "parities"), "y")
-    differ = F.aggregate(F.zip_with("parities_x", "parities_y", lambda a, b: F.bit_count(a.bitwiseXOR(b))), F.lit(0), lambda a, n: a + n)
-    both = light.where(7 * differ <= F.col("n_x") + F.col("n_y")).select("x", "y").join(side("x", "words"), "x").join(side("y", "words"), "y")
-    common = F.size(F.array_intersect("words_x", "words_y"))
-    return both.where(4 * common >= 3 * (F.size("words_x") + F.size("words_y") - common)).select("x", "y")
+
+def _unpack(size: str) -> tuple[Column, Column]:
+    return F.shiftright(size, 32).cast("int"), F.col(size).bitwiseAND(F.lit(0xFFFFFFFF).cast("long")).cast("int")
 
 
 def _alike(n: Column, m: Column) -> Column:
@@ -150,93 +174,125 @@ def _in_reach(n: Column, m: Column, i: Column, j: Column) -> Column:
     return 7 * F.least(n - i, m - j) >= 3 * (n + m)
 
 
-def _first_matches(sets: DataFrame, lines: DataFrame) -> DataFrame:
-    """(x, y): classes x that are similar to the first class y of one of their rarest tokens."""
-    first = sets.groupBy("h1", "h2").agg(F.min("at").alias("at"), F.min("n").alias("n"), F.min("parity").alias("parity"), F.first("head").alias("head"))
-    index = first.select("at", "n", "parity", F.posexplode("head").alias("pos", "token"))
-    index = stash(index.select("token", "at", F.col("parity").alias("parity_x"), (F.col("n").cast("long") * 4294967296 + F.col("pos")).cast("long").alias("size")), "heads")
-    first_of = lambda c, name: F.min_by(c, "at").alias(name)
-    heads = index.groupBy("token").agg(F.min("at").alias("y"), F.max("at").alias("last"), first_of("size", "size_y"), first_of("parity_x", "parity_y")).where("y <> last").drop("last")
-    n, i = _unpack("size")
-    m, j = _unpack("size_y")
-    pairs = index.join(heads, "token").where((F.col("at") > F.col("y")) & _alike(n, m) & _in_reach(n, m, i, j)).select(F.col("at").alias("x"), "y").distinct()
-    return stash(verify(stash(pairs, "pairs"), lines), "matched")
+def _index(classes: DataFrame) -> DataFrame:
+    """(token, size, ...): a row for each prefix token; size holds the number of words and the token's position."""
+    rest = [c for c in classes.columns if c not in ("n", "prefix")]
+    each = classes.select(*rest, "n", F.posexplode("prefix").alias("pos", "token"))
+    return each.select("token", (F.shiftleft(F.col("n").cast("long"), 32) + F.col("pos")).alias("size"), *rest)
 
 
-def _unpack(size: str) -> tuple[Column, Column]:
-    return F.shiftright(size, 32).cast("int"), F.col(size).bitwiseAND(F.lit(0xFFFFFFFF).cast("long")).cast("int")
+def _poles(classes: DataFrame, lines: Lines) -> DataFrame:
+    """(x, pole, d): for classes that are similar to poles, poles included, the first such pole."""
+    if not lines.place.long:
+        return classes.select(F.col("at").alias("x"), F.col("at").alias("pole"), "n").where("false").withColumnRenamed("n", "d")
+    poles = classes.groupBy("ends").agg(F.min("at").alias("at"), F.count("*").alias("size")).where(F.col("size") >= LARGE).select("at")
+    poles = stash(only(classes, stash(poles, "poles"), "at").select("at", "n", "parity", "prefix"), "poles")
+    of_pole = _index(poles).select("token", F.col("at").alias("y"), F.col("parity").alias("parity_y"), F.col("size").alias("size_y"))
+    small = of_pole.limit(MAX_BROADCAST + 1).count() <= MAX_BROADCAST
+    rows = _index(classes.select("at", "n", "parity", "prefix")).select("token", F.col("at").alias("x"), F.col("parity").alias("parity_x"), F.col("size").alias("size_x"))
+    (n, i), (m, j) = _unpack("size_x"), _unpack("size_y")
+    pairs = rows.join(F.broadcast(of_pole) if small else of_pole, "token").where((F.col("x") != F.col("y")) & _alike(n, m) & _in_reach(n, m, i, j))
+    found = verify(stash(pairs.select("x", "y").distinct(), "pairs"), lines)
+    found = found.union(poles.select("at", "at", F.lit(0)))
+    return stash(found.groupBy("x").agg(F.min("y").alias("pole"), F.min_by("d", "y").alias("d")), "at_poles")
 
 
-def _matches(sets: DataFrame, lines: DataFrame, matched: DataFrame | None = None) -> DataFrame:
-    """(x, y): all pairs of a class x, if it isn't in ``matched`` already, and an earlier class y that is similar.
+def _pairs(classes: DataFrame, at_poles: DataFrame, lines: Lines, links: bool) -> DataFrame:
+    """(x, y, d): all similar pairs of a class x and an earlier class y, without those that are known by their pole.
 
-    Both sides of the join are one and the same shuffle of the index; whether x
-    has a match already is the lowest bit of ``size`` and a condition on both.
+    Without ``links`` also without those of a class x with an earlier pole.
+    Both sides of the join are one and the same shuffle of the index, so the
+    conditions on one side are written such that they stay in the join.
     """
-    classes = sets.groupBy("h1", "h2").agg(F.min("at").alias("at"), F.min("n").alias("n"), F.min("parity").alias("parity"), F.first("prefix").alias("prefix"))
-    if matched is None:
-        flagged = classes.withColumn("done", F.lit(0))
-    else:
-        done = stash(matched.select(F.col("x").alias("at")).distinct().withColumn("done", F.lit(1)), "done")
-        small = done.limit(MAX_BROADCAST + 1).count() <= MAX_BROADCAST
-        flagged = classes.join(F.broadcast(done) if small else done, "at", "left").select("at", "n", "parity", "prefix", F.coalesce("done", F.lit(0)).alias("done"))
-    index = flagged.select("at", "n", "parity", "done", F.posexplode("prefix").alias("pos", "token"))
-    index = index.select("token", "at", "parity", (F.col("n").cast("long") * 4294967296 + F.col("pos") * 2 + F.col("done")).cast("long").alias("size"))
-    x = index.select("token", F.col("at").alias("x"), F.col("parity").alias("parity_x"), F.col("size").alias("size_x"))
-    y = index.select("token", F.col("at").alias("y"), F.col("parity").alias("parity_y"), F.col("size").alias("size_y"))
+    index = _index(classes.join(at_poles.withColumnRenamed("x", "at"), "at", "left").select("at", "n", "parity", "prefix", "pole", "d"))
+    side = lambda c: index.select("token", F.col("at").alias(c), *(F.col(f).alias(f"{f}_{c}") for f in ("size", "parity", "pole", "d")))
     (n, i), (m, j) = _unpack("size_x"), _unpack("size_y")
-    open_ = (F.col("size_x") + (F.col("y") - F.col("y")).cast("long")).bitwiseAND(F.lit(1).cast("long")) == 0
-    shared = x.join(y, "token").where((F.col("y") < F.col("x")) & open_ & _alike(n, m))
+    known = (F.col("pole_x") == F.col("pole_y")) & (7 * (F.col("d_x") + F.col("d_y")) <= n + m)
+    open_ = ~F.coalesce(known, F.lit(False))
+    if not links:
+        open_ &= F.col("pole_x").isNull() | (F.col("pole_x") >= F.col("x")) | (F.col("x") == F.col("y"))
+    sure = n + m <= SURE
+    shared = side("x").join(side("y"), "token").where((F.col("y") < F.col("x")) & _alike(n, m) & (~sure | _in_reach(n, m, i, j)) & open_)
     pairs = shared.groupBy("x", "y").agg(F.count("*").alias("k"), F.min("size_x").alias("size_x"), F.min("size_y").alias("size_y"))
-    # min keeps the size and has the first position; the order of tokens makes both first positions those of one token
-    first = _in_reach(n, m, F.shiftright(i, 1), F.shiftright(j, 1))
-    # beyond its prefix, the set whose prefix ends first can share no more words than it has left
-    left = F.greatest(n - F.floor(n / 4) - 1, m - F.floor(m / 4) - 1)
-    pairs = pairs.where(first & (7 * (F.col("k") + left) >= 3 * (n + m)))
+    # min keeps the size and has the first position; the order of tokens makes both first positions those of one token.
+    # Beyond its prefix, the set whose prefix ends first can share no more words than it has left
+    left = F.greatest(n - _prefix(n), m - _prefix(m))
+    pairs = pairs.where(sure | (_in_reach(n, m, i, j) & (7 * (F.col("k") + left) >= 3 * (n + m))))
     return verify(stash(pairs.select("x", "y"), "pairs"), lines)
 
 
-def _copies(sets: DataFrame) -> DataFrame:
-    """(x, y): lines x whose set is that of an earlier line, and the first line y of their class."""
-    light = sets.select("at", "h1", "h2")
-    firsts = light.groupBy("h1", "h2").agg(F.min("at").alias("first"), F.max("at").alias("last")).where("first <> last")
-    return light.join(firsts, ["h1", "h2"]).where("at <> first").select(F.col("at").alias("x"), F.col("first").alias("y")).distinct()
+def known_links(members: DataFrame, digits: int) -> DataFrame:
+    """(x, links): how many earlier members of its pole each member is known to be similar to.
 
-
-def _links(docs: DataFrame, key: str, text: str, place: Place, min_words: int) -> DataFrame:
-    """(x, y, same): every link of a line x to an earlier line y, as in ``line_links``."""
-    lines = split_lines(docs, key, text, place)
-    sets = stash(line_sets(lines, rarity(docs, text), min_words), "lines")
-    return stash(_matches(sets, lines).withColumn("same", F.lit(False)).union(_copies(sets).withColumn("same", F.lit(True))), "links")
+    ``members`` has (x, pole, s); two members are similar if their s, which is
+    n - 7 d, add up to 0 or more. Places are compared digit by digit: y < x if
+    they agree in all higher digits and y has a smaller one. So a pole's members
+    are only ever gathered as counts of one digit and s, under common higher
+    digits, of which there are few.
+    """
+    levels = F.sequence(F.lit(0), F.lit(max(digits, 1) - 1))
+    up = lambda by: F.call_function("shiftright", F.col("x"), (DIGIT * (F.col("level") + by)).cast("int"))
+    each = members.select("x", "pole", "s", F.explode(levels).alias("level"))
+    each = each.select("x", "pole", "s", "level", up(1).alias("above"), up(0).bitwiseAND(F.lit((1 << DIGIT) - 1).cast("long")).cast("int").alias("digit"))
+    cells = each.groupBy("pole", "level", "above", "digit", "s").agg(F.count("*").alias("c"))
+    groups = cells.groupBy("pole", "level", "above").agg(F.collect_list(F.struct("digit", "s", "c")).alias("all")).where(F.size("all") > 1)
+    cell = groups.select("pole", "level", "above", "all", F.explode("all").alias("own"))
+    before = F.aggregate("all", F.lit(0).cast("long"), lambda a, o: F.when((o["digit"] < F.col("own.digit")) & (o["s"] + F.col("own.s") >= 0), a + o["c"]).otherwise(a))
+    counts = cell.select("pole", "level", "above", "own.digit", "own.s", before.alias("links")).where("links > 0")
+    return each.join(counts, ["pole", "level", "above", "digit", "s"]).groupBy("x").agg(F.sum("links").alias("links"))
+
+
+class Join:
+    """The similarity join of the lines of ``docs``: copies (x, y), at_poles (x, pole, d) and pairs (x, y, d)."""
+
+    def __init__(self, docs: DataFrame, key: str, text: str, min_words: int, links: bool):
+        self.lines = Lines(docs, key, text)
+        sets = stash(line_sets(self.lines.all(), rarity(docs, text)), "lines").where(F.col("n") >= max(min_words, 1))
+        self.copies = stash(copies(sets), "copies")
+        first = sets.drop("h1", "h2").join(self.copies.select(F.col("x").alias("at")).hint("merge"), "at", "left_anti")
+        # rows of one place, from repeated rows, are one
+        rest = ["ends", "n", "parity", "prefix"]
+        self.classes = stash(first.groupBy("at").agg(*(F.first(c).alias(c) for c in rest)), "classes")
+        self.at_poles = _poles(self.classes, self.lines)
+        self.pairs = stash(_pairs(self.classes, self.at_poles, self.lines, links), "links")
+
+    def members(self) -> DataFrame:
+        """(x, pole, d, n) of the classes at poles."""
+        return self.at_poles.join(self.classes.select(F.col("at").alias("x"), "n"), "x")
 
 
 def line_links(docs: DataFrame, key: str = "doc_id", text: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
-    """(key, no, to_key, to_no, same): every verified pair of classes of lines, and with ``same`` each copy's membership.
+    """(key, no, to_key, to_no, same): every similar pair of classes of lines, and with ``same`` each copy's membership.
 
-    A class is known by its first line; the pair stands with the later one.
+    A class is known by its first line; the pair stands with the later one. This
+    lists what ``linked_lines`` only counts, so it is as large as the number of links.
     """
-    place, kind = Place(docs, key, text), docs.schema[key].dataType
-    (k, no), (to, to_no) = place.split(F.col("x"), kind), place.split(F.col("y"), kind)
-    return _links(docs, key, text, place, min_words).select(k.alias(key), no.alias("no"), to.alias(f"to_{key}"), to_no.alias("to_no"), "same")
+    join = Join(docs, key, text, min_words, links=True)
+    member, place = join.members(), join.lines.place
+    x = member.select("pole", "x", F.col("d").alias("d_x"), F.col("n").alias("n_x"))
+    y = member.select("pole", F.col("x").alias("y"), F.col("d").alias("d_y"), F.col("n").alias("n_y"))
+    known = x.join(y, "pole").where("y < x and 7 * (d_x + d_y) <= n_x + n_y").select("x", "y")
+    both = join.pairs.select("x", "y").union(known).withColumn("same", F.lit(False)).union(join.copies.withColumn("same", F.lit(True)))
+    (k, no), (to, to_no) = place.split(F.col("x"), join.lines.key_type), place.split(F.col("y"), join.lines.key_type)
+    return both.select(k.alias(key), no.alias("no"), to.alias(f"to_{key}"), to_no.alias("to_no"), "same")
 
 
 def linked_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
     """(key, removed, links): as ``removed_lines``, with the number of links that the lines have to earlier ones."""
-    place = Place(docs, key, text)
-    k, number = place.split(F.col("x"), docs.schema[key].dataType)
-    gone = _links(docs, key, text, place, min_words).groupBy("x").agg(F.count("*").alias("links"))
-    return gone.select(k.alias(key), number.alias("no"), "links").groupBy(key).agg(F.array_sort(F.collect_list("no")).alias("removed"), F.sum("links").alias("links"))
+    join = Join(docs, key, text, min_words, links=True)
+    one = F.lit(1).cast("long").alias("links")
+    known = known_links(join.members().select("x", "pole", (F.col("n") - 7 * F.col("d")).alias("s")), join.lines.place.digits)
+    links = join.pairs.select("x", one).union(join.copies.select("x", one)).union(known)
+    k, number = join.lines.place.split(F.col("x"), join.lines.key_type)
+    gone = links.groupBy("x").agg(F.sum("links").alias("links")).select(k.alias(key), number.alias("no"), "links")
+    return gone.groupBy(key).agg(F.array_sort(F.collect_list("no")).alias("removed"), F.sum("links").alias("links"))
 
 
 def removed_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
     """(key, removed): the numbers of the lines to cut, sorted, of each document that has any."""
-    place = Place(docs, key, text)
-    lines = split_lines(docs, key, text, place)
-    sets = stash(line_sets(lines, rarity(docs, text), min_words), "lines")
-    matched = _first_matches(sets, lines)
-    match = stash(matched.union(_matches(sets, lines, matched)).select(F.col("x").alias("at")).distinct(), "match")
-    k, number = place.split(F.col("at"), docs.schema[key].dataType)
-    gone = _copies(sets).select(F.col("x").alias("at")).union(match).distinct()
+    join = Join(docs, key, text, min_words, links=False)
+    k, number = join.lines.place.split(F.col("x"), join.lines.key_type)
+    gone = join.pairs.select("x").union(join.copies.select("x")).union(join.at_poles.where("pole < x").select("x")).distinct()
     return gone.select(k.alias(key), number.alias("no")).groupBy(key).agg(F.array_sort(F.collect_list("no")).alias("removed"))
 
 
