@@ -15,14 +15,16 @@ equal sets are given by membership.
 Large groups of near copies are not expanded into pairs. The first class of each
 group of at least ``LARGE`` classes that agree in the smallest and the largest
 hash of their words is a pole. Classes that share a prefix word with a pole are
-held against it, and ``d``, the number of words in only one of the two sets, is
-kept for the first pole that is similar. Sets of n and m words are similar if
-they differ in (n + m) / 7 words at most; so two classes of one pole with
-7 (d + e) <= n + m are known to be similar, and such links are counted by
-``known_links``, not listed. All other pairs are.
+held against it; each belongs to the first pole that it is similar to, with its
+``delta``, the words that only one of the two has. Sets of n and m words are
+similar if they differ in (n + m) / 7 words at most. So two classes of a pole
+whose deltas have up to n / 7 and m / 7 words are similar in any case, and such
+links are only counted (``near_links``). Other classes of the pole are compared
+by their deltas in blocks (``far_links``): two sets differ in the words that are
+in one of the deltas. All pairs of no common pole are listed.
 
 To cut lines one link of a line is enough: ``removed_lines`` leaves out the
-pairs of a class with an earlier pole.
+pairs of classes that are known to be similar to an earlier one by their pole.
 
 Rarity only orders words and needs no exactness: it is the power of two of the
 number of occurrences in the word's hash bucket, over all documents, in a table
@@ -46,8 +48,11 @@ from .common import MAX_BROADCAST, only, stash, table
 MIN_WORDS = 5
 RARITY_BUCKETS = 1 << 15
 LARGE = 32  # smaller groups of near copies are listed as pairs: at most so many for each class
-SURE = 120  # words of two lines up to which 64 parities tell unlike sets apart
-DIGIT = 4  # bits of a place that known_links takes at a time
+LONG = 80  # sets of more words have twice as many parities
+MAX_COPIES = 1_000_000  # places, of 8 bytes each, that may be broadcast
+MOST = (1 << 16) - 1  # larger sets are stored with this size and pass each filter
+DIGIT = 4  # bits of a place that near_links takes at a time
+BLOCK = 256  # classes of a pole that are compared at once
 
 
 def split_words(text: Column) -> Column:
@@ -64,11 +69,13 @@ class Place:
     """Puts a document's id and a line's number into one number that orders lines: a long if all ids fit, else a decimal."""
 
     def __init__(self, docs: DataFrame, key: str, text: str):
-        low, high, most = docs.agg(F.min(key), F.max(key), F.max(F.size(F.split(F.col(text), "\n")))).first()
+        lines = F.max(F.size(F.split(F.col(text), "\n")))
+        low, high, most, rows, ids = docs.agg(F.min(key), F.max(key), lines, F.count(key), F.count_distinct(key)).first()
         bits = max(1, int(most or 0).bit_length())
         self.long = low is None or 0 <= low and high < 1 << (62 - bits)
         self.base, self.kind = (1 << bits, "long") if self.long else (1 << 32, "decimal(31,0)")
         self.digits = -(-(int(high or 0).bit_length() + bits) // DIGIT)
+        self.unique = rows == ids  # no document is repeated
 
     def of(self, key: Column, number: Column) -> Column:
         if self.long:
@@ -118,18 +125,20 @@ def _prefix(n: Column) -> Column:
 
 
 def line_sets(lines: DataFrame, levels: Column) -> DataFrame:
-    """(at, h1, h2, ends, n, parity, prefix) of each line.
+    """(at, h1, h2, ends, n, parity, parity2, prefix) of each line.
 
     h1 and h2 are the digest of its set, ends that of its smallest and largest
-    hash, prefix its rarest tokens. parity has a bit for each of 64 groups of
-    words, set if the set holds an odd number of them: two sets differ in at
-    least as many words as their parities in bits.
+    hash, prefix its rarest tokens, cut to their upper 40 bits. parity has a bit
+    for each of 64 groups of words, set if the set holds an odd number of them:
+    two sets differ in at least as many words as their parities in bits. For
+    long sets parity2 is the parity of half of the groups of 128, else NULL.
     """
     hashes = F.array_remove(F.array_distinct(F.transform(split_words(F.col("line")), lambda w: F.xxhash64(w))), F.xxhash64(F.lit("")))
     token = lambda h: F.get(levels, h.bitwiseAND(F.lit(RARITY_BUCKETS - 1).cast("long")).cast("int")).bitwiseOR(F.shiftrightunsigned(h, 7))
     sets = lines.select("at", hashes.alias("hashes"))
     sets = sets.select("at", F.xxhash64(F.array_min("hashes"), F.array_max("hashes")).alias("ends"), F.sort_array(F.transform("hashes", token)).alias("tokens"))
     bit = lambda t: F.call_function("shiftleft", F.lit(1).cast("long"), t.bitwiseAND(F.lit(63).cast("long")).cast("int"))
+    half = lambda a, t: F.when(t.bitwiseAND(F.lit(64).cast("long")) == 0, a).otherwise(a.bitwiseXOR(bit(t)))
     return sets.select(
         "at",
         F.xxhash64("tokens").alias("h1"),
@@ -137,7 +146,8 @@ def line_sets(lines: DataFrame, levels: Column) -> DataFrame:
         "ends",
         F.size("tokens").alias("n"),
         F.aggregate("tokens", F.lit(0).cast("long"), lambda a, t: a.bitwiseXOR(bit(t))).alias("parity"),
-        F.slice("tokens", 1, _prefix(F.size("tokens"))).alias("prefix"),
+        F.when(F.size("tokens") > LONG, F.aggregate("tokens", F.lit(0).cast("long"), half)).alias("parity2"),
+        F.transform(F.slice("tokens", 1, _prefix(F.size("tokens"))), lambda t: t.bitwiseAND(F.lit(-1 << 24).cast("long"))).alias("prefix"),
     )
 
 
@@ -149,116 +159,155 @@ def copies(sets: DataFrame) -> DataFrame:
 
 
 def verify(pairs: DataFrame, lines: Lines) -> DataFrame:
-    """(x, y, d) of the pairs of places of lines whose word sets have Jaccard 0.75 or more; d words are in one of them only."""
+    """(x, y, words_x, words_y) of the pairs of places of lines whose word sets have Jaccard 0.75 or more."""
     wanted = stash(pairs.select(F.col("x").alias("at")).union(pairs.select(F.col("y").alias("at"))).distinct(), "wanted")
     words = stash(lines.at(wanted), "words")
     side = lambda c: words.select(F.col("at").alias(c), F.col("words").alias(f"words_{c}"))
     both = pairs.join(side("x"), "x").join(side("y"), "y")
-    n = F.size("words_x") + F.size("words_y")
-    told = both.select("x", "y", n.alias("n"), (n - 2 * F.size(F.array_intersect("words_x", "words_y"))).alias("d"))
-    return told.where("7 * d <= n").select("x", "y", "d")
+    n, same = F.size("words_x") + F.size("words_y"), F.size(F.array_intersect("words_x", "words_y"))
+    return both.where(7 * (n - 2 * same) <= n)
 
 
-def _unpack(size: str) -> tuple[Column, Column]:
-    return F.shiftright(size, 32).cast("int"), F.col(size).bitwiseAND(F.lit(0xFFFFFFFF).cast("long")).cast("int")
+def _index(classes: DataFrame) -> DataFrame:
+    """(entry, ...): a row for each prefix token; entry holds the token, the size of the set and the token's position.
+
+    Positions beyond 255 are stored as 255, which only lets more pairs pass.
+    """
+    rest = [c for c in classes.columns if c not in ("n", "prefix")]
+    each = classes.select("n", *rest, F.posexplode("prefix").alias("pos", "token"))
+    low = F.shiftleft(F.least("n", F.lit(MOST)).cast("long"), 8) + F.least("pos", F.lit(255))
+    return each.select(F.col("token").bitwiseOR(low).alias("entry"), *rest)
 
 
-def _alike(n: Column, m: Column) -> Column:
-    """The length filter, and that of the parities."""
-    differ = F.bit_count(F.col("parity_x").bitwiseXOR(F.col("parity_y")))
-    return (4 * F.least(n, m) >= 3 * F.greatest(n, m)) & (7 * differ <= n + m)
+def _side(index: DataFrame, c: str) -> DataFrame:
+    return index.select(*((F.col(f).alias(c) if f == "at" else F.col(f).alias(f"{f}_{c}")) for f in index.columns))
 
 
-def _in_reach(n: Column, m: Column, i: Column, j: Column) -> Column:
-    """The positional filter: what follows a first shared token bounds the overlap."""
-    return 7 * F.least(n - i, m - j) >= 3 * (n + m)
+def _token(entry: str) -> Column:
+    return F.shiftright(entry, 24)
 
 
-def _index(classes: DataFrame) -> DataFrame:
-    """(token, size, ...): a row for each prefix token; size holds the number of words and the token's position."""
-    rest = [c for c in classes.columns if c not in ("n", "prefix")]
-    each = classes.select(*rest, "n", F.posexplode("prefix").alias("pos", "token"))
-    return each.select("token", (F.shiftleft(F.col("n").cast("long"), 32) + F.col("pos")).alias("size"), *rest)
+def _sizes(c: str) -> tuple[Column, Column]:
+    """The size and the position of an entry."""
+    return F.shiftright(f"entry_{c}", 8).bitwiseAND(F.lit(MOST).cast("long")).cast("int"), F.col(f"entry_{c}").bitwiseAND(F.lit(255).cast("long")).cast("int")
+
+
+def _alike() -> Column:
+    """The filters of pairs (x, y) of entries of one token.
+
+    By length, by position (what follows a first shared token bounds the
+    overlap, so other pairs than that of the first may go) and by parities.
+    """
+    (n, i), (m, j) = _sizes("x"), _sizes("y")
+    differ = lambda a, b: F.bit_count(a.bitwiseXOR(b))
+    all_, half = differ(F.col("parity_x"), F.col("parity_y")), differ(F.col("parity2_x"), F.col("parity2_y"))
+    rest = differ(F.col("parity_x").bitwiseXOR(F.col("parity2_x")), F.col("parity_y").bitwiseXOR(F.col("parity2_y")))
+    differing = F.coalesce(half + rest, all_)
+    near = (4 * F.least(n, m) >= 3 * F.greatest(n, m)) & (7 * F.least(n - i, m - j) >= 3 * (n + m)) & (7 * differing <= n + m)
+    return near | (F.greatest(n, m) == MOST)
+
+
+def _candidates(x: DataFrame, y: DataFrame, more: Column) -> DataFrame:
+    """(x, y): pairs that share a prefix token and pass the filters and ``more``."""
+    return x.join(y, _token("entry_x") == _token("entry_y")).where(_alike() & more).select("x", "y").distinct()
 
 
 def _poles(classes: DataFrame, lines: Lines) -> DataFrame:
-    """(x, pole, d): for classes that are similar to poles, poles included, the first such pole."""
+    """(x, pole, n, delta): the classes, of n words, that are similar to poles or are one, with the first such pole."""
     if not lines.place.long:
-        return classes.select(F.col("at").alias("x"), F.col("at").alias("pole"), "n").where("false").withColumnRenamed("n", "d")
+        return lines.docs.sparkSession.createDataFrame([], f"x {lines.place.kind}, pole {lines.place.kind}, n int, delta array<string>")
     poles = classes.groupBy("ends").agg(F.min("at").alias("at"), F.count("*").alias("size")).where(F.col("size") >= LARGE).select("at")
-    poles = stash(only(classes, stash(poles, "poles"), "at").select("at", "n", "parity", "prefix"), "poles")
-    of_pole = _index(poles).select("token", F.col("at").alias("y"), F.col("parity").alias("parity_y"), F.col("size").alias("size_y"))
+    columns = ["at", "n", "parity", "parity2", "prefix"]
+    poles = stash(only(classes, stash(poles, "poles"), "at").select(columns), "poles")
+    of_pole = _side(_index(poles), "y")
     small = of_pole.limit(MAX_BROADCAST + 1).count() <= MAX_BROADCAST
-    rows = _index(classes.select("at", "n", "parity", "prefix")).select("token", F.col("at").alias("x"), F.col("parity").alias("parity_x"), F.col("size").alias("size_x"))
-    (n, i), (m, j) = _unpack("size_x"), _unpack("size_y")
-    pairs = rows.join(F.broadcast(of_pole) if small else of_pole, "token").where((F.col("x") != F.col("y")) & _alike(n, m) & _in_reach(n, m, i, j))
-    found = verify(stash(pairs.select("x", "y").distinct(), "pairs"), lines)
-    found = found.union(poles.select("at", "at", F.lit(0)))
-    return stash(found.groupBy("x").agg(F.min("y").alias("pole"), F.min_by("d", "y").alias("d")), "at_poles")
+    pairs = _candidates(_side(_index(classes.select(columns)), "x"), F.broadcast(of_pole) if small else of_pole, F.col("x") != F.col("y"))
+    only_one = F.concat(F.array_except("words_x", "words_y"), F.array_except("words_y", "words_x"))
+    found = verify(stash(pairs, "pairs"), lines).select("x", "y", F.size("words_x").alias("n"), only_one.alias("delta"))
+    found = found.union(poles.select("at", "at", "n", F.array().cast("array<string>")))
+    return stash(found.groupBy("x").agg(F.min("y").alias("pole"), F.first("n").alias("n"), F.min_by("delta", "y").alias("delta")), "at_poles")
 
 
-def _pairs(classes: DataFrame, at_poles: DataFrame, lines: Lines, links: bool) -> DataFrame:
-    """(x, y, d): all similar pairs of a class x and an earlier class y, without those that are known by their pole.
+def _pairs(classes: DataFrame, skip: DataFrame, links: bool, lines: Lines) -> DataFrame:
+    """(x, y): all similar pairs of a class x and an earlier class y but those to be skipped.
 
-    Without ``links`` also without those of a class x with an earlier pole.
-    Both sides of the join are one and the same shuffle of the index, so the
-    conditions on one side are written such that they stay in the join.
+    ``skip`` has (at, mark): with ``links`` pairs of one mark are skipped, else
+    those of a class x with a mark. Both sides of the join are one and the same
+    shuffle of the index, so the conditions on one side are written such that
+    they stay in the join.
     """
-    index = _index(classes.join(at_poles.withColumnRenamed("x", "at"), "at", "left").select("at", "n", "parity", "prefix", "pole", "d"))
-    side = lambda c: index.select("token", F.col("at").alias(c), *(F.col(f).alias(f"{f}_{c}") for f in ("size", "parity", "pole", "d")))
-    (n, i), (m, j) = _unpack("size_x"), _unpack("size_y")
-    known = (F.col("pole_x") == F.col("pole_y")) & (7 * (F.col("d_x") + F.col("d_y")) <= n + m)
-    open_ = ~F.coalesce(known, F.lit(False))
-    if not links:
-        open_ &= F.col("pole_x").isNull() | (F.col("pole_x") >= F.col("x")) | (F.col("x") == F.col("y"))
-    sure = n + m <= SURE
-    shared = side("x").join(side("y"), "token").where((F.col("y") < F.col("x")) & _alike(n, m) & (~sure | _in_reach(n, m, i, j)) & open_)
-    pairs = shared.groupBy("x", "y").agg(F.count("*").alias("k"), F.min("size_x").alias("size_x"), F.min("size_y").alias("size_y"))
-    # min keeps the size and has the first position; the order of tokens makes both first positions those of one token.
-    # Beyond its prefix, the set whose prefix ends first can share no more words than it has left
-    left = F.greatest(n - _prefix(n), m - _prefix(m))
-    pairs = pairs.where(sure | (_in_reach(n, m, i, j) & (7 * (F.col("k") + left) >= 3 * (n + m))))
-    return verify(stash(pairs.select("x", "y"), "pairs"), lines)
-
-
-def known_links(members: DataFrame, digits: int) -> DataFrame:
-    """(x, links): how many earlier members of its pole each member is known to be similar to.
-
-    ``members`` has (x, pole, s); two members are similar if their s, which is
-    n - 7 d, add up to 0 or more. Places are compared digit by digit: y < x if
-    they agree in all higher digits and y has a smaller one. So a pole's members
-    are only ever gathered as counts of one digit and s, under common higher
-    digits, of which there are few.
+    index = _index(classes.join(skip, "at", "left").select("n", "parity", "parity2", "at", "mark", "prefix"))
+    same, marked = F.coalesce(F.col("mark_x") == F.col("mark_y"), F.lit(False)), F.col("mark_x").isNotNull() & (F.col("x") != F.col("y"))
+    pairs = _candidates(_side(index, "x"), _side(index, "y"), (F.col("y") < F.col("x")) & ~(same if links else marked))
+    return verify(stash(pairs, "pairs"), lines).select("x", "y")
+
+
+def _matched(members: DataFrame) -> DataFrame:
+    """(at, mark): members of poles that are similar to an earlier one: to the pole, or both are near it."""
+    near = F.expr("7 * size(delta) <= n")
+    first = members.where(near).groupBy("pole").agg(F.min("x").alias("first"))
+    late = (F.col("pole") < F.col("x")) | (near & (F.col("first") < F.col("x")))
+    return members.join(first, "pole", "left").where(late).select(F.col("x").alias("at"), F.lit(1).alias("mark"))
+
+
+def _near() -> Column:
+    return F.expr("7 * size(delta) <= n")
+
+
+def near_links(members: DataFrame, digits: int) -> DataFrame:
+    """(x, links): how many earlier near members of its pole each near member has; all of them are similar.
+
+    Places are compared digit by digit: y < x if they agree in all higher digits
+    and y has a smaller one. So a pole's members are only ever gathered as
+    counts of one digit under common higher digits.
     """
     levels = F.sequence(F.lit(0), F.lit(max(digits, 1) - 1))
     up = lambda by: F.call_function("shiftright", F.col("x"), (DIGIT * (F.col("level") + by)).cast("int"))
-    each = members.select("x", "pole", "s", F.explode(levels).alias("level"))
-    each = each.select("x", "pole", "s", "level", up(1).alias("above"), up(0).bitwiseAND(F.lit((1 << DIGIT) - 1).cast("long")).cast("int").alias("digit"))
-    cells = each.groupBy("pole", "level", "above", "digit", "s").agg(F.count("*").alias("c"))
-    groups = cells.groupBy("pole", "level", "above").agg(F.collect_list(F.struct("digit", "s", "c")).alias("all")).where(F.size("all") > 1)
-    cell = groups.select("pole", "level", "above", "all", F.explode("all").alias("own"))
-    before = F.aggregate("all", F.lit(0).cast("long"), lambda a, o: F.when((o["digit"] < F.col("own.digit")) & (o["s"] + F.col("own.s") >= 0), a + o["c"]).otherwise(a))
-    counts = cell.select("pole", "level", "above", "own.digit", "own.s", before.alias("links")).where("links > 0")
-    return each.join(counts, ["pole", "level", "above", "digit", "s"]).groupBy("x").agg(F.sum("links").alias("links"))
+    each = members.where(_near()).select("x", "pole", F.explode(levels).alias("level"))
+    each = each.select("x", "pole", "level", up(1).alias("above"), up(0).bitwiseAND(F.lit((1 << DIGIT) - 1).cast("long")).cast("int").alias("digit"))
+    cells = each.groupBy("pole", "level", "above", "digit").agg(F.count("*").alias("c"))
+    groups = cells.groupBy("pole", "level", "above").agg(F.collect_list(F.struct("digit", "c")).alias("all")).where(F.size("all") > 1)
+    cell = groups.select("pole", "level", "above", "all", F.explode("all.digit").alias("digit"))
+    before = F.aggregate("all", F.lit(0).cast("long"), lambda a, o: F.when(o["digit"] < F.col("digit"), a + o["c"]).otherwise(a))
+    counts = cell.select("pole", "level", "above", "digit", before.alias("links")).where("links > 0")
+    return each.join(counts, ["pole", "level", "above", "digit"]).groupBy("x").agg(F.sum("links").alias("links"))
+
+
+def far_links(members: DataFrame) -> DataFrame:
+    """(x, ys): places ys of earlier similar members of x's pole, in rows of some of them, for pairs of which one or both are far."""
+    sizes = members.groupBy("pole", _near().alias("near")).agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
+    sizes = stash(sizes.groupBy("pole").agg(*(F.coalesce(F.max(F.when(c, F.col("blocks"))), F.lit(0)).alias(n) for n, c in (("near_blocks", F.col("near")), ("far_blocks", ~F.col("near"))))).where("far_blocks > 0"), "blocks")
+    own = members.join(sizes, "pole").withColumn("near", _near())
+    lists = own.groupBy("pole", F.col("near").alias("listed"), F.pmod(F.xxhash64("x"), F.when(_near(), F.col("near_blocks")).otherwise(F.col("far_blocks"))).cast("int").alias("block"))
+    lists = lists.agg(F.collect_list(F.struct("x", "n", "delta")).alias("others"))
+    blocks = lambda c, listed: F.transform(F.sequence(F.lit(1), F.col(c)), lambda b: F.struct(F.lit(listed).alias("listed"), (b - 1).alias("block")))
+    far, near = blocks("far_blocks", False), F.when(F.col("near") | (F.col("near_blocks") == 0), F.array()).otherwise(blocks("near_blocks", True))
+    asked = own.select("pole", "x", "n", "delta", F.inline(F.concat(far, near)))
+    both = asked.join(lists, ["pole", "listed", "block"])
+    differ = lambda o: F.size("delta") + F.size(o["delta"]) - 2 * F.size(F.array_intersect(F.col("delta"), o["delta"]))
+    found = F.filter("others", lambda o: (o["x"] < F.col("x")) & (7 * differ(o) <= F.col("n") + o["n"]))
+    return both.select("x", F.transform(found, lambda o: o["x"]).alias("ys"))
 
 
 class Join:
-    """The similarity join of the lines of ``docs``: copies (x, y), at_poles (x, pole, d) and pairs (x, y, d)."""
+    """The similarity join of the lines of ``docs``: copies (x, y), at_poles (x, pole, n, delta) and further pairs (x, y).
+
+    Without ``links`` pairs lack those of lines in matched, (at, mark), which have an earlier similar line.
+    """
 
     def __init__(self, docs: DataFrame, key: str, text: str, min_words: int, links: bool):
         self.lines = Lines(docs, key, text)
         sets = stash(line_sets(self.lines.all(), rarity(docs, text)), "lines").where(F.col("n") >= max(min_words, 1))
         self.copies = stash(copies(sets), "copies")
-        first = sets.drop("h1", "h2").join(self.copies.select(F.col("x").alias("at")).hint("merge"), "at", "left_anti")
-        # rows of one place, from repeated rows, are one
-        rest = ["ends", "n", "parity", "prefix"]
-        self.classes = stash(first.groupBy("at").agg(*(F.first(c).alias(c) for c in rest)), "classes")
+        gone, rest = self.copies.select(F.col("x").alias("at")), ["ends", "n", "parity", "parity2", "prefix"]
+        small = self.lines.place.unique and gone.limit(MAX_COPIES + 1).count() <= MAX_COPIES
+        self.classes = sets.select("at", *rest).join(F.broadcast(gone) if small else gone.hint("merge"), "at", "left_anti")
+        if not small:  # rows of one place, from repeated documents, are one
+            self.classes = stash(self.classes.groupBy("at").agg(*(F.first(c).alias(c) for c in rest)), "classes")
         self.at_poles = _poles(self.classes, self.lines)
-        self.pairs = stash(_pairs(self.classes, self.at_poles, self.lines, links), "links")
-
-    def members(self) -> DataFrame:
-        """(x, pole, d, n) of the classes at poles."""
-        return self.at_poles.join(self.classes.select(F.col("at").alias("x"), "n"), "x")
+        self.matched = None if links else stash(_matched(self.at_poles), "matched")
+        skip = self.matched or self.at_poles.select(F.col("x").alias("at"), F.col("pole").alias("mark"))
+        self.pairs = stash(_pairs(self.classes, skip, links, self.lines), "links")
 
 
 def line_links(docs: DataFrame, key: str = "doc_id", text: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
@@ -268,11 +317,10 @@ def line_links(docs: DataFrame, key: str = "doc_id", text: str = "text", min_wor
     lists what ``linked_lines`` only counts, so it is as large as the number of links.
     """
     join = Join(docs, key, text, min_words, links=True)
-    member, place = join.members(), join.lines.place
-    x = member.select("pole", "x", F.col("d").alias("d_x"), F.col("n").alias("n_x"))
-    y = member.select("pole", F.col("x").alias("y"), F.col("d").alias("d_y"), F.col("n").alias("n_y"))
-    known = x.join(y, "pole").where("y < x and 7 * (d_x + d_y) <= n_x + n_y").select("x", "y")
-    both = join.pairs.select("x", "y").union(known).withColumn("same", F.lit(False)).union(join.copies.withColumn("same", F.lit(True)))
+    place, near = join.lines.place, join.at_poles.where(_near())
+    known = near.select("x", "pole").join(near.select(F.col("x").alias("y"), "pole"), "pole").where("y < x").select("x", "y")
+    known = known.union(far_links(join.at_poles).select("x", F.explode("ys")))
+    both = join.pairs.union(known).withColumn("same", F.lit(False)).union(join.copies.withColumn("same", F.lit(True)))
     (k, no), (to, to_no) = place.split(F.col("x"), join.lines.key_type), place.split(F.col("y"), join.lines.key_type)
     return both.select(k.alias(key), no.alias("no"), to.alias(f"to_{key}"), to_no.alias("to_no"), "same")
 
@@ -281,8 +329,8 @@ def linked_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", min_w
     """(key, removed, links): as ``removed_lines``, with the number of links that the lines have to earlier ones."""
     join = Join(docs, key, text, min_words, links=True)
     one = F.lit(1).cast("long").alias("links")
-    known = known_links(join.members().select("x", "pole", (F.col("n") - 7 * F.col("d")).alias("s")), join.lines.place.digits)
-    links = join.pairs.select("x", one).union(join.copies.select("x", one)).union(known)
+    links = join.pairs.select("x", one).union(join.copies.select("x", one)).union(near_links(join.at_poles, join.lines.place.digits))
+    links = links.union(far_links(join.at_poles).select("x", F.size("ys").cast("long")).where("size(ys) > 0"))
     k, number = join.lines.place.split(F.col("x"), join.lines.key_type)
     gone = links.groupBy("x").agg(F.sum("links").alias("links")).select(k.alias(key), number.alias("no"), "links")
     return gone.groupBy(key).agg(F.array_sort(F.collect_list("no")).alias("removed"), F.sum("links").alias("links"))
@@ -292,7 +340,7 @@ def removed_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", min_
     """(key, removed): the numbers of the lines to cut, sorted, of each document that has any."""
     join = Join(docs, key, text, min_words, links=False)
     k, number = join.lines.place.split(F.col("x"), join.lines.key_type)
-    gone = join.pairs.select("x").union(join.copies.select("x")).union(join.at_poles.where("pole < x").select("x")).distinct()
+    gone = join.pairs.select("x").union(join.copies.select("x")).union(join.matched.select("at")).distinct()
     return gone.select(k.alias(key), number.alias("no")).groupBy(key).agg(F.array_sort(F.collect_list("no")).alias("removed"))
 
 
