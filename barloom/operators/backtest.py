@@ -167,7 +167,7 @@ def run_strategy(candles: DataFrame, strategy: dict, fee_bps: float = 5.0, slipp
 
 
 def equity_curve(candles: DataFrame, trades: DataFrame, keys: list[str] | None = None, cost: float = 0.0007, factor: float = 1.0, start: float = 1.0) -> DataFrame:
-    """(keys, idx, ts, equity) of every bar: realised while flat, marked to the close less costs while open.
+    """(keys, idx, ts, open, close, equity) of every bar: realised while flat, marked to the close less costs while open.
 
     Trades are spread over the bars from entry to exit and equi-joined; what is
     realised is a running product in the order of trades.
@@ -181,12 +181,12 @@ def equity_curve(candles: DataFrame, trades: DataFrame, keys: list[str] | None =
     spread = done.select(*keys, F.explode(F.sequence("entry_idx", "exit_idx")).alias("idx"), "exit_idx", "entry_price", sign.alias("sign"), "before", "after", "trade_no")
     # a bar may close one trade and open the next: the later one tells its equity
     spread = spread.groupBy(*keys, "idx").agg(F.max_by(F.struct("exit_idx", "entry_price", "sign", "before", "after"), "trade_no").alias("t"))
-    bars = candles.select(*keys, "ts", "close").withColumn("idx", (F.row_number().over(Window.partitionBy(*keys).orderBy("ts")) - 1).cast("int"))
+    bars = candles.select(*keys, "ts", "open", "close").withColumn("idx", (F.row_number().over(Window.partitionBy(*keys).orderBy("ts")) - 1).cast("int"))
     ratio = F.col("close") / F.col("t.entry_price")
     marked = F.col("t.before") * (1 + factor * (F.col("t.sign") * (ratio - 1) - cost * (1 + ratio)))
     own = F.when(F.col("idx") < F.col("t.exit_idx"), marked).otherwise(F.col("t.after"))
     realised = F.last(F.when(F.col("idx") == F.col("t.exit_idx"), F.col("t.after")), ignorenulls=True).over(Window.partitionBy(*keys).orderBy("idx"))
-    return bars.join(spread, [*keys, "idx"], "left").select(*keys, "idx", "ts", "close", F.coalesce(own, realised, F.lit(start)).alias("equity"))
+    return bars.join(spread, [*keys, "idx"], "left").select(*keys, "idx", "ts", "open", "close", F.coalesce(own, realised, F.lit(start)).alias("equity"))
 
 
 def trailing_levels(path: DataFrame, trail_pct: float) -> DataFrame:

@@ -14,6 +14,7 @@ from barloom.operators.indicators import crosses, sma, with_recurrences
 PRICES = ["open", "high", "low", "close"]
 AVERAGES = ["sma", "ema", "rsi"]
 OPS = ["<", ">", "crosses_above", "crosses_below"]
+MAX_CONDITIONS = 100_000  # conditions of strategies that are evaluated at once
 FIELDS = ["asset", "timeframe", "side", "entry", "exit", "stop_loss_pct", "take_profit_pct", "claim"]
 OPERAND = "struct<num:double,ind:string,period:int>"
 CONDITION = "strategy_id string, section string, grp string, pos int, `left` " + OPERAND + ", op string, `right` " + OPERAND
@@ -62,6 +63,21 @@ def eval_rules(candles: DataFrame, strategy: dict) -> DataFrame:
 
 
 # -- many strategies, as tables -------------------------------------------------
+def _unknown_fields(text: str) -> Column:
+    """The names that a strategy has no field for, in itself, its claim, rules, conditions and operands; sorted."""
+    names = lambda c, known: F.coalesce(F.array_except(F.map_keys(c), F.array(*map(F.lit, known))), F.array().cast("array<string>"))
+    part = lambda c: F.from_json(c, "map<string,string>")
+    whole = part(F.col(text))
+    found = [names(whole, FIELDS), names(part(F.get_json_object(text, "$.claim")), ["win_rate_pct", "quote"])]
+    for section in ("entry", "exit"):
+        found.append(names(part(F.get_json_object(text, f"$.{section}")), ["all", "any"]))
+        for group in ("all", "any"):
+            conditions = F.from_json(F.get_json_object(text, f"$.{section}.{group}"), "array<map<string,string>>")
+            own = F.transform(conditions, lambda c: F.concat(names(c, ["left", "op", "right"]), *(names(part(c[side]), ["ind", "period"]) for side in ("left", "right"))))
+            found.append(F.coalesce(F.flatten(own), F.array().cast("array<string>")))
+    return F.array_sort(F.array_distinct(F.concat(*found)))
+
+
 def parse_strategies(texts: DataFrame, key: str = "strategy_id", text: str = "json") -> DataFrame:
     """(key, asset, timeframe, side, stop_loss_pct, take_profit_pct, claimed_win_rate, entry_n, exit_n, error) of strategy JSON.
 
@@ -69,13 +85,12 @@ def parse_strategies(texts: DataFrame, key: str = "strategy_id", text: str = "js
     """
     v = F.try_parse_json(text)
     get = lambda path, kind: F.try_variant_get(v, path, kind)
-    keys = F.map_keys(F.from_json(text, "map<string,string>"))
-    unknown = F.array_except(keys, F.array(*map(F.lit, FIELDS)))
+    unknown = _unknown_fields(text)
     count = lambda s: sum((F.coalesce(F.size(get(f"$.{s}.{g}", "array<variant>")), F.lit(0)) for g in ("all", "any")), F.lit(0))
     side = get("$.side", "string")
     error = (
         F.when(v.isNull(), "not JSON")
-        .when(F.size(unknown) > 0, F.concat(F.lit("unknown field "), F.array_join(F.array_sort(unknown), ",")))
+        .when(F.size(unknown) > 0, F.concat(F.lit("unknown field "), F.array_join(unknown, ",")))
         .when(get("$.asset", "string").isNull() | get("$.timeframe", "string").isNull(), "asset and timeframe are needed")
         .when(~F.coalesce(side.isin("long", "short"), F.lit(False)), "unknown side")
         .when(get("$.entry", "variant").isNull(), "entry is needed")
@@ -142,31 +157,29 @@ def validate_strategies(strategies: DataFrame, conditions: DataFrame, max_period
 def eval_conditions(conditions: DataFrame, values: DataFrame) -> DataFrame:
     """(strategy_id, section, symbol, interval, ts, hit): the rules of many strategies on values (symbol, interval, ts, ind, period, value, before).
 
-    Conditions are few and broadcast; 'all' and 'any' are aggregated before anything wide is shuffled.
+    The values of a bar are gathered to one row, which meets each strategy once;
+    a comparison with a missing value, or a cross without a bar before, is false.
+    Strategies are control data: at most ``MAX_CONDITIONS`` at once, or ValueError.
     """
-    few = F.broadcast(conditions)
-    keyed = values.select(*SERIES, "ts", F.struct("ind", "period").alias("k"), "value", "before")
-    wanted = few.select("strategy_id", "section", "grp", "pos", "op", *(F.col(s).alias(s) for s in ("left", "right")))
-    sides = wanted.select("strategy_id", "section", "grp", "pos", "op", "left", "right", F.explode(F.array(F.lit("left"), F.lit("right"))).alias("which"))
-    sides = sides.withColumn("o", F.when(F.col("which") == "left", F.col("left")).otherwise(F.col("right")))
-    named = keyed.join(F.broadcast(sides.where("o.num is null")), (F.col("k.ind") == F.col("o.ind")) & F.col("k.period").eqNullSafe(F.col("o.period")))
-    side = lambda s, c: F.max(F.when(F.col("which") == s, F.col(c)))
-    bar = ["strategy_id", "section", "grp", "pos", *SERIES, "ts"]
-    both = named.groupBy(*bar).agg(
-        F.first("op").alias("op"),
-        *(F.coalesce(side(s, c), F.first(f"{s}.num")).alias(f"{s[0]}_{c}") for s in ("left", "right") for c in ("value", "before")),
-    )
-    l1, l0, r1, r0 = (F.col(c) for c in ("l_value", "l_before", "r_value", "r_before"))
-    op = F.col("op")
-    hit = F.coalesce(
-        F.when(op == "<", l1 < r1).when(op == ">", l1 > r1).when(op == "crosses_above", (l0 <= r0) & (l1 > r1) & F.col("has_before")).otherwise((l0 >= r0) & (l1 < r1) & F.col("has_before")),
-        F.lit(False),
-    )
-    first_ts = values.groupBy(*SERIES).agg(F.min("ts").alias("_first"))
-    both = both.join(F.broadcast(first_ts), SERIES).withColumn("has_before", F.col("ts") > F.col("_first"))
-    groups = both.withColumn("h", hit).groupBy("strategy_id", "section", *SERIES, "ts", "grp").agg(F.bool_and("h").alias("every"), F.bool_or("h").alias("some"))
-    part = F.when(F.col("grp") == "all", F.col("every")).otherwise(F.col("some"))
-    return groups.groupBy("strategy_id", "section", *SERIES, "ts").agg(F.bool_and(part).alias("hit"))
+    if conditions.limit(MAX_CONDITIONS + 1).count() > MAX_CONDITIONS:
+        raise ValueError(f"more than {MAX_CONDITIONS} conditions at once")
+    name = lambda o: F.concat_ws(":", o["ind"], o["period"].cast("string"))
+    bars = values.groupBy(*SERIES, "ts").agg(F.collect_list(F.struct(F.concat_ws(":", "ind", F.col("period").cast("string")).alias("k"), "value", "before")).alias("v"))
+    sections = conditions.groupBy("strategy_id", "section").agg(F.collect_list(F.struct("grp", "left", "op", "right")).alias("cs"))
+
+    def value(o: Column, field: str) -> Column:
+        return F.coalesce(o["num"], F.get(F.filter("v", lambda x: x["k"] == name(o)), F.lit(0))[field])
+
+    def hit(c: Column) -> Column:
+        l1, l0, r1, r0 = (value(c[side], field) for side in ("left", "right") for field in ("value", "before"))
+        op = c["op"]
+        met = F.when(op == "<", l1 < r1).when(op == ">", l1 > r1).when(op == "crosses_above", (l0 <= r0) & (l1 > r1)).when(op == "crosses_below", (l0 >= r0) & (l1 < r1))
+        return F.coalesce(met, F.lit(False))
+
+    told = bars.join(F.broadcast(sections)).select("strategy_id", "section", *SERIES, "ts", F.transform("cs", lambda c: F.struct(c["grp"].alias("grp"), hit(c).alias("hit"))).alias("hs"))
+    every = F.forall("hs", lambda h: (h["grp"] != "all") | h["hit"])
+    some = F.exists("hs", lambda h: (h["grp"] == "any") & h["hit"]) | ~F.exists("hs", lambda h: h["grp"] == "any")
+    return told.select("strategy_id", "section", *SERIES, "ts", (every & some).alias("hit"))
 
 
 def numeric_paths(strategies: DataFrame, conditions: DataFrame) -> DataFrame:

@@ -29,13 +29,23 @@ def trade_stats(trades: DataFrame, keys: list[str], runs: DataFrame | None = Non
     return out.withColumns({c: F.coalesce(c, F.lit(0).cast("long") if c in counts else F.lit(0.0)) for c in out.columns if c not in (*keys, "profit_factor")})
 
 
-def return_stats(curve: DataFrame, keys: list[str]) -> DataFrame:
-    """total_return_pct of equity, buy_and_hold_pct of close; 0 where the base is 0."""
-    def grown(c: str) -> Column:
-        first, last = F.min_by(c, "idx"), F.max_by(c, "idx")
-        return F.when(first != 0, 100 * (last / first - 1)).otherwise(0.0)
+def _grown(first: Column, last: Column) -> Column:
+    return F.coalesce(F.when(first != 0, 100 * (last / first - 1)), F.lit(0.0))
+
+
+def _total_return() -> Column:
+    return _grown(F.min_by("equity", "idx"), F.max_by("equity", "idx")).alias("total_return_pct")
+
 
-    return curve.groupBy(*keys).agg(grown("equity").alias("total_return_pct"), grown("close").alias("buy_and_hold_pct"))
+def _buy_and_hold() -> Column:
+    """From the first bar's open to the last bar's close; rows without a bar don't count."""
+    at = F.when(F.col("open").isNotNull(), F.col("idx"))
+    return _grown(F.min_by("open", at), F.max_by("close", at)).alias("buy_and_hold_pct")
+
+
+def return_stats(curve: DataFrame, keys: list[str]) -> DataFrame:
+    """total_return_pct of equity, buy_and_hold_pct from the first open to the last close; 0 where the base is 0."""
+    return curve.groupBy(*keys).agg(_total_return(), _buy_and_hold())
 
 
 def _order(keys: list[str]) -> Window:
@@ -57,14 +67,24 @@ def bar_returns(curve: DataFrame, keys: list[str]) -> DataFrame:
     return curve.withColumn("before", before).withColumn("growth", F.when(finite(F.col("equity")) & finite(F.col("before")) & (F.col("before") != 0), F.col("equity") / F.col("before")))
 
 
+def _ratios(bars_per_year: Column) -> list[Column]:
+    """sharpe and sortino as aggregates over the rows of ``bar_returns``."""
+    r, year = F.col("growth") - 1, F.max(bars_per_year.cast("double"))
+    # every bar but the first has a growth, unless a value or its base is unusable
+    bad = (F.count_if(F.col("growth").isNull()) > 1) | (F.count_if(~finite(F.col("equity"))) > 0)
+    scaled = lambda d: F.when(~bad & (F.count(r) >= 1) & (d > 1e-15), F.avg(r) / d * F.sqrt(year)).otherwise(0.0)
+    return [scaled(F.stddev_pop(r)).alias("sharpe"), scaled(F.stddev_pop(F.when(r < 0, r))).alias("sortino")]
+
+
 def ratio_stats(curve: DataFrame, keys: list[str], bars_per_year: Column) -> DataFrame:
     """sharpe, and sortino over the deviation of the negative returns around their own mean; 0 where undefined."""
-    r = F.col("growth") - 1
-    bad = (F.col("idx") > F.col("_first")) & F.col("growth").isNull()
-    curve = bar_returns(curve, keys).withColumn("_first", F.min("idx").over(Window.partitionBy(*keys))).withColumn("_year", bars_per_year.cast("double"))
-    parts = curve.groupBy(*keys).agg(F.count(r).alias("n"), F.count_if(bad | ~finite(F.col("equity"))).alias("bad"), F.avg(r).alias("mean"), F.stddev_pop(r).alias("std"), F.stddev_pop(F.when(r < 0, r)).alias("down"), F.max("_year").alias("year"))
-    scaled = lambda d: F.when((F.col("bad") == 0) & (F.col("n") >= 1) & (F.col(d) > 1e-15), F.col("mean") / F.col(d) * F.sqrt("year")).otherwise(0.0)
-    return parts.select(*keys, scaled("std").alias("sharpe"), scaled("down").alias("sortino"))
+    return bar_returns(curve, keys).groupBy(*keys).agg(*_ratios(bars_per_year))
+
+
+def curve_stats(curve: DataFrame, keys: list[str], bars_per_year: Column) -> DataFrame:
+    """All figures of curves: one window pass and one aggregation."""
+    rows = bar_returns(drawdown_series(curve, keys), keys)
+    return rows.groupBy(*keys).agg(_total_return(), _buy_and_hold(), F.max("drawdown_pct").alias("max_drawdown_pct"), *_ratios(bars_per_year))
 
 
 def calmar(total_return_pct: Column, max_drawdown_pct: Column) -> Column:
@@ -115,11 +135,18 @@ def monthly_grid(monthly: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def downsample(curve: DataFrame, keys: list[str], value: str, most: int) -> DataFrame:
-    """At most ``most`` points of each run: first, last, and the smallest and largest of equal inner buckets."""
+    """At most ``most`` points of each run: first, last, and the smallest and largest of equal inner buckets.
+
+    For fewer than four points there is no room for a bucket: the first and the
+    last remain, for fewer than two the first.
+    """
     whole = Window.partitionBy(*keys)
     c = curve.withColumn("_i", F.row_number().over(_order(keys)) - 1).withColumn("_n", F.count("*").over(whole))
-    buckets = max((most - 2) // 2, 1)
-    ends = c.where((F.col("_n") <= most) | (F.col("_i") == 0) | (F.col("_i") == F.col("_n") - 1)).select(*keys, "idx", value)
+    last = (F.col("_i") == F.col("_n") - 1) if most >= 2 else F.lit(False)
+    ends = c.where((F.col("_n") <= most) | (F.col("_i") == 0) | last).select(*keys, "idx", value)
+    buckets = (most - 2) // 2
+    if buckets < 1:
+        return ends
     inner = c.where((F.col("_n") > most) & (F.col("_i") > 0) & (F.col("_i") < F.col("_n") - 1))
     bucket = F.floor((F.col("_i") * buckets - 1) / (F.col("_n") - 2)).cast("int")
     picked = inner.groupBy(*keys, bucket.alias("_b")).agg(F.min(F.struct(value, "idx")).alias("lo"), F.max(F.struct(F.col(value), (-F.col("idx")).alias("m"))).alias("hi"))
@@ -127,13 +154,17 @@ def downsample(curve: DataFrame, keys: list[str], value: str, most: int) -> Data
     return ends.unionByName(points.select(*keys, "p.idx", f"p.{value}"))
 
 
+def _joined(trades: DataFrame, curve: DataFrame, keys: list[str], bars_per_year: Column) -> DataFrame:
+    figures = curve_stats(curve, keys, bars_per_year)
+    found = figures.join(trade_stats(trades, keys), keys, "left")
+    counts = ["trades", "wins", "losses"]
+    own = [c for c in found.columns if c not in (*keys, *figures.columns, "profit_factor")]
+    return found.withColumns({c: F.coalesce(c, F.lit(0).cast("long") if c in counts else F.lit(0.0)) for c in own})
+
+
 def all_stats(trades: DataFrame, curve: DataFrame, keys: list[str], bars_per_year: Column) -> DataFrame:
-    """The thirteen figures of each run."""
-    runs = curve.select(*keys).distinct()
-    out = trade_stats(trades, keys, runs)
-    for part in (return_stats(curve, keys), max_drawdown(curve, keys), ratio_stats(curve, keys, bars_per_year)):
-        out = out.join(part, keys)
-    return out
+    """The thirteen figures of each run: one pass over its curve and one over its trades."""
+    return _joined(trades, curve, keys, bars_per_year)
 
 
 def split_windows(trades: DataFrame, curve: DataFrame, keys: list[str], split: float) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -142,30 +173,27 @@ def split_windows(trades: DataFrame, curve: DataFrame, keys: list[str], split: f
     The OOS curve is 1 at the split's bar and then equity over the last IS
     value. failed has the runs that have no bar on one side or no usable base.
     """
-    n = curve.groupBy(*keys).agg(F.count("*").alias("n")).withColumn("cut", F.floor(F.col("n").cast("double") * split).cast("int"))
-    base = curve.join(n, keys).where(F.col("idx") == F.col("cut") - 1).select(*keys, F.col("equity").alias("base"), F.col("close").alias("base_close"))
-    at = n.join(base, keys, "left")
-    good = (F.col("cut") > 0) & (F.col("cut") < F.col("n")) & finite(F.col("base")) & (F.col("base") != 0)
-    failed = at.where(~F.coalesce(good, F.lit(False))).select(*keys, "n")
-    at = at.where(good)
-    tagged = curve.join(at, keys)
+    run = Window.partitionBy(*keys)
+    cut = lambda n: F.floor(n.cast("double") * split).cast("int")
+    sized = curve.withColumn("n", F.count("*").over(run)).withColumn("cut", cut(F.col("n")))
+    sized = sized.withColumn("base", F.max(F.when(F.col("idx") == F.col("cut") - 1, F.col("equity"))).over(run))
+    good = F.coalesce((F.col("cut") > 0) & (F.col("cut") < F.col("n")) & finite(F.col("base")) & (F.col("base") != 0), F.lit(False))
     inside = F.col("idx") < F.col("cut")
-    rows = tagged.select(*keys, F.when(inside, "IS").otherwise("OOS").alias("part"), "idx", "ts", "close", F.when(inside, F.col("equity")).otherwise(F.col("equity") / F.col("base")).alias("equity"))
-    anchor = at.select(*keys, F.lit("OOS").alias("part"), (F.col("cut") - 1).alias("idx"), F.lit(None).cast("long").alias("ts"), F.lit(None).cast("double").alias("close"), F.lit(1.0).alias("equity"))
-    parted = trades.where("trade_no is not null").join(at.select(*keys, "cut"), keys).withColumn("part", F.when(F.col("entry_idx") < F.col("cut"), "IS").otherwise("OOS")).drop("cut")
-    return parted, rows.unionByName(anchor), failed
+    row = lambda part, equity, *bar: F.struct(part.alias("part"), equity.alias("equity"), *(c.alias(n) for n, c in zip(("ts", "open", "close"), bar, strict=True)))
+    own = row(F.when(inside, "IS").otherwise("OOS"), F.when(inside, F.col("equity")).otherwise(F.col("equity") / F.col("base")), F.col("ts"), F.col("open"), F.col("close"))
+    anchor = row(F.lit("OOS"), F.lit(1.0), F.lit(None).cast("long"), F.lit(None).cast("double"), F.lit(None).cast("double"))
+    both = F.when(F.col("idx") == F.col("cut") - 1, F.array(own, anchor)).otherwise(F.array(own))
+    rows = sized.where(good).select(*keys, "idx", F.explode(both).alias("r")).select(*keys, "idx", "r.*")
+    at = curve.groupBy(*keys).agg(F.count("*").alias("n")).withColumn("cut", cut(F.col("n")))
+    failed = sized.where(~good).select(*keys, "n").distinct()
+    parted = trades.where("trade_no is not null").join(at.where("cut > 0 and cut < n").select(*keys, "cut"), keys)
+    return parted.withColumn("part", F.when(F.col("entry_idx") < F.col("cut"), "IS").otherwise("OOS")).drop("cut"), rows, failed
 
 
 def split_stats(trades: DataFrame, curve: DataFrame, keys: list[str], split: float, bars_per_year: Column) -> DataFrame:
     """The thirteen figures of each run and part."""
     parted, rows, _ = split_windows(trades, curve, keys, split)
-    parts = [*keys, "part"]
-    out = trade_stats(parted, parts, rows.select(*parts).distinct())
-    held = rows.where("close is not null").groupBy(*parts).agg((100 * (F.max_by("close", "idx") / F.min_by("close", "idx") - 1)).alias("buy_and_hold_pct"))
-    total = rows.groupBy(*parts).agg((100 * (F.max_by("equity", "idx") / F.min_by("equity", "idx") - 1)).alias("total_return_pct"))
-    for piece in (total, held, max_drawdown(rows, parts), ratio_stats(rows, parts, bars_per_year).drop("sortino")):
-        out = out.join(piece, parts)
-    return out
+    return _joined(parted, rows, [*keys, "part"], bars_per_year).drop("sortino")
 
 
 def folds(n: int, k: int) -> list[tuple[int, int, int]]:
@@ -178,16 +206,15 @@ def folds(n: int, k: int) -> list[tuple[int, int, int]]:
 
 def walk_forward_windows(curve: DataFrame, trades: DataFrame, keys: list[str], k: int) -> tuple[DataFrame, DataFrame]:
     """(trades, curve) with fold and part; each window's curve is 1 and then equity over its first value."""
-    n = curve.groupBy(*keys).agg(F.count("*").alias("n")).where(F.col("n") >= 5 * (k + 1))
     at = lambda i: F.floor(F.col("n") * i / (k + 1)).cast("int")
     windows = F.array(*(F.struct(F.lit(f).alias("fold"), F.lit(p).alias("part"), (F.lit(0) if p == "IS" else at(f + 1)).alias("lo"), (at(f + 1) if p == "IS" else at(f + 2)).alias("hi")) for f in range(k) for p in ("IS", "OOS")))
-    spans = n.select(*keys, F.explode(windows).alias("w")).select(*keys, "w.*")
-    inside = lambda df, c: df.join(spans, keys).where((F.col(c) >= F.col("lo")) & (F.col(c) < F.col("hi")))
-    rows = inside(curve, "idx")
-    own = [*keys, "fold", "part"]
-    base = F.first("equity").over(Window.partitionBy(*own).orderBy("idx"))
+    inside = lambda c: F.filter(windows, lambda w: (F.col(c) >= w["lo"]) & (F.col(c) < w["hi"]))
+    spread = lambda df, c: df.where(F.col("n") >= 5 * (k + 1)).select("*", F.inline(inside(c))).drop("n")
+    rows = spread(curve.withColumn("n", F.count("*").over(Window.partitionBy(*keys))), "idx")
+    base = F.first("equity").over(Window.partitionBy(*keys, "fold", "part").orderBy("idx"))
     rows = rows.withColumn("equity", F.when(F.col("idx") == F.col("lo"), F.lit(1.0)).otherwise(F.col("equity") / base)).drop("lo", "hi")
-    return inside(trades.where("trade_no is not null"), "entry_idx").drop("lo", "hi"), rows
+    n = curve.groupBy(*keys).agg(F.count("*").alias("n"))
+    return spread(trades.where("trade_no is not null").join(n, keys), "entry_idx").drop("lo", "hi"), rows
 
 
 def walk_forward_stats(trades: DataFrame, curve: DataFrame, keys: list[str], k: int, bars_per_year: Column) -> DataFrame:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import copy
 import math
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -12,7 +13,9 @@ from pyspark.sql import functions as F
 
 from barloom.operators.backtest import TRADE, scan_trades
 from barloom.operators.indicators import indicator_values
-from barloom.operators.rules import column_name, operands
+from barloom.operators.rules import PRICES, column_name, operands
+from barloom.operators.stats import mean_stats
+from barloom.operators.verdicts import side_by_side
 
 MAX_COMBOS, MAX_PARAMS, MAX_VALUES = 2_000, 8, 512
 
@@ -149,32 +152,124 @@ def _flags(bars: pd.DataFrame, rules: dict | None, values: dict[str, np.ndarray]
     return np.logical_and.reduce(parts) if parts else np.zeros(len(bars), bool)
 
 
-def sweep_trades(candles: DataFrame, strategy: dict, combos: DataFrame, fee_bps: float = 5.0, slippage_bps: float = 2.0, batch: int = 32) -> DataFrame:
-    """Trades of every trial on every series: each series is packed once and sent once for each batch of trials."""
-    packed = candles.groupBy("symbol", "interval").agg(F.array_sort(F.collect_list(F.struct("ts", "open", "high", "low", "close"))).alias("bars"))
-    batches = combos.groupBy(F.floor(F.col("trial_id") / batch).alias("batch")).agg(F.collect_list(F.struct("trial_id", F.map_entries("params").alias("params"))).alias("trials"))
-    work = packed.join(F.broadcast(batches)).repartition("symbol", "interval", "batch")
+def _trials(combos: DataFrame) -> list[tuple[int, dict[str, float]]]:
+    """The trials on the driver: control data of MAX_COMBOS rows at most."""
+    rows = combos.select("trial_id", "params").limit(MAX_COMBOS + 1).collect()
+    if len(rows) > MAX_COMBOS:
+        raise ValueError(f"more than {MAX_COMBOS} combinations")
+    return [(r["trial_id"], r["params"]) for r in rows]
 
-    def run(parts: object) -> object:
-        for part in parts:
-            for symbol, interval, raw, trials in zip(part["symbol"], part["interval"], part["bars"], part["trials"], strict=True):
-                bars = pd.DataFrame.from_records(list(raw))
+
+def _each_trial(candles: DataFrame, strategy: dict, combos: DataFrame, cost: float, batch: int | None, made: Callable[[pd.DataFrame, pd.DataFrame], pd.DataFrame], schema: str) -> DataFrame:
+    """What ``made`` makes of bars and trades of each series and trial.
+
+    A series is packed once, as one array for each column, and sent once. Where
+    series are fewer than cores, ``batch`` deals the trials to parts of about so
+    many, each of which gets the series; a part shares the series' indicators.
+    """
+    trials, columns = _trials(combos), ["ts", *PRICES]
+    splits = -(-len(trials) // batch) if batch and trials else 1
+    rows = F.array_sort(F.collect_list(F.struct(*columns)))
+    packed = candles.groupBy("symbol", "interval").agg(rows.alias("bars")).select("symbol", "interval", *(F.col(f"bars.{c}").alias(c) for c in columns))
+    work = packed.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(splits - 1)))).repartition("symbol", "interval", "part")
+
+    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in parts:
+            for row in frame.itertuples(index=False):
+                bars = pd.DataFrame({c: getattr(row, c) for c in columns})
                 known: dict[str, np.ndarray] = {}
-                out = []
-                for t in trials:
-                    s = applied(strategy, {e["key"]: e["value"] for e in t["params"]})
+                for trial, params in trials[row.part :: splits]:
+                    s = applied(strategy, params)
                     for o in operands(s):
                         if (name := column_name(o)) not in known:
                             known[name] = indicator_values(bars, o["ind"], o.get("period"))
-                    found = scan_trades(bars, _flags(bars, s["entry"], known), _flags(bars, s.get("exit"), known), s["side"], stop_pct=s.get("stop_loss_pct"), target_pct=s.get("take_profit_pct"), cost=(fee_bps + slippage_bps) / 1e4)
-                    found.insert(0, "trial_id", t["trial_id"])
-                    out.append(found.astype(object))
-                found = pd.concat(out, ignore_index=True)
-                found.insert(0, "interval", interval)
-                found.insert(0, "symbol", symbol)
-                yield found
-
-    return work.mapInPandas(run, "symbol string, interval string, trial_id int, " + TRADE)
+                    found = scan_trades(bars, _flags(bars, s["entry"], known), _flags(bars, s.get("exit"), known), s["side"], stop_pct=s.get("stop_loss_pct"), target_pct=s.get("take_profit_pct"), cost=cost)
+                    out = made(bars, found)
+                    for name, value in (("trial_id", trial), ("interval", row.interval), ("symbol", row.symbol)):
+                        out.insert(0, name, value)
+                    yield out
+
+    return work.mapInPandas(run, "symbol string, interval string, trial_id int, " + schema)
+
+
+def sweep_trades(candles: DataFrame, strategy: dict, combos: DataFrame, fee_bps: float = 5.0, slippage_bps: float = 2.0, batch: int | None = None) -> DataFrame:
+    """Trades of every trial on every series."""
+    return _each_trial(candles, strategy, combos, (fee_bps + slippage_bps) / 1e4, batch, lambda bars, trades: trades.astype(object), TRADE)
+
+
+def marked_equity(bars: pd.DataFrame, trades: pd.DataFrame, cost: float) -> np.ndarray:
+    """Equity of each bar, as ``equity_curve`` has it, of one sorted series."""
+    close, out, equity = bars["close"].to_numpy(), np.ones(len(bars)), 1.0
+    for t in trades.itertuples(index=False):
+        ratio = close[t.entry_idx : t.exit_idx] / t.entry_price
+        out[t.entry_idx : t.exit_idx] = equity * (1 + (1 if t.side == "long" else -1) * (ratio - 1) - cost * (1 + ratio))
+        equity *= 1 + t.return_pct / 100
+        out[t.exit_idx :] = equity
+    return out
+
+
+def window_figures(returns: np.ndarray, equity: np.ndarray, first_open: float, last_close: float, bars_per_year: float) -> dict[str, float]:
+    """The thirteen figures of one window, of its trades' returns and its curve."""
+    won, lost = returns[returns > 0], returns[returns <= 0]
+    n, gross = len(returns), abs(lost.sum())
+    usable = np.isfinite(equity).all() and (equity[:-1] != 0).all()
+    growth = equity[1:] / equity[:-1] - 1 if usable and len(equity) > 1 else np.zeros(0)
+    spread = growth.std() if len(growth) else 0.0
+    peak = np.maximum.accumulate(equity)
+    mean = lambda x: float(x.mean()) if len(x) else 0.0
+    return {
+        "trades": n, "wins": len(won), "losses": len(lost), "win_rate_pct": 100 * len(won) / n if n else 0.0, "avg_win_pct": mean(won), "avg_loss_pct": mean(lost), "profit_factor": float(won.sum() / gross) if gross > 0 else None,
+        "expectancy_pct": mean(returns), "expectancy_stdev_pct": float(returns.std()) if n else 0.0,
+        "total_return_pct": 100 * (equity[-1] / equity[0] - 1) if equity[0] != 0 else 0.0, "buy_and_hold_pct": 100 * (last_close / first_open - 1) if first_open != 0 else 0.0,
+        "max_drawdown_pct": float(np.where(peak > 0, 100 * (peak - equity) / np.where(peak > 0, peak, 1), 0.0).max()), "sharpe": float(growth.mean() / spread * np.sqrt(bars_per_year)) if spread > 1e-15 else 0.0,
+    }
+
+
+STATS = "trades long, wins long, losses long, win_rate_pct double, avg_win_pct double, avg_loss_pct double, profit_factor double, expectancy_pct double, expectancy_stdev_pct double, total_return_pct double, buy_and_hold_pct double, max_drawdown_pct double, sharpe double"
+
+
+def sweep_stats(candles: DataFrame, strategy: dict, combos: DataFrame, bars_per_year: float, split: float = 0.7, folds: int | None = None, fee_bps: float = 5.0, slippage_bps: float = 2.0, batch: int | None = None) -> DataFrame:
+    """(symbol, interval, trial_id, fold, part, figures) of every trial: of a split, where fold is 0, or of walk-forward folds.
+
+    The windows are those of ``split_stats`` and ``walk_forward_stats``; only
+    their figures leave a task, never the curves. Series too short to be split
+    have no rows.
+    """
+    cost = (fee_bps + slippage_bps) / 1e4
+
+    def made(bars: pd.DataFrame, trades: pd.DataFrame) -> pd.DataFrame:
+        n, rows = len(bars), []
+        trades = trades[trades["trade_no"].notna()]
+        entries, returns = trades["entry_idx"].to_numpy(int), trades["return_pct"].to_numpy(float)
+        equity, o, c = marked_equity(bars, trades, cost), bars["open"].to_numpy(), bars["close"].to_numpy()
+        if folds is None:
+            cut = int(np.floor(n * split))
+            spans = [(0, "IS", 0, cut), (0, "OOS", cut, n)] if 0 < cut < n and np.isfinite(equity[cut - 1]) and equity[cut - 1] != 0 else []
+        else:
+            at = [n * i // (folds + 1) for i in range(folds + 2)] if n >= 5 * (folds + 1) else [0]
+            spans = [(f, part, a, b) for f in range(len(at) - 2) for part, a, b in (("IS", 0, at[f + 1]), ("OOS", at[f + 1], at[f + 2]))]
+        for fold, part, a, b in spans:
+            # the later part of a split starts from 1 at the split's bar, a fold from its own first bar
+            curve = equity[a:b] / equity[a] if folds is not None else equity[a:b] if part == "IS" else np.concatenate([[1.0], equity[a:b] / equity[a - 1]])
+            rows.append({"fold": fold, "part": part} | window_figures(returns[(entries >= a) & (entries < b)], curve, o[a], c[b - 1], bars_per_year))
+        return pd.DataFrame(rows, columns=["fold", "part", *(f.split()[0] for f in STATS.split(", "))])
+
+    return _each_trial(candles, strategy, combos, cost, batch, made, "fold int, part string, " + STATS)
+
+
+def sweep_results(stats: DataFrame, combos: DataFrame, by: str = "sharpe") -> DataFrame:
+    """(symbol, interval, rank, trial_id, params_key, score, is_score, overfit, overfit_reason, is_*, oos_*) of ``sweep_stats``.
+
+    The objective of the later part is the score, that of the earlier part
+    is_score; over folds both are means, as all figures are.
+    """
+    keys = ["symbol", "interval", "trial_id"]
+    one = mean_stats(stats, keys) if stats.select("fold").where("fold > 0").limit(1).count() else stats.drop("fold")
+    wide = side_by_side(one, keys)
+    names = combos.select("trial_id", params_key(F.col("params")).alias("params_key"))
+    overfit, reason = overfit_flag(F.col("is_sharpe"), F.col("oos_sharpe"), F.col("is_total_return_pct"), F.col("oos_total_return_pct"))
+    scored = wide.join(names, "trial_id").withColumns({"score": objective(by, "oos_"), "is_score": objective(by, "is_"), "overfit": overfit, "overfit_reason": reason})
+    return rank_trials(scored, ["symbol", "interval"])
 
 
 def objective(name: str, prefix: str = "") -> Column:

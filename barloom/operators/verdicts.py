@@ -52,6 +52,18 @@ def reasons(p: str = "oos_", q: str = "is_") -> Column:
     )
 
 
+def headline(grade: Column, trades: Column, expectancy: Column, softened: Column) -> Column:
+    """One sentence on a grade; where the average is within one standard error of zero it says so instead of naming a gain or a loss."""
+    quiet = F.concat(F.lit("No clear edge out of sample: the small average "), F.when(expectancy > 0, "gain").otherwise("loss"), F.lit(" is within noise."))
+    return (
+        F.when(grade == "not_enough_data", F.concat(F.lit("A verdict needs "), F.lit(str(MIN_TRADES)), F.lit(" out-of-sample trades or more; there are "), trades.cast("string"), F.lit(".")))
+        .when(grade == "holds", "Held up out of sample; simulated results promise no profit.")
+        .when(softened, quiet)
+        .when(grade == "fails", "Out of sample the average trade lost money.")
+        .otherwise("Profitable out of sample, but too weak or too uneven to rely on.")
+    )
+
+
 def side_by_side(split: DataFrame, keys: list[str]) -> DataFrame:
     """One row for each run with the figures of both parts as is_* and oos_*."""
     names = [c for c in split.columns if c not in (*keys, "part")]
@@ -59,14 +71,15 @@ def side_by_side(split: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def verdicts(split: DataFrame, keys: list[str], failed: DataFrame | None = None) -> DataFrame:
-    """(keys, grade, softened, reasons); runs of ``failed`` (keys, n) could not be split."""
+    """(keys, grade, headline, softened, reasons); runs of ``failed`` (keys, n) could not be split."""
     wide = side_by_side(split, keys)
     _, soft = noise(F.col("oos_trades"), F.col("oos_expectancy_pct"), F.col("oos_expectancy_stdev_pct"))
-    out = wide.select(*keys, grade(F.col("oos_trades"), F.col("oos_expectancy_pct"), F.col("oos_profit_factor"), F.col("is_expectancy_pct")).alias("grade"), F.coalesce(soft, F.lit(False)).alias("softened"), reasons().alias("reasons"))
+    graded = wide.withColumn("grade", grade(F.col("oos_trades"), F.col("oos_expectancy_pct"), F.col("oos_profit_factor"), F.col("is_expectancy_pct"))).withColumn("softened", F.coalesce(soft, F.lit(False)))
+    out = graded.select(*keys, "grade", headline(F.col("grade"), F.col("oos_trades"), F.col("oos_expectancy_pct"), F.col("softened")).alias("headline"), "softened", reasons().alias("reasons"))
     if failed is None:
         return out
     text = F.concat(F.lit("Only "), F.col("n").cast("string"), F.lit(" candles, too few to split."))
-    return out.unionByName(failed.select(*keys, F.lit("not_enough_data").alias("grade"), F.lit(False).alias("softened"), F.array(text).alias("reasons")))
+    return out.unionByName(failed.select(*keys, F.lit("not_enough_data").alias("grade"), text.alias("headline"), F.lit(False).alias("softened"), F.array(text).alias("reasons")))
 
 
 def market_list(requests: DataFrame, default: list[str], most: int = 5) -> DataFrame:
@@ -77,18 +90,33 @@ def market_list(requests: DataFrame, default: list[str], most: int = 5) -> DataF
 
 
 def cross_market(graded: DataFrame, keys: list[str]) -> DataFrame:
-    """(keys, grade, holds, tested, requested) over rows (keys, symbol, grade); a NULL grade could not be checked."""
+    """(keys, grade, holds, tested, requested, reasons, unchecked) over rows (keys, symbol, grade); a NULL grade could not be checked.
+
+    reasons name the markets that decide the grade, from the worst kind on;
+    both lists are in the order of names.
+    """
     n = lambda g: F.count_if(F.col("grade") == g)
-    parts = graded.groupBy(*keys).agg(F.count("grade").alias("tested"), F.count("*").alias("requested"), n("holds").alias("holds"), n("fragile").alias("fragile"), n("fails").alias("fails"), n("not_enough_data").alias("thin"))
+    named = lambda c: F.array_sort(F.collect_list(F.when(c, F.col("symbol").cast("string"))))
+    kinds = ["fails", "fragile", "not_enough_data"]
+    parts = graded.groupBy(*keys).agg(
+        F.count("grade").alias("tested"), F.count("*").alias("requested"), *(n(g).alias(g) for g in ("holds", *kinds)),
+        *(named(F.col("grade") == g).alias(f"{g}_in") for g in kinds), named(F.col("grade").isNull()).alias("unchecked"),
+    )
     g = (
         F.when(F.col("tested") < MIN_MARKETS, "not_enough_data")
         .when(F.col("fails") > 0, "fails")
         .when(F.col("requested") > F.col("tested"), "fragile")
         .when(F.col("fragile") > 0, "fragile")
-        .when(F.col("thin") > 0, F.when(F.col("holds") == 0, "not_enough_data").otherwise("fragile"))
+        .when(F.col("not_enough_data") > 0, F.when(F.col("holds") == 0, "not_enough_data").otherwise("fragile"))
         .otherwise("holds")
     )
-    return parts.select(*keys, g.alias("grade"), "holds", "tested", "requested")
+    told = lambda names, text: F.when(F.size(names) > 0, F.concat(F.lit(text), F.array_join(names, ", "), F.lit(".")))
+    why = F.array(
+        F.when(F.col("tested") < MIN_MARKETS, F.concat(F.lit("Markets checked: "), F.col("tested").cast("string"), F.lit("; at least two are needed."))),
+        told("fails_in", "Fails on "), told("unchecked", "Could not be checked: "), told("fragile_in", "Fragile on "), told("not_enough_data_in", "Too few trades on "),
+        F.when(F.col("holds") > 0, F.concat(F.lit("Holds on "), F.col("holds").cast("string"), F.lit(" of "), F.col("requested").cast("string"), F.lit(" markets."))),
+    )
+    return parts.select(*keys, g.alias("grade"), "holds", "tested", "requested", F.filter(why, lambda x: x.isNotNull()).alias("reasons"), "unchecked")
 
 
 def timeframe_cells(rows: DataFrame) -> DataFrame:
@@ -107,7 +135,7 @@ def compare_claim(claimed: Column, rate: Column) -> tuple[Column, Column]:
     one = lambda c: F.format_string("%.1f%%", c)
     held = F.when(claimed.isNotNull() & rate.isNotNull(), rate >= claimed)
     text = (
-        F.when(claimed.isNull(), "The video did not give a win rate to check.")
+        F.when(claimed.isNull(), "No win rate was claimed.")
         .when(rate.isNull(), "There were not enough held-back trades to check the claimed win rate.")
         .otherwise(F.concat(F.when(held, "The claim held: ").otherwise("The claim did not hold: "), one(rate), F.lit(" of held-back trades won, against "), one(claimed), F.lit(" claimed.")))
     )

@@ -47,9 +47,39 @@ tr AS (
 td AS (
   SELECT *, coalesce(product(1 + return_pct / 100) OVER (PARTITION BY symbol ORDER BY trade_no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 1.0) AS before FROM tr),
 eq AS (
-  SELECT b.symbol, b.interval, b.idx, b.ts, b.close,
+  SELECT b.symbol, b.interval, b.idx, b.ts, b.open, b.close,
          CASE WHEN o.trade_no IS NOT NULL THEN o.before * (1 + o.sign * (b.close / o.entry_price - 1) - {COST}::DOUBLE * (1 + b.close / o.entry_price))
               ELSE coalesce((SELECT max_by(z.before * (1 + z.return_pct / 100), z.trade_no) FROM td z WHERE z.symbol = b.symbol AND z.exit_idx <= b.idx), 1.0) END AS equity
   FROM b LEFT JOIN td o ON o.symbol = b.symbol AND b.idx >= o.entry_idx AND b.idx < o.exit_idx)
 """
 )
+
+
+def trades_sql(flags: str, keys: str = "symbol", stop: str = "NULL", target: str = "NULL", rearm: bool = True, once_a_day: bool = False) -> str:
+    """CTEs up to ``tx``, the trades of each run, made bar by bar by a recursive query.
+
+    ``flags`` are CTEs up to f (keys, idx, n, ts, open, high, low, close, entry,
+    exit_, sign). The state after a bar: want (enter at the next open), the open
+    trade (ei, ep, sg), leave (exit at the next open), armed, the day of the last
+    fill, and what ended on this bar (reason, xp). ``stop`` and ``target`` are
+    percentages as SQL over f.
+    """
+    on = " AND ".join(f"f.{k.strip()} = r.{k.strip()}" for k in keys.split(","))
+    f_keys = ", ".join(f"f.{k.strip()}" for k in keys.split(","))
+    free = f"f.entry AND f.idx < f.n - 1{' AND coalesce(f.ts // 86400000 <> fday, true)' if once_a_day else ''}"
+    return f"""{flags},
+r AS (
+  SELECT {keys}, -1 AS idx, false AS want, NULL::INTEGER AS ei, NULL::DOUBLE AS ep, NULL::INTEGER AS sg, NULL::INTEGER AS nsg, false AS leave, true AS armed, NULL::BIGINT AS day, NULL::VARCHAR AS reason, NULL::DOUBLE AS xp, NULL::INTEGER AS oi, NULL::DOUBLE AS op, NULL::INTEGER AS og FROM f WHERE idx = 0
+  UNION ALL
+  SELECT {keys}, idx, starts, CASE WHEN why IS NULL THEN e1 END, CASE WHEN why IS NULL THEN p1 END, CASE WHEN why IS NULL THEN s1 END, sign, goes, ready, fday, why, price, e1, p1, s1 FROM (
+    SELECT {f_keys}, f.idx, f.sign,
+      CASE WHEN r.want THEN f.idx ELSE r.ei END AS e1, CASE WHEN r.want THEN f.open ELSE r.ep END AS p1, CASE WHEN r.want THEN r.nsg ELSE r.sg END AS s1, CASE WHEN r.want THEN f.ts // 86400000 ELSE r.day END AS fday,
+      p1 * (1 - s1 * ({stop}) / 100) AS sl, p1 * (1 + s1 * ({target}) / 100) AS tp, CASE WHEN s1 > 0 THEN f.low ELSE f.high END AS near, CASE WHEN s1 > 0 THEN f.high ELSE f.low END AS far,
+      CASE WHEN e1 IS NULL THEN NULL WHEN r.leave THEN 'Signal' WHEN s1 * f.open <= s1 * sl THEN 'StopLoss' WHEN s1 * f.open >= s1 * tp THEN 'TakeProfit' WHEN s1 * near <= s1 * sl THEN 'StopLoss' WHEN s1 * far >= s1 * tp THEN 'TakeProfit' WHEN f.idx = f.n - 1 THEN 'EndOfData' END AS why,
+      CASE why WHEN 'Signal' THEN f.open WHEN 'StopLoss' THEN CASE WHEN s1 * f.open <= s1 * sl THEN f.open ELSE sl END WHEN 'TakeProfit' THEN CASE WHEN s1 * f.open >= s1 * tp THEN f.open ELSE tp END WHEN 'EndOfData' THEN f.close END AS price,
+      e1 IS NOT NULL AND why IS NULL AS held, held AND f.exit_ AND f.idx < f.n - 1 AS goes, {'CASE WHEN why IS NOT NULL THEN false ELSE r.armed END' if rearm else 'true'} AS able, NOT held AND able AND {free} AS starts, able OR (NOT held AND NOT f.entry AND f.idx < f.n - 1) AS ready
+    FROM r JOIN f ON {on} AND f.idx = r.idx + 1)),
+tx AS (
+  SELECT {keys}, (row_number() OVER (PARTITION BY {keys} ORDER BY oi) - 1)::INTEGER AS trade_no, oi AS entry_idx, idx AS exit_idx, CASE WHEN og > 0 THEN 'long' ELSE 'short' END AS side, op AS entry_price, xp AS exit_price,
+    100 * (og * (xp / op - 1) - {COST}::DOUBLE * (1 + xp / op)) AS return_pct, reason FROM r WHERE reason IS NOT NULL)
+"""

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import json
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -11,7 +9,7 @@ from barloom.functions import columns as col
 from barloom.operators import backtest, rules, stats, sweep, text_jobs, verdicts
 from barloom.operators.indicators import with_idx
 
-from .base import COST, TRADES, query
+from .base import BARS, COST, TRADES, query, trades_sql
 from .data import W, bars
 
 KEYS = ["symbol", "interval"]
@@ -39,6 +37,24 @@ def T(body: str) -> str:
     return f"WITH {TRADES.strip()} {body}"
 
 
+#: Hourly bars with their number n, as the flags of trades_sql start from.
+NUMBERED = f"{BARS.strip()}, bn AS (SELECT *, count(*) OVER (PARTITION BY symbol)::INTEGER AS n FROM b)"
+
+
+def RUN(flags: str, select: str, **rules: object) -> str:
+    return f"WITH RECURSIVE {trades_sql(f'{NUMBERED}, {flags}', **rules)} {select}"
+
+
+TRADE_ROWS = """SELECT tx.symbol, '1h' AS interval, trade_no, entry_idx, exit_idx, e.ts AS entry_ts, x.ts AS exit_ts, side, round(entry_price, 6) AS entry_price, round(exit_price, 6) AS exit_price, round(return_pct, 6) AS return_pct, reason, NULL::VARCHAR AS error
+  FROM tx JOIN b e ON e.symbol = tx.symbol AND e.idx = entry_idx JOIN b x ON x.symbol = tx.symbol AND x.idx = exit_idx"""
+CROSS_FLAGS = """f0 AS (SELECT *, CASE WHEN idx >= 9 THEN avg(close) OVER (PARTITION BY symbol ORDER BY idx ROWS 9 PRECEDING) END AS m FROM bn),
+  f AS (SELECT symbol, idx, n, ts, open, high, low, close, coalesce(lag(close) OVER w <= lag(m) OVER w AND close > m, false) AS entry, coalesce(lag(close) OVER w >= lag(m) OVER w AND close < m, false) AS exit_, 1 AS sign FROM f0 WINDOW w AS (PARTITION BY symbol ORDER BY idx))"""
+
+
+def _rounded(trades: DataFrame) -> DataFrame:
+    return _six(trades, ["entry_price", "exit_price", "return_pct"])
+
+
 # -- rules ----------------------------------------------------------------------
 def _texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A strategy for each part: thresholds, periods and mistakes follow the part's columns."""
@@ -103,19 +119,19 @@ def d3_eval_conditions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rules.eval_conditions(rules.parse_conditions(rules.strategy_rows(spark, made)), values).select("strategy_id", "symbol", "ts", "hit")
 
 
-@query()
+@query(RUN("f AS (SELECT *, close > 104 AS entry, false AS exit_, 1 AS sign FROM bn)", TRADE_ROWS, stop="2", target="2"))
 def d4_rearm(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A level rule with a close target: the next entry waits for a bar on which the rule is false."""
     level = CROSS | {"entry": {"all": [{"left": {"ind": "close"}, "op": ">", "right": 104}]}, "exit": {}, "stop_loss_pct": 2, "take_profit_pct": 2}
-    return backtest.run_strategy(bars(spark, sf_dir), level)
+    return _rounded(backtest.run_strategy(bars(spark, sf_dir), level))
 
 
-@query()
+@query(RUN("f AS (SELECT *, high - low > 8 AND close <> open AS entry, NOT (high - low > 8) AS exit_, CASE WHEN close > open THEN 1 ELSE -1 END AS sign FROM bn)", TRADE_ROWS, rearm=False))
 def d5_custom_strategy(spark: SparkSession, sf_dir: str) -> DataFrame:
     wide = F.col("high") - F.col("low") > 8
     side = F.when(wide & (F.col("close") > F.col("open")), "long").when(wide & (F.col("close") < F.col("open")), "short")
     flagged = backtest.custom_flags(bars(spark, sf_dir), side, ~wide)
-    return backtest.backtest_trades(flagged, rearm=False)
+    return _rounded(backtest.backtest_trades(flagged, rearm=False))
 
 
 def _good(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
@@ -211,9 +227,9 @@ def e4_resolve_exit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p.select("trade", "idx", F.round(price, 6).alias("price"), reason.alias("reason"))
 
 
-@query()
+@query(RUN(CROSS_FLAGS, TRADE_ROWS, stop="4", target="8"))
 def e5_backtest_trades(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return backtest.run_strategy(bars(spark, sf_dir), CROSS)
+    return _rounded(backtest.run_strategy(bars(spark, sf_dir), CROSS))
 
 
 @query()
@@ -221,13 +237,19 @@ def e5_session_trades(spark: SparkSession, sf_dir: str) -> DataFrame:
     return backtest.run_strategy(bars(spark, sf_dir), DIP | {"stop_loss_pct": 5}, session=(480, 1200), exit_at_session_end=True, trail_pct=3.0)
 
 
-@query()
+@query(
+    RUN(
+        """g AS (SELECT *, row_number() OVER (PARTITION BY symbol, ts // 86400000 ORDER BY ts) AS k FROM bn), g2 AS (SELECT *, max(high) FILTER (k <= 4) OVER d AS rh, min(low) FILTER (k <= 4) OVER d AS rl FROM g WINDOW d AS (PARTITION BY symbol, ts // 86400000)),
+  f AS (SELECT symbol, idx, n, ts, open, high, low, close, k > 4 AND (close > rh * (1 + 0.1::DOUBLE / 100) OR close < rl * (1 - 0.1::DOUBLE / 100)) AS entry, false AS exit_, CASE WHEN close > rh * (1 + 0.1::DOUBLE / 100) THEN 1 ELSE -1 END AS sign FROM g2)""",
+        TRADE_ROWS, stop="3", target="5", rearm=False, once_a_day=True,
+    )
+)
 def e5_opening_range_trades(spark: SparkSession, sf_dir: str) -> DataFrame:
     from barloom.operators.indicators import opening_range_breakout
 
     b = opening_range_breakout(bars(spark, sf_dir), 4, 0.1)
     flagged = backtest.custom_flags(b.withColumnRenamed("side", "breakout"), F.col("breakout"), F.lit(False))
-    return backtest.backtest_trades(flagged, rearm=False, fills_per_day=1, stop_pct=3.0, target_pct=5.0)
+    return _rounded(backtest.backtest_trades(flagged, rearm=False, fills_per_day=1, stop_pct=3.0, target_pct=5.0))
 
 
 def _trades(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -287,7 +309,7 @@ def f1_trade_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _six(stats.trade_stats(t, ["symbol"], b.select("symbol").distinct()), TRADE_COLUMNS)
 
 
-@query(T("SELECT symbol, round(100 * (max_by(equity, idx) / min_by(equity, idx) - 1), 6) AS total_return_pct, round(100 * (max_by(close, idx) / min_by(close, idx) - 1), 6) AS buy_and_hold_pct FROM eq GROUP BY symbol"))
+@query(T("SELECT symbol, round(100 * (max_by(equity, idx) / min_by(equity, idx) - 1), 6) AS total_return_pct, round(100 * (max_by(close, idx) / min_by(open, idx) - 1), 6) AS buy_and_hold_pct FROM eq GROUP BY symbol"))
 def f2_return_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _six(stats.return_stats(_trades(spark, sf_dir)[2], ["symbol"]), ["total_return_pct", "buy_and_hold_pct"])
 
@@ -366,9 +388,9 @@ def f11_drawdown_series(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 SPLIT = """n AS (SELECT symbol, floor(count(*) * 0.7::DOUBLE)::INTEGER AS cut FROM eq GROUP BY symbol), ba AS (SELECT eq.symbol, n.cut, eq.equity AS base FROM eq JOIN n ON n.symbol = eq.symbol AND eq.idx = n.cut - 1),
-  sp AS (SELECT eq.symbol, CASE WHEN idx < cut THEN 'IS' ELSE 'OOS' END AS part, idx, close, CASE WHEN idx < cut THEN equity ELSE equity / base END AS equity FROM eq JOIN ba USING (symbol) UNION ALL SELECT symbol, 'OOS', cut - 1, NULL, 1.0 FROM ba),
+  sp AS (SELECT eq.symbol, CASE WHEN idx < cut THEN 'IS' ELSE 'OOS' END AS part, idx, open, close, CASE WHEN idx < cut THEN equity ELSE equity / base END AS equity FROM eq JOIN ba USING (symbol) UNION ALL SELECT symbol, 'OOS', cut - 1, NULL, NULL, 1.0 FROM ba),
   sg AS (SELECT *, equity / lag(equity) OVER w AS g, max(equity) OVER w AS peak FROM sp WINDOW w AS (PARTITION BY symbol, part ORDER BY idx)),
-  cu AS (SELECT symbol, part, round(100 * (max_by(equity, idx) / min_by(equity, idx) - 1), 6) AS total_return_pct, round(100 * (max_by(close, idx) FILTER (close IS NOT NULL) / min_by(close, idx) FILTER (close IS NOT NULL) - 1), 6) AS buy_and_hold_pct,
+  cu AS (SELECT symbol, part, round(100 * (max_by(equity, idx) / min_by(equity, idx) - 1), 6) AS total_return_pct, round(100 * (max_by(close, idx) FILTER (close IS NOT NULL) / min_by(open, idx) FILTER (open IS NOT NULL) - 1), 6) AS buy_and_hold_pct,
     round(max(100 * (peak - equity) / peak), 6) AS max_drawdown_pct, round(avg(g - 1) / stddev_pop(g - 1) * sqrt(8760), 6) AS sharpe FROM sg GROUP BY ALL),
   tp AS (SELECT tr.*, CASE WHEN entry_idx < cut THEN 'IS' ELSE 'OOS' END AS part FROM tr JOIN n USING (symbol)),
   ts AS (SELECT symbol, part, """ + TRADE_SQL + " FROM tp GROUP BY symbol, part)"
@@ -387,9 +409,9 @@ def f12_split_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 FOLDS = """nf AS (SELECT symbol, count(*) AS n FROM eq GROUP BY symbol),
   fo AS (SELECT symbol, f::INTEGER AS fold, part, CASE WHEN part = 'IS' THEN 0 ELSE n * (f + 1) // 4 END AS lo, CASE WHEN part = 'IS' THEN n * (f + 1) // 4 ELSE n * (f + 2) // 4 END AS hi FROM nf, range(3) AS r(f), (VALUES ('IS'), ('OOS')) AS p(part)),
-  fw AS (SELECT eq.symbol, fold, part, idx, close, CASE WHEN idx = lo THEN 1.0 ELSE equity / first_value(equity) OVER (PARTITION BY eq.symbol, fold, part ORDER BY idx) END AS equity FROM eq JOIN fo ON fo.symbol = eq.symbol AND idx >= lo AND idx < hi),
+  fw AS (SELECT eq.symbol, fold, part, idx, open, close, CASE WHEN idx = lo THEN 1.0 ELSE equity / first_value(equity) OVER (PARTITION BY eq.symbol, fold, part ORDER BY idx) END AS equity FROM eq JOIN fo ON fo.symbol = eq.symbol AND idx >= lo AND idx < hi),
   fg AS (SELECT *, equity / lag(equity) OVER w AS g, max(equity) OVER w AS peak FROM fw WINDOW w AS (PARTITION BY symbol, fold, part ORDER BY idx)),
-  fc AS (SELECT symbol, fold, part, round(100 * (max_by(equity, idx) / min_by(equity, idx) - 1), 6) AS total_return_pct, round(100 * (max_by(close, idx) / min_by(close, idx) - 1), 6) AS buy_and_hold_pct, round(max(100 * (peak - equity) / peak), 6) AS max_drawdown_pct,
+  fc AS (SELECT symbol, fold, part, round(100 * (max_by(equity, idx) / min_by(equity, idx) - 1), 6) AS total_return_pct, round(100 * (max_by(close, idx) / min_by(open, idx) - 1), 6) AS buy_and_hold_pct, round(max(100 * (peak - equity) / peak), 6) AS max_drawdown_pct,
     round(avg(g - 1) / stddev_pop(g - 1) * sqrt(8760), 6) AS sharpe FROM fg GROUP BY ALL),
   ft AS (SELECT tr.symbol, fold, part, """ + TRADE_SQL + " FROM tr JOIN fo ON fo.symbol = tr.symbol AND entry_idx >= lo AND entry_idx < hi GROUP BY ALL)"
 
@@ -483,7 +505,7 @@ GRADED = "gr AS (SELECT l_partkey, l_suppkey, CASE WHEN sum(l_quantity) % 5 = 0
   SELECT l_partkey, CASE WHEN tested < 2 THEN 'not_enough_data' WHEN fa > 0 THEN 'fails' WHEN requested > tested OR fr > 0 THEN 'fragile' WHEN th > 0 THEN CASE WHEN holds = 0 THEN 'not_enough_data' ELSE 'fragile' END ELSE 'holds' END AS grade, holds, tested, requested FROM k"""
 )
 def g5_cross_market(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return verdicts.cross_market(_graded(spark, sf_dir), ["l_partkey"])
+    return verdicts.cross_market(_graded(spark, sf_dir), ["l_partkey"]).drop("reasons", "unchecked")
 
 
 @query(
@@ -507,7 +529,7 @@ def g8_weak_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    """SELECT event_id, c IS NOT NULL AND r IS NOT NULL AND r >= c AS held, CASE WHEN c IS NULL THEN 'The video did not give a win rate to check.' WHEN r IS NULL THEN 'There were not enough held-back trades to check the claimed win rate.'
+    """SELECT event_id, c IS NOT NULL AND r IS NOT NULL AND r >= c AS held, CASE WHEN c IS NULL THEN 'No win rate was claimed.' WHEN r IS NULL THEN 'There were not enough held-back trades to check the claimed win rate.'
   ELSE printf('The claim %s: %.1f%% of held-back trades won, against %.1f%% claimed.', CASE WHEN r >= c THEN 'held' ELSE 'did not hold' END, r, c) END AS sentence
   FROM (SELECT event_id, CASE WHEN event_id % 5 > 0 THEN (event_id % 40)::DOUBLE END AS c, CASE WHEN event_id % 7 > 0 THEN (event_id % 50)::DOUBLE END AS r FROM events)"""
 )
@@ -521,9 +543,23 @@ def g9_compare_claim(spark: SparkSession, sf_dir: str) -> DataFrame:
 GRID = [("stop_loss_pct", sweep.expand_values("float", [1, 2, 3])), ("take_profit_pct", sweep.expand_values("float", [2, 4])), ("entry.all.0.right.period", sweep.expand_values("int", low=8, high=12, step=2))]
 
 
-@query()
+#: The trials of GRID in its order, and their flags: the average over p bars is the crossed one.
+TRIALS = "tg AS (SELECT (row_number() OVER (ORDER BY s, t, p) - 1)::INTEGER AS trial_id, s::DOUBLE AS s, t::DOUBLE AS t, p FROM (VALUES (1), (2), (3)) AS a(s), (VALUES (2), (4)) AS b(t), (VALUES (8), (10), (12)) AS c(p))"
+TRIAL_FLAGS = TRIALS + """, mm AS (SELECT *, CASE WHEN idx >= 7 THEN avg(close) OVER (PARTITION BY symbol ORDER BY idx ROWS 7 PRECEDING) END AS m8, CASE WHEN idx >= 9 THEN avg(close) OVER (PARTITION BY symbol ORDER BY idx ROWS 9 PRECEDING) END AS m10, CASE WHEN idx >= 11 THEN avg(close) OVER (PARTITION BY symbol ORDER BY idx ROWS 11 PRECEDING) END AS m12 FROM bn),
+  f0 AS (SELECT mm.*, trial_id, s, t, CASE p WHEN 8 THEN m8 WHEN 10 THEN m10 ELSE m12 END AS m FROM mm, tg),
+  f AS (SELECT symbol, trial_id, s, t, idx, n, ts, open, high, low, close, coalesce(lag(close) OVER w <= lag(m) OVER w AND close > m, false) AS entry, coalesce(lag(close) OVER w >= lag(m10) OVER w AND close < m10, false) AS exit_, 1 AS sign FROM f0 WINDOW w AS (PARTITION BY symbol, trial_id ORDER BY idx))"""
+
+
+@query(RUN(TRIAL_FLAGS, TRADE_ROWS.replace("tx.symbol,", "tx.symbol, trial_id,"), keys="symbol, trial_id", stop="f.s", target="f.t"))
 def h4_sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return sweep.sweep_trades(bars(spark, sf_dir), CROSS, sweep.grid_combos(spark, GRID), batch=6)
+    return _rounded(sweep.sweep_trades(bars(spark, sf_dir), CROSS, sweep.grid_combos(spark, GRID), batch=9))
+
+
+@query()
+def h4_sweep_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The figures of every trial of the grid in three walk-forward folds, on every series."""
+    found = sweep.sweep_stats(bars(spark, sf_dir), CROSS, sweep.grid_combos(spark, GRID), HOUR_YEAR, folds=3, batch=9)
+    return _six(found, TRADE_COLUMNS + CURVE_COLUMNS)
 
 
 @query()
@@ -667,15 +703,21 @@ def job_backtest_verdict(spark: SparkSession, sf_dir: str) -> DataFrame:
     return v.withColumn("reasons", F.array_join("reasons", " "))
 
 
-@query()
+@query(
+    RUN(
+        TRIAL_FLAGS,
+        """, w AS (SELECT f.symbol, f.trial_id, coalesce(avg(return_pct) FILTER (entry_idx >= floor(f.n * 0.7::DOUBLE)), 0) AS score, coalesce(avg(return_pct) FILTER (entry_idx < floor(f.n * 0.7::DOUBLE)), 0) AS is_score, count(return_pct) FILTER (entry_idx < floor(f.n * 0.7::DOUBLE)) AS is_trades, count(return_pct) FILTER (entry_idx >= floor(f.n * 0.7::DOUBLE)) AS oos_trades
+    FROM f LEFT JOIN tx ON tx.symbol = f.symbol AND tx.trial_id = f.trial_id WHERE f.idx = 0 GROUP BY ALL),
+  k AS (SELECT w.*, 'entry.all.0.right.period=' || p || '.0,stop_loss_pct=' || tg.s || ',take_profit_pct=' || tg.t AS params_key FROM w JOIN tg USING (trial_id))
+  SELECT symbol, row_number() OVER (PARTITION BY symbol ORDER BY round(score, 9) DESC, params_key)::INTEGER AS rank, params_key, round(score, 6) AS score, round(is_score, 6) AS is_score, is_trades, oos_trades FROM k""",
+        keys="symbol, trial_id", stop="f.s", target="f.t",
+    )
+)
 def job_sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A grid on every series, ranked by the mean return of the later trades."""
+    """A grid on every series: trades, split at 70 % of each series' bars, score, rank, overfitting."""
     combos = sweep.grid_combos(spark, GRID)
-    t = sweep.sweep_trades(bars(spark, sf_dir), CROSS, combos, batch=6).where("trade_no is not null")
-    part = F.when(F.col("entry_ts") < 1_705_600_000_000, "IS").otherwise("OOS")
-    s = stats.trade_stats(t.withColumn("part", part), ["symbol", "trial_id", "part"])
-    wide = verdicts.side_by_side(s, ["symbol", "trial_id"]).join(F.broadcast(combos.select("trial_id", sweep.params_key(F.col("params")).alias("params_key"))), "trial_id")
-    return sweep.rank_trials(wide.withColumn("score", F.round(F.coalesce("oos_expectancy_pct", F.lit(0.0)), 6)), ["symbol"]).select("symbol", "rank", "params_key", "score", "is_trades", "oos_trades")
+    found = sweep.sweep_stats(bars(spark, sf_dir), CROSS, combos, HOUR_YEAR, batch=9)
+    return _six(sweep.sweep_results(found, combos, "expectancy"), ["score", "is_score"]).select("symbol", "rank", "params_key", "score", "is_score", "is_trades", "oos_trades")
 
 
 @query()
@@ -687,5 +729,3 @@ def job_supplier_backtest(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = backtest.run_strategy(b, CROSS)
     return _six(stats.all_stats(t, backtest.equity_curve(b, t), KEYS, F.lit(365)), TRADE_COLUMNS + [*CURVE_COLUMNS, "sortino"])
 
-
-STRATEGIES = {"cross": json.dumps(CROSS), "dip": json.dumps(DIP)}

@@ -9,10 +9,12 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_path(spark: SparkSession, name: str) -> str:
-    """A new path in the folder of spark.checkpoint.dir; a temporary folder only where the session names none."""
+    """A new path in the folder of spark.checkpoint.dir; a temporary one only where the session names none, and in local mode alone."""
     sc = spark.sparkContext
     root = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
     if not root:
+        if not sc.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         sc.setCheckpointDir(tempfile.mkdtemp(prefix="barloom-"))
         root = sc.getCheckpointDir()
     return f"{root}/{name}-{uuid.uuid4().hex}"
