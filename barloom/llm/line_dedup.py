@@ -38,6 +38,8 @@ columns stay as they are.
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -48,9 +50,11 @@ from .common import MAX_BROADCAST, only, stash, table
 MIN_WORDS = 5
 RARITY_BUCKETS = 1 << 15
 LARGE = 32  # smaller groups of near copies are listed as pairs: at most so many for each class
-LONG = 80  # sets of more words have twice as many parities
+LONG, LONGER = 56, 150  # sets of more words have 128 and 256 parities instead of 64
+PARITIES = ["parity", "parity2", "parity3", "parity4"]
 MAX_COPIES = 1_000_000  # places, of 8 bytes each, that may be broadcast
-MOST = (1 << 16) - 1  # larger sets are stored with this size and pass each filter
+MOST = (1 << 16) - 1  # larger sets are stored with this size
+TRIED = 8  # prefix tokens by which poles are looked for
 DIGIT = 4  # bits of a place that near_links takes at a time
 BLOCK = 256  # classes of a pole that are compared at once
 
@@ -69,8 +73,8 @@ class Place:
     """Puts a document's id and a line's number into one number that orders lines: a long if all ids fit, else a decimal."""
 
     def __init__(self, docs: DataFrame, key: str, text: str):
-        lines = F.max(F.size(F.split(F.col(text), "\n")))
-        low, high, most, rows, ids = docs.agg(F.min(key), F.max(key), lines, F.count(key), F.count_distinct(key)).first()
+        # a text has no more lines than bytes, and one
+        low, high, most, rows, ids = docs.agg(F.min(key), F.max(key), F.max(F.octet_length(text)) + 1, F.count(key), F.count_distinct(key)).first()
         bits = max(1, int(most or 0).bit_length())
         self.long = low is None or 0 <= low and high < 1 << (62 - bits)
         self.base, self.kind = (1 << bits, "long") if self.long else (1 << 32, "decimal(31,0)")
@@ -125,28 +129,32 @@ def _prefix(n: Column) -> Column:
 
 
 def line_sets(lines: DataFrame, levels: Column) -> DataFrame:
-    """(at, h1, h2, ends, n, parity, parity2, prefix) of each line.
+    """(at, h1, h2, ends, n, parity, ..., parity4, prefix) of each line.
 
     h1 and h2 are the digest of its set, ends that of its smallest and largest
     hash, prefix its rarest tokens, cut to their upper 40 bits. parity has a bit
     for each of 64 groups of words, set if the set holds an odd number of them:
-    two sets differ in at least as many words as their parities in bits. For
-    long sets parity2 is the parity of half of the groups of 128, else NULL.
+    two sets differ in at least as many words as their parities in bits. Long
+    sets have more groups: parity2 counts the words with bit 6 of their token,
+    parity3 those with bit 7 and parity4 those with both; else these are NULL.
     """
     hashes = F.array_remove(F.array_distinct(F.transform(split_words(F.col("line")), lambda w: F.xxhash64(w))), F.xxhash64(F.lit("")))
     token = lambda h: F.get(levels, h.bitwiseAND(F.lit(RARITY_BUCKETS - 1).cast("long")).cast("int")).bitwiseOR(F.shiftrightunsigned(h, 7))
     sets = lines.select("at", hashes.alias("hashes"))
     sets = sets.select("at", F.xxhash64(F.array_min("hashes"), F.array_max("hashes")).alias("ends"), F.sort_array(F.transform("hashes", token)).alias("tokens"))
     bit = lambda t: F.call_function("shiftleft", F.lit(1).cast("long"), t.bitwiseAND(F.lit(63).cast("long")).cast("int"))
-    half = lambda a, t: F.when(t.bitwiseAND(F.lit(64).cast("long")) == 0, a).otherwise(a.bitwiseXOR(bit(t)))
+
+    def parity(least: int, mask: int) -> Column:
+        of = lambda a, t: a.bitwiseXOR(bit(t)) if not mask else F.when(t.bitwiseAND(F.lit(mask).cast("long")) == mask, a.bitwiseXOR(bit(t))).otherwise(a)
+        return F.when(F.size("tokens") > least, F.aggregate("tokens", F.lit(0).cast("long"), of))
+
     return sets.select(
         "at",
         F.xxhash64("tokens").alias("h1"),
         F.xxhash64(F.lit(1), "tokens").alias("h2"),
         "ends",
         F.size("tokens").alias("n"),
-        F.aggregate("tokens", F.lit(0).cast("long"), lambda a, t: a.bitwiseXOR(bit(t))).alias("parity"),
-        F.when(F.size("tokens") > LONG, F.aggregate("tokens", F.lit(0).cast("long"), half)).alias("parity2"),
+        *(parity(*how).alias(name) for name, how in zip(PARITIES, ((0, 0), (LONG, 64), (LONGER, 128), (LONGER, 192)), strict=True)),
         F.transform(F.slice("tokens", 1, _prefix(F.size("tokens"))), lambda t: t.bitwiseAND(F.lit(-1 << 24).cast("long"))).alias("prefix"),
     )
 
@@ -155,7 +163,9 @@ def copies(sets: DataFrame) -> DataFrame:
     """(x, y): lines x whose set is that of an earlier line, and the first line y of their class."""
     light = sets.select("at", "h1", "h2")
     firsts = light.groupBy("h1", "h2").agg(F.min("at").alias("first"), F.max("at").alias("last")).where("first <> last").drop("last")
-    return light.join(firsts, ["h1", "h2"]).where("at <> first").select(F.col("at").alias("x"), F.col("first").alias("y")).distinct()
+    firsts = stash(firsts, "firsts")
+    small = firsts.limit(MAX_BROADCAST + 1).count() <= MAX_BROADCAST
+    return light.join(F.broadcast(firsts) if small else firsts, ["h1", "h2"]).where("at <> first").select(F.col("at").alias("x"), F.col("first").alias("y")).distinct()
 
 
 def verify(pairs: DataFrame, lines: Lines) -> DataFrame:
@@ -171,11 +181,12 @@ def verify(pairs: DataFrame, lines: Lines) -> DataFrame:
 def _index(classes: DataFrame) -> DataFrame:
     """(entry, ...): a row for each prefix token; entry holds the token, the size of the set and the token's position.
 
-    Positions beyond 255 are stored as 255, which only lets more pairs pass.
+    Positions beyond 255 are stored as 255, and as 0 in sets of more than
+    ``MOST`` words, which only lets more pairs pass.
     """
     rest = [c for c in classes.columns if c not in ("n", "prefix")]
     each = classes.select("n", *rest, F.posexplode("prefix").alias("pos", "token"))
-    low = F.shiftleft(F.least("n", F.lit(MOST)).cast("long"), 8) + F.least("pos", F.lit(255))
+    low = F.shiftleft(F.least("n", F.lit(MOST)).cast("long"), 8) + F.when(F.col("n") < MOST, F.least("pos", F.lit(255))).otherwise(0)
     return each.select(F.col("token").bitwiseOR(low).alias("entry"), *rest)
 
 
@@ -193,23 +204,23 @@ def _sizes(c: str) -> tuple[Column, Column]:
 
 
 def _alike() -> Column:
-    """The filters of pairs (x, y) of entries of one token.
+    """The filters of pairs (x, y) of entries of one token, the cheapest first.
 
-    By length, by position (what follows a first shared token bounds the
-    overlap, so other pairs than that of the first may go) and by parities.
+    What follows a first shared token, at positions i and j, bounds the overlap:
+    n - i and m - j are at least 3 (n + m) / 7, which bounds the lengths too;
+    entries of later shared tokens may go, as that of the first stays. Then the
+    parities bound the difference. Sizes stored as ``MOST`` only let more pass.
     """
     (n, i), (m, j) = _sizes("x"), _sizes("y")
-    differ = lambda a, b: F.bit_count(a.bitwiseXOR(b))
-    all_, half = differ(F.col("parity_x"), F.col("parity_y")), differ(F.col("parity2_x"), F.col("parity2_y"))
-    rest = differ(F.col("parity_x").bitwiseXOR(F.col("parity2_x")), F.col("parity_y").bitwiseXOR(F.col("parity2_y")))
-    differing = F.coalesce(half + rest, all_)
-    near = (4 * F.least(n, m) >= 3 * F.greatest(n, m)) & (7 * F.least(n - i, m - j) >= 3 * (n + m)) & (7 * differing <= n + m)
-    return near | (F.greatest(n, m) == MOST)
+    a, b, c, d = (F.col(f"{p}_x").bitwiseXOR(F.col(f"{p}_y")) for p in PARITIES)
+    bits = lambda *ps: F.bit_count(reduce(Column.bitwiseXOR, ps))
+    differing = F.coalesce(bits(d) + bits(b, d) + bits(c, d) + bits(a, b, c, d), bits(b) + bits(a, b), bits(a))
+    return (4 * n - 7 * i >= 3 * m) & (4 * m - 7 * j >= 3 * n) & (7 * differing <= n + m)
 
 
 def _candidates(x: DataFrame, y: DataFrame, more: Column) -> DataFrame:
     """(x, y): pairs that share a prefix token and pass the filters and ``more``."""
-    return x.join(y, _token("entry_x") == _token("entry_y")).where(_alike() & more).select("x", "y").distinct()
+    return x.join(y, _token("entry_x") == _token("entry_y")).where(more & _alike()).select("x", "y").distinct()
 
 
 def _poles(classes: DataFrame, lines: Lines) -> DataFrame:
@@ -217,11 +228,12 @@ def _poles(classes: DataFrame, lines: Lines) -> DataFrame:
     if not lines.place.long:
         return lines.docs.sparkSession.createDataFrame([], f"x {lines.place.kind}, pole {lines.place.kind}, n int, delta array<string>")
     poles = classes.groupBy("ends").agg(F.min("at").alias("at"), F.count("*").alias("size")).where(F.col("size") >= LARGE).select("at")
-    columns = ["at", "n", "parity", "parity2", "prefix"]
+    columns = ["at", "n", *PARITIES, "prefix"]
     poles = stash(only(classes, stash(poles, "poles"), "at").select(columns), "poles")
     of_pole = _side(_index(poles), "y")
     small = of_pole.limit(MAX_BROADCAST + 1).count() <= MAX_BROADCAST
-    pairs = _candidates(_side(_index(classes.select(columns)), "x"), F.broadcast(of_pole) if small else of_pole, F.col("x") != F.col("y"))
+    tried = classes.select(columns).withColumn("prefix", F.slice("prefix", 1, TRIED))
+    pairs = _candidates(_side(_index(tried), "x"), F.broadcast(of_pole) if small else of_pole, F.col("x") != F.col("y"))
     only_one = F.concat(F.array_except("words_x", "words_y"), F.array_except("words_y", "words_x"))
     found = verify(stash(pairs, "pairs"), lines).select("x", "y", F.size("words_x").alias("n"), only_one.alias("delta"))
     found = found.union(poles.select("at", "at", "n", F.array().cast("array<string>")))
@@ -236,7 +248,7 @@ def _pairs(classes: DataFrame, skip: DataFrame, links: bool, lines: Lines) -> Da
     shuffle of the index, so the conditions on one side are written such that
     they stay in the join.
     """
-    index = _index(classes.join(skip, "at", "left").select("n", "parity", "parity2", "at", "mark", "prefix"))
+    index = _index(classes.join(skip, "at", "left").select("n", "parity", "at", "mark", *PARITIES[1:], "prefix"))
     same, marked = F.coalesce(F.col("mark_x") == F.col("mark_y"), F.lit(False)), F.col("mark_x").isNotNull() & (F.col("x") != F.col("y"))
     pairs = _candidates(_side(index, "x"), _side(index, "y"), (F.col("y") < F.col("x")) & ~(same if links else marked))
     return verify(stash(pairs, "pairs"), lines).select("x", "y")
@@ -299,7 +311,7 @@ class Join:
         self.lines = Lines(docs, key, text)
         sets = stash(line_sets(self.lines.all(), rarity(docs, text)), "lines").where(F.col("n") >= max(min_words, 1))
         self.copies = stash(copies(sets), "copies")
-        gone, rest = self.copies.select(F.col("x").alias("at")), ["ends", "n", "parity", "parity2", "prefix"]
+        gone, rest = self.copies.select(F.col("x").alias("at")), ["ends", "n", *PARITIES, "prefix"]
         small = self.lines.place.unique and gone.limit(MAX_COPIES + 1).count() <= MAX_COPIES
         self.classes = sets.select("at", *rest).join(F.broadcast(gone) if small else gone.hint("merge"), "at", "left_anti")
         if not small:  # rows of one place, from repeated documents, are one
