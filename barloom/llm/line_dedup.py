@@ -1,8 +1,8 @@
 """Line dedup: an exact set-similarity join of lines (DataFrame functions only).
 
 A line's set is its distinct lower-cased words. Lines of fewer than
-``min_words`` distinct words are left alone: ``op4_line_dedup`` takes every line
-that has a word, the default, ``MIN_WORDS``, is that of the pipeline. A line is removed if an earlier
+``min_words`` distinct words are left alone; by default every line that has a
+word takes part. A line is removed if an earlier
 line, in the order (doc_id, line number), has a Jaccard similarity of 0.75 or
 more with it, whether or not that earlier line stays itself.
 
@@ -30,6 +30,9 @@ Rarity only orders words and needs no exactness: it is the power of two of the
 number of occurrences in the word's hash bucket, over all documents, in a table
 of fixed size.
 
+Of a pair the longer set (of equally long ones the later) looks for the shorter
+one, which needs only the first n / 7 + 1 of its prefix for that.
+
 Defined cases: NULL texts and rows of NULL ids stay as they are and have no
 lines; repeated rows have the same lines at the same place and are kept or cut
 alike; empty lines and lines of fewer than ``min_words`` words stay; other
@@ -47,8 +50,8 @@ from pyspark.sql.types import DataType
 
 from .common import MAX_BROADCAST, only, stash, table
 
-MIN_WORDS = 5
-RARITY_BUCKETS = 1 << 15
+MIN_WORDS = 1
+RARITY_BUCKETS = 1 << 20
 LARGE = 32  # smaller groups of near copies are listed as pairs: at most so many for each class
 LONG, LONGER = 56, 150  # sets of more words have 128 and 256 parities instead of 64
 PARITIES = ["parity", "parity2", "parity3", "parity4"]
@@ -114,13 +117,13 @@ class Lines:
 
 
 def rarity(docs: DataFrame, text: str) -> Column:
-    """An array of fixed size: for each hash bucket the power of two of its words' occurrences, as the top bits of a token."""
+    """An array of fixed size: for each hash bucket the power of two of its words' occurrences."""
     words = docs.select(F.explode(split_words(F.lower(F.col(text)))).alias("w"))
-    counts = words.groupBy(F.xxhash64("w").bitwiseAND(F.lit(RARITY_BUCKETS - 1).cast("long")).alias("bucket")).count()
+    counts = words.groupBy(F.xxhash64("w").bitwiseAND(F.lit(RARITY_BUCKETS - 1).cast("long")).cast("int").alias("bucket")).count()
+    found = counts.select("bucket", F.floor(F.log2("count")).cast("int").alias("level")).toArrow()  # RARITY_BUCKETS rows at most
     levels = np.zeros(RARITY_BUCKETS, np.int64)
-    for row in counts.collect():  # RARITY_BUCKETS rows at most
-        levels[row["bucket"]] = int(row["count"]).bit_length() << 57
-    return F.lit(levels)
+    levels[found["bucket"].to_numpy()] = found["level"].to_numpy()
+    return F.split(F.lit(",".join(map(str, levels.tolist()))), ",").cast("array<tinyint>")  # folded to a literal
 
 
 def _prefix(n: Column) -> Column:
@@ -139,7 +142,8 @@ def line_sets(lines: DataFrame, levels: Column) -> DataFrame:
     parity3 those with bit 7 and parity4 those with both; else these are NULL.
     """
     hashes = F.array_remove(F.array_distinct(F.transform(split_words(F.col("line")), lambda w: F.xxhash64(w))), F.xxhash64(F.lit("")))
-    token = lambda h: F.get(levels, h.bitwiseAND(F.lit(RARITY_BUCKETS - 1).cast("long")).cast("int")).bitwiseOR(F.shiftrightunsigned(h, 7))
+    level = lambda h: F.get(levels, h.bitwiseAND(F.lit(RARITY_BUCKETS - 1).cast("long")).cast("int")).cast("long")
+    token = lambda h: F.shiftleft(level(h), 57).bitwiseOR(F.shiftrightunsigned(h, 7))
     sets = lines.select("at", hashes.alias("hashes"))
     sets = sets.select("at", F.xxhash64(F.array_min("hashes"), F.array_max("hashes")).alias("ends"), F.sort_array(F.transform("hashes", token)).alias("tokens"))
     bit = lambda t: F.call_function("shiftleft", F.lit(1).cast("long"), t.bitwiseAND(F.lit(63).cast("long")).cast("int"))
@@ -220,7 +224,7 @@ def _alike() -> Column:
 
 def _candidates(x: DataFrame, y: DataFrame, more: Column) -> DataFrame:
     """(x, y): pairs that share a prefix token and pass the filters and ``more``."""
-    return x.join(y, _token("entry_x") == _token("entry_y")).where(more & _alike()).select("x", "y").distinct()
+    return x.join(y, _token("entry_x") == _token("entry_y")).where(_alike() & more).select("x", "y").distinct()
 
 
 def _poles(classes: DataFrame, lines: Lines) -> DataFrame:
@@ -244,13 +248,20 @@ def _pairs(classes: DataFrame, skip: DataFrame, links: bool, lines: Lines) -> Da
     """(x, y): all similar pairs of a class x and an earlier class y but those to be skipped.
 
     ``skip`` has (at, mark): with ``links`` pairs of one mark are skipped, else
-    those of a class x with a mark. Both sides of the join are one and the same
-    shuffle of the index, so the conditions on one side are written such that
-    they stay in the join.
+    those of a class x with a mark.
     """
     index = _index(classes.join(skip, "at", "left").select("n", "parity", "at", "mark", *PARITIES[1:], "prefix"))
-    same, marked = F.coalesce(F.col("mark_x") == F.col("mark_y"), F.lit(False)), F.col("mark_x").isNotNull() & (F.col("x") != F.col("y"))
-    pairs = _candidates(_side(index, "x"), _side(index, "y"), (F.col("y") < F.col("x")) & ~(same if links else marked))
+    longer, shorter = _side(index, "x"), _side(index, "y")
+    (n, _), (m, j) = _sizes("x"), _sizes("y")
+    # a set can be the shorter one at positions j <= m / 7 only, whatever n >= m is
+    shorter = shorter.where(7 * j <= m)
+    late = F.col("y") < F.col("x")
+    order = (n > m) | ((n == m) & (late | (m == MOST)))
+    if links:
+        skipped = F.coalesce(F.col("mark_x") == F.col("mark_y"), F.lit(False))
+    else:
+        skipped = F.when(late, F.col("mark_x").isNotNull()).otherwise(F.col("mark_y").isNotNull())
+    pairs = _candidates(longer, shorter, order & (F.col("x") != F.col("y")) & ~skipped).select(F.greatest("x", "y").alias("x"), F.least("x", "y").alias("y")).distinct()
     return verify(stash(pairs, "pairs"), lines).select("x", "y")
 
 
@@ -363,9 +374,9 @@ def dedup_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", with_l
     rows, numbers = gone.agg(F.count("*"), F.coalesce(F.sum(F.size("_removed")), F.lit(0))).first()
     small = rows <= MAX_BROADCAST and numbers <= 4 * MAX_BROADCAST
     joined = docs.join(F.broadcast(gone) if small else gone, F.col(key) == F.col("_key"), "left")
-    lines = F.split(F.col(text), "\n")
-    kept = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("_removed"))
-    new = F.when(F.col("_removed").isNull(), F.col(text)).otherwise(F.array_join(F.transform(kept, lambda i: F.get(lines, i)), "\n"))
+    joined = joined.withColumn("_lines", F.when(F.col("_removed").isNotNull(), F.split(F.col(text), "\n")))
+    kept = F.array_except(F.sequence(F.lit(0), F.size("_lines") - 1), F.col("_removed"))
+    new = F.when(F.col("_removed").isNull(), F.col(text)).otherwise(F.array_join(F.transform(kept, lambda i: F.get("_lines", i)), "\n"))
     out = [new.alias(text) if c == text else F.col(c) for c in docs.columns]
     if with_links:
         out += [F.coalesce("_removed", F.array().cast("array<int>")).alias("removed_lines"), F.coalesce("_links", F.lit(0)).cast("long").alias("n_links")]
@@ -374,7 +385,7 @@ def dedup_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", with_l
 
 def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    out = dedup_lines(docs, with_links=True, min_words=1)
+    out = dedup_lines(docs, with_links=True)
     return out.select(
         "doc_id",
         "n_links",
