@@ -22,10 +22,12 @@ def ascii_lower(col: Column) -> Column:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir; a temporary one only where the session names none."""
+    """The folder of spark.checkpoint.dir; a temporary one only where the session names none, and in local mode alone."""
     sc = spark.sparkContext
     named = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
     if not named:
+        if not sc.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         sc.setCheckpointDir(tempfile.mkdtemp(prefix="barloom-"))
         named = sc.getCheckpointDir()
     return named
@@ -46,3 +48,17 @@ def only(df: DataFrame, wanted: DataFrame, on: str) -> DataFrame:
     """The rows of ``df`` whose ``on`` is in ``wanted``: by broadcast if that was counted as small, else by a shuffled join."""
     small = wanted.limit(MAX_BROADCAST + 1).count() <= MAX_BROADCAST
     return df.join(F.broadcast(wanted) if small else wanted, on, "left_semi")
+
+
+def known_join(df: DataFrame, other: DataFrame, on: list[str], how: str = "inner") -> DataFrame:
+    """A join with rows of a few numbers, ``other``: by broadcast if that was counted as small, else by a shuffle."""
+    small = other.limit(MAX_BROADCAST + 1).count() <= MAX_BROADCAST
+    return df.join(F.broadcast(other) if small else other, on, how)
+
+
+def free_name(name: str, *frames: DataFrame) -> str:
+    """``name``, with as many underscores before it as no frame has a column of that name, in any case."""
+    taken = {c.lower() for f in frames for c in f.columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name

@@ -9,12 +9,21 @@ what may still be similar is verified on the full sets. Sets of up to 64
 shingles, for which 256 buckets say little, are found by the prefixes of their
 sorted fingerprints, which miss nothing.
 
+Documents of equal sets are one class, known by a 128-bit digest of the set, of
+which the first stands for all.
+
 Candidate pairs are not all pairs of a bucket. First each member is held
-against the bucket's smallest one; links join into components. Only where a
-bucket still has several components, its members outside the smallest one's
-component are compared with those of other components, register against
-register, in blocks; nodes linked with the smallest one are left out of this
-where the triangle inequality of the Jaccard distance rules a link out.
+against the bucket's smallest one; links join into components. A document that
+is half similar or more to such a smallest one has the one with most of these as
+its pole. Where a pole has documents outside of its own component, all documents
+of the pole are told apart by their deltas, the fingerprints that only they or
+the pole have: two sets differ in what is in one of their deltas. Documents
+outside meet the others in blocks there, and give one link for each component.
+
+Only where a bucket still has several components of several poles, its members
+outside the smallest one's component are compared with those of other components,
+register against register, in blocks; nodes linked with the smallest one are left
+out of this where the triangle inequality of the Jaccard distance rules a link out.
 
 Defined cases: NULL and wordless texts have an empty set and stay alone;
 repeated rows and equal texts share a component; rows of one id are one
@@ -24,7 +33,7 @@ kept by ``keep_first``.
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -32,7 +41,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import only, stash, table
+from .common import known_join, only, stash, table
 from .components import components
 
 SHINGLE = 5
@@ -146,7 +155,7 @@ def _may_have(least: float, a: np.ndarray, b: np.ndarray, n_a: np.ndarray, n_b:
 
 
 def sketches(docs: DataFrame, key: str, text: str) -> DataFrame:
-    """(key, node, n, regs, keys, words) of each row; node is a number of its own, fixed once this is written."""
+    """(key, node, n, h1, h2, regs, keys, words) of each row; node is a number of its own, fixed once this is written."""
     kind = docs.schema[key].dataType.simpleString()
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -156,10 +165,11 @@ def sketches(docs: DataFrame, key: str, text: str) -> DataFrame:
                 w = words_of(t)
                 u = shingles(w)
                 regs = registers(u)
-                rows.append((k, len(u), regs.tobytes(), keys_of(u, regs), b" ".join(w)))
-            yield pd.DataFrame(rows, columns=[key, "n", "regs", "keys", "words"])
+                digest = np.frombuffer(xxhash.xxh3_128_digest(u.tobytes()), np.int64)
+                rows.append((k, len(u), *digest, regs.tobytes(), keys_of(u, regs), b" ".join(w)))
+            yield pd.DataFrame(rows, columns=[key, "n", "h1", "h2", "regs", "keys", "words"])
 
-    made = docs.select(key, text).mapInPandas(run, f"{key} {kind}, n int, regs binary, keys array<long>, words binary")
+    made = docs.select(key, text).mapInPandas(run, f"{key} {kind}, n int, h1 long, h2 long, regs binary, keys array<long>, words binary")
     return made.withColumn("node", F.monotonically_increasing_id())
 
 
@@ -187,12 +197,8 @@ def _regs(column: Iterable[bytes]) -> np.ndarray:
     return np.frombuffer(b"".join(column), np.uint16).reshape(-1, BUCKETS)
 
 
-def verify(pairs: DataFrame, sketch: DataFrame, with_near: bool = False) -> DataFrame:
-    """(u, v, linked) of the pairs whose similarity is, or may be, 0.5 or more.
-
-    Without ``with_near`` only the linked ones are returned.
-    linked is whether their full sets have 100 * intersection >= 75 * union;
-    only pairs whose registers rule that out go without a look at the sets.
+def _held_against(pairs: DataFrame, sketch: DataFrame, made: Callable[..., pd.DataFrame], schema: str) -> DataFrame:
+    """``made`` of each u of ``pairs`` and its partners v: (u, its fingerprints, its registers, v, n, registers, words).
 
     The words of v travel to u; a u with many partners is split into groups of
     about ``BLOCK``, each with its own copy of u's words.
@@ -209,43 +215,109 @@ def verify(pairs: DataFrame, sketch: DataFrame, with_near: bool = False) -> Data
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for g in groups(batches, ["u", "part"]):
-            start = int((g["v"] < 0).sum())  # repeated rows of u
-            if not start or start == len(g["v"]):
+            start = int((g["v"] < 0).sum())
+            if start and start < len(g["v"]):
+                regs = _regs(g["regs"])
+                yield made(g["u"][0], shingles(g["words"][0].split()), regs[:1], g["v"][start:], g["n"][start:], regs[start:], g["words"][start:])
+
+    return rows.mapInPandas(run, schema)
+
+
+def verify(pairs: DataFrame, sketch: DataFrame, with_near: bool = False) -> DataFrame:
+    """(u, v, linked) of the pairs whose similarity is, or may be, 0.5 or more.
+
+    Without ``with_near`` only the linked ones are returned.
+    linked is whether their full sets have 100 * intersection >= 75 * union;
+    only pairs whose registers rule that out go without a look at the sets.
+    """
+
+    def made(u: int, own: np.ndarray, own_regs: np.ndarray, v: np.ndarray, n: np.ndarray, regs: np.ndarray, words: np.ndarray) -> pd.DataFrame:
+        sides = regs, own_regs, n, np.full(len(n), len(own))
+        may = _may_have(0.75, *sides)
+        near = _may_have(0.5, *sides) if with_near else np.zeros(len(n), bool)
+        linked = np.zeros(len(n), bool)
+        for i in np.flatnonzero(may):
+            s = shingles(words[i].split())
+            both = np.isin(s, own, assume_unique=True).sum()
+            union = len(s) + len(own) - both
+            linked[i], near[i] = 100 * both >= 75 * union, with_near and 2 * both >= union
+        told = near | linked
+        return pd.DataFrame({"u": u, "v": v[told], "linked": linked[told]})
+
+    return _held_against(pairs, sketch, made, "u long, v long, linked boolean")
+
+
+def deltas(pairs: DataFrame, sketch: DataFrame) -> DataFrame:
+    """(u, v, n, delta) of pairs: the fingerprints that one of the two has, sorted, as bytes; n is the size of v."""
+
+    def made(u: int, own: np.ndarray, own_regs: np.ndarray, v: np.ndarray, n: np.ndarray, regs: np.ndarray, words: np.ndarray) -> pd.DataFrame:
+        return pd.DataFrame({"u": u, "v": v, "n": n, "delta": [np.setxor1d(shingles(w.split()), own, assume_unique=True).tobytes() for w in words]})
+
+    return _held_against(pairs, sketch, made, "u long, v long, n int, delta binary")
+
+
+def _pole_links(members: DataFrame, sketch: DataFrame) -> DataFrame:
+    """(u, v): links between documents of one pole, enough to join their components.
+
+    ``members`` has (pole, node, label, pole_label) of the poles that have
+    documents of other components. Those are compared with all documents of the
+    pole, of which each task holds one block.
+    """
+    made = deltas(members.select(F.col("pole").alias("u"), F.col("node").alias("v")), sketch)
+    known = stash(made.withColumnsRenamed({"u": "pole", "v": "node"}).join(members, ["pole", "node"]), "deltas")
+    blocks = known.groupBy("pole").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
+    dealt = known.join(blocks, "pole")
+    columns = ["node", "label", "n", "delta"]
+    right = dealt.select("pole", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int").alias("block"), F.lit(True).alias("inside"), *columns)
+    left = dealt.where("label <> pole_label").select("pole", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.lit(False).alias("inside"), *columns)
+    rows = left.unionByName(right).repartition("pole", "block").sortWithinPartitions("pole", "block")
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for g in groups(batches, ["pole", "block"]):
+            inside = g["inside"].astype(bool)
+            if inside.all() or not inside.any():
                 continue
-            own = shingles(g["words"][0].split())
-            regs, n, v = _regs(g["regs"]), g["n"][start:], g["v"][start:]
-            sides = regs[start:], regs[:1], n, np.full(len(n), len(own))
-            may = _may_have(0.75, *sides)
-            near = _may_have(0.5, *sides) if with_near else np.zeros(len(n), bool)
-            linked = np.zeros(len(n), bool)
-            for i in np.flatnonzero(may):
-                s = shingles(g["words"][start + i].split())
-                both = np.isin(s, own, assume_unique=True).sum()
-                union = len(s) + len(own) - both
-                linked[i], near[i] = 100 * both >= 75 * union, with_near and 2 * both >= union
-            told = near | linked
-            yield pd.DataFrame({"u": g["u"][start:][told], "v": v[told], "linked": linked[told]})
-
-    return rows.mapInPandas(run, "u long, v long, linked boolean")
+            sets = [np.frombuffer(d, np.uint64) for d in g["delta"]]
+            held = np.flatnonzero(inside)
+            n, label, node, sizes = g["n"][held], g["label"][held], g["node"][held], np.array([len(sets[k]) for k in held])
+            order = np.argsort(all_ := np.concatenate([sets[k] for k in held]), kind="stable")
+            values, owners = all_[order], np.repeat(np.arange(len(held)), sizes)[order]
+            us, vs = [], []
+            for i in np.flatnonzero(~inside):
+                own = sets[i]
+                lo, hi = np.searchsorted(values, own), np.searchsorted(values, own, "right")
+                found = owners[np.repeat(lo - np.cumsum(hi - lo) + (hi - lo), hi - lo) + np.arange((hi - lo).sum())]
+                differ = sizes + len(own) - 2 * np.bincount(found, minlength=len(held))
+                # of n + m - differ = 2 both and n + m + differ = 2 union
+                total = n + g["n"][i]
+                near = np.flatnonzero((100 * (total - differ) >= 75 * (total + differ)) & (label != g["label"][i]))
+                other = node[near[np.unique(label[near], return_index=True)[1]]]
+                us.append(np.minimum(other, g["node"][i]))
+                vs.append(np.maximum(other, g["node"][i]))
+            yield pd.DataFrame({"u": np.concatenate(us), "v": np.concatenate(vs)})
+
+    return rows.mapInPandas(run, "u long, v long").distinct()
+
+
+def _poles(near: DataFrame) -> DataFrame:
+    """(node, pole): of the documents u that a document v is half similar to, the one with most of such."""
+    degree = near.groupBy("u").agg(F.count("*").alias("degree"))
+    return near.select("u", "v").join(degree, "u").groupBy(F.col("v").alias("node")).agg(F.max_by("u", F.struct("degree", -F.col("u"))).alias("pole"))
 
 
 def _other_pairs(named: DataFrame, sketch: DataFrame) -> DataFrame:
-    """Pairs of different components that share a bucket, but for those with its smallest node, which were verified.
+    """Pairs of different components and poles that share a bucket, but for those with its smallest node, which were verified.
 
-    ``named`` has (key, node, head, label, linked) of all buckets with several
-    nodes; linked tells of the head and the node, NULL if they are not near.
-    1 - similarity is a distance: a node can only be linked with one that is
-    linked with the head if it has itself a similarity of 0.5 with the head.
+    ``named`` has (key, node, head, label, pole, linked) of all buckets with
+    several nodes; linked tells of the head and the node, NULL if they are not
+    near. 1 - similarity is a distance: a node can only be linked with one that
+    is linked with the head if it has itself a similarity of 0.5 with the head.
     Others are not compared with the nodes linked with the head.
     """
-    outside, near = F.col("label") != F.col("head_label"), F.col("linked").isNotNull()
-    open_ = (
-        named.groupBy("key")
-        .agg(F.max(F.when(F.col("node") == F.col("head"), F.col("label"))).alias("head_label"), F.min("label").alias("lo"), F.max("label").alias("hi"), F.count("*").alias("size"))
-        .where("lo <> hi and size > 2")
-        .select("key", "head_label")
-    )
-    members = named.join(open_, "key").where("node <> head").select("key", "node", "label", "head_label", (outside & near).alias("near"), F.coalesce("linked", F.lit(False)).alias("linked"))
+    outside, near, head = F.col("label") != F.col("head_label"), F.col("linked").isNotNull(), F.col("node") == F.col("head")
+    rest = lambda c: (F.min(F.when(~head, F.col(c))) != F.max(F.when(~head, F.col(c)))).alias(f"{c}s")
+    open_ = named.groupBy("key").agg(F.max(F.when(head, F.col("label"))).alias("head_label"), rest("label"), rest("pole")).where("labels and poles").select("key", "head_label")
+    members = named.join(open_, "key").where("node <> head").select("key", "node", "label", "pole", "head_label", (outside & near).alias("near"), F.coalesce("linked", F.lit(False)).alias("linked"))
     members = stash(members, "open")
     sizes = members.groupBy("key").agg(F.bool_or("near").alias("any_near"), F.count_if(~F.col("linked")).alias("others"), F.count_if("linked").alias("links"))
     # what has no one to be compared with drops out
@@ -254,7 +326,7 @@ def _other_pairs(named: DataFrame, sketch: DataFrame) -> DataFrame:
     wanted = stash(members.select("node").distinct(), "wanted")
     regs_of = only(sketch, wanted, "node").select(F.col("node").alias("s_node"), F.col("n").alias("s_n"), F.col("regs").alias("s_regs"))
     members = members.join(regs_of, F.col("node") == F.col("s_node")).withColumnsRenamed({"s_n": "n", "s_regs": "regs"})
-    columns = ["node", "label", "head_label", "near", "linked", "n", "regs"]
+    columns = ["node", "label", "pole", "head_label", "near", "linked", "n", "regs"]
     block = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
     right = members.select("key", block.alias("block"), F.lit(True).alias("inside"), *columns)
     left = members.where("label <> head_label").select("key", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.lit(False).alias("inside"), *columns)
@@ -266,12 +338,12 @@ def _other_pairs(named: DataFrame, sketch: DataFrame) -> DataFrame:
             if inside.all() or not inside.any():
                 continue
             all_regs, near = _regs(g["regs"]), g["near"].astype(bool)
-            regs, n, node, label = all_regs[inside], g["n"][inside], g["node"][inside], g["label"][inside]
+            regs, n, node, label, pole = all_regs[inside], g["n"][inside], g["node"][inside], g["label"][inside], g["pole"][inside]
             linked, apart = g["linked"][inside].astype(bool), label != g["head_label"][inside]
             us, vs = [], []
             for i in np.flatnonzero(~inside):
                 k, m = g["node"][i], g["n"][i]
-                todo = np.flatnonzero((label != g["label"][i]) & (~apart | (node > k)) & (near[i] | ~linked) & (4 * np.minimum(n, m) >= 3 * np.maximum(n, m)))
+                todo = np.flatnonzero((label != g["label"][i]) & (pole != g["pole"][i]) & (~apart | (node > k)) & (near[i] | ~linked) & (4 * np.minimum(n, m) >= 3 * np.maximum(n, m)))
                 if len(todo):
                     other = node[todo[_may_have(0.75, all_regs[i][None, :], regs[todo], np.full(len(todo), m), n[todo])]]
                     us.append(np.minimum(other, k))
@@ -285,27 +357,43 @@ def _other_pairs(named: DataFrame, sketch: DataFrame) -> DataFrame:
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(key, n_shingles, component_id, kept) of each document row."""
     sketch = stash(sketches(docs, key, text), "sketches")
-    keys = sketch.select("node", F.explode("keys").alias("key"))
+    firsts = sketch.where("n > 0").groupBy("h1", "h2").agg(F.min("node").alias("first"), F.max("node").alias("last")).where("first <> last").drop("last")
+    copies = stash(known_join(sketch.select("node", "h1", "h2"), stash(firsts, "firsts"), ["h1", "h2"]).where("node <> first").select("node", "first"), "copies")
+    keys = known_join(sketch.select("node", "keys"), copies.select("node"), ["node"], "left_anti").select("node", F.explode("keys").alias("key"))
     heads = keys.groupBy("key").agg(F.min("node").alias("head"), F.max("node").alias("last")).where("head <> last").select("key", "head")
     shared = stash(keys.join(heads, "key"), "buckets")
 
     near = stash(verify(stash(shared.where("node <> head").select(F.col("head").alias("u"), F.col("node").alias("v")).distinct(), "pairs"), sketch, True), "near")
     labels = components(near.where("linked").select("u", "v"))
-    named = shared.join(labels, "node", "left").select("key", "node", "head", F.coalesce("label", "node").alias("label"))
+    poles = stash(_poles(near).join(labels, "node", "left").withColumn("label", F.coalesce("label", "node")), "poles")
+    of_pole = labels.select(F.col("node").alias("pole"), F.col("label").alias("pole_label"))
+    members = poles.join(of_pole, "pole", "left").withColumn("pole_label", F.coalesce("pole_label", "pole"))
+    mixed = members.where("label <> pole_label").select("pole").distinct()
+    first = stash(_pole_links(stash(members.join(mixed, "pole", "left_semi"), "members"), sketch), "pole_links")
+
+    merged = _merged(labels, first)
+    named = shared.join(merged, "node", "left").join(poles.select("node", "pole"), "node", "left").select("key", "node", "head", F.coalesce("label", "node").alias("label"), F.coalesce("pole", "node").alias("pole"))
     named = named.join(near.select(F.col("u").alias("head"), F.col("v").alias("node"), "linked"), ["head", "node"], "left")
     more = stash(verify(stash(_other_pairs(named, sketch), "pairs"), sketch).where("linked").select("u", "v"), "more")
-    # what is linked later joins whole components, for which their labels stand
-    name = lambda c: labels.select(F.col("node").alias(c), F.col("label").alias(f"{c}_label"))
-    merged = more.join(name("u"), "u", "left").join(name("v"), "v", "left").select(F.coalesce("u_label", "u").alias("u"), F.coalesce("v_label", "v").alias("v"))
-    second = components(stash(merged.distinct(), "merged")).select(F.col("node").alias("label"), F.col("label").alias("top"))
+    merged = _merged(merged, more)
 
-    named = sketch.select(key, "node", "n").join(labels, "node", "left").withColumn("label", F.when(F.col("n") > 0, F.coalesce("label", "node")))
-    named = stash(named.join(second, "label", "left").select(key, "n", F.coalesce("top", "label").alias("label")), "named")
+    first_of = sketch.select(key, "node", "n").join(copies, "node", "left").withColumn("node", F.coalesce("first", "node"))
+    named = stash(first_of.join(merged, "node", "left").select(key, "n", F.when(F.col("n") > 0, F.coalesce("label", "node")).alias("label")), "named")
     ids = named.where("label is not null").groupBy("label").agg(F.min(key).alias("component_id"))
     out = named.join(ids, "label", "left").withColumn("component_id", F.coalesce("component_id", key))
     return out.select(key, F.col("n").cast("long").alias("n_shingles"), "component_id", (F.col(key) == F.col("component_id")).alias("kept"))
 
 
+def _merged(labels: DataFrame, links: DataFrame) -> DataFrame:
+    """(node, label) after further links, which join whole components, for which their labels stand."""
+    name = lambda c: labels.select(F.col("node").alias(c), F.col("label").alias(f"{c}_label"))
+    ends = links.join(name("u"), "u", "left").join(name("v"), "v", "left").select(F.coalesce("u_label", "u").alias("u"), F.coalesce("v_label", "v").alias("v"))
+    tops = components(stash(ends.distinct(), "merged")).select(F.col("node").alias("label"), F.col("label").alias("top"))
+    old = labels.join(tops, "label", "left").select("node", F.coalesce("top", "label").alias("label"))
+    new = tops.join(labels.select(F.col("node").alias("label")), "label", "left_anti").select(F.col("label").alias("node"), F.col("top").alias("label"))
+    return stash(old.union(new), "labels")
+
+
 def keep_first(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """``docs`` with one document of each component: that of the smallest id."""
     gone = near_duplicates(docs, key, text).where("not kept").select(key).distinct()
