@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from barloom.llm.bpe_tree import TreeBpe
-from barloom.llm.edit_counts import TokenTree, count_after_edits, op2_edit_counts, revision, with_edits
+from barloom.llm.edit_counts import TokenTree, count_after_edits, edit_trees, op2_edit_counts, revision, token_trees, with_edits
 
 PATH = public_tokenizers.path("byte_bpe_50k.json")
 LIB = Tokenizer.from_file(PATH)
@@ -71,3 +71,49 @@ def test_edit_table(spark):
 def test_query_on_a_table(spark, tmp_path):
     spark.createDataFrame([(1, "a b c\nd")], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
     assert op2_edit_counts(spark, str(tmp_path)).count() == 1
+
+
+def test_many_edits_of_one_document():
+    text, tree = "", TokenTree(BPE, "")
+    for i in range(5_000):
+        new = f" word{i} and more"
+        tree.edit(len(text), 0, new)
+        text += new
+        if i % 7 == 0:
+            tree.edit(3, 2, "xy z")
+            text = text[:3] + "xy z" + text[5:]
+    assert tree.text() == text and tree.n_tokens == lib(text) and tree.root.depth <= 64
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.lists(TEXT, max_size=8), st.lists(EDIT, max_size=4), st.lists(EDIT, max_size=4))
+def test_stored_trees_go_on(parts, first, then):
+    text = "<|endoftext|>".join(parts)
+    tree = TokenTree(BPE, text)
+    for e in first:
+        tree.edit(*e)
+    again = TokenTree(BPE, *tree.parts())
+    for e in then:
+        again.edit(*e)
+    want = applied(text, [*first, *then])
+    assert again.text() == want and again.n_tokens == lib(want)
+
+
+def test_tree_tables(spark, tmp_path):
+    text = "some words of a long document. " * 3_000
+    docs = spark.createDataFrame([(1, text), (2, None), (3, "x")], "doc_id long, text string")
+    token_trees(docs).write.parquet(f"{tmp_path}/v1")
+    edit = F.expr("array(named_struct('start', 500L, 'deleted', 4L, 'inserted', 'new words '))")
+    edit_trees(spark.read.parquet(f"{tmp_path}/v1"), edit).write.parquet(f"{tmp_path}/v2")
+    got = {r.doc_id: r for r in edit_trees(spark.read.parquet(f"{tmp_path}/v2"), edit).collect()}
+    want = {i: applied(applied(t or "", [(500, 4, "new words ")]), [(500, 4, "new words ")]) for i, t in [(1, text), (2, None), (3, "x")]}
+    assert {i: (r.text, r.n_tokens, sum(r.counts)) for i, r in got.items()} == {i: (t, lib(t), lib(t)) for i, t in want.items()}
+    assert got[1].encoded_chars < 3_000 < len(text)
+
+
+def test_clashing_names(spark):
+    docs = spark.createDataFrame([(1, "abc", "mine")], "doc_id long, text string, edits string")
+    edits = spark.createDataFrame([(1, 1, 0, 1, "z")], "doc_id long, no int, start long, deleted long, inserted string")
+    both = with_edits(docs, edits)
+    assert both.first().edits == "mine"
+    assert count_after_edits(both, F.col("_edits")).first().n_chars_after == 3
