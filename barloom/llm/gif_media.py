@@ -8,7 +8,8 @@ bytes losslessly as 8-bit palette samples and read them back.
 
 Defined cases: a NULL media value has no frames and a NULL payload is an empty
 text (one row of 192 spaces); a broken stream raises ``ValueError`` in
-``decode_gif`` and gives no frame rows and an ``error`` text in ``frames``;
+``decode_gif`` and gives no frame rows and an ``error`` text in ``frames`` and
+``read_payload``, which gives NULLs for a NULL; canvases are drawn one at a time;
 equal texts give equal bytes; other columns are passed through untouched.
 """
 
@@ -33,6 +34,7 @@ FRAME_ROWS = 64
 DELAY_CS = 4
 BINS = 64  # colour histogram: two bits of each of red, green and blue
 MAX_CODES = 4096
+MAX_PIXELS = 1 << 26  # of a screen or frame that is decoded; a larger one is an error, as it may come from a few bytes
 
 
 def _widths(code_bits: int, n: int) -> np.ndarray:
@@ -157,7 +159,7 @@ def decode_gif(data: bytes, draw: bool = True) -> tuple[int, int, list[Frame]]:
     """Screen width and height, and the frames; with ``draw`` each has the canvas as shown during its delay."""
     try:
         return _decode_gif(data, draw)
-    except (IndexError, struct.error) as e:
+    except (IndexError, KeyError, struct.error) as e:
         raise ValueError("truncated GIF") from e
 
 
@@ -165,6 +167,8 @@ def _decode_gif(data: bytes, draw: bool) -> tuple[int, int, list[Frame]]:
     if data[:6] not in (b"GIF87a", b"GIF89a"):
         raise ValueError("not a GIF")
     screen_w, screen_h, flags = struct.unpack_from("<HHB", data, 6)
+    if screen_w * screen_h > MAX_PIXELS:
+        raise ValueError("screen too large")
     at, shared = 13, np.zeros((0, 3), np.uint8)
     if flags & 0x80:
         n = 2 << (flags & 7)
@@ -190,6 +194,8 @@ def _decode_gif(data: bytes, draw: bool) -> tuple[int, int, list[Frame]]:
             n = 2 << (flags & 7)
             palette = np.frombuffer(data, np.uint8, 3 * n, at).reshape(n, 3)
             at += 3 * n
+        if width * height > MAX_PIXELS:
+            raise ValueError("frame too large")
         code_bits = data[at]
         stream, at = _sub_blocks(data, at + 1)
         samples = lzw_decode(stream, code_bits, width * height)
@@ -203,11 +209,13 @@ def _decode_gif(data: bytes, draw: bool) -> tuple[int, int, list[Frame]]:
         frames.append(Frame(left, top, width, height, delay, disposal, transparent, samples, palette))
         delay, disposal, transparent = 0, 0, None
     if draw:
-        _draw(screen_w, screen_h, frames)
+        for f, canvas in drawn_frames(screen_w, screen_h, frames):
+            f.canvas = canvas.copy()
     return screen_w, screen_h, frames
 
 
-def _draw(screen_w: int, screen_h: int, frames: list[Frame]) -> None:
+def drawn_frames(screen_w: int, screen_h: int, frames: list[Frame]) -> Iterator[tuple[Frame, np.ndarray]]:
+    """Each frame with the canvas as shown during its delay; it is the same array each time, drawn over for the next."""
     canvas = np.zeros((screen_h, screen_w, 4), np.uint8)
     for f in frames:
         before = canvas.copy() if f.disposal == 3 else None
@@ -220,7 +228,7 @@ def _draw(screen_w: int, screen_h: int, frames: list[Frame]) -> None:
         if f.transparent is not None:
             drawn = np.where((index == f.transparent)[:, :, None], canvas[box], drawn)
         canvas[box] = drawn
-        f.canvas = canvas.copy()
+        yield f, canvas
         if f.disposal == 2:
             canvas[box] = 0
         elif before is not None:
@@ -266,22 +274,34 @@ def encode_payload(text: Column) -> Column:
     return run(text)
 
 
-_READ = "payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, n_frames long"
+_READ = "payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, n_frames long, error string"
 
 
 def read_payload(media: Column) -> Column:
-    """Decode a GIF column: the payload's size and digests, the stored form's, and a feature text of frames and colours."""
+    """Decode a GIF column: the payload's size and digests, the stored form's, and a feature text of frames and colours.
+
+    A NULL gives NULLs. A broken GIF, or one with a screen or frame of more
+    than ``MAX_PIXELS``, gives the stored form's size and digest and the error.
+    """
+
+    def one(blob: bytes | None) -> tuple:
+        if blob is None:
+            return (None,) * 8
+        stored = len(blob), hashlib.sha256(blob).hexdigest()
+        try:
+            w, h, found = decode_gif(blob, draw=False)
+        except ValueError as e:
+            return None, None, None, *stored, None, None, str(e)
+        payload = b"".join(f.samples for f in found)
+        colours = np.sum([np.zeros(BINS, np.int64), *(histogram(canvas) for _, canvas in drawn_frames(w, h, found))], axis=0)
+        feature = json.dumps({"screen": [w, h], "frames": len(found), "ms": sum(f.delay_ms for f in found), "colours": colours.tolist()}, separators=(",", ":"))
+        return len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-16:]), *stored, feature, len(found), None
 
     @F.pandas_udf(_READ)
     def run(blobs: pd.Series) -> pd.DataFrame:
-        rows = []
-        for blob in blobs:
-            w, h, frames = decode_gif(blob)
-            payload = b"".join(f.samples for f in frames)
-            colours = np.sum([histogram(f.canvas) for f in frames], axis=0)
-            feature = json.dumps({"screen": [w, h], "frames": len(frames), "ms": sum(f.delay_ms for f in frames), "colours": colours.tolist()}, separators=(",", ":"))
-            rows.append((len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-16:]), len(blob), hashlib.sha256(blob).hexdigest(), feature, len(frames)))
-        return pd.DataFrame(rows, columns=[c.split()[0] for c in _READ.split(", ")])
+        out = pd.DataFrame([one(b) for b in blobs], columns=[c.split()[0] for c in _READ.split(", ")])
+        whole = ["payload_bytes", "tail_crc32", "media_bytes", "n_frames"]
+        return out.astype(dict.fromkeys(whole, "Int64"))
 
     return run(media)
 
@@ -302,13 +322,13 @@ def frames(df: DataFrame, key: str, media: str) -> DataFrame:
             rows = []
             for k, blob in zip(batch[key], batch[media], strict=True):
                 try:
-                    shown = decode_gif(blob)[2]
+                    w, h, found = decode_gif(blob, draw=False)
                 except ValueError as e:
                     rows.append([k, *[None] * 11, str(e)])
                     continue
                 start = 0
-                for i, f in enumerate(shown):
-                    rows.append([k, i, start, f.delay_ms, f.left, f.top, f.width, f.height, f.disposal, f.transparent, histogram(f.canvas), hashlib.sha256(f.canvas.tobytes()).hexdigest(), None])
+                for i, (f, canvas) in enumerate(drawn_frames(w, h, found)):
+                    rows.append([k, i, start, f.delay_ms, f.left, f.top, f.width, f.height, f.disposal, f.transparent, histogram(canvas), hashlib.sha256(canvas.tobytes()).hexdigest(), None])
                     start += f.delay_ms
             out = pd.DataFrame(rows, columns=names)
             for c in names[1:10]:

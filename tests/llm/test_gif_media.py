@@ -7,7 +7,7 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from barloom.llm.gif_media import decode_gif, encode_samples, frames, lzw_decode, lzw_encode, op3_gif_media
+from barloom.llm.gif_media import decode_gif, encode_samples, frames, lzw_decode, lzw_encode, op3_gif_media, read_payload
 
 
 @settings(max_examples=60, deadline=None)
@@ -88,3 +88,17 @@ def test_query(spark, tmp_path):
         r = got[i]
         assert (r.n_bytes, r.payload_bytes, r.payload_sha256, r.tail_crc32) == (len(raw), len(padded), hashlib.sha256(padded).hexdigest(), zlib.crc32(padded[-16:]))
     assert got[3][2:] == got[5][2:]
+
+
+def test_reading_of_missing_broken_and_huge_images(spark):
+    """Each gives a row: NULLs for NULL, the error for a stream that can't be decoded or a screen that memory should not hold."""
+    import struct
+
+    huge = struct.pack("<6sHHBBB", b"GIF89a", 60_000, 60_000, 0, 0, 0) + b";"
+    blobs = [None, b"bad", gif([image([0, 0, 0, 0])])[:-8], huge, encode_samples(b"a" * 192)]
+    df = spark.createDataFrame([(i, None if b is None else bytearray(b)) for i, b in enumerate(blobs)], "id long, media binary")
+    got = [r.r for r in sorted(df.select("id", read_payload(df["media"]).alias("r")).collect())]
+    assert [r.error for r in got] == [None, "not a GIF", "truncated GIF", "screen too large", None]
+    assert [r.media_bytes for r in got] == [None, *(len(b) for b in blobs[1:])]
+    assert got[0].payload_bytes is None and got[4].payload_bytes == 192 and got[4].n_frames == 1
+    assert sorted((r.id, r.error) for r in frames(df, "id", "media").where("error is not null").collect()) == [(1, "not a GIF"), (2, "truncated GIF"), (3, "screen too large")]
