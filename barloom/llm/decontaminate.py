@@ -7,11 +7,13 @@ of hit words, from which documents are judged, cut or dropped.
 
 The set is broadcast only while it has at most ``MAX_BROADCAST`` windows, which
 is counted first; beyond that the same join runs as a shuffled hash join, whose
-other side holds document windows only.
+other side holds document windows only, as hashes; the few hits then meet their
+documents again to be verified.
 
 Defined cases: NULL and empty texts have no words, are never contaminated and
 are kept; NULL or wordless items match nothing; repeated document rows are
-judged apart and all returned; other columns pass through ``clean``.
+judged apart and all returned; rows of a NULL doc_id are judged like all others; other
+columns pass through ``clean`` and ``cut_spans``, whatever their names.
 """
 
 from __future__ import annotations
@@ -19,7 +21,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import ascii_lower, table
+from .common import ascii_lower, free_name, table
 
 N = 13
 MAX_BROADCAST = 2_000_000
@@ -56,6 +58,7 @@ def hits(docs: DataFrame, benchmark: DataFrame, key: list[str], n: int = N, max_
     grams = benchmark_windows(benchmark, n)
     sizes = [r["size"] for r in grams.select("size").distinct().collect()]  # at most n numbers
     small = grams.limit(max_broadcast + 1).count() <= max_broadcast
+    grams = grams.withColumnRenamed("size", "g_size")
     grams = F.broadcast(grams) if small else grams.hint("shuffle_hash")
 
     words = docs.select(*key, raw_words(F.col("text")).alias("raw"))
@@ -66,11 +69,18 @@ def hits(docs: DataFrame, benchmark: DataFrame, key: list[str], n: int = N, max_
         starts = F.when(F.size("low") >= size, F.sequence(F.lit(1), F.size("low") - size + 1)).otherwise(F.array().cast("array<int>"))
         return F.transform(starts, lambda i: F.struct(i.alias("at"), F.lit(size).alias("size"), _window_hash(F.col("low"), i, size).alias("hash")))
 
-    each = words.select(*key, F.size("raw").cast("long").alias("n_words"), "raw", F.explode(F.concat(none, *map(windows, sizes))).alias("x"))
-    each = each.select(*key, "n_words", "raw", "x.at", "x.size", "x.hash")
-    found = each.join(grams.withColumnRenamed("size", "g_size"), (F.col("size") == F.col("g_size")) & (each["hash"] == grams["hash"]), "left").where("at = 0 or item_id is not null")
-    same = F.array_join(F.transform(F.slice("raw", F.col("at"), F.col("size")), ascii_lower), " ") == F.col("window")
-    return found.where((F.col("at") == 0) | F.when(F.col("at") > 0, same)).select(*key, "n_words", "at", "size", "item_id")
+    lowered = lambda c: F.array_join(F.transform(F.slice("raw", F.col("at"), F.col("size")), ascii_lower), " ") == F.col(c)
+    if small:
+        each = words.select(*key, F.size("raw").cast("long").alias("n_words"), "raw", F.explode(F.concat(none, *map(windows, sizes))).alias("x"))
+        each = each.select(*key, "n_words", "raw", "x.at", "x.size", "x.hash")
+        found = each.join(grams, (F.col("size") == F.col("g_size")) & (each["hash"] == grams["hash"]), "left").where("at = 0 or item_id is not null")
+        return found.where((F.col("at") == 0) | F.when(F.col("at") > 0, lowered("window"))).select(*key, "n_words", "at", "size", "item_id")
+    each = words.select(*key, F.explode(F.concat(F.array().cast("array<struct<at:int,size:int,hash:bigint>>"), *map(windows, sizes))).alias("x")).select(*key, "x.*")
+    found = each.join(grams, (F.col("size") == F.col("g_size")) & (each["hash"] == grams["hash"])).select(*(F.col(k).alias(f"of_{k}") for k in key), "at", "size", "item_id", "window").distinct()
+    sized = words.select(*key, F.size("raw").cast("long").alias("n_words"), "raw")
+    of = [F.col(k).eqNullSafe(F.col(f"of_{k}")) for k in key]
+    verified = sized.dropDuplicates(key).join(found, of).where(lowered("window")).select(*key, "n_words", "at", "size", "item_id")
+    return sized.select(*key, "n_words", F.lit(0).alias("at"), F.lit(0).alias("size"), F.lit(None).cast(benchmark.schema["item_id"].dataType).alias("item_id")).union(verified)
 
 
 def spans(found: DataFrame, key: list[str]) -> DataFrame:
@@ -98,21 +108,27 @@ def judge(docs: DataFrame, benchmark: DataFrame, n: int = N, share: int = 20) ->
     return out
 
 
+def _with_judged(docs: DataFrame, judged: DataFrame, how: str) -> DataFrame:
+    """``docs`` joined with rows (doc_id, text_key, ...) of ``judged`` by id, NULL included, and text."""
+    found = judged.select(F.col("doc_id").alias("judged_id"), F.col("text_key").alias("judged_key"), *(c for c in judged.columns if c not in ("doc_id", "text_key")))
+    found = found.withColumnsRenamed({c: free_name(c, docs) for c in found.columns})
+    of_id, of_key = (found[free_name(c, docs)] for c in ("judged_id", "judged_key"))
+    return docs.join(found, docs["doc_id"].eqNullSafe(of_id) & (F.xxhash64(docs["text"]) == of_key), how)
+
+
 def clean(docs: DataFrame, benchmark: DataFrame, n: int = N, share: int = 20) -> DataFrame:
     """``docs`` without the contaminated documents; all columns stay."""
-    keyed = docs.withColumn("_text_key", F.xxhash64("text"))
-    bad = judge(docs, benchmark, n, share).where("contaminated").select(F.col("doc_id").alias("_id"), F.col("text_key").alias("_key")).distinct()
-    return keyed.join(bad, (F.col("doc_id") == F.col("_id")) & (F.col("_text_key") == F.col("_key")), "left_anti").drop("_text_key")
+    bad = judge(docs, benchmark, n, share).where("contaminated").select("doc_id", "text_key").distinct()
+    return _with_judged(docs, bad, "left_anti")
 
 
 def cut_spans(docs: DataFrame, benchmark: DataFrame, n: int = N) -> DataFrame:
     """``docs`` with the hit words taken out; texts with hits become their remaining lower-cased words joined by a space."""
-    found = judge(docs, benchmark, n).where("n_hit > 0").select(F.col("doc_id").alias("_id"), F.col("text_key").alias("_key"), "hit").dropDuplicates(["_id", "_key"])
-    keyed = docs.withColumn("_text_key", F.xxhash64("text"))
-    joined = keyed.join(found, (F.col("doc_id") == F.col("_id")) & (F.col("_text_key") == F.col("_key")), "left")
-    kept = F.array_except(F.sequence(F.lit(1), F.size(raw_words(F.col("text")))), F.transform("hit", lambda i: i + 1))
+    found = judge(docs, benchmark, n).where("n_hit > 0").select("doc_id", "text_key", "hit").dropDuplicates(["doc_id", "text_key"])
+    hit = F.col(free_name("hit", docs))
+    kept = F.array_except(F.sequence(F.lit(1), F.size(raw_words(F.col("text")))), F.transform(hit, lambda i: i + 1))
     left = F.array_join(F.transform(kept, lambda i: F.get(raw_words(ascii_lower(F.col("text"))), i - 1)), " ")
-    return joined.withColumn("text", F.when(F.col("hit").isNull(), F.col("text")).otherwise(left)).select(*docs.columns)
+    return _with_judged(docs, found, "left").withColumn("text", F.when(hit.isNull(), F.col("text")).otherwise(left)).select(*docs.columns)
 
 
 def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -70,3 +70,16 @@ def test_licences(spark):
     got = {r.doc_id: ",".join(r.licences) for r in scan(df).select("doc_id", "licences").collect()}
     assert got == {1: "", 2: "", 3: "", 4: "MIT", 5: "Apache-2.0,MIT", 6: "MIT", 7: "MIT", 8: "", 9: "", 10: "BSD-3-Clause", 11: "CC-BY-NC-4.0"}
     assert scan(df.where(F.lit(False))).count() == 0
+
+
+def test_missing_ids_and_clashing_names(spark):
+    """Rows of a NULL id are judged as others; columns with the names that the joins use stay the user's."""
+    _, bench, _ = tables(spark)
+    names = ["_text_key", "_id", "_key", "judged_id", "judged_key", "hit", "at", "size", "raw", "hash", "item_id"]
+    rows = [(None, TEXTS[3]), (None, "fine"), (None, None), (7, TEXTS[3]), (8, "fine")]
+    df = spark.createDataFrame([(*r, *range(len(names))) for r in rows], "doc_id long, text string, " + ", ".join(f"{n} int" for n in names))
+    kept = clean(df, bench)
+    assert kept.columns == df.columns
+    assert sorted((str(r.doc_id), str(r.text), *r[2:]) for r in kept.collect()) == sorted((str(i), str(t), *range(len(names))) for i, t in rows if t != TEXTS[3])
+    cut = cut_spans(df, bench)
+    assert cut.columns == df.columns and sorted(str(r.text) for r in cut.collect()) == sorted(["None", "fine", "fine"] + [" ".join(["x"] * 50)] * 2)
