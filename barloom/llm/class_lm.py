@@ -8,8 +8,8 @@ last three bytes, so that every word has a class. The exchange steps move
 units between classes: each step counts, over all documents, the classes
 before and after every unit, and moves each unit to the class that gives the
 training text the highest probability, given the class counts of that step.
-Counts are added up in blocks of units, in two levels, so that no task sees
-more than a bounded share.
+Counts are added up in blocks of units, ``FAN`` tasks' counts at a time, in as
+many levels as the number of tasks needs.
 
 All word counts are kept in a table; the commonest ``FREQUENT`` words (a
 threshold keeps them under that bound) travel to the tasks, the rest are joined.
@@ -44,7 +44,7 @@ SUFFIXES = 4_096
 FREQUENT = 100_000
 STEPS = 5
 BLOCK = 256  # units whose counts travel together
-FAN = 32  # partial sums of a block at the first level
+FAN = 32  # partial sums of a block that are added up at once
 FLUSH = 1_000_000  # different words that a task counts before it passes them on
 END = "\n"  # no word holds white space
 PULL = 20.0  # how many observations the class frequencies are worth
@@ -142,7 +142,7 @@ def _block_sums(texts: DataFrame, classes: np.ndarray) -> DataFrame:
             kinds = of[units]
             cells += np.bincount(units[1:] * 2 * width + kinds[:-1], minlength=len(cells))
             cells += np.bincount(units[:-1] * 2 * width + width + kinds[1:], minlength=len(cells))
-        part = TaskContext.get().partitionId() % FAN
+        part = TaskContext.get().partitionId()
         blocks = np.split(cells, range(BLOCK * 2 * width, len(cells), BLOCK * 2 * width))
         yield pd.DataFrame([(b, part, x.tobytes()) for b, x in enumerate(blocks) if x.any()], columns=["block", "part", "sums"])
 
@@ -151,8 +151,12 @@ def _block_sums(texts: DataFrame, classes: np.ndarray) -> DataFrame:
         return group[["block", "part"]].head(1).assign(sums=total.tobytes())
 
     kind = "block int, part int, sums binary"
-    first = texts.mapInPandas(count, kind).groupBy("block", "part").applyInPandas(add, kind)
-    return first.groupBy("block").applyInPandas(add, kind).select("block", "sums")
+    sums, parts = texts.mapInPandas(count, kind), texts.rdd.getNumPartitions()
+    while True:
+        sums = sums.withColumn("part", F.floor(F.col("part") / FAN).cast("int")).groupBy("block", "part").applyInPandas(add, kind)
+        parts = -(-parts // FAN)
+        if parts <= 1:
+            return sums.select("block", "sums")
 
 
 def _transitions(sums: DataFrame, classes: np.ndarray) -> np.ndarray:
