@@ -5,7 +5,7 @@ from barloom.llm.line_dedup import dedup_lines, line_links, op4_line_dedup
 from .test_line_dedup import made
 
 
-def brute(rows, least=5):
+def brute(rows, least=1):
     """Links of lines to earlier ones: copies to their first line, first lines to all similar first lines."""
     first, links = {}, set()
     for at, line in sorted(((i, no), line) for i, t in rows for no, line in enumerate(t.split("\n"))):
