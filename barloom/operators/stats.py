@@ -43,9 +43,14 @@ def _buy_and_hold() -> Column:
     return _grown(F.min_by("open", at), F.max_by("close", at)).alias("buy_and_hold_pct")
 
 
+def _with_open(curve: DataFrame) -> DataFrame:
+    """Curves of closes alone are held from the first close."""
+    return curve if "open" in curve.columns else curve.withColumn("open", F.col("close"))
+
+
 def return_stats(curve: DataFrame, keys: list[str]) -> DataFrame:
     """total_return_pct of equity, buy_and_hold_pct from the first open to the last close; 0 where the base is 0."""
-    return curve.groupBy(*keys).agg(_total_return(), _buy_and_hold())
+    return _with_open(curve).groupBy(*keys).agg(_total_return(), _buy_and_hold())
 
 
 def _order(keys: list[str]) -> Window:
@@ -83,7 +88,7 @@ def ratio_stats(curve: DataFrame, keys: list[str], bars_per_year: Column) -> Dat
 
 def curve_stats(curve: DataFrame, keys: list[str], bars_per_year: Column) -> DataFrame:
     """All figures of curves: one window pass and one aggregation."""
-    rows = bar_returns(drawdown_series(curve, keys), keys)
+    rows = bar_returns(drawdown_series(_with_open(curve), keys), keys)
     return rows.groupBy(*keys).agg(_total_return(), _buy_and_hold(), F.max("drawdown_pct").alias("max_drawdown_pct"), *_ratios(bars_per_year))
 
 
@@ -175,7 +180,7 @@ def split_windows(trades: DataFrame, curve: DataFrame, keys: list[str], split: f
     """
     run = Window.partitionBy(*keys)
     cut = lambda n: F.floor(n.cast("double") * split).cast("int")
-    sized = curve.withColumn("n", F.count("*").over(run)).withColumn("cut", cut(F.col("n")))
+    sized = _with_open(curve).withColumn("n", F.count("*").over(run)).withColumn("cut", cut(F.col("n")))
     sized = sized.withColumn("base", F.max(F.when(F.col("idx") == F.col("cut") - 1, F.col("equity"))).over(run))
     good = F.coalesce((F.col("cut") > 0) & (F.col("cut") < F.col("n")) & finite(F.col("base")) & (F.col("base") != 0), F.lit(False))
     inside = F.col("idx") < F.col("cut")

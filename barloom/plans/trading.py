@@ -47,6 +47,9 @@ def RUN(flags: str, select: str, **rules: object) -> str:
 
 TRADE_ROWS = """SELECT tx.symbol, '1h' AS interval, trade_no, entry_idx, exit_idx, e.ts AS entry_ts, x.ts AS exit_ts, side, round(entry_price, 6) AS entry_price, round(exit_price, 6) AS exit_price, round(return_pct, 6) AS return_pct, reason, NULL::VARCHAR AS error
   FROM tx JOIN b e ON e.symbol = tx.symbol AND e.idx = entry_idx JOIN b x ON x.symbol = tx.symbol AND x.idx = exit_idx"""
+#: The same where equity may be used up before an entry, which makes the run one row with the error.
+SPENT_ROWS = f""", before AS (SELECT symbol, product(1 + return_pct / 100) OVER (PARTITION BY symbol ORDER BY trade_no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS equity FROM tx), spent AS (SELECT DISTINCT symbol FROM before WHERE equity <= 0)
+  {TRADE_ROWS} WHERE tx.symbol NOT IN (SELECT symbol FROM spent) UNION ALL SELECT symbol, '1h', NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, 'equity used up' FROM spent"""
 CROSS_FLAGS = """f0 AS (SELECT *, CASE WHEN idx >= 9 THEN avg(close) OVER (PARTITION BY symbol ORDER BY idx ROWS 9 PRECEDING) END AS m FROM bn),
   f AS (SELECT symbol, idx, n, ts, open, high, low, close, coalesce(lag(close) OVER w <= lag(m) OVER w AND close > m, false) AS entry, coalesce(lag(close) OVER w >= lag(m) OVER w AND close < m, false) AS exit_, 1 AS sign FROM f0 WINDOW w AS (PARTITION BY symbol ORDER BY idx))"""
 
@@ -126,7 +129,7 @@ def d4_rearm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _rounded(backtest.run_strategy(bars(spark, sf_dir), level))
 
 
-@query(RUN("f AS (SELECT *, high - low > 8 AND close <> open AS entry, NOT (high - low > 8) AS exit_, CASE WHEN close > open THEN 1 ELSE -1 END AS sign FROM bn)", TRADE_ROWS, rearm=False))
+@query(RUN("f AS (SELECT *, high - low > 8 AND close <> open AS entry, NOT (high - low > 8) AS exit_, CASE WHEN close > open THEN 1 ELSE -1 END AS sign FROM bn)", SPENT_ROWS, rearm=False))
 def d5_custom_strategy(spark: SparkSession, sf_dir: str) -> DataFrame:
     wide = F.col("high") - F.col("low") > 8
     side = F.when(wide & (F.col("close") > F.col("open")), "long").when(wide & (F.col("close") < F.col("open")), "short")
@@ -241,7 +244,7 @@ def e5_session_trades(spark: SparkSession, sf_dir: str) -> DataFrame:
     RUN(
         """g AS (SELECT *, row_number() OVER (PARTITION BY symbol, ts // 86400000 ORDER BY ts) AS k FROM bn), g2 AS (SELECT *, max(high) FILTER (k <= 4) OVER d AS rh, min(low) FILTER (k <= 4) OVER d AS rl FROM g WINDOW d AS (PARTITION BY symbol, ts // 86400000)),
   f AS (SELECT symbol, idx, n, ts, open, high, low, close, k > 4 AND (close > rh * (1 + 0.1::DOUBLE / 100) OR close < rl * (1 - 0.1::DOUBLE / 100)) AS entry, false AS exit_, CASE WHEN close > rh * (1 + 0.1::DOUBLE / 100) THEN 1 ELSE -1 END AS sign FROM g2)""",
-        TRADE_ROWS, stop="3", target="5", rearm=False, once_a_day=True,
+        SPENT_ROWS, stop="3", target="5", rearm=False, once_a_day=True,
     )
 )
 def e5_opening_range_trades(spark: SparkSession, sf_dir: str) -> DataFrame:
