@@ -48,12 +48,12 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import DataType
 
-from .common import MAX_BROADCAST, only, stash, table
+from .common import MAX_BROADCAST, free_name, only, stash, table
 
 MIN_WORDS = 1
 RARITY_BUCKETS = 1 << 20
 LARGE = 32  # smaller groups of near copies are listed as pairs: at most so many for each class
-LONG, LONGER = 56, 150  # sets of more words have 128 and 256 parities instead of 64
+LONG, LONGER = 80, 150  # sets of more words have 128 and 256 parities instead of 64
 PARITIES = ["parity", "parity2", "parity3", "parity4"]
 MAX_COPIES = 1_000_000  # places, of 8 bytes each, that may be broadcast
 MOST = (1 << 16) - 1  # larger sets are stored with this size
@@ -123,7 +123,7 @@ def rarity(docs: DataFrame, text: str) -> Column:
     found = counts.select("bucket", F.floor(F.log2("count")).cast("int").alias("level")).toArrow()  # RARITY_BUCKETS rows at most
     levels = np.zeros(RARITY_BUCKETS, np.int64)
     levels[found["bucket"].to_numpy()] = found["level"].to_numpy()
-    return F.split(F.lit(",".join(map(str, levels.tolist()))), ",").cast("array<tinyint>")  # folded to a literal
+    return F.split(F.lit(",".join(map(str, levels.tolist()))), ",").cast("array<bigint>")  # folded to a literal
 
 
 def _prefix(n: Column) -> Column:
@@ -142,7 +142,7 @@ def line_sets(lines: DataFrame, levels: Column) -> DataFrame:
     parity3 those with bit 7 and parity4 those with both; else these are NULL.
     """
     hashes = F.array_remove(F.array_distinct(F.transform(split_words(F.col("line")), lambda w: F.xxhash64(w))), F.xxhash64(F.lit("")))
-    level = lambda h: F.get(levels, h.bitwiseAND(F.lit(RARITY_BUCKETS - 1).cast("long")).cast("int")).cast("long")
+    level = lambda h: F.get(levels, h.bitwiseAND(F.lit(RARITY_BUCKETS - 1).cast("long")).cast("int"))
     token = lambda h: F.shiftleft(level(h), 57).bitwiseOR(F.shiftrightunsigned(h, 7))
     sets = lines.select("at", hashes.alias("hashes"))
     sets = sets.select("at", F.xxhash64(F.array_min("hashes"), F.array_max("hashes")).alias("ends"), F.sort_array(F.transform("hashes", token)).alias("tokens"))
@@ -370,16 +370,18 @@ def removed_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", min_
 def dedup_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", with_links: bool = False, min_words: int = MIN_WORDS) -> DataFrame:
     """``docs`` with the later similar lines cut out of ``text``; with ``with_links`` also their numbers, in ``removed_lines``, and n_links, how many links they have."""
     gone = linked_lines(docs, key, text, min_words) if with_links else removed_lines(docs, key, text, min_words)
-    gone = stash(gone, "removed").withColumnsRenamed({key: "_key", "removed": "_removed", "links": "_links"})
-    rows, numbers = gone.agg(F.count("*"), F.coalesce(F.sum(F.size("_removed")), F.lit(0))).first()
+    of, removed, links, split = (free_name(c, docs) for c in ("of", "removed", "links", "split"))
+    gone = stash(gone, "removed")
+    gone = gone.withColumnsRenamed(dict(zip(gone.columns, (of, removed, links), strict=False)))
+    rows, numbers = gone.agg(F.count("*"), F.coalesce(F.sum(F.size(removed)), F.lit(0))).first()
     small = rows <= MAX_BROADCAST and numbers <= 4 * MAX_BROADCAST
-    joined = docs.join(F.broadcast(gone) if small else gone, F.col(key) == F.col("_key"), "left")
-    joined = joined.withColumn("_lines", F.when(F.col("_removed").isNotNull(), F.split(F.col(text), "\n")))
-    kept = F.array_except(F.sequence(F.lit(0), F.size("_lines") - 1), F.col("_removed"))
-    new = F.when(F.col("_removed").isNull(), F.col(text)).otherwise(F.array_join(F.transform(kept, lambda i: F.get("_lines", i)), "\n"))
+    joined = docs.join(F.broadcast(gone) if small else gone, F.col(key) == F.col(of), "left")
+    joined = joined.withColumn(split, F.when(F.col(removed).isNotNull(), F.split(F.col(text), "\n")))
+    kept = F.array_except(F.sequence(F.lit(0), F.size(split) - 1), F.col(removed))
+    new = F.when(F.col(removed).isNull(), F.col(text)).otherwise(F.array_join(F.transform(kept, lambda i: F.get(split, i)), "\n"))
     out = [new.alias(text) if c == text else F.col(c) for c in docs.columns]
     if with_links:
-        out += [F.coalesce("_removed", F.array().cast("array<int>")).alias("removed_lines"), F.coalesce("_links", F.lit(0)).cast("long").alias("n_links")]
+        out += [F.coalesce(removed, F.array().cast("array<int>")).alias("removed_lines"), F.coalesce(links, F.lit(0)).cast("long").alias("n_links")]
     return joined.select(*out)
 
 

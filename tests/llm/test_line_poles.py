@@ -44,3 +44,13 @@ def test_repeated_rows_and_ids_beyond_long(spark):
     got = dedup_lines(spark.createDataFrame(rows, "doc_id long, text string"), min_words=1).collect()
     assert sorted((r.doc_id, r.text) for r in got if r.doc_id) == [(2**62 + 5, "a b c d e f\na b c d e g h"), (2**62 + 5, "a b c d e f\na b c d e g h"), (2**62 + 9, "q")]
     assert sorted(str(r.text) for r in got if not r.doc_id) == ["None", text]
+
+
+def test_clashing_names(spark):
+    """Columns with the names that the operator uses stay the user's."""
+    names = ["k", "no", "line", "at", "of", "removed", "links", "split", "_of", "x", "y", "words"]
+    rows = [(1, "a b c d e f\nz"), (2, "z\na b c d e f"), (3, None)]
+    df = spark.createDataFrame([(*r, *range(len(names))) for r in rows], "doc_id long, text string, " + ", ".join(f"{n} int" for n in names))
+    got = dedup_lines(df)
+    assert got.columns == df.columns
+    assert sorted(tuple(r) for r in got.collect() if r.text is not None) == [(1, "a b c d e f\nz", *range(len(names))), (2, "", *range(len(names)))]
