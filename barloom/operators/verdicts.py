@@ -125,6 +125,18 @@ def timeframe_cells(rows: DataFrame) -> DataFrame:
     return rows.withColumns({c: F.when(shown, F.col(c)) for c in ("win_rate_pct", "profit_factor", "expectancy_pct")})
 
 
+def timeframe_table(split: DataFrame, keys: list[str], failed: DataFrame | None = None) -> DataFrame:
+    """(keys, trades, win_rate_pct, profit_factor, expectancy_pct, grade, label): the later part of each run; ``keys`` hold the timeframe.
+
+    Runs of ``failed`` have a grade and no figures.
+    """
+    figures = ["trades", "win_rate_pct", "profit_factor", "expectancy_pct"]
+    graded = verdicts(split, keys, failed).select(*keys, "grade")
+    rows = timeframe_cells(graded.join(split.where("part = 'OOS'").select(*keys, *figures), keys, "left"))
+    few = F.concat(F.lit("Too few trades ("), F.col("trades").cast("string"), F.lit(")"))
+    return rows.select(*keys, *figures, "grade", F.when(F.col("trades") < MIN_TRADES, few).otherwise(F.replace("grade", F.lit("_"), F.lit(" "))).alias("label"))
+
+
 def weak_evidence(rows: DataFrame, keys: list[str]) -> DataFrame:
     """(keys, weak): two rows or more and exactly one of them holds."""
     return rows.groupBy(*keys).agg(((F.count("*") >= 2) & (F.count_if(F.col("grade") == "holds") == 1)).alias("weak"))

@@ -6,11 +6,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from barloom.functions import columns as col
-from barloom.operators import backtest, rules, stats, sweep, text_jobs, verdicts
+from barloom.operators import backtest, clean, rules, stats, sweep, text_jobs, verdicts
 from barloom.operators.indicators import with_idx
+from barloom.sources.adapters import bars_at, event_ticks
+from barloom.sources.paths import materialise
 
 from .base import BARS, COST, TRADES, query, trades_sql
-from .data import W, bars
+from .data import NOW, W, bars
 
 KEYS = ["symbol", "interval"]
 CROSS = {
@@ -691,7 +693,7 @@ def i6_daily_quota(spark: SparkSession, sf_dir: str) -> DataFrame:
 def slice_backtest(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Statistics of one strategy on every series."""
     b = bars(spark, sf_dir)
-    t = backtest.run_strategy(b, CROSS)
+    t = materialise(backtest.run_strategy(b, CROSS), "trades")
     return _six(stats.all_stats(t, backtest.equity_curve(b, t), KEYS, F.lit(HOUR_YEAR)), TRADE_COLUMNS + [*CURVE_COLUMNS, "sortino"])
 
 
@@ -699,7 +701,7 @@ def slice_backtest(spark: SparkSession, sf_dir: str) -> DataFrame:
 def job_backtest_verdict(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Trades, equity, split and verdict of one strategy on every series."""
     b = bars(spark, sf_dir)
-    t = backtest.run_strategy(b, DIP)
+    t = materialise(backtest.run_strategy(b, DIP), "trades")
     curve = backtest.equity_curve(b, t)
     _, _, failed = stats.split_windows(t, curve, KEYS, 0.7)
     v = verdicts.verdicts(stats.split_stats(t, curve, KEYS, 0.7, F.lit(HOUR_YEAR)), KEYS, failed)
@@ -723,12 +725,53 @@ def job_sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _six(sweep.sweep_results(found, combos, "expectancy"), ["score", "is_score"]).select("symbol", "rank", "params_key", "score", "is_score", "is_trades", "oos_trades")
 
 
+SERIES_KEYS = "symbol, interval"
+STEPS = {i: step for i, step, _ in col.INTERVALS if i in verdicts.TIMEFRAMES}
+#: The hourly bars' SQL over four intervals, with the last window that fits, flags, trades, and the figures of both parts.
+FRAMES = f"""t AS (SELECT upper(event_type) AS symbol, epoch_ms(ts) AS ms, ts AS tm, event_id AS seq, value + 100 AS price FROM events),
+  c AS (SELECT symbol, i AS interval, ms - ms % step AS ts, first(price ORDER BY tm, seq) AS open, max(price) AS high, min(price) AS low, last(price ORDER BY tm, seq) AS close FROM t, (VALUES {", ".join(f"('{i}', {s})" for i, s in STEPS.items())}) AS v(i, step) GROUP BY symbol, i, ms - ms % step),
+  bn AS (SELECT *, (row_number() OVER w - 1)::INTEGER AS idx, (count(*) OVER (PARTITION BY symbol, interval))::INTEGER AS n FROM c WHERE ts <= {NOW} WINDOW w AS (PARTITION BY symbol, interval ORDER BY ts)),
+  f0 AS (SELECT *, CASE WHEN idx >= 9 THEN avg(close) OVER (PARTITION BY symbol, interval ORDER BY idx ROWS 9 PRECEDING) END AS m FROM bn),
+  f AS (SELECT symbol, interval, idx, n, ts, open, high, low, close, coalesce(lag(close) OVER w <= lag(m) OVER w AND close > m, false) AS entry, coalesce(lag(close) OVER w >= lag(m) OVER w AND close < m, false) AS exit_, 1 AS sign FROM f0 WINDOW w AS (PARTITION BY symbol, interval ORDER BY idx))"""
+FRAME_GRADES = f""", ru AS (SELECT symbol, interval, floor(n * 0.7::DOUBLE)::INTEGER AS cut FROM f WHERE idx = 0),
+  o AS (SELECT symbol, interval, count(return_pct) AS trades, round(coalesce(100.0 * count(*) FILTER (return_pct > 0) / nullif(count(return_pct), 0), 0), 6) AS win_rate_pct, round(sum(return_pct) FILTER (return_pct > 0) / nullif(abs(sum(return_pct) FILTER (return_pct <= 0)), 0), 6) AS profit_factor, round(coalesce(avg(return_pct), 0), 6) AS expectancy_pct
+    FROM ru LEFT JOIN tx USING ({SERIES_KEYS}) WHERE entry_idx IS NULL OR entry_idx >= cut GROUP BY ALL),
+  i AS (SELECT symbol, interval, round(avg(return_pct), 6) AS expectancy_pct FROM ru JOIN tx USING ({SERIES_KEYS}) WHERE entry_idx < cut GROUP BY ALL),
+  gr AS (SELECT ru.symbol, ru.interval, coalesce(o.trades, 0) AS trades, CASE WHEN o.trades >= 30 THEN o.win_rate_pct END AS win_rate_pct, CASE WHEN o.trades >= 30 THEN o.profit_factor END AS profit_factor, CASE WHEN o.trades >= 30 THEN o.expectancy_pct END AS expectancy_pct,
+    CASE WHEN coalesce(o.trades, 0) < 30 THEN 'not_enough_data' WHEN o.expectancy_pct <= 0 THEN 'fails' WHEN (o.profit_factor IS NULL OR o.profit_factor >= 1.2) AND (coalesce(i.expectancy_pct, 0) <= 0 OR o.expectancy_pct >= 0.5 * i.expectancy_pct) THEN 'holds' ELSE 'fragile' END AS grade
+    FROM ru LEFT JOIN o USING ({SERIES_KEYS}) LEFT JOIN i USING ({SERIES_KEYS}))"""
+
+
+def _frames(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The timeframe table of one strategy on every series in four timeframes."""
+    b = clean.fit_range(bars_at(event_ticks(spark, sf_dir), STEPS), NOW)
+    t = materialise(backtest.run_strategy(b, CROSS), "trades")
+    curve = backtest.equity_curve(b, t)
+    split = _six(stats.split_stats(t, curve, KEYS, 0.7, col.bars_per_year(F.col("interval"))), TRADE_COLUMNS)
+    return verdicts.timeframe_table(split, KEYS)
+
+
+@query(f"WITH RECURSIVE {trades_sql(FRAMES, keys=SERIES_KEYS, stop='4', target='8')} {FRAME_GRADES} SELECT *, CASE WHEN trades < 30 THEN 'Too few trades (' || trades || ')' ELSE replace(grade, '_', ' ') END AS label FROM gr")
+def job_timeframes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Backtest, split and verdict of one strategy on every market in 15 minutes, an hour, four hours and a day."""
+    return _frames(spark, sf_dir)
+
+
+@query(
+    f"""WITH RECURSIVE {trades_sql(FRAMES, keys=SERIES_KEYS, stop='4', target='8')} {FRAME_GRADES}, k AS (SELECT interval, count(grade) AS tested, count(*) AS requested, count(*) FILTER (grade = 'holds') AS holds, count(*) FILTER (grade = 'fragile') AS fr, count(*) FILTER (grade = 'fails') AS fa, count(*) FILTER (grade = 'not_enough_data') AS th FROM gr GROUP BY interval)
+  SELECT interval, CASE WHEN tested < 2 THEN 'not_enough_data' WHEN fa > 0 THEN 'fails' WHEN requested > tested OR fr > 0 THEN 'fragile' WHEN th > 0 THEN CASE WHEN holds = 0 THEN 'not_enough_data' ELSE 'fragile' END ELSE 'holds' END AS grade, holds, tested, requested FROM k"""
+)
+def job_markets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The vote of all markets on one strategy in each timeframe, from their own verdicts."""
+    return verdicts.cross_market(_frames(spark, sf_dir), ["interval"]).drop("reasons", "unchecked")
+
+
 @query()
 def job_supplier_backtest(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One strategy on the daily bars of every supplier."""
     from barloom.sources.adapters import candles_from_lineitem
 
     b = candles_from_lineitem(spark, sf_dir)
-    t = backtest.run_strategy(b, CROSS)
+    t = materialise(backtest.run_strategy(b, CROSS), "trades")
     return _six(stats.all_stats(t, backtest.equity_curve(b, t), KEYS, F.lit(365)), TRADE_COLUMNS + [*CURVE_COLUMNS, "sortino"])
 

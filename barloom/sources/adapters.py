@@ -25,10 +25,23 @@ def bars(ticks: DataFrame, step: int, interval: str) -> DataFrame:
     )
 
 
+def bars_at(ticks: DataFrame, steps: dict[str, int]) -> DataFrame:
+    """The bars of several intervals, {interval: step}, from one pass over the ticks."""
+    order = F.struct("ms", "seq")
+    each = F.explode(F.array(*(F.struct(F.lit(i).alias("interval"), (F.col("ms") - F.pmod("ms", F.lit(step))).alias("ts")) for i, step in steps.items())))
+    rows = ticks.withColumn("at", each).groupBy("symbol", F.col("at.interval").alias("interval"), F.col("at.ts").alias("ts"))
+    return rows.agg(F.min_by("price", order).alias("open"), F.max("price").alias("high"), F.min("price").alias("low"), F.max_by("price", order).alias("close"))
+
+
+def event_ticks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A tick of 100 + value for each event; its type is the symbol."""
+    events = spark.read.parquet(f"{sf_dir}/events.parquet")
+    return events.select(F.upper("event_type").alias("symbol"), millis(events, "ts").alias("ms"), F.col("event_id").alias("seq"), (F.col("value") + 100).alias("price"))
+
+
 def candles_from_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One series for each event type: hourly bars of 100 + value."""
-    events = spark.read.parquet(f"{sf_dir}/events.parquet")
-    return bars(events.select(F.upper("event_type").alias("symbol"), millis(events, "ts").alias("ms"), F.col("event_id").alias("seq"), (F.col("value") + 100).alias("price")), HOUR, "1h")
+    return bars(event_ticks(spark, sf_dir), HOUR, "1h")
 
 
 def candles_from_lineitem(spark: SparkSession, sf_dir: str) -> DataFrame:
