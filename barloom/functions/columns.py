@@ -69,10 +69,6 @@ def round_to_tick(price: Column, tick: Column) -> Column:
     return F.signum(price) * F.floor(F.abs(price) / tick + 0.5) * tick
 
 
-def cost_rate(fee_bps: Column, slippage_bps: Column) -> Column:
-    return (fee_bps + slippage_bps) / 10_000
-
-
 def position_size(equity: Column, price: Column, risk_pct: Column, stop_pct: Column) -> Column:
     """Units to hold; NULL where the equity, price, risk or stop is not a finite number above 0."""
     good = finite(equity) & finite(price) & finite(risk_pct) & finite(stop_pct) & (equity > 0) & (price > 0) & (risk_pct > 0) & (stop_pct > 0)

@@ -40,14 +40,6 @@ def validate_candles(candles: DataFrame) -> DataFrame:
     return candles.withColumn("_before", F.lag("ts").over(order)).withColumn("idx", F.row_number().over(order) - 1).withColumn("reason", reason).drop("_before")
 
 
-def candle_report(candles: DataFrame) -> DataFrame:
-    """(symbol, interval, bars, bad, first_idx, first_reason) of each series."""
-    bad = F.col("reason").isNotNull()
-    return validate_candles(candles).groupBy(*SERIES).agg(
-        F.count("*").alias("bars"), F.count_if(bad).alias("bad"), F.min(F.when(bad, F.col("idx"))).alias("first_idx"), F.min_by("reason", F.when(bad, F.col("idx"))).alias("first_reason")
-    )
-
-
 def find_gaps(candles: DataFrame) -> DataFrame:
     """(symbol, interval, prev_ts, ts) where neighbours are more than a step apart."""
     return candles.select(*SERIES, F.lag("ts").over(by_time()).alias("prev_ts"), "ts").where(F.col("ts") - F.col("prev_ts") > step_ms(F.col("interval")))

@@ -79,12 +79,12 @@ def indicator_values(bars: pd.DataFrame, kind: str, n: int | None) -> np.ndarray
 
 
 def with_recurrences(candles: DataFrame, wanted: list[tuple[str, int]]) -> DataFrame:
-    """``candles`` with one column kind_n for each (kind, n) of ema, rsi and atr, all in one pass over a series."""
+    """``candles`` with one column kind_n for each (kind, n) of ema, rsi and atr, all in one pass over a series; a missing value is NULL."""
     names = [f"{k}_{n}" for k, n in wanted]
 
     def run(group: pd.DataFrame) -> pd.DataFrame:
         group = group.sort_values("ts")
-        return group.assign(**{name: pd.Series(indicator_values(group, k, n), group.index).astype(object).where(lambda v: v.notna(), None) for name, (k, n) in zip(names, wanted, strict=True)})
+        return group.assign(**{name: indicator_values(group, k, n) for name, (k, n) in zip(names, wanted, strict=True)})
 
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in candles.schema), *(f"{n} double" for n in names)])
     return candles.groupBy(*SERIES).applyInPandas(run, schema)

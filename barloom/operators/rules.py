@@ -201,9 +201,9 @@ def apply_params(paths: DataFrame, overrides: DataFrame) -> DataFrame:
     an override of a path that the strategy lacks is an error row.
     """
     trials = overrides.select("trial_id").distinct()
-    every = paths.join(F.broadcast(trials))
+    every = paths.crossJoin(trials)
     new = overrides.withColumnRenamed("value", "new")
-    joined = every.join(F.broadcast(new), ["trial_id", "path"], "full_outer")
+    joined = every.join(new, ["trial_id", "path"], "full_outer")
     period = F.col("path").endswith(".period")
     value = F.coalesce(F.when(period, F.signum("new") * F.floor(F.abs("new") + 0.5)).otherwise(F.col("new")), F.col("value"))
     error = (
