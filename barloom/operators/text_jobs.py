@@ -53,6 +53,19 @@ def check_parameters(params: DataFrame) -> DataFrame:
     return params.withColumn("error", error)
 
 
+def check_context(fields: DataFrame) -> DataFrame:
+    """Extracted context fields (…, source, value, quote, reason), such as a market or a timeframe, with error, NULL if well formed."""
+    has = lambda c: F.coalesce(F.length(F.trim(c)) > 0, F.lit(False))
+    error = (
+        F.when(~F.coalesce(F.col("source").isin("stated", "assumed"), F.lit(False)), "unknown source")
+        .when(~F.length("value").between(1, 32), "a value has 1 to 32 characters")
+        .when((F.length("quote") > 500) | (F.length("reason") > 500), "a quote or reason is too long")
+        .when((F.col("source") == "stated") & (F.col("value").isNull() | ~has("quote")), "stated needs a value and a quote")
+        .when((F.col("source") == "assumed") & ~has("reason"), "assumed needs a reason")
+    )
+    return fields.withColumn("error", error)
+
+
 def reconcile_parameters(listed: DataFrame, paths: DataFrame) -> DataFrame:
     """(strategy_id, status, problems): listed parameters (strategy_id, path, value, source) against the strategy's numbers (strategy_id, path, value).
 

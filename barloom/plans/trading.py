@@ -665,6 +665,24 @@ def i4_check_parameters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return text_jobs.check_parameters(rows).select("p_partkey", "error")
 
 
+CONTEXT = {
+    "source": "CASE conv_id % 5 WHEN 0 THEN 'stated' WHEN 1 THEN 'assumed' WHEN 2 THEN 'missing' WHEN 3 THEN 'stated' ELSE 'assumed' END",
+    "value": "CASE conv_id % 3 WHEN 0 THEN substring(text, 1, 40) WHEN 1 THEN substring(text, 1, 8) END",
+    "quote": "CASE WHEN conv_id % 4 > 0 THEN text ELSE ' ' END",
+    "reason": "CASE WHEN conv_id % 7 > 0 THEN substring(text, 1, 300) END",
+}
+
+
+@query(
+    f"""WITH p AS (SELECT conv_id, turn, {", ".join(f"{e} AS {c}" for c, e in CONTEXT.items())} FROM conversations)
+  SELECT conv_id, turn, CASE WHEN source NOT IN ('stated', 'assumed') THEN 'unknown source' WHEN length(value) NOT BETWEEN 1 AND 32 THEN 'a value has 1 to 32 characters' WHEN coalesce(length(quote) > 500, false) OR coalesce(length(reason) > 500, false) THEN 'a quote or reason is too long'
+    WHEN source = 'stated' AND (value IS NULL OR trim(coalesce(quote, '')) = '') THEN 'stated needs a value and a quote' WHEN source = 'assumed' AND trim(coalesce(reason, '')) = '' THEN 'assumed needs a reason' END AS error FROM p"""
+)
+def i4_check_context(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = spark.read.parquet(f"{sf_dir}/conversations.parquet")
+    return text_jobs.check_context(c.select("conv_id", "turn", *(F.expr(e).alias(c) for c, e in CONTEXT.items()))).select("conv_id", "turn", "error")
+
+
 @query(
     f"""WITH {VALID}, {PATHS}, l AS (SELECT strategy_id, path, CASE WHEN strategy_id::INTEGER % 4 = 0 AND path LIKE 'exit%' THEN 21.0 ELSE value END AS value, CASE WHEN strategy_id::INTEGER % 3 = 1 AND path LIKE '%left.period' THEN 'missing' ELSE 'stated' END AS source FROM p WHERE NOT (strategy_id::INTEGER % 6 = 2 AND path = 'entry.all.0.right')),
   j AS (SELECT coalesce(l.strategy_id, p.strategy_id) AS strategy_id, (l.path IS NULL OR p.path IS NULL OR (l.source <> 'missing' AND l.value IS DISTINCT FROM p.value)) AS bad, coalesce(l.source = 'missing', false) AS miss FROM p FULL JOIN l ON l.strategy_id = p.strategy_id AND l.path = p.path)
