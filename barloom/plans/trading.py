@@ -789,7 +789,7 @@ def job_supplier_backtest(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One strategy on the daily bars of every supplier."""
     from barloom.sources.adapters import candles_from_lineitem
 
-    b = candles_from_lineitem(spark, sf_dir)
+    b = materialise(candles_from_lineitem(spark, sf_dir), "bars")
     t = materialise(backtest.run_strategy(b, CROSS), "trades")
     return _six(stats.all_stats(t, backtest.equity_curve(b, t), KEYS, F.lit(365)), TRADE_COLUMNS + [*CURVE_COLUMNS, "sortino"])
 
