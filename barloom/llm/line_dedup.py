@@ -51,7 +51,7 @@ from pyspark.sql.types import DataType
 from .common import MAX_BROADCAST, free_name, only, stash, table
 
 MIN_WORDS = 1
-RARITY_BUCKETS = 1 << 20
+RARITY_BUCKETS = 1 << 18  # as the table is part of plans, which the driver keeps
 LARGE = 32  # smaller groups of near copies are listed as pairs: at most so many for each class
 LONG, LONGER = 80, 150  # sets of more words have 128 and 256 parities instead of 64
 PARITIES = ["parity", "parity2", "parity3", "parity4"]
