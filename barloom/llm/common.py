@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
@@ -62,3 +62,26 @@ def free_name(name: str, *frames: DataFrame) -> str:
     while name.lower() in taken:
         name = f"_{name}"
     return name
+
+
+def place(df: DataFrame, group: list[str], order: list[str], name: str = "pos", size: str | None = None) -> DataFrame:
+    """``df`` with ``name``, the place (from 0) of each row in its ``group`` in ascending ``order``, and ``size``, the rows of the group.
+
+    Groups of any size are spread over tasks: the rows are range-sorted by group
+    and order and written with their number in their part; what moves then is one
+    row for each part and group. NULLs come first and are a group of their own.
+    Rows that are equal in ``order`` have any of their places.
+    """
+    at, part = free_name("at", df), free_name("part", df)
+    inner = df.repartitionByRange(*group, *order).sortWithinPartitions(*group, *order)
+    rows = stash(inner.withColumn(at, F.monotonically_increasing_id()), "place").withColumn(part, F.shiftright(at, 33))
+    runs = rows.groupBy(part, *group).agg(F.count("*").alias("n"), F.min(at).alias("first"))
+    whole = Window.partitionBy(*group)
+    before = F.coalesce(F.sum("n").over(whole.orderBy(part).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    keys = [f"_run{i}" for i in range(len(group) + 1)]
+    runs = runs.select(*(F.col(c).alias(k) for c, k in zip([part, *group], keys, strict=True)), (before - F.col("first")).alias("_shift"), F.sum("n").over(whole).alias("_size"))
+    if runs.limit(MAX_BROADCAST + 1).count() <= MAX_BROADCAST:
+        runs = F.broadcast(runs)
+    same = [F.col(c).eqNullSafe(F.col(k)) for c, k in zip([part, *group], keys, strict=True)]
+    placed = rows.join(runs, same).withColumn(name, F.col(at) + F.col("_shift"))
+    return placed.select(*df.columns, name, *([F.col("_size").alias(size)] if size else []))
