@@ -15,13 +15,15 @@ from .licences import OP7_SQL, op7_licences
 from .line_dedup import op4_line_dedup
 from .merkle import OP11_SQL, op11_merkle
 from .near_dedup import op1_near_dedup
+from .prefix_trie import OP13_SQL, op13_prefix_trie
+from .subwords import op12_quality
 from .templates import op9_main_text
 from .toxicity import op6_toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_near_dedup, op2_edit_counts, op3_gif_media, op4_line_dedup, op5_class_lm, op6_toxicity, op7_licences, op8_decontaminate, op9_main_text, op10_bpe_tree, op11_merkle)}
+    return {f.__name__: f for f in (op1_near_dedup, op2_edit_counts, op3_gif_media, op4_line_dedup, op5_class_lm, op6_toxicity, op7_licences, op8_decontaminate, op9_main_text, op10_bpe_tree, op11_merkle, op12_quality, op13_prefix_trie)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op7_licences": OP7_SQL, "op8_decontaminate": OP8_SQL, "op11_merkle": OP11_SQL}
+    return {"op7_licences": OP7_SQL, "op8_decontaminate": OP8_SQL, "op11_merkle": OP11_SQL, "op13_prefix_trie": OP13_SQL}
