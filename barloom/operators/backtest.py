@@ -170,9 +170,11 @@ def equity_curve(candles: DataFrame, trades: DataFrame, keys: list[str] | None =
     """(keys, idx, ts, open, close, equity) of every bar: realised while flat, marked to the close less costs while open.
 
     Trades are spread over the bars from entry to exit and equi-joined; what is
-    realised is a running product in the order of trades.
+    realised is a running product in the order of trades. Runs that ended in an
+    error have no curve.
     """
     keys = keys or SERIES
+    failed = trades.where("error is not null").select(*keys).distinct()
     run = Window.partitionBy(*keys).orderBy("trade_no")
     grow = 1 + F.col("return_pct") / 100
     good = trades.where("error is null and trade_no is not null")
@@ -181,7 +183,7 @@ def equity_curve(candles: DataFrame, trades: DataFrame, keys: list[str] | None =
     spread = done.select(*keys, F.explode(F.sequence("entry_idx", "exit_idx")).alias("idx"), "exit_idx", "entry_price", sign.alias("sign"), "before", "after", "trade_no")
     # a bar may close one trade and open the next: the later one tells its equity
     spread = spread.groupBy(*keys, "idx").agg(F.max_by(F.struct("exit_idx", "entry_price", "sign", "before", "after"), "trade_no").alias("t"))
-    bars = candles.select(*keys, "ts", "open", "close").withColumn("idx", (F.row_number().over(Window.partitionBy(*keys).orderBy("ts")) - 1).cast("int"))
+    bars = candles.select(*keys, "ts", "open", "close").join(failed, keys, "left_anti").withColumn("idx", (F.row_number().over(Window.partitionBy(*keys).orderBy("ts")) - 1).cast("int"))
     ratio = F.col("close") / F.col("t.entry_price")
     marked = F.col("t.before") * (1 + factor * (F.col("t.sign") * (ratio - 1) - cost * (1 + ratio)))
     own = F.when(F.col("idx") < F.col("t.exit_idx"), marked).otherwise(F.col("t.after"))

@@ -5,6 +5,8 @@ from __future__ import annotations
 import json
 from functools import reduce
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -62,6 +64,26 @@ def eval_rules(candles: DataFrame, strategy: dict) -> DataFrame:
     return df.withColumns({"entry": rules_column(strategy["entry"], by_time()), "exit_": rules_column(strategy.get("exit"), by_time())})
 
 
+def rule_flags(bars: pd.DataFrame, rules: dict | None, values: dict[str, np.ndarray]) -> np.ndarray:
+    """``rules_column`` over one sorted series whose indicators are ``values``, NaN where missing."""
+
+    def operand(o: object) -> np.ndarray:
+        return values[column_name(o)] if isinstance(o, dict) else np.full(len(bars), float(o))
+
+    def one(c: dict) -> np.ndarray:
+        a, b = operand(c["left"]), operand(c["right"])
+        with np.errstate(invalid="ignore"):
+            if c["op"] in ("<", ">"):
+                return a < b if c["op"] == "<" else a > b
+            p, q = np.concatenate([[np.nan], a[:-1]]), np.concatenate([[np.nan], b[:-1]])
+            return (p <= q) & (a > b) if c["op"] == "crosses_above" else (p >= q) & (a < b)
+
+    every = [one(c) for c in (rules or {}).get("all") or []]
+    some = [one(c) for c in (rules or {}).get("any") or []]
+    parts = every + ([np.logical_or.reduce(some)] if some else [])
+    return np.logical_and.reduce(parts) if parts else np.zeros(len(bars), bool)
+
+
 # -- many strategies, as tables -------------------------------------------------
 def _unknown_fields(text: str) -> Column:
     """The names that a strategy has no field for, in itself, its claim, rules, conditions and operands; sorted."""

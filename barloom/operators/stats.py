@@ -172,6 +172,12 @@ def all_stats(trades: DataFrame, curve: DataFrame, keys: list[str], bars_per_yea
     return _joined(trades, curve, keys, bars_per_year)
 
 
+def with_errors(figures: DataFrame, trades: DataFrame, keys: list[str]) -> DataFrame:
+    """``figures`` of runs with error, NULL for those that went well, and a row without figures for each run of ``trades`` that ended in one."""
+    failed = trades.where("error is not null").groupBy(*keys).agg(F.max("error").alias("error"))
+    return figures.withColumn("error", F.lit(None).cast("string")).unionByName(failed, allowMissingColumns=True)
+
+
 def split_windows(trades: DataFrame, curve: DataFrame, keys: list[str], split: float) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(trades, curve, failed) with part 'IS' or 'OOS'; a trade belongs to the part of its entry bar.
 

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from barloom.operators.backtest import TRADE, scan_trades
 from barloom.operators.indicators import indicator_values
-from barloom.operators.rules import PRICES, column_name, operands
+from barloom.operators.rules import PRICES, column_name, operands, rule_flags
 from barloom.operators.stats import mean_stats
 from barloom.operators.verdicts import side_by_side
 
@@ -134,24 +134,6 @@ def applied(strategy: dict, params: dict[str, float]) -> dict:
     return out
 
 
-def _flags(bars: pd.DataFrame, rules: dict | None, values: dict[str, np.ndarray]) -> np.ndarray:
-    def operand(o: object) -> np.ndarray:
-        return values[column_name(o)] if isinstance(o, dict) else np.full(len(bars), float(o))
-
-    def one(c: dict) -> np.ndarray:
-        a, b = operand(c["left"]), operand(c["right"])
-        with np.errstate(invalid="ignore"):
-            if c["op"] in ("<", ">"):
-                return a < b if c["op"] == "<" else a > b
-            p, q = np.concatenate([[np.nan], a[:-1]]), np.concatenate([[np.nan], b[:-1]])
-            return (p <= q) & (a > b) if c["op"] == "crosses_above" else (p >= q) & (a < b)
-
-    every = [one(c) for c in (rules or {}).get("all") or []]
-    some = [one(c) for c in (rules or {}).get("any") or []]
-    parts = every + ([np.logical_or.reduce(some)] if some else [])
-    return np.logical_and.reduce(parts) if parts else np.zeros(len(bars), bool)
-
-
 def _trials(combos: DataFrame) -> list[tuple[int, dict[str, float]]]:
     """The trials on the driver: control data of MAX_COMBOS rows at most."""
     rows = combos.select("trial_id", "params").limit(MAX_COMBOS + 1).collect()
@@ -183,7 +165,7 @@ def _each_trial(candles: DataFrame, strategy: dict, combos: DataFrame, cost: flo
                     for o in operands(s):
                         if (name := column_name(o)) not in known:
                             known[name] = indicator_values(bars, o["ind"], o.get("period"))
-                    found = scan_trades(bars, _flags(bars, s["entry"], known), _flags(bars, s.get("exit"), known), s["side"], stop_pct=s.get("stop_loss_pct"), target_pct=s.get("take_profit_pct"), cost=cost)
+                    found = scan_trades(bars, rule_flags(bars, s["entry"], known), rule_flags(bars, s.get("exit"), known), s["side"], stop_pct=s.get("stop_loss_pct"), target_pct=s.get("take_profit_pct"), cost=cost)
                     out = made(bars, found)
                     for name, value in (("trial_id", trial), ("interval", row.interval), ("symbol", row.symbol)):
                         out.insert(0, name, value)
@@ -225,13 +207,13 @@ def window_figures(returns: np.ndarray, equity: np.ndarray, first_open: float, l
     }
 
 
-STATS = "trades long, wins long, losses long, win_rate_pct double, avg_win_pct double, avg_loss_pct double, profit_factor double, expectancy_pct double, expectancy_stdev_pct double, total_return_pct double, buy_and_hold_pct double, max_drawdown_pct double, sharpe double"
+STATS = "trades long, wins long, losses long, win_rate_pct double, avg_win_pct double, avg_loss_pct double, profit_factor double, expectancy_pct double, expectancy_stdev_pct double, total_return_pct double, buy_and_hold_pct double, max_drawdown_pct double, sharpe double, error string"
 
 
 def sweep_stats(candles: DataFrame, strategy: dict, combos: DataFrame, bars_per_year: float, split: float = 0.7, folds: int | None = None, fee_bps: float = 5.0, slippage_bps: float = 2.0, batch: int | None = None) -> DataFrame:
-    """(symbol, interval, trial_id, fold, part, figures) of every trial: of a split, where fold is 0, or of walk-forward folds.
+    """(symbol, interval, trial_id, fold, part, figures, error) of every trial: of a split, where fold is 0, or of walk-forward folds.
 
-    The windows are those of ``split_stats`` and ``walk_forward_stats``; only
+    A trial that ends in an error has its windows with the error and without figures. The windows are those of ``split_stats`` and ``walk_forward_stats``; only
     their figures leave a task, never the curves. Series too short to be split
     have no rows.
     """
@@ -239,6 +221,8 @@ def sweep_stats(candles: DataFrame, strategy: dict, combos: DataFrame, bars_per_
 
     def made(bars: pd.DataFrame, trades: pd.DataFrame) -> pd.DataFrame:
         n, rows = len(bars), []
+        error = trades["error"].dropna().max() if len(trades) else None
+        error = error if isinstance(error, str) else None
         trades = trades[trades["trade_no"].notna()]
         entries, returns = trades["entry_idx"].to_numpy(int), trades["return_pct"].to_numpy(float)
         equity, o, c = marked_equity(bars, trades, cost), bars["open"].to_numpy(), bars["close"].to_numpy()
@@ -248,28 +232,35 @@ def sweep_stats(candles: DataFrame, strategy: dict, combos: DataFrame, bars_per_
         else:
             at = [n * i // (folds + 1) for i in range(folds + 2)] if n >= 5 * (folds + 1) else [0]
             spans = [(f, part, a, b) for f in range(len(at) - 2) for part, a, b in (("IS", 0, at[f + 1]), ("OOS", at[f + 1], at[f + 2]))]
+        if error is not None:
+            rows, spans = [{"fold": fold, "part": part, "error": error} for fold, part, *_ in spans], []
         for fold, part, a, b in spans:
             # the later part of a split starts from 1 at the split's bar, a fold from its own first bar
             curve = equity[a:b] / equity[a] if folds is not None else equity[a:b] if part == "IS" else np.concatenate([[1.0], equity[a:b] / equity[a - 1]])
             rows.append({"fold": fold, "part": part} | window_figures(returns[(entries >= a) & (entries < b)], curve, o[a], c[b - 1], bars_per_year))
-        return pd.DataFrame(rows, columns=["fold", "part", *(f.split()[0] for f in STATS.split(", "))])
+        return pd.DataFrame(rows, columns=["fold", "part", *(f.split()[0] for f in STATS.split(", "))], dtype=object)
 
     return _each_trial(candles, strategy, combos, cost, batch, made, "fold int, part string, " + STATS)
 
 
 def sweep_results(stats: DataFrame, combos: DataFrame, by: str = "sharpe") -> DataFrame:
-    """(symbol, interval, rank, trial_id, params_key, score, is_score, overfit, overfit_reason, is_*, oos_*) of ``sweep_stats``.
+    """(symbol, interval, rank, trial_id, params_key, status, error, score, is_score, overfit, overfit_reason, is_*, oos_*) of ``sweep_stats``.
 
-    The objective of the later part is the score, that of the earlier part
-    is_score; over folds both are means, as all figures are.
+    The objective of the later part is the score, that of the earlier part is
+    is_score. Over folds each fold is scored by itself, a missing profit factor
+    as 0, and the scores are averaged; figures are means. Trials with status
+    ``error`` have no figures and no rank.
     """
     keys = ["symbol", "interval", "trial_id"]
-    one = mean_stats(stats, keys) if stats.select("fold").where("fold > 0").limit(1).count() else stats.drop("fold")
-    wide = side_by_side(one, keys)
+    good = stats.where("error is null").drop("error")
+    score = lambda part: F.avg(F.when(F.col("part") == part, objective(by)))
+    scores = good.groupBy(*keys).agg(score("OOS").alias("score"), score("IS").alias("is_score"))
+    wide = side_by_side(mean_stats(good, keys), keys).join(scores, keys)
     names = combos.select("trial_id", params_key(F.col("params")).alias("params_key"))
     overfit, reason = overfit_flag(F.col("is_sharpe"), F.col("oos_sharpe"), F.col("is_total_return_pct"), F.col("oos_total_return_pct"))
-    scored = wide.join(names, "trial_id").withColumns({"score": objective(by, "oos_"), "is_score": objective(by, "is_"), "overfit": overfit, "overfit_reason": reason})
-    return rank_trials(scored, ["symbol", "interval"])
+    scored = wide.join(names, "trial_id").withColumns({"overfit": overfit, "overfit_reason": reason, "status": F.lit("ok"), "error": F.lit(None).cast("string")})
+    failed = stats.where("error is not null").groupBy(*keys).agg(F.max("error").alias("error")).join(names, "trial_id").withColumn("status", F.lit("error"))
+    return rank_trials(scored, ["symbol", "interval"]).unionByName(failed, allowMissingColumns=True)
 
 
 def objective(name: str, prefix: str = "") -> Column:

@@ -70,12 +70,15 @@ def side_by_side(split: DataFrame, keys: list[str]) -> DataFrame:
     return split.groupBy(*keys).agg(*(F.max(F.when(F.col("part") == part, F.col(c))).alias(f"{p}{c}") for part, p in (("IS", "is_"), ("OOS", "oos_")) for c in names))
 
 
-def verdicts(split: DataFrame, keys: list[str], failed: DataFrame | None = None) -> DataFrame:
-    """(keys, grade, headline, softened, reasons); runs of ``failed`` (keys, n) could not be split."""
+def verdicts(split: DataFrame, keys: list[str], failed: DataFrame | None = None, errors: DataFrame | None = None) -> DataFrame:
+    """(keys, grade, headline, softened, reasons); runs of ``failed`` (keys, n) could not be split, those of ``errors`` (keys, error) have no grade."""
     wide = side_by_side(split, keys)
     _, soft = noise(F.col("oos_trades"), F.col("oos_expectancy_pct"), F.col("oos_expectancy_stdev_pct"))
     graded = wide.withColumn("grade", grade(F.col("oos_trades"), F.col("oos_expectancy_pct"), F.col("oos_profit_factor"), F.col("is_expectancy_pct"))).withColumn("softened", F.coalesce(soft, F.lit(False)))
     out = graded.select(*keys, "grade", headline(F.col("grade"), F.col("oos_trades"), F.col("oos_expectancy_pct"), F.col("softened")).alias("headline"), "softened", reasons().alias("reasons"))
+    if errors is not None:
+        told = F.concat(F.lit("The run ended early: "), F.col("error"), F.lit("."))
+        out = out.unionByName(errors.select(*keys, F.lit(None).cast("string").alias("grade"), told.alias("headline"), F.lit(False).alias("softened"), F.array(told).alias("reasons")))
     if failed is None:
         return out
     text = F.concat(F.lit("Only "), F.col("n").cast("string"), F.lit(" candles, too few to split."))

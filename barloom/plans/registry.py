@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import data, trading  # noqa: F401  (they register their queries)
+from . import data, jobs, trading  # noqa: F401  (they register their queries)
 from .base import QUERIES, SQL
 
 

@@ -139,6 +139,14 @@ def d5_custom_strategy(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _rounded(backtest.backtest_trades(flagged, rearm=False))
 
 
+@query(RUN("f AS (SELECT *, high - low > 8 AND close > open AS entry, NOT (high - low > 8) AS exit_, 1 AS sign FROM bn)", SPENT_ROWS, stop="6", rearm=False))
+def d5_custom_trades(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A user's own flags, bought only, so that no equity is used up."""
+    wide = F.col("high") - F.col("low") > 8
+    flagged = backtest.custom_flags(bars(spark, sf_dir), F.when(wide & (F.col("close") > F.col("open")), "long"), ~wide)
+    return _rounded(backtest.backtest_trades(flagged, rearm=False, stop_pct=6.0))
+
+
 def _good(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     texts = _texts(spark, sf_dir)
     valid = rules.validate_strategies(rules.parse_strategies(texts), rules.parse_conditions(texts)).where("error is null")
@@ -237,6 +245,21 @@ def e5_backtest_trades(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _rounded(backtest.run_strategy(bars(spark, sf_dir), CROSS))
 
 
+SESSION_FLAGS = CROSS_FLAGS.replace("1 AS sign FROM f0", "1 AS sign, ts % 86400000 // 60000 BETWEEN 480 AND 1199 AS ok, ts % 86400000 // 60000 BETWEEN 480 AND 1199 AND NOT coalesce(lead(ts) OVER w % 86400000 // 60000 BETWEEN 480 AND 1199, false) AS fin FROM f0")
+
+
+@query(RUN(CROSS_FLAGS, TRADE_ROWS, stop="6", trail="3"))
+def e5_trailing_trades(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A trailing stop beside a fixed one."""
+    return _rounded(backtest.run_strategy(bars(spark, sf_dir), {k: v for k, v in CROSS.items() if k != "take_profit_pct"} | {"stop_loss_pct": 6}, trail_pct=3.0))
+
+
+@query(RUN(SESSION_FLAGS, TRADE_ROWS, target="8", trail="20", session=True))
+def e5_session_end_trades(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Entries in a session alone, whose end closes what is open; a wide trailing stop."""
+    return _rounded(backtest.run_strategy(bars(spark, sf_dir), {k: v for k, v in CROSS.items() if k != "stop_loss_pct"}, session=(480, 1200), exit_at_session_end=True, trail_pct=20.0))
+
+
 @query()
 def e5_session_trades(spark: SparkSession, sf_dir: str) -> DataFrame:
     return backtest.run_strategy(bars(spark, sf_dir), DIP | {"stop_loss_pct": 5}, session=(480, 1200), exit_at_session_end=True, trail_pct=3.0)
@@ -560,7 +583,20 @@ def h4_sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _rounded(sweep.sweep_trades(bars(spark, sf_dir), CROSS, sweep.grid_combos(spark, GRID), batch=9))
 
 
-@query()
+#: Equity of every trial and the figures of its three folds.
+TRIAL_FOLDS = f""", te AS (SELECT *, coalesce(product(1 + return_pct / 100) OVER (PARTITION BY trial_id, symbol ORDER BY trade_no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 1.0) AS before FROM tx),
+  eq AS (SELECT f.symbol, f.trial_id, f.idx, f.n, f.open, f.close, coalesce(o.before * (f.close / o.entry_price - {COST}::DOUBLE * (1 + f.close / o.entry_price)), last_value(x.before * (1 + x.return_pct / 100) IGNORE NULLS) OVER (PARTITION BY f.symbol, f.trial_id ORDER BY f.idx), 1.0) AS equity
+    FROM f LEFT JOIN te o ON o.symbol = f.symbol AND o.trial_id = f.trial_id AND f.idx >= o.entry_idx AND f.idx < o.exit_idx LEFT JOIN te x ON x.symbol = f.symbol AND x.trial_id = f.trial_id AND x.exit_idx = f.idx),
+  fo AS (SELECT symbol, trial_id, k::INTEGER AS fold, part, CASE WHEN part = 'IS' THEN 0 ELSE n * (k + 1) // 4 END AS lo, CASE WHEN part = 'IS' THEN n * (k + 1) // 4 ELSE n * (k + 2) // 4 END AS hi FROM f, range(3) AS r(k), (VALUES ('IS'), ('OOS')) AS p(part) WHERE f.idx = 0),
+  fw AS (SELECT eq.symbol, eq.trial_id, fold, part, idx, open, close, equity / first_value(equity) OVER (PARTITION BY eq.symbol, eq.trial_id, fold, part ORDER BY idx) AS equity FROM eq JOIN fo ON fo.symbol = eq.symbol AND fo.trial_id = eq.trial_id AND idx >= lo AND idx < hi),
+  fg AS (SELECT *, equity / lag(equity) OVER w AS g, max(equity) OVER w AS peak FROM fw WINDOW w AS (PARTITION BY symbol, trial_id, fold, part ORDER BY idx)),
+  fc AS (SELECT symbol, trial_id, fold, part, round(100 * (max_by(equity, idx) / min_by(equity, idx) - 1), 6) AS total_return_pct, round(100 * (max_by(close, idx) / min_by(open, idx) - 1), 6) AS buy_and_hold_pct, round(max(100 * (peak - equity) / peak), 6) AS max_drawdown_pct,
+    CASE WHEN stddev_pop(g - 1) > 1e-15 THEN round(avg(g - 1) / stddev_pop(g - 1) * sqrt({HOUR_YEAR}), 6) ELSE 0.0 END AS sharpe FROM fg GROUP BY ALL),
+  fs AS (SELECT te.symbol, te.trial_id, fold, part, {TRADE_SQL} FROM te JOIN fo ON fo.symbol = te.symbol AND fo.trial_id = te.trial_id AND entry_idx >= lo AND entry_idx < hi GROUP BY ALL)
+  SELECT symbol, '1h' AS interval, trial_id, fold, part, {", ".join(f"coalesce({c}, 0) AS {c}" if c != "profit_factor" else c for c in ["trades", "wins", "losses", *TRADE_COLUMNS])}, {", ".join(CURVE_COLUMNS)}, NULL::VARCHAR AS error FROM fc LEFT JOIN fs USING (symbol, trial_id, fold, part)"""
+
+
+@query(RUN(TRIAL_FLAGS, TRIAL_FOLDS, keys="symbol, trial_id", stop="f.s", target="f.t"))
 def h4_sweep_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The figures of every trial of the grid in three walk-forward folds, on every series."""
     found = sweep.sweep_stats(bars(spark, sf_dir), CROSS, sweep.grid_combos(spark, GRID), HOUR_YEAR, folds=3, batch=9)
@@ -712,17 +748,18 @@ def slice_backtest(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Statistics of one strategy on every series."""
     b = bars(spark, sf_dir)
     t = materialise(backtest.run_strategy(b, CROSS), "trades")
-    return _six(stats.all_stats(t, backtest.equity_curve(b, t), KEYS, F.lit(HOUR_YEAR)), TRADE_COLUMNS + [*CURVE_COLUMNS, "sortino"])
+    figures = stats.with_errors(stats.all_stats(t, backtest.equity_curve(b, t), KEYS, F.lit(HOUR_YEAR)), t, KEYS)
+    return _six(figures, TRADE_COLUMNS + [*CURVE_COLUMNS, "sortino"])
 
 
 @query()
 def job_backtest_verdict(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Trades, equity, split and verdict of one strategy on every series."""
+    """Trades, equity, split and verdict of one strategy on every series; a run that ends in an error has no grade."""
     b = bars(spark, sf_dir)
     t = materialise(backtest.run_strategy(b, DIP), "trades")
     curve = backtest.equity_curve(b, t)
     _, _, failed = stats.split_windows(t, curve, KEYS, 0.7)
-    v = verdicts.verdicts(stats.split_stats(t, curve, KEYS, 0.7, F.lit(HOUR_YEAR)), KEYS, failed)
+    v = verdicts.verdicts(stats.split_stats(t, curve, KEYS, 0.7, F.lit(HOUR_YEAR)), KEYS, failed, t.where("error is not null").select(*KEYS, "error"))
     return v.withColumn("reasons", F.array_join("reasons", " "))
 
 
@@ -791,5 +828,6 @@ def job_supplier_backtest(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     b = materialise(candles_from_lineitem(spark, sf_dir), "bars")
     t = materialise(backtest.run_strategy(b, CROSS), "trades")
-    return _six(stats.all_stats(t, backtest.equity_curve(b, t), KEYS, F.lit(365)), TRADE_COLUMNS + [*CURVE_COLUMNS, "sortino"])
+    figures = stats.with_errors(stats.all_stats(t, backtest.equity_curve(b, t), KEYS, F.lit(365)), t, KEYS)
+    return _six(figures, TRADE_COLUMNS + [*CURVE_COLUMNS, "sortino"])
 
