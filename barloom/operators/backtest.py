@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -75,9 +77,16 @@ def scan_trades(
     tick: float = 1e-9,
     rearm: bool = True,
     fills_per_day: int | None = None,
+    start: int = 0,
+    armed: bool = True,
+    equity: float = 1.0,
+    most: int | None = None,
 ) -> pd.DataFrame:
     """Non-overlapping trades of one sorted series; jumps from trade to trade, not from bar to bar.
 
+    ``most`` ends the scan after so many trades; ``start``, ``armed`` (false: a flat
+    bar without the entry rule must come first) and ``equity`` take one up again.
+
     A signal on a bar's close fills at the next open. After a trade the next
     entry needs a flat bar, from the closing one on, on which the entry rule is
     false. On one bar a signalled exit comes first, then stop, trail and
@@ -91,8 +100,11 @@ def scan_trades(
     wants, lacks = np.flatnonzero(seen & entry), np.flatnonzero(seen & ~entry)
     exits = np.flatnonzero(exit_ & (np.arange(n) < n - 1))
     ends = np.flatnonzero(inside & ~np.append(inside[1:], False)) if exit_at_session_end else np.zeros(0, int)
-    rows, equity, at, fills = [], 1.0, 0, {}
-    while True:
+    rows, at, fills = [], start, {}
+    if rearm and not armed:
+        flat = _after(lacks, at)
+        at = n if flat is None else flat + 1
+    while most is None or len(rows) < most:
         signal = _after(wants, at)
         if signal is None:
             break
@@ -166,12 +178,59 @@ def run_strategy(candles: DataFrame, strategy: dict, fee_bps: float = 5.0, slipp
     return backtest_trades(flagged, side=strategy["side"], stop_pct=strategy.get("stop_loss_pct"), target_pct=strategy.get("take_profit_pct"), cost=(fee_bps + slippage_bps) / 1e4, **rules)
 
 
+class Strategy:
+    """What a user's own strategy with a state offers; one is made for each series."""
+
+    def signals(self, bars: pd.DataFrame, start: int) -> tuple[np.ndarray, np.ndarray, np.ndarray | str]:
+        """(entry, exit, side) of all bars, of which those from ``start`` on count, as far as is known before the next fill."""
+        raise NotImplementedError
+
+    def filled(self, bars: pd.DataFrame, at: int, side: str) -> None:
+        """An entry was filled at bar ``at``; signals are asked for again, from the trade's exit on."""
+
+
+def scan_stateful(bars: pd.DataFrame, strategy: Strategy, rearm: bool = True, **rules: object) -> pd.DataFrame:
+    """``scan_trades`` of a strategy with a state: it is told of each fill and asked anew after each trade.
+
+    Exit signals of a trade are those that the strategy gave before its fill.
+    """
+    found, at, equity = [], 0, 1.0
+    while at < len(bars):
+        entry, exit_, side = strategy.signals(bars, at)
+        one = scan_trades(bars, np.asarray(entry, bool), np.asarray(exit_, bool), side, rearm=rearm, start=at, armed=not found, equity=equity, most=1, **rules)
+        if not len(one):
+            break
+        trade = one.iloc[0]
+        if isinstance(trade["error"], str):
+            return one
+        found.append(one.assign(trade_no=len(found)))
+        strategy.filled(bars, int(trade["entry_idx"]), trade["side"])
+        at, equity = int(trade["exit_idx"]), equity * (1 + float(trade["return_pct"]) / 100)
+    return pd.concat(found, ignore_index=True) if found else pd.DataFrame(columns=TRADE_NAMES)
+
+
+def stateful_trades(candles: DataFrame, make: Callable[[], Strategy], keys: list[str] | None = None, **rules: object) -> DataFrame:
+    """Trades of a user's strategy with a state on every series; ``make`` makes one for each."""
+    keys = keys or SERIES
+
+    def run(group: pd.DataFrame) -> pd.DataFrame:
+        group = group.sort_values("ts").reset_index(drop=True)
+        found = scan_stateful(group, make(), **rules)
+        for k in reversed(keys):
+            found.insert(0, k, group[k].iloc[0])
+        return found
+
+    kinds = {f.name: f.dataType.simpleString() for f in candles.schema}
+    return candles.groupBy(*keys).applyInPandas(run, ", ".join([*(f"`{k}` {kinds[k]}" for k in keys), TRADE]))
+
+
 def equity_curve(candles: DataFrame, trades: DataFrame, keys: list[str] | None = None, cost: float = 0.0007, factor: float = 1.0, start: float = 1.0) -> DataFrame:
     """(keys, idx, ts, open, close, equity) of every bar: realised while flat, marked to the close less costs while open.
 
-    Trades are spread over the bars from entry to exit and equi-joined; what is
-    realised is a running product in the order of trades. Runs that ended in an
-    error have no curve.
+    A bar's equity hangs on the last trade that began by then, so each trade is
+    joined to its entry bar alone and carried on by a window; what is realised is
+    a running product in the order of trades. Runs that ended in an error have no
+    curve.
     """
     keys = keys or SERIES
     failed = trades.where("error is not null").select(*keys).distinct()
@@ -180,15 +239,14 @@ def equity_curve(candles: DataFrame, trades: DataFrame, keys: list[str] | None =
     good = trades.where("error is null and trade_no is not null")
     done = good.withColumn("after", F.product(grow).over(run.rowsBetween(Window.unboundedPreceding, 0)) * start).withColumn("before", F.coalesce(F.lag("after").over(run), F.lit(start)))
     sign = F.when(F.col("side") == "long", 1).otherwise(-1)
-    spread = done.select(*keys, F.explode(F.sequence("entry_idx", "exit_idx")).alias("idx"), "exit_idx", "entry_price", sign.alias("sign"), "before", "after", "trade_no")
-    # a bar may close one trade and open the next: the later one tells its equity
-    spread = spread.groupBy(*keys, "idx").agg(F.max_by(F.struct("exit_idx", "entry_price", "sign", "before", "after"), "trade_no").alias("t"))
+    began = done.select(*keys, F.col("entry_idx").alias("idx"), F.struct("trade_no", "exit_idx", "entry_price", sign.alias("sign"), "before", "after").alias("t"))
+    # made-up trades may begin on one bar: the later one tells its equity
+    began = began.groupBy(*keys, "idx").agg(F.max("t").alias("t"))
     bars = candles.select(*keys, "ts", "open", "close").join(failed, keys, "left_anti").withColumn("idx", (F.row_number().over(Window.partitionBy(*keys).orderBy("ts")) - 1).cast("int"))
+    marked = bars.join(began, [*keys, "idx"], "left").withColumn("t", F.last("t", ignorenulls=True).over(Window.partitionBy(*keys).orderBy("idx").rowsBetween(Window.unboundedPreceding, 0)))
     ratio = F.col("close") / F.col("t.entry_price")
-    marked = F.col("t.before") * (1 + factor * (F.col("t.sign") * (ratio - 1) - cost * (1 + ratio)))
-    own = F.when(F.col("idx") < F.col("t.exit_idx"), marked).otherwise(F.col("t.after"))
-    realised = F.last(F.when(F.col("idx") == F.col("t.exit_idx"), F.col("t.after")), ignorenulls=True).over(Window.partitionBy(*keys).orderBy("idx"))
-    return bars.join(spread, [*keys, "idx"], "left").select(*keys, "idx", "ts", "open", "close", F.coalesce(own, realised, F.lit(start)).alias("equity"))
+    own = F.when(F.col("idx") < F.col("t.exit_idx"), F.col("t.before") * (1 + factor * (F.col("t.sign") * (ratio - 1) - cost * (1 + ratio)))).otherwise(F.col("t.after"))
+    return marked.select(*keys, "idx", "ts", "open", "close", F.coalesce(own, F.lit(start)).alias("equity"))
 
 
 def trailing_levels(path: DataFrame, trail_pct: float) -> DataFrame:

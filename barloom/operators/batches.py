@@ -15,11 +15,13 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from barloom.operators.backtest import TRADE, scan_trades
+from barloom.operators.backtest import TRADE, equity_curve, scan_trades
 from barloom.operators.clean import SERIES
 from barloom.operators.indicators import indicator_values
-from barloom.operators.rules import PRICES, column_name, operands, rule_flags
+from barloom.operators.rules import PRICES, column_name, operands, parse_conditions, parse_strategies, rule_flags, strategy_rows, validate_strategies
+from barloom.operators.sweep import applied, trials_of
 from barloom.operators.verdicts import compare_claim
+from barloom.sources.paths import materialise
 
 #: Runs that share one copy of a series, about.
 BATCH = 64
@@ -121,6 +123,34 @@ def best_runs(report: DataFrame, k: int = 1, by: str = "return_pct") -> DataFram
     return report.where("status = 'ok'").withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
+def as_saved(report: DataFrame, texts: DataFrame, candles: DataFrame, created_at: int) -> DataFrame:
+    """The runs of ``report`` that went well as rows of the run store: with their strategy's text, range of bars and figures."""
+    span = candles.groupBy(*SERIES).agg(F.min("ts").alias("start_ms"), F.max("ts").alias("end_ms"))
+    rows = report.where("status = 'ok'").join(span, SERIES).join(texts.select("strategy_id", F.col("json").alias("strategy")), "strategy_id")
+    rate = 100 * F.col("wins") / F.when(F.col("trades") > 0, F.col("trades"))
+    none = F.array().cast("array<double>")
+    figures = F.struct("trades", F.coalesce(rate, F.lit(0.0)).alias("win_rate_pct"), F.col("return_pct").alias("total_return_pct"))
+    return rows.select(F.lit(created_at).cast("long").alias("created_at"), *SERIES, "start_ms", "end_ms", "strategy", figures.alias("stats"), F.struct("expectancy_pct").alias("metrics"), none.alias("equity_curve"), none.alias("trades"))
+
+
+def rerun_best(candles: DataFrame, strategy: dict, combos: DataFrame, results: DataFrame, k: int = 3, fee_bps: float = 5.0, slippage_bps: float = 2.0) -> tuple[DataFrame, DataFrame]:
+    """(trades, curves) of the ``k`` best trials of each series of a sweep, with rank and trial_id.
+
+    A sweep gives figures only; its best trials alone are run again for what is
+    as long as the series. ``results`` are those of ``sweep_results``.
+    """
+    spark = candles.sparkSession
+    best = results.where(F.col("rank") <= k).select(*SERIES, "rank", "trial_id", F.col("trial_id").cast("string").alias("strategy_id"))
+    wanted = {r["trial_id"] for r in best.select("trial_id").distinct().collect()}  # control data, as all trials are
+    texts = strategy_rows(spark, {str(i): applied(strategy, params) for i, params in trials_of(combos) if i in wanted})
+    conditions = parse_conditions(texts)
+    made = backtest_runs(candles, programs(validate_strategies(parse_strategies(texts), conditions), conditions), best, fee_bps, slippage_bps)
+    made = materialise(made, "best")
+    curves = equity_curve(candles.join(best.select(*RUN), SERIES), made, RUN, cost=(fee_bps + slippage_bps) / 1e4)
+    named = best.select(*RUN, "rank", "trial_id")
+    return made.join(named, RUN).drop("strategy_id"), curves.join(named, RUN).drop("strategy_id")
+
+
 def with_claims(report: DataFrame, strategies: DataFrame) -> DataFrame:
     """``report`` with claimed_win_rate and held: whether the run won as often as its strategy claims; NULL without claim or trades."""
     claims = strategies.select("strategy_id", "claimed_win_rate")

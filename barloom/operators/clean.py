@@ -29,15 +29,19 @@ def drop_unclosed(candles: DataFrame, now: int, step: Column) -> DataFrame:
     return candles.where(F.col("ts") + step <= now)
 
 
-def validate_candles(candles: DataFrame) -> DataFrame:
-    """``candles`` with idx and reason: the first rule that the bar breaks, NULL if none."""
+def candle_fault(before: Column) -> Column:
+    """The first rule that a bar breaks, NULL if none; ``before`` is the time of the bar before it."""
     o, h, low, c = (F.col(x) for x in ("open", "high", "low", "close"))
-    reason = F.when(F.col("_before") >= F.col("ts"), "timestamps are not ascending")
+    reason = F.when(before >= F.col("ts"), "timestamps are not ascending")
     for name in ("open", "high", "low", "close"):
         reason = reason.when(~finite(F.col(name)), f"{name} is not finite")
-    reason = reason.when(h < low, "high is below low").when(h < F.greatest(o, c), "high is below open or close").when(low > F.least(o, c), "low is above open or close")
+    return reason.when(h < low, "high is below low").when(h < F.greatest(o, c), "high is below open or close").when(low > F.least(o, c), "low is above open or close")
+
+
+def validate_candles(candles: DataFrame) -> DataFrame:
+    """``candles`` with idx and reason: the first rule that the bar breaks, NULL if none."""
     order = Window.partitionBy(*SERIES).orderBy("arrival") if "arrival" in candles.columns else by_time()
-    return candles.withColumn("_before", F.lag("ts").over(order)).withColumn("idx", F.row_number().over(order) - 1).withColumn("reason", reason).drop("_before")
+    return candles.withColumn("_before", F.lag("ts").over(order)).withColumn("idx", F.row_number().over(order) - 1).withColumn("reason", candle_fault(F.col("_before"))).drop("_before")
 
 
 def find_gaps(candles: DataFrame) -> DataFrame:

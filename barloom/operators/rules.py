@@ -176,32 +176,42 @@ def validate_strategies(strategies: DataFrame, conditions: DataFrame, max_period
     return strategies.join(first, "strategy_id", "left").withColumn("error", error).drop("_bad")
 
 
-def eval_conditions(conditions: DataFrame, values: DataFrame) -> DataFrame:
+def eval_conditions(conditions: DataFrame, values: DataFrame, strategies: DataFrame | None = None) -> DataFrame:
     """(strategy_id, section, symbol, interval, ts, hit): the rules of many strategies on values (symbol, interval, ts, ind, period, value, before).
 
-    The values of a bar are gathered to one row, which meets each strategy once;
+    The values of a bar are gathered to one map, which meets each strategy once;
     a comparison with a missing value, or a cross without a bar before, is false.
-    Strategies are control data: at most ``MAX_CONDITIONS`` at once, or ValueError.
+    With ``strategies`` both sections of each have rows, and one without
+    conditions is false. Strategies are control data: at most ``MAX_CONDITIONS``
+    at once, or ValueError.
     """
     if conditions.limit(MAX_CONDITIONS + 1).count() > MAX_CONDITIONS:
         raise ValueError(f"more than {MAX_CONDITIONS} conditions at once")
-    name = lambda o: F.concat_ws(":", o["ind"], o["period"].cast("string"))
-    bars = values.groupBy(*SERIES, "ts").agg(F.collect_list(F.struct(F.concat_ws(":", "ind", F.col("period").cast("string")).alias("k"), "value", "before")).alias("v"))
-    sections = conditions.groupBy("strategy_id", "section").agg(F.collect_list(F.struct("grp", "left", "op", "right")).alias("cs"))
-
-    def value(o: Column, field: str) -> Column:
-        return F.coalesce(o["num"], F.get(F.filter("v", lambda x: x["k"] == name(o)), F.lit(0))[field])
+    name = lambda ind, period: F.concat_ws(":", ind, period.cast("string"))
+    both = F.struct("value", "before")
+    bars = values.groupBy(*SERIES, "ts").agg(F.map_from_entries(F.collect_list(F.struct(name(F.col("ind"), F.col("period")).alias("k"), both.alias("v")))).alias("v"))
+    side = lambda s: F.struct(F.col(f"{s}.num").alias("num"), name(F.col(f"{s}.ind"), F.col(f"{s}.period")).alias("k"))
+    sections = conditions.groupBy("strategy_id", "section").agg(F.collect_list(F.struct("grp", side("left").alias("l"), "op", side("right").alias("r"))).alias("cs"))
+    if strategies is not None:
+        each = strategies.select("strategy_id", F.explode(F.array(F.lit("entry"), F.lit("exit"))).alias("section"))
+        sections = each.join(sections, ["strategy_id", "section"], "left")
+
+    def found(o: Column) -> Column:
+        number = F.struct(o["num"].alias("value"), o["num"].alias("before"))
+        return F.when(o["num"].isNotNull(), number).otherwise(F.try_element_at("v", o["k"]))
 
     def hit(c: Column) -> Column:
-        l1, l0, r1, r0 = (value(c[side], field) for side in ("left", "right") for field in ("value", "before"))
+        l1, l0, r1, r0 = (c[s][field] for s in ("l", "r") for field in ("value", "before"))
         op = c["op"]
         met = F.when(op == "<", l1 < r1).when(op == ">", l1 > r1).when(op == "crosses_above", (l0 <= r0) & (l1 > r1)).when(op == "crosses_below", (l0 >= r0) & (l1 < r1))
         return F.coalesce(met, F.lit(False))
 
-    told = bars.join(F.broadcast(sections)).select("strategy_id", "section", *SERIES, "ts", F.transform("cs", lambda c: F.struct(c["grp"].alias("grp"), hit(c).alias("hit"))).alias("hs"))
+    looked_up = F.transform("cs", lambda c: F.struct(c["grp"].alias("grp"), c["op"].alias("op"), found(c["l"]).alias("l"), found(c["r"]).alias("r")))
+    told = bars.join(F.broadcast(sections)).select("strategy_id", "section", *SERIES, "ts", looked_up.alias("bound"))
+    told = told.withColumn("hs", F.transform("bound", lambda c: F.struct(c["grp"].alias("grp"), hit(c).alias("hit"))))
     every = F.forall("hs", lambda h: (h["grp"] != "all") | h["hit"])
     some = F.exists("hs", lambda h: (h["grp"] == "any") & h["hit"]) | ~F.exists("hs", lambda h: h["grp"] == "any")
-    return told.select("strategy_id", "section", *SERIES, "ts", (every & some).alias("hit"))
+    return told.select("strategy_id", "section", *SERIES, "ts", F.coalesce(every & some, F.lit(False)).alias("hit"))
 
 
 def numeric_paths(strategies: DataFrame, conditions: DataFrame) -> DataFrame:
@@ -219,13 +229,19 @@ def numeric_paths(strategies: DataFrame, conditions: DataFrame) -> DataFrame:
 def apply_params(paths: DataFrame, overrides: DataFrame) -> DataFrame:
     """(trial_id, strategy_id, path, value, error): the numbers of each trial, from overrides (trial_id, path, value).
 
+    Where overrides name a strategy_id too, a trial is of that strategy alone;
+    else each trial is of every strategy, which only a few strategies can bear.
+
     Periods are rounded and 1..100000, stops and targets above 0, all finite;
     an override of a path that the strategy lacks is an error row.
     """
-    trials = overrides.select("trial_id").distinct()
-    every = paths.crossJoin(trials)
     new = overrides.withColumnRenamed("value", "new")
-    joined = every.join(new, ["trial_id", "path"], "full_outer")
+    if "strategy_id" in overrides.columns:
+        every = paths.join(overrides.select("trial_id", "strategy_id").distinct(), "strategy_id")
+        joined = every.join(new, ["trial_id", "strategy_id", "path"], "full_outer")
+    else:
+        every = paths.crossJoin(overrides.select("trial_id").distinct())
+        joined = every.join(new, ["trial_id", "path"], "full_outer")
     period = F.col("path").endswith(".period")
     value = F.coalesce(F.when(period, F.signum("new") * F.floor(F.abs("new") + 0.5)).otherwise(F.col("new")), F.col("value"))
     error = (

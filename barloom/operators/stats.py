@@ -215,22 +215,69 @@ def folds(n: int, k: int) -> list[tuple[int, int, int]]:
     return [(at[f + 1], at[f + 2], f) for f in range(k)]
 
 
-def walk_forward_windows(curve: DataFrame, trades: DataFrame, keys: list[str], k: int) -> tuple[DataFrame, DataFrame]:
-    """(trades, curve) with fold and part; each window's curve is 1 and then equity over its first value."""
-    at = lambda i: F.floor(F.col("n") * i / (k + 1)).cast("int")
-    windows = F.array(*(F.struct(F.lit(f).alias("fold"), F.lit(p).alias("part"), (F.lit(0) if p == "IS" else at(f + 1)).alias("lo"), (at(f + 1) if p == "IS" else at(f + 2)).alias("hi")) for f in range(k) for p in ("IS", "OOS")))
-    inside = lambda c: F.filter(windows, lambda w: (F.col(c) >= w["lo"]) & (F.col(c) < w["hi"]))
-    spread = lambda df, c: df.where(F.col("n") >= 5 * (k + 1)).select("*", F.inline(inside(c))).drop("n")
-    rows = spread(curve.withColumn("n", F.count("*").over(Window.partitionBy(*keys))), "idx")
-    base = F.first("equity").over(Window.partitionBy(*keys, "fold", "part").orderBy("idx"))
-    rows = rows.withColumn("equity", F.when(F.col("idx") == F.col("lo"), F.lit(1.0)).otherwise(F.col("equity") / base)).drop("lo", "hi")
-    n = curve.groupBy(*keys).agg(F.count("*").alias("n"))
-    return spread(trades.where("trade_no is not null").join(n, keys), "entry_idx").drop("lo", "hi"), rows
+def _spread(n: Column, mean: Column, squares: Column) -> Column:
+    """The deviation of n values of which ``squares`` is the sum of squares; 0 where it is no more than rounding."""
+    v = F.greatest(squares / n - mean * mean, F.lit(0.0))
+    return F.when(v > 1e-14 * mean * mean, F.sqrt(v)).otherwise(0.0)
+
+
+def _merge(over: object | None) -> object:
+    """Aggregates of a summary's columns: their own values, or those of all chunks up to this one."""
+    if over is None:
+        return lambda c, how: F.col(c)
+    return lambda c, how: how(c).over(over)
+
+
+def _window_row(over: object | None, kind: str, year: Column) -> list[Column]:
+    """The figures of a window of chunks from their summaries; ``kind`` is what growths and drawdowns start from: own, the chunk, or all, the run."""
+    of = _merge(over)
+    total = lambda c: zero(of(c, F.sum)) if c[:2] != "n_" and c not in ("trades", "wins", "losses") else F.coalesce(of(c, F.sum), F.lit(0).cast("long"))
+    n, mean = total(f"n_{kind}"), F.when(total(f"n_{kind}") > 0, total(f"sum_{kind}") / total(f"n_{kind}"))
+    spread = _spread(F.when(n > 0, n), mean, total(f"squares_{kind}"))
+    # in a run's first chunk the first bar has no growth
+    bad = (total(f"n_unknown_{kind}") > (1 if kind == "all" else 0)) | (total("n_unusable") > 0)
+    trades, wins, losses = (total(c) for c in ("trades", "wins", "losses"))
+    won, lost, all_ = total("won"), total("lost"), F.when(trades > 0, total("won") + total("lost")) / F.when(trades > 0, trades)
+    return [
+        _grown(of("first_equity", F.first), F.col("last_equity")).alias("total_return_pct"), _grown(of("first_open", F.first), F.col("last_close")).alias("buy_and_hold_pct"), of(f"drawdown_{kind}", F.max).alias("max_drawdown_pct"),
+        F.when(~bad & (n > 0) & (spread > 1e-15), mean / spread * F.sqrt(year)).otherwise(0.0).alias("sharpe"),
+        trades.alias("trades"), wins.alias("wins"), losses.alias("losses"), zero(F.when(trades > 0, 100 * wins / trades)).alias("win_rate_pct"), zero(F.when(wins > 0, won / wins)).alias("avg_win_pct"), zero(F.when(losses > 0, lost / losses)).alias("avg_loss_pct"),
+        F.when(F.abs(lost) > 0, won / F.abs(F.when(lost != 0, lost))).alias("profit_factor"), zero(all_).alias("expectancy_pct"), zero(_spread(F.when(trades > 0, trades), all_, total("squares"))).alias("expectancy_stdev_pct"),
+    ]
 
 
 def walk_forward_stats(trades: DataFrame, curve: DataFrame, keys: list[str], k: int, bars_per_year: Column) -> DataFrame:
-    parted, rows = walk_forward_windows(curve, trades, keys, k)
-    return all_stats(parted, rows, [*keys, "fold", "part"], bars_per_year).drop("sortino")
+    """(keys, fold, part, figures) of k walk-forward folds: of all chunks up to a fold's, and of the chunk after it.
+
+    Each bar and each trade is read once, into the summary of its chunk, and the
+    windows of a run are merged from its k + 1 summaries. Runs of fewer than
+    5 bars a chunk have no rows. Each window's curve starts from 1.
+    """
+    chunk = lambda c: F.floor(((F.col(c) + 1) * (k + 1) - 1) / F.col("n")).cast("int").alias("chunk")
+    sizes = curve.groupBy(*keys).agg(F.count("*").alias("n")).where(F.col("n") >= 5 * (k + 1))
+    rows = _with_open(curve).withColumn("_year", bars_per_year.cast("double")).join(sizes, keys)
+    rows = bar_returns(rows.select(*keys, "idx", "open", "close", "equity", "_year", chunk("idx")), keys)
+    run, own = _order(keys), _order([*keys, "chunk"])
+    scaled = lambda w: F.col("equity") / F.when(F.first("equity").over(w) != 0, F.first("equity").over(w))
+    rows = rows.withColumns({"_all": scaled(run), "_own": scaled(own), "_head": F.row_number().over(own) == 1})
+    fall = lambda e, w: F.when(F.max(e).over(w) > 0, 100 * (F.max(e).over(w) - F.col(e)) / F.max(e).over(w)).otherwise(0.0)
+    rows = rows.withColumns({"_fall_all": fall("_all", run), "_fall_own": fall("_own", own)})
+    r = F.col("growth") - 1
+    inner = F.when(~F.col("_head"), r)
+    sums = [x for kind, c in (("all", r), ("own", inner)) for x in (F.count(c).alias(f"n_{kind}"), F.sum(c).alias(f"sum_{kind}"), F.sum(c * c).alias(f"squares_{kind}"), F.max(f"_fall_{kind}").alias(f"drawdown_{kind}"))]
+    at = F.when(F.col("open").isNotNull(), F.col("idx"))
+    chunks = rows.groupBy(*keys, "chunk").agg(
+        F.min_by("equity", "idx").alias("first_equity"), F.max_by("equity", "idx").alias("last_equity"), F.min_by("open", at).alias("first_open"), F.max_by("close", at).alias("last_close"), *sums, F.max("_year").alias("_year"),
+        F.count_if(F.col("growth").isNull()).alias("n_unknown_all"), F.count_if(F.col("growth").isNull() & ~F.col("_head")).alias("n_unknown_own"), F.count_if(~finite(F.col("equity"))).alias("n_unusable"),
+    )
+    p = F.col("return_pct")
+    made = trades.where("trade_no is not null and return_pct is not null").join(sizes, keys).select(*keys, chunk("entry_idx"), "return_pct").groupBy(*keys, "chunk")
+    made = made.agg(F.count("*").alias("trades"), F.count_if(p > 0).alias("wins"), F.count_if(p <= 0).alias("losses"), F.sum(F.when(p > 0, p).otherwise(0.0)).alias("won"), F.sum(F.when(p <= 0, p).otherwise(0.0)).alias("lost"), F.sum(p * p).alias("squares"))
+    both = chunks.join(made, [*keys, "chunk"], "left")
+    before = Window.partitionBy(*keys).orderBy("chunk").rowsBetween(Window.unboundedPreceding, 0)
+    part = lambda name, fold, over, kind: both.select(*keys, "chunk", (F.col("chunk") - fold).alias("fold"), F.lit(name).alias("part"), *_window_row(over, kind, F.col("_year")))
+    found = part("IS", 0, before, "all").where(F.col("chunk") < k).unionByName(part("OOS", 1, None, "own").where(F.col("chunk") > 0))
+    return found.drop("chunk")
 
 
 def mean_stats(folded: DataFrame, keys: list[str]) -> DataFrame:

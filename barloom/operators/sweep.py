@@ -11,9 +11,10 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from barloom.functions.columns import finite
 from barloom.operators.backtest import TRADE, scan_trades
 from barloom.operators.indicators import indicator_values
-from barloom.operators.rules import PRICES, column_name, operands, rule_flags
+from barloom.operators.rules import AVERAGES, OPS, PRICES, column_name, operands, rule_flags
 from barloom.operators.stats import mean_stats
 from barloom.operators.verdicts import side_by_side
 
@@ -54,6 +55,33 @@ def expand_values(kind: str, values: list[float] | None = None, low: float | Non
     return out
 
 
+def expand_specs(specs: DataFrame) -> DataFrame:
+    """``specs`` (kind, values, min, max, step) with expanded, the sorted values of each, and error where there are none; ``expand_values`` for tables.
+
+    ``values`` is an array, or NULL where min and max give a range.
+    """
+    half = lambda c: F.signum(c) * F.floor(F.abs(c) + 0.5)
+    is_int, listed = F.col("kind") == "int", F.col("values").isNotNull()
+    known = lambda c: F.coalesce(finite(c), F.lit(False))
+    step = F.when(is_int, F.greatest(F.lit(1.0), half(F.coalesce("step", F.lit(1.0))))).otherwise(F.col("step"))
+    first, last = F.when(is_int, F.ceil("min").cast("double")).otherwise(F.col("min")), F.when(is_int, F.floor("max").cast("double")).otherwise(F.col("max"))
+    error = (
+        F.when(listed & ((F.size("values") == 0) | F.exists("values", lambda v: ~known(v)) | F.col("min").isNotNull() | F.col("max").isNotNull() | F.col("step").isNotNull()), "values must be finite, not empty, and without a range")
+        .when(~listed & (~known(F.col("min")) | ~known(F.col("max")) | (F.col("min") > F.col("max"))), "a range needs finite min and max, min first")
+        .when(~listed & ~is_int & (F.coalesce("step", F.lit(0.0)) <= 0), "a float range needs a step above 0")
+    )
+    rows = specs.withColumn("error", error)
+    good = F.col("error").isNull()
+    n = F.when(good & ~listed & (step > 0), F.floor((last + F.when(is_int, 0.0).otherwise(1e-9) - first) / F.when(step > 0, step)) + 1)
+    steps = F.when(n.between(1, MAX_VALUES), F.transform(F.sequence(F.lit(0).cast("long"), F.least(n, F.lit(MAX_VALUES)) - 1), lambda i: F.least(first + i * step, last)))
+    ranged = F.when(last - F.element_at(steps, -1) > 1e-12, F.concat(steps, F.array(last))).otherwise(steps)
+    none = F.array().cast("array<double>")
+    apart = lambda a, v: F.when((F.size(a) == 0) | (v - F.coalesce(F.try_element_at(a, F.lit(-1)), F.lit(0.0)) > 1e-12), F.concat(a, F.array(v))).otherwise(a)
+    distinct = F.aggregate(F.array_sort(F.transform("values", lambda v: F.when(is_int, half(v)).otherwise(v))), none, apart)
+    out = rows.withColumn("expanded", F.when(good, F.when(listed, distinct).otherwise(ranged)))
+    return out.withColumn("error", F.when(good & ~F.coalesce(F.size("expanded").between(1, MAX_VALUES), F.lit(False)), "1 to 512 values").otherwise(F.col("error"))).withColumn("expanded", F.when(F.col("error").isNull(), F.col("expanded")))
+
+
 def target_exists(strategy: dict, path: str) -> bool:
     return _locate(strategy, path) is not None
 
@@ -73,9 +101,43 @@ def _locate(strategy: dict, path: str) -> tuple[object, object] | None:
     return None
 
 
-def validate_sweep_spec(strategy: dict, params: list[dict], method: str = "grid", trials: int | None = None, split: float | None = None, k: int | None = None) -> list[str]:
-    """What is wrong with a sweep, in order; empty if it can run."""
+def strategy_errors(strategy: dict) -> list[str]:
+    """What is wrong with a strategy that is held on the driver, in the order entry, exit, stop, target; as ``validate_strategies`` tells of tables.
+
+    A side is not asked for, since it is no part of what a sweep changes, but a given one must be known.
+    """
     errors = []
+    if strategy.get("side", "long") not in ("long", "short"):
+        errors.append("unknown side")
+    sections = [strategy.get("entry") or {}, strategy.get("exit") or {}]
+    if not any(sections[0].get(g) for g in ("all", "any")):
+        errors.append("entry has no condition")
+    for c in (c for rules in sections for g in ("all", "any") for c in rules.get(g) or []):
+        if c.get("op") not in OPS:
+            errors.append("unknown operator")
+        for o in (c.get("left"), c.get("right")):
+            if isinstance(o, dict):
+                ind, period = o.get("ind"), o.get("period")
+                if ind not in (*PRICES, *AVERAGES):
+                    errors.append("unknown indicator")
+                elif ind in PRICES and period is not None:
+                    errors.append(f"{ind} takes no period")
+                elif ind in AVERAGES and (period is None or period < 1):
+                    errors.append(f"{ind} needs a period" if period is None else f"{ind} period must be at least 1")
+            elif not isinstance(o, (int, float)) or not math.isfinite(o):
+                errors.append("unknown indicator")
+        if all(isinstance(c.get(s), (int, float)) for s in ("left", "right")):
+            errors.append("compares two plain numbers")
+    for name in ("stop_loss_pct", "take_profit_pct"):
+        v = strategy.get(name)
+        if v is not None and not (math.isfinite(v) and v > 0):
+            errors.append(f"bad {name}")
+    return errors
+
+
+def validate_sweep_spec(strategy: dict, params: list[dict], method: str = "grid", trials: int | None = None, split: float | None = None, k: int | None = None) -> list[str]:
+    """What is wrong with a sweep, in order, its strategy first; empty if it can run."""
+    errors = strategy_errors(strategy)
     if not 1 <= len(params) <= MAX_PARAMS:
         errors.append("1 to 8 parameters are needed")
     for p in params:
@@ -134,7 +196,7 @@ def applied(strategy: dict, params: dict[str, float]) -> dict:
     return out
 
 
-def _trials(combos: DataFrame) -> list[tuple[int, dict[str, float]]]:
+def trials_of(combos: DataFrame) -> list[tuple[int, dict[str, float]]]:
     """The trials on the driver: control data of MAX_COMBOS rows at most."""
     rows = combos.select("trial_id", "params").limit(MAX_COMBOS + 1).collect()
     if len(rows) > MAX_COMBOS:
@@ -149,7 +211,7 @@ def _each_trial(candles: DataFrame, strategy: dict, combos: DataFrame, cost: flo
     series are fewer than cores, ``batch`` deals the trials to parts of about so
     many, each of which gets the series; a part shares the series' indicators.
     """
-    trials, columns = _trials(combos), ["ts", *PRICES]
+    trials, columns = trials_of(combos), ["ts", *PRICES]
     splits = -(-len(trials) // batch) if batch and trials else 1
     rows = F.array_sort(F.collect_list(F.struct(*columns)))
     packed = candles.groupBy("symbol", "interval").agg(rows.alias("bars")).select("symbol", "interval", *(F.col(f"bars.{c}").alias(c) for c in columns))
@@ -280,13 +342,12 @@ def params_key(params: Column) -> Column:
 
 
 def overfit_flag(is_sharpe: Column, oos_sharpe: Column, is_return: Column, oos_return: Column) -> tuple[Column, Column]:
-    """(overfit, reason): the first that fits of a sign flip, a gap above 1, and a return that turned."""
+    """(overfit, reason): the first that fits of a Sharpe ratio that turns, one that falls by more than 1, and a return that turns."""
     gap = is_sharpe - oos_sharpe
-    two = lambda c: F.format_string("%.2f", c)
     reason = (
-        F.when((is_sharpe > 0.5) & (oos_sharpe < 0), F.concat(F.lit("in-sample Sharpe "), two(is_sharpe), F.lit(" but out-of-sample Sharpe "), two(oos_sharpe), F.lit(" (sign flip)")))
-        .when(gap > 1, F.concat(F.lit("in-sample Sharpe "), two(is_sharpe), F.lit(" exceeds out-of-sample Sharpe "), two(oos_sharpe), F.lit(" by "), two(gap)))
-        .when((is_return > 10) & (oos_return < 0), F.concat(F.lit("in-sample return "), F.format_string("%.1f", is_return), F.lit("% but out-of-sample return "), F.format_string("%.1f", oos_return), F.lit("%")))
+        F.when((is_sharpe > 0.5) & (oos_sharpe < 0), F.format_string("Sharpe turns: %.2f before the split, %.2f after it", is_sharpe, oos_sharpe))
+        .when(gap > 1, F.format_string("Sharpe falls by %.2f: %.2f before the split, %.2f after it", gap, is_sharpe, oos_sharpe))
+        .when((is_return > 10) & (oos_return < 0), F.format_string("Return turns: %.1f%% before the split, %.1f%% after it", is_return, oos_return))
     )
     return reason.isNotNull(), reason
 

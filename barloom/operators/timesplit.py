@@ -8,16 +8,18 @@ of ``indicators`` and ``backtest`` on whole series, whatever the span.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.window import WindowSpec
 
 from barloom.functions.columns import step_ms
 from barloom.operators.backtest import TRADE_NAMES
 from barloom.operators.clean import SERIES
+from barloom.operators.rules import AVERAGES, operands, rules_column
 from barloom.sources.paths import materialise
 
 #: Bars of a bucket, if none is missing.
@@ -73,6 +75,32 @@ def with_next_known(rows: DataFrame, value: Column, name: str, keys: list[str] |
     return rows.join(later, [*keys, "bucket"]).withColumn(name, F.coalesce(F.last("_v", ignorenulls=True).over(back), "_later")).drop("_v", "_later")
 
 
+def windowed(rows: DataFrame, back: int, columns: dict[str, Callable[[WindowSpec], Column]], keys: list[str] | None = None, size: int = BUCKET_BARS) -> DataFrame:
+    """``rows`` of ``numbered`` with window columns, {name: column of a window}, that look back ``back`` bars at most.
+
+    Bars are dealt to blocks of ``size`` by idx; a block borrows the ``back`` bars
+    before it, as many blocks as they may fill, so that its window is complete.
+    A column tells the start of a series by idx, as a row number is the block's.
+    """
+    keys = keys or SERIES
+    own = F.floor(F.col("idx") / size)
+    blocks = rows.withColumn("_block", F.explode(F.sequence(own, F.floor((F.col("idx") + back) / size))))
+    w = Window.partitionBy(*keys, "_block").orderBy("idx")
+    return blocks.withColumns({name: f(w) for name, f in columns.items()}).where(F.col("_block") == own).drop("_block")
+
+
+def split_rules(candles: DataFrame, strategy: dict, span: Column | None = None, size: int = BUCKET_BARS) -> DataFrame:
+    """``eval_rules`` of one strategy with each series spread over its buckets; with bucket, idx and n."""
+    found = sorted({(o["ind"], o["period"]) for o in operands(strategy) if o["ind"] in AVERAGES})
+    slow = [x for x in found if x[0] != "sma"]
+    rows = split_recurrences(candles, slow, span) if slow else numbered(candles, span=span)
+    means = [n for kind, n in found if kind == "sma"]
+    if means:
+        mean = lambda n: lambda w: F.when(F.col("idx") >= n - 1, F.avg("close").over(w.rowsBetween(1 - n, 0))) if n >= 1 else F.lit(None).cast("double")
+        rows = windowed(rows, max(0, *means, 1) - 1, {f"sma_{n}": mean(n) for n in means}, size=size)
+    return windowed(rows, 1, {"entry": lambda w: rules_column(strategy["entry"], w), "exit_": lambda w: rules_column(strategy.get("exit"), w)}, size=size)
+
+
 # -- recurrences ------------------------------------------------------------------
 def affine_scan(rows: DataFrame, channels: dict[str, tuple[Column, int, int, float]], keys: list[str] | None = None) -> DataFrame:
     """``rows`` of ``numbered`` with a column for each channel, {name: (x, start, n, alpha)}: a seeded recurrence over the whole series.

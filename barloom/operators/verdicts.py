@@ -8,6 +8,20 @@ from pyspark.sql import functions as F
 # Fixed values of the grading rules.
 MIN_TRADES, MIN_NOISE, SMALL_SAMPLE, PROFIT_FACTOR, RETENTION, MIN_MARKETS = 30, 10, 100, 1.2, 0.5, 2
 TIMEFRAMES = ["15m", "1h", "4h", "1d"]
+# The two sentences on noise, as formats.
+OUTSIDE_NOISE = "The average of %.2f%% per trade is well outside normal noise."
+WITHIN_NOISE = "With %d trades, the average of %.2f%% per trade is within normal noise (about plus or minus %.2f%%)."
+#: The other sentences, as formats, which the SQL of the queries uses too.
+SUMMARY = "After the split: %d trades making %.2f%% each, gains over losses %s."
+NONE_LOST = "undefined, as none lost"
+LAG = "Just holding made %.2f%% after the split, trading made %.2f%%."
+DECAY = "A trade made %.2f%% before the split and only %.2f%% after it."
+FALL = "Deepest fall after the split: %.2f%%."
+FEW = "%d trades on both sides of the split are few to judge by."
+NO_CLAIM = "No win rate was claimed."
+UNTESTED_CLAIM = "Too few trades after the split to test the claim."
+CLAIM_MET = "Claim met: %.1f%% of the trades after the split won, where %.1f%% were claimed."
+CLAIM_MISSED = "Claim missed: %.1f%% of the trades after the split won, where %.1f%% were claimed."
 
 
 def grade(trades: Column, expectancy: Column, profit_factor: Column, is_expectancy: Column) -> Column:
@@ -30,26 +44,19 @@ def noise(trades: Column, expectancy: Column, stdev: Column) -> tuple[Column, Co
 def reasons(p: str = "oos_", q: str = "is_") -> Column:
     """The ordered reasons: the summary, noise, lag behind holding, decay, drawdown, small sample."""
     c = lambda n: F.col(p + n)
-    outside, _ = noise(c("trades"), c("expectancy_pct"), c("expectancy_stdev_pct"))
+    before, after = F.col(q + "expectancy_pct"), c("expectancy_pct")
+    outside, _ = noise(c("trades"), after, c("expectancy_stdev_pct"))
     error = c("expectancy_stdev_pct") / F.sqrt(c("trades"))
-    factor = F.coalesce(_two(c("profit_factor")), F.lit("n/a (no losing trades)"))
     total = F.col(q + "trades") + c("trades")
-    return F.filter(
-        F.array(
-            F.concat(F.lit("Out-of-sample: "), c("trades").cast("string"), F.lit(" trades, expectancy "), _two(c("expectancy_pct")), F.lit("% per trade, profit factor "), factor, F.lit(".")),
-            F.when(outside, F.concat(F.lit("The average of "), _two(c("expectancy_pct")), F.lit("% per trade is well outside normal noise."))).when(
-                ~outside, F.concat(F.lit("With "), c("trades").cast("string"), F.lit(" trades, the average of "), _two(c("expectancy_pct")), F.lit("% per trade is within normal noise (about plus or minus "), _two(error), F.lit("%)."))
-            ),
-            F.when(c("total_return_pct") < c("buy_and_hold_pct"), F.concat(F.lit("Out-of-sample return "), _two(c("total_return_pct")), F.lit("% lagged buy-and-hold "), _two(c("buy_and_hold_pct")), F.lit("% over the same window."))),
-            F.when(
-                (F.col(q + "expectancy_pct") > 0) & (c("expectancy_pct") < RETENTION * F.col(q + "expectancy_pct")),
-                F.concat(F.lit("In-sample expectancy "), _two(F.col(q + "expectancy_pct")), F.lit("% per trade was much higher than out-of-sample "), _two(c("expectancy_pct")), F.lit("% per trade.")),
-            ),
-            F.concat(F.lit("Max out-of-sample drawdown was "), _two(c("max_drawdown_pct")), F.lit("%.")),
-            F.when(total < SMALL_SAMPLE, F.concat(F.lit("Only "), total.cast("string"), F.lit(" total trades across in-sample and out-of-sample, a small sample."))),
-        ),
-        lambda x: x.isNotNull(),
+    told = F.array(
+        F.when(c("trades").isNotNull(), F.format_string(SUMMARY, c("trades"), after, F.when(c("profit_factor").isNull(), NONE_LOST).otherwise(_two(c("profit_factor"))))),
+        F.when(outside, F.format_string(OUTSIDE_NOISE, after)).when(~outside, F.format_string(WITHIN_NOISE, c("trades"), after, error)),
+        F.when(c("total_return_pct") < c("buy_and_hold_pct"), F.format_string(LAG, c("buy_and_hold_pct"), c("total_return_pct"))),
+        F.when((before > 0) & (after < RETENTION * before), F.format_string(DECAY, before, after)),
+        F.when(c("max_drawdown_pct").isNotNull(), F.format_string(FALL, c("max_drawdown_pct"))),
+        F.when(total < SMALL_SAMPLE, F.format_string(FEW, total)),
     )
+    return F.filter(told, lambda x: x.isNotNull())
 
 
 def headline(grade: Column, trades: Column, expectancy: Column, softened: Column) -> Column:
@@ -122,6 +129,13 @@ def cross_market(graded: DataFrame, keys: list[str]) -> DataFrame:
     return parts.select(*keys, g.alias("grade"), "holds", "tested", "requested", F.filter(why, lambda x: x.isNotNull()).alias("reasons"), "unchecked")
 
 
+def requested(asked: DataFrame, graded: DataFrame, keys: list[str]) -> DataFrame:
+    """Every run of ``asked`` (keys, with symbol and interval), with its grade and why it has none: NULL grades are unchecked in a vote."""
+    rows = asked.select(*keys).distinct().join(graded.withColumn("_there", F.lit(True)), keys, "left")
+    reason = F.when(F.col("_there").isNull(), F.concat(F.lit("no candles of "), F.col("symbol"), F.lit(" in "), F.col("interval"))).when(F.col("grade").isNull(), "the run failed")
+    return rows.withColumn("unchecked_reason", reason).drop("_there")
+
+
 def timeframe_cells(rows: DataFrame) -> DataFrame:
     """Rows (…, trades, win_rate_pct, profit_factor, expectancy_pct, grade) with figures hidden below thirty trades."""
     shown = F.col("trades") >= MIN_TRADES
@@ -146,12 +160,7 @@ def weak_evidence(rows: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def compare_claim(claimed: Column, rate: Column) -> tuple[Column, Column]:
-    """(held, sentence) of a claimed win rate against that of the held-back trades."""
-    one = lambda c: F.format_string("%.1f%%", c)
+    """(held, sentence) of a claimed win rate against that of the trades after the split."""
     held = F.when(claimed.isNotNull() & rate.isNotNull(), rate >= claimed)
-    text = (
-        F.when(claimed.isNull(), "No win rate was claimed.")
-        .when(rate.isNull(), "There were not enough held-back trades to check the claimed win rate.")
-        .otherwise(F.concat(F.when(held, "The claim held: ").otherwise("The claim did not hold: "), one(rate), F.lit(" of held-back trades won, against "), one(claimed), F.lit(" claimed.")))
-    )
-    return held, text
+    told = F.when(held, F.format_string(CLAIM_MET, rate, claimed)).otherwise(F.format_string(CLAIM_MISSED, rate, claimed))
+    return held, F.when(claimed.isNull(), NO_CLAIM).when(rate.isNull(), UNTESTED_CLAIM).otherwise(told)

@@ -2,21 +2,32 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from barloom.operators import batches, rules, timesplit
-from barloom.sources.paths import materialise
+from barloom.functions.columns import DAY, step_ms
+from barloom.operators import backtest, batches, clean, rules, sweep, timesplit, verdicts
+from barloom.operators.indicators import crosses
+from barloom.sources import runs as store
+from barloom.sources.candle_store import merge_candles, stored_candles
+from barloom.sources.paths import materialise, shared_path
 
-from .base import BARS, query, trades_sql
-from .data import bars, c2_ema, c3_rsi, c4_atr
-from .trading import CROSS, NUMBERED, e5_backtest_trades
+from .base import BARS, SQL, query, trades_sql
+from .data import NOW, W, bars, c1_sma, c2_ema, c3_rsi, c4_atr, c5_crosses
+from .trading import CROSS, FRAME_GRADES, FRAMES, GRID, HOUR_YEAR, NUMBERED, RUN, SERIES_KEYS, STEPS, TRADE_ROWS, TRIAL_EQUITY, TRIAL_FLAGS, _frames, e5_backtest_trades
 
 #: The buckets of the queries, so short that every series has many.
 SPAN = 36 * 3_600_000
+LATE_FROM = 1_705_500_000_000
 MARKETS = ["CLICK", "ERROR", "NONE", "PURCHASE", "SIGNUP", "VIEW"]
 
 
+def _numbered(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return timesplit.numbered(bars(spark, sf_dir), span=F.lit(SPAN))
+
+
 # -- a book of strategies -----------------------------------------------------------
 def _book(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A strategy for each brand and size class of parts: levels follow the brand's number b, rules the class k."""
@@ -83,10 +94,117 @@ def job_best_strategies(spark: SparkSession, sf_dir: str) -> DataFrame:
     return batches.best_runs(_report(spark, sf_dir), 3, "expectancy_pct").select("symbol", "rank", "strategy_id", "trades", F.round("expectancy_pct", 6).alias("expectancy_pct"))
 
 
-# -- series split by time -------------------------------------------------------------
-def _sql(of: object) -> str:
-    from .base import SQL
+#: The time at which the jobs' runs are saved, an argument as everywhere.
+SAVED_AT = NOW
+
+
+@query(f"{BOOK_REPORT} SELECT {SAVED_AT} AS created_at, symbol, count(*) AS runs, sum(trades)::BIGINT AS trades, round(sum(CASE WHEN trades > 0 THEN 100 * wins / trades ELSE 0 END), 4) AS win_rates FROM rp WHERE status = 'ok' GROUP BY symbol")
+def job_saved_book(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The book's runs, saved in a store by id, listed, and added up by market."""
+    texts, candles = _book(spark, sf_dir), materialise(bars(spark, sf_dir), "bars")
+    path = shared_path(spark, "saved")
+    store.save_by_id(batches.as_saved(materialise(_report(spark, sf_dir), "report"), texts, candles, SAVED_AT), path)
+    listed = store.list_by_id(store.read_by_id(spark, path), 1_000_000)  # more than there can be runs of this book
+    return listed.groupBy("created_at", "symbol").agg(F.count("*").alias("runs"), F.sum("trades").alias("trades"), F.round(F.sum("win_rate_pct"), 4).alias("win_rates"))
+
+
+@query(
+    RUN(
+        TRIAL_FLAGS,
+        TRIAL_EQUITY
+        + """, w AS (SELECT f.symbol, f.trial_id, coalesce(avg(return_pct) FILTER (entry_idx >= floor(f.n * 0.7::DOUBLE)), 0) AS score FROM f LEFT JOIN tx ON tx.symbol = f.symbol AND tx.trial_id = f.trial_id WHERE f.idx = 0 GROUP BY ALL),
+  k AS (SELECT symbol, trial_id, row_number() OVER (PARTITION BY symbol ORDER BY round(score, 9) DESC, 'entry.all.0.right.period=' || p || '.0,stop_loss_pct=' || tg.s || ',take_profit_pct=' || tg.t)::INTEGER AS rank FROM w JOIN tg USING (trial_id))
+  SELECT symbol, rank, trial_id, idx, round(equity, 6) AS equity FROM eq JOIN k USING (symbol, trial_id) WHERE rank <= 3""",
+        keys="symbol, trial_id", stop="f.s", target="f.t",
+    )
+)
+def job_best_curves(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The curves of the three best trials of a sweep on each series: figures of all trials first, then these again."""
+    candles, combos = materialise(bars(spark, sf_dir), "bars"), sweep.grid_combos(spark, GRID)
+    results = materialise(sweep.sweep_results(sweep.sweep_stats(candles, CROSS, combos, HOUR_YEAR, batch=9), combos, "expectancy"), "results")
+    _, curves = batches.rerun_best(candles, CROSS, combos, results, 3)
+    return curves.select("symbol", "rank", "trial_id", "idx", F.round("equity", 6).alias("equity"))
+
+
+@query(
+    W(
+        f""", v AS (SELECT symbol, interval, ts, close, idx, ts // 86400000 AS day, ts >= {LATE_FROM} AS late FROM b)
+  SELECT symbol, interval, ts, CASE WHEN idx % 3 = 1 THEN close + 1 ELSE close END AS close, CASE WHEN day IN (SELECT ts // 86400000 FROM v AS o WHERE o.late AND o.symbol = v.symbol) THEN 2 ELSE 1 END AS version FROM v WHERE idx % 3 <> 1 OR late"""
+    )
+)
+def a3_late_candles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A load of two thirds of the bars, then one of all late bars with other prices: what came first stays, and days without late rows are not written again."""
+    rows = _numbered(spark, sf_dir).withColumn("arrival", F.col("idx"))
+    path = shared_path(spark, "store")
+    merge_candles(rows.where("idx % 3 <> 1"), path)
+    merge_candles(rows.where(F.col("ts") >= LATE_FROM).withColumn("close", F.col("close") + 1), path)
+    return stored_candles(spark, path).select("symbol", "interval", "ts", "close", "version")
+
+
+VOTED = f"""WITH RECURSIVE {trades_sql(FRAMES, keys=SERIES_KEYS, stop="4", target="8")} {FRAME_GRADES},
+  asked AS (SELECT symbol, interval FROM (VALUES {", ".join(f"('{m}')" for m in MARKETS)}) AS m(symbol), (VALUES {", ".join(f"('{i}')" for i in STEPS)}) AS i(interval)),
+  rq AS (SELECT asked.*, grade FROM asked LEFT JOIN gr USING (symbol, interval)),
+  k AS (SELECT interval, count(grade) AS tested, count(*) AS requested, count(*) FILTER (grade = 'holds') AS holds, {", ".join(f"count(*) FILTER (grade = '{g}') AS n_{g}, string_agg(symbol, ', ' ORDER BY symbol) FILTER (grade = '{g}') AS in_{g}" for g in ("fails", "fragile", "not_enough_data"))}, string_agg(symbol, ', ' ORDER BY symbol) FILTER (grade IS NULL) AS missing FROM rq GROUP BY interval)"""
+
+
+@query(
+    f"""{VOTED} SELECT interval, CASE WHEN tested < 2 THEN 'not_enough_data' WHEN n_fails > 0 THEN 'fails' WHEN requested > tested OR n_fragile > 0 THEN 'fragile' WHEN n_not_enough_data > 0 THEN CASE WHEN holds = 0 THEN 'not_enough_data' ELSE 'fragile' END ELSE 'holds' END AS grade, holds, tested, requested, missing AS unchecked,
+  concat_ws(' ', CASE WHEN tested < 2 THEN 'Markets checked: ' || tested || '; at least two are needed.' END, 'Fails on ' || in_fails || '.', 'Could not be checked: ' || missing || '.', 'Fragile on ' || in_fragile || '.', 'Too few trades on ' || in_not_enough_data || '.', CASE WHEN holds > 0 THEN 'Holds on ' || holds || ' of ' || requested || ' markets.' END) AS reasons FROM k"""
+)
+def job_requested_markets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The vote on one strategy over all requested markets in each timeframe, with its reasons; one market has no candles."""
+    listed = lambda values: F.explode(F.array(*map(F.lit, values)))
+    asked = spark.range(1).select(listed(MARKETS).alias("symbol")).select("symbol", listed(list(STEPS)).alias("interval"))
+    graded = verdicts.requested(asked, _frames(spark, sf_dir).select("symbol", "interval", "grade"), ["symbol", "interval"])
+    vote = verdicts.cross_market(graded, ["interval"])
+    return vote.withColumns({"reasons": F.array_join("reasons", " "), "unchecked": F.array_join("unchecked", ", ")})
+
 
+class OneFillADay(backtest.Strategy):
+    """Wide rising bars, until there was a fill on their day."""
+
+    def __init__(self) -> None:
+        self.day: int | None = None
+
+    def signals(self, bars, start):  # noqa: ANN001, ANN201
+        wide = (bars["high"] - bars["low"] > 8).to_numpy()
+        rises = (bars["close"] > bars["open"]).to_numpy()
+        return wide & rises & (bars["ts"] // DAY != self.day).to_numpy(), ~wide, "long"
+
+    def filled(self, bars, at, side) -> None:  # noqa: ANN001
+        self.day = bars["ts"].iloc[at] // DAY
+
+
+@query(RUN("f AS (SELECT *, high - low > 8 AND close > open AS entry, NOT (high - low > 8) AS exit_, 1 AS sign FROM bn)", TRADE_ROWS, stop="6", rearm=False, once_a_day=True))
+def d5_stateful_trades(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A user's strategy that keeps a state and hears of its fills."""
+    found = backtest.stateful_trades(bars(spark, sf_dir), OneFillADay, rearm=False, stop_pct=6.0)
+    return found.withColumns({c: F.round(c, 6) for c in ("entry_price", "exit_price", "return_pct")})
+
+
+# -- parameters of sweeps --------------------------------------------------------------
+@query(
+    """WITH s AS (SELECT p_partkey, p_partkey % 2 = 0 AS whole, p_size / 4.0::DOUBLE AS lo, p_size / 4.0::DOUBLE + p_partkey % 13 - 1 AS hi, CASE WHEN p_partkey % 5 > 0 THEN (p_partkey % 5) * 0.25::DOUBLE END AS step FROM part),
+  v AS (SELECT p_partkey, lo > hi AS turned, NOT whole AND step IS NULL AS stepless, CASE WHEN whole THEN ceil(lo) ELSE lo END AS a, CASE WHEN whole THEN floor(hi) ELSE hi END AS z, CASE WHEN whole THEN greatest(1, floor(coalesce(step, 1) + 0.5)) ELSE step END AS d FROM s),
+  w AS (SELECT *, CASE WHEN turned OR stepless OR a > z THEN [] ELSE [least(a + i * d, z) FOR i IN range(0, floor((z + 1e-9 - a) / d)::BIGINT + 1)] END AS xs FROM v),
+  x AS (SELECT *, CASE WHEN len(xs) > 0 AND z - xs[-1] > 1e-12 THEN list_append(xs, z) ELSE xs END AS ys FROM w)
+  SELECT p_partkey, CASE WHEN turned THEN 'a range needs finite min and max, min first' WHEN stepless THEN 'a float range needs a step above 0' WHEN len(ys) = 0 THEN '1 to 512 values' END AS error,
+    CASE WHEN len(ys) > 0 THEN len(ys) END AS n, round(ys[1], 6) AS first, round(ys[-1], 6) AS last, round(list_sum(ys), 6) AS total FROM x"""
+)
+def h1_expand_values(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The values of a range of parameters for each part, whole numbers for every second one."""
+    p = spark.read.parquet(f"{sf_dir}/part.parquet")
+    k = F.col("p_partkey")
+    low = F.col("p_size") / 4
+    specs = p.select("p_partkey", F.when(k % 2 == 0, "int").otherwise("float").alias("kind"), F.lit(None).cast("array<double>").alias("values"), low.alias("min"), (low + k % 13 - 1).alias("max"), F.when(k % 5 > 0, k % 5 * 0.25).alias("step"))
+    found = sweep.expand_specs(specs)
+    v = F.col("expanded")
+    total = F.aggregate(v, F.lit(0.0), lambda a, x: a + x)
+    return found.select("p_partkey", "error", F.when(v.isNotNull(), F.size(v)).cast("long").alias("n"), F.round(F.get(v, F.lit(0)), 6).alias("first"), F.round(F.element_at(v, -1), 6).alias("last"), F.round(total, 6).alias("total"))
+
+
+# -- series split by time -------------------------------------------------------------
+def _sql(of: Callable) -> str:
     return SQL[of.__name__]
 
 
@@ -113,10 +231,40 @@ def c4_split_atr(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _recurrence(spark, sf_dir, "atr", 14)
 
 
+@query(_sql(c1_sma))
+def c1_split_sma(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A moving average over blocks that borrow the bars before them."""
+    mean = lambda w: F.when(F.col("idx") >= 9, F.avg("close").over(w.rowsBetween(-9, 0)))
+    return timesplit.windowed(_numbered(spark, sf_dir), 9, {"m": mean}, size=32).select("symbol", "ts", F.round("m", 6).alias("sma_10"))
+
+
+@query(_sql(c5_crosses))
+def c5_split_crosses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Crosses of a moving average over blocks that borrow the bars before them."""
+    mean = lambda w: F.round(F.when(F.col("idx") >= 9, F.avg("close").over(w.rowsBetween(-9, 0))), 9)
+    rows = timesplit.windowed(_numbered(spark, sf_dir), 9, {"m": mean}, size=32)
+    crossed = {n: (lambda w, up=up: crosses(F.col("close"), F.col("m"), up, w)) for up, n in ((True, "above"), (False, "below"))}
+    return timesplit.windowed(rows, 1, crossed, size=32).select("symbol", "ts", "above", "below")
+
+
+@query(
+    W(
+        """, d AS (SELECT symbol, interval, ts, idx, CASE WHEN idx % 50 = 7 THEN low - 1 ELSE high END AS high, low, open, close FROM b)
+  SELECT symbol, interval, ts, idx, lag(ts) OVER w AS prev_ts, coalesce(ts - lag(ts) OVER w > 3600000, false) AS gap, CASE WHEN high < low THEN 'high is below low' END AS reason FROM d WINDOW w AS (PARTITION BY symbol ORDER BY ts)"""
+    )
+)
+def b6_split_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Faults of bars and gaps before them, with the bar before an edge taken from the bucket before."""
+    rows = timesplit.with_previous(_numbered(spark, sf_dir), {"ts": "prev_ts"})
+    bad = rows.withColumn("high", F.when(F.col("idx") % 50 == 7, F.col("low") - 1).otherwise(F.col("high")))
+    gap = F.coalesce(F.col("ts") - F.col("prev_ts") > step_ms(F.col("interval")), F.lit(False))
+    return bad.select("symbol", "interval", "ts", "idx", "prev_ts", gap.alias("gap"), clean.candle_fault(F.col("prev_ts")).alias("reason"))
+
+
 @query(_sql(e5_backtest_trades))
 def e5_split_trades(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The trades of one strategy, with each series spread over its buckets."""
-    flagged = rules.eval_rules(bars(spark, sf_dir), CROSS)
+    """Flags and trades of one strategy, with each series spread over its buckets from end to end."""
+    flagged = timesplit.split_rules(bars(spark, sf_dir), CROSS, F.lit(SPAN), size=32)
     found = timesplit.split_trades(flagged, stop_pct=4.0, target_pct=8.0, span=F.lit(SPAN))
     return found.withColumns({c: F.round(c, 6) for c in ("entry_price", "exit_price", "return_pct")})
 

@@ -491,16 +491,17 @@ def g2_noise(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(
     T(
         BOTH
-        + """, r AS (SELECT o.symbol, unnest([CASE WHEN o.total_return_pct < o.buy_and_hold_pct THEN printf('Out-of-sample return %.2f%% lagged buy-and-hold %.2f%% over the same window.', o.total_return_pct, o.buy_and_hold_pct) END,
-  CASE WHEN i.expectancy_pct > 0 AND o.expectancy_pct < 0.5 * i.expectancy_pct THEN printf('In-sample expectancy %.2f%% per trade was much higher than out-of-sample %.2f%% per trade.', i.expectancy_pct, o.expectancy_pct) END,
-  printf('Max out-of-sample drawdown was %.2f%%.', o.max_drawdown_pct), CASE WHEN i.trades + o.trades < 100 THEN 'Only ' || (i.trades + o.trades) || ' total trades across in-sample and out-of-sample, a small sample.' END]) AS reason """
+        + f""", r AS (SELECT o.symbol, unnest([printf('{verdicts.SUMMARY}', o.trades, o.expectancy_pct, coalesce(printf('%.2f', o.profit_factor), '{verdicts.NONE_LOST}')),
+  CASE WHEN o.trades >= 10 THEN CASE WHEN abs(o.expectancy_pct) > 2 * o.expectancy_stdev_pct / sqrt(o.trades) THEN printf('{verdicts.OUTSIDE_NOISE}', o.expectancy_pct) ELSE printf('{verdicts.WITHIN_NOISE}', o.trades, o.expectancy_pct, o.expectancy_stdev_pct / sqrt(o.trades)) END END,
+  CASE WHEN o.total_return_pct < o.buy_and_hold_pct THEN printf('{verdicts.LAG}', o.buy_and_hold_pct, o.total_return_pct) END, CASE WHEN i.expectancy_pct > 0 AND o.expectancy_pct < 0.5 * i.expectancy_pct THEN printf('{verdicts.DECAY}', i.expectancy_pct, o.expectancy_pct) END,
+  printf('{verdicts.FALL}', o.max_drawdown_pct), CASE WHEN i.trades + o.trades < 100 THEN printf('{verdicts.FEW}', i.trades + o.trades) END]) AS reason """
         + PAIR
         + ") SELECT symbol, reason FROM r WHERE reason IS NOT NULL"
     )
 )
 def g3_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
     v = verdicts.verdicts(_six(_split(spark, sf_dir), TRADE_COLUMNS + CURVE_COLUMNS), ["symbol"])
-    return v.select("symbol", F.explode("reasons").alias("reason")).where("reason not like 'Out-of-sample: %' and reason not like '%normal noise%'")
+    return v.select("symbol", F.explode("reasons").alias("reason"))
 
 
 @query(W(", n AS (SELECT symbol, ts // 86400000 AS day, count(*) AS n FROM c GROUP BY ALL) SELECT symbol, day, 'Only ' || n || ' candles, too few to split.' AS reason FROM n WHERE floor(n * 0.04::DOUBLE) = 0"))
@@ -557,8 +558,7 @@ def g8_weak_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    """SELECT event_id, c IS NOT NULL AND r IS NOT NULL AND r >= c AS held, CASE WHEN c IS NULL THEN 'No win rate was claimed.' WHEN r IS NULL THEN 'There were not enough held-back trades to check the claimed win rate.'
-  ELSE printf('The claim %s: %.1f%% of held-back trades won, against %.1f%% claimed.', CASE WHEN r >= c THEN 'held' ELSE 'did not hold' END, r, c) END AS sentence
+    f"""SELECT event_id, c IS NOT NULL AND r IS NOT NULL AND r >= c AS held, CASE WHEN c IS NULL THEN '{verdicts.NO_CLAIM}' WHEN r IS NULL THEN '{verdicts.UNTESTED_CLAIM}' WHEN r >= c THEN printf('{verdicts.CLAIM_MET}', r, c) ELSE printf('{verdicts.CLAIM_MISSED}', r, c) END AS sentence
   FROM (SELECT event_id, CASE WHEN event_id % 5 > 0 THEN (event_id % 40)::DOUBLE END AS c, CASE WHEN event_id % 7 > 0 THEN (event_id % 50)::DOUBLE END AS r FROM events)"""
 )
 def g9_compare_claim(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -583,10 +583,11 @@ def h4_sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _rounded(sweep.sweep_trades(bars(spark, sf_dir), CROSS, sweep.grid_combos(spark, GRID), batch=9))
 
 
-#: Equity of every trial and the figures of its three folds.
-TRIAL_FOLDS = f""", te AS (SELECT *, coalesce(product(1 + return_pct / 100) OVER (PARTITION BY trial_id, symbol ORDER BY trade_no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 1.0) AS before FROM tx),
+#: Equity of every trial, and the figures of its three folds.
+TRIAL_EQUITY = f""", te AS (SELECT *, coalesce(product(1 + return_pct / 100) OVER (PARTITION BY trial_id, symbol ORDER BY trade_no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 1.0) AS before FROM tx),
   eq AS (SELECT f.symbol, f.trial_id, f.idx, f.n, f.open, f.close, coalesce(o.before * (f.close / o.entry_price - {COST}::DOUBLE * (1 + f.close / o.entry_price)), last_value(x.before * (1 + x.return_pct / 100) IGNORE NULLS) OVER (PARTITION BY f.symbol, f.trial_id ORDER BY f.idx), 1.0) AS equity
-    FROM f LEFT JOIN te o ON o.symbol = f.symbol AND o.trial_id = f.trial_id AND f.idx >= o.entry_idx AND f.idx < o.exit_idx LEFT JOIN te x ON x.symbol = f.symbol AND x.trial_id = f.trial_id AND x.exit_idx = f.idx),
+    FROM f LEFT JOIN te o ON o.symbol = f.symbol AND o.trial_id = f.trial_id AND f.idx >= o.entry_idx AND f.idx < o.exit_idx LEFT JOIN te x ON x.symbol = f.symbol AND x.trial_id = f.trial_id AND x.exit_idx = f.idx)"""
+TRIAL_FOLDS = f"""{TRIAL_EQUITY},
   fo AS (SELECT symbol, trial_id, k::INTEGER AS fold, part, CASE WHEN part = 'IS' THEN 0 ELSE n * (k + 1) // 4 END AS lo, CASE WHEN part = 'IS' THEN n * (k + 1) // 4 ELSE n * (k + 2) // 4 END AS hi FROM f, range(3) AS r(k), (VALUES ('IS'), ('OOS')) AS p(part) WHERE f.idx = 0),
   fw AS (SELECT eq.symbol, eq.trial_id, fold, part, idx, open, close, equity / first_value(equity) OVER (PARTITION BY eq.symbol, eq.trial_id, fold, part ORDER BY idx) AS equity FROM eq JOIN fo ON fo.symbol = eq.symbol AND fo.trial_id = eq.trial_id AND idx >= lo AND idx < hi),
   fg AS (SELECT *, equity / lag(equity) OVER w AS g, max(equity) OVER w AS peak FROM fw WINDOW w AS (PARTITION BY symbol, trial_id, fold, part ORDER BY idx)),
@@ -646,7 +647,7 @@ def _flagged(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def h7_overfit_flag(spark: SparkSession, sf_dir: str) -> DataFrame:
     r = F.col("overfit_reason")
-    kind = F.when(r.endswith("(sign flip)"), "sign flip").when(r.contains(" exceeds "), "gap").when(r.isNotNull(), "return")
+    kind = F.when(r.startswith("Sharpe turns"), "sign flip").when(r.startswith("Sharpe falls"), "gap").when(r.isNotNull(), "return")
     return _flagged(spark, sf_dir).select("user_id", "params_key", "overfit", kind.alias("kind"))
 
 

@@ -29,6 +29,7 @@ def run(candles, exits=(), **k):
 
 
 FLAT = (100, 100, 100, 100)
+# Prices, brackets and outcomes that every right backtest has.
 GOLDENS = [
     ([FLAT, (100, 103, 100, 102), (102,) * 4], {"target_pct": 2}, (1, 1, 100, 102, "TakeProfit")),
     ([FLAT, (100, 101, 97, 100), FLAT], {"stop_pct": 2}, (1, 1, 100, 98, "StopLoss")),

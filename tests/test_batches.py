@@ -6,7 +6,7 @@ import pytest
 
 from barloom.operators import backtest, batches, rules
 from barloom.operators.backtest import TRADE_NAMES
-from tests.test_timesplit import series, walk
+from .test_timesplit import series, walk
 
 IND = lambda k, n=None: {"ind": k} if n is None else {"ind": k, "period": n}
 BOOK = {

@@ -1,11 +1,13 @@
 """Runs that end in an error: they have no figures, no rank and no grade, and each fold is scored by itself."""
 
+import random
+
 import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
 from barloom.operators import backtest, stats, sweep, verdicts
-from tests.test_timesplit import M, series
+from .test_timesplit import M, series
 
 RUINED = {"asset": "A", "timeframe": "1m", "side": "short", "entry": {"all": [{"left": {"ind": "close"}, "op": "<", "right": 1000}]}, "exit": {"any": [{"left": {"ind": "close"}, "op": ">", "right": 10_000}]}}
 
@@ -53,3 +55,31 @@ def test_folds_are_scored_one_by_one(spark):
     got = sweep.sweep_results(figures, combos, "profit_factor").first()
     assert (got.score, got.is_score) == (1.0, 1.5) and got.oos_profit_factor == 2.0  # a missing factor is a score of 0, and no figure
     assert sweep.sweep_results(figures, combos, "expectancy").first().score == pytest.approx(2.5)
+
+
+def test_a_sweep_needs_a_valid_strategy():
+    good = RUINED | {"stop_loss_pct": 2}
+    spec = [{"target": "stop_loss_pct", "kind": "float", "values": [1, 2]}]
+    assert sweep.validate_sweep_spec(good, spec) == []
+    number = {"left": 1, "op": "<", "right": 2}
+    for wrong, error in (
+        ({"side": "up"}, "unknown side"), ({"entry": {"all": []}}, "entry has no condition"), ({"entry": {"all": [number]}}, "compares two plain numbers"), ({"stop_loss_pct": 0}, "bad stop_loss_pct"), ({"take_profit_pct": float("nan")}, "bad take_profit_pct"),
+        ({"exit": {"any": [{"left": {"ind": "sma"}, "op": ">", "right": 1}]}}, "sma needs a period"), ({"exit": {"any": [{"left": {"ind": "rsi", "period": 0}, "op": ">", "right": 1}]}}, "rsi period must be at least 1"),
+        ({"exit": {"any": [{"left": {"ind": "close", "period": 3}, "op": ">", "right": 1}]}}, "close takes no period"), ({"exit": {"any": [{"left": {"ind": "vwap"}, "op": "=", "right": 1}]}}, "unknown operator"),
+    ):
+        assert error in sweep.validate_sweep_spec(good | wrong, spec), wrong
+
+
+def test_specs_of_tables_expand_like_single_ones(spark):
+    rng = random.Random(3)
+    rows = [(i, rng.choice(["int", "float"]), None, lo := rng.uniform(-5, 5), lo + rng.choice([-1.0, 0.0, 0.4, 3.0, 600.0]), rng.choice([None, 0.0, 0.3, 1.0, 2.6])) for i in range(200)]
+    rows += [(200 + i, rng.choice(["int", "float"]), [rng.choice([1.0, 1.4, 2.5, -2.5, 1.0 + 1e-13, float("inf")]) for _ in range(rng.randrange(4))], None, None, None) for i in range(60)]
+    rows += [(300, "int", [1.0], 1.0, None, None), (301, "float", None, None, 1.0, 1.0), (302, "float", None, float("nan"), 1.0, 1.0)]
+    got = {r.i: (r.expanded, r.error) for r in sweep.expand_specs(spark.createDataFrame(rows, "i int, kind string, values array<double>, min double, max double, step double")).collect()}
+    for i, kind, values, low, high, step in rows:
+        try:
+            want = sweep.expand_values(kind, values, low, high, step)
+        except ValueError as e:
+            assert got[i] == (None, str(e)), rows[i] if i < len(rows) else i
+        else:
+            assert got[i][0] == pytest.approx(want, abs=1e-9) and got[i][1] is None, (i, want, got[i])

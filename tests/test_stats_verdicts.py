@@ -12,6 +12,7 @@ def trades(spark, returns, entries=None):
     return spark.createDataFrame([("r", i, (entries or range(len(returns)))[i], float(r)) for i, r in enumerate(returns)], "run string, trade_no int, entry_idx int, return_pct double")
 
 
+# Fixed values in what follows: figures and grade boundaries that every right implementation has.
 def test_trade_stats(spark):
     r = stats.trade_stats(trades(spark, [4, -2, 6]), ["run"]).first()
     assert (r.trades, r.wins, round(r.win_rate_pct, 2), r.profit_factor, round(r.expectancy_pct, 3)) == (3, 2, 66.67, 5.0, 2.667)

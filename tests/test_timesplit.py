@@ -5,7 +5,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from barloom.operators import backtest, indicators, timesplit
+from barloom.operators import backtest, indicators, rules, timesplit
 from barloom.operators.backtest import TRADE_NAMES
 
 M = 60_000
@@ -58,6 +58,18 @@ def test_recurrences(spark, candles, bars):
         assert np.allclose(got[c].to_numpy(float), want[c].to_numpy(float), rtol=1e-9, atol=1e-9, equal_nan=True), c
 
 
+@pytest.mark.parametrize("size", [1, 6, 1000])
+def test_windows_and_rules(spark, candles, size):
+    """A window may reach back over many blocks; flags equal those of whole series."""
+    strategy = {"entry": {"all": [{"left": {"ind": "close"}, "op": "crosses_above", "right": {"ind": "sma", "period": 15}}]}, "exit": {"any": [{"left": {"ind": "rsi", "period": 5}, "op": ">", "right": 60}, {"left": {"ind": "sma", "period": 3}, "op": "crosses_below", "right": {"ind": "sma", "period": 0}}]}}
+    names = ["symbol", "ts", "sma_15", "sma_3", "entry", "exit_"]
+    got = timesplit.split_rules(candles, strategy, F.lit(20 * M), size).select(names).toPandas().sort_values(["symbol", "ts"])
+    want = rules.eval_rules(candles, strategy).select(names).toPandas().sort_values(["symbol", "ts"])
+    assert len(got) == len(want) == 410 and want["entry"].sum() > 5 and want["exit_"].sum() > 5
+    for c in names[1:]:
+        assert np.allclose(got[c].to_numpy(float), want[c].to_numpy(float), rtol=1e-12, equal_nan=True), c
+
+
 def flagged(spark, rng, **frames):
     return series(spark, **{k: f.assign(entry=rng.random(len(f)) < p, exit_=rng.random(len(f)) < 0.02, side=rng.choice(["long", "short"], len(f))) for k, (f, p) in frames.items()})
 
