@@ -275,9 +275,10 @@ def walk_forward_stats(trades: DataFrame, curve: DataFrame, keys: list[str], k:
     made = made.agg(F.count("*").alias("trades"), F.count_if(p > 0).alias("wins"), F.count_if(p <= 0).alias("losses"), F.sum(F.when(p > 0, p).otherwise(0.0)).alias("won"), F.sum(F.when(p <= 0, p).otherwise(0.0)).alias("lost"), F.sum(p * p).alias("squares"))
     both = chunks.join(made, [*keys, "chunk"], "left")
     before = Window.partitionBy(*keys).orderBy("chunk").rowsBetween(Window.unboundedPreceding, 0)
-    part = lambda name, fold, over, kind: both.select(*keys, "chunk", (F.col("chunk") - fold).alias("fold"), F.lit(name).alias("part"), *_window_row(over, kind, F.col("_year")))
-    found = part("IS", 0, before, "all").where(F.col("chunk") < k).unionByName(part("OOS", 1, None, "own").where(F.col("chunk") > 0))
-    return found.drop("chunk")
+    year = F.col("_year")
+    window = lambda name, fold, over, kind: F.struct((F.col("chunk") - fold).alias("fold"), F.lit(name).alias("part"), *_window_row(over, kind, year)).alias(name)
+    wide = both.select(*keys, window("IS", 0, before, "all"), window("OOS", 1, None, "own"))
+    return wide.select(*keys, F.inline(F.array("IS", "OOS"))).where(F.when(F.col("part") == "IS", F.col("fold") < k).otherwise(F.col("fold") >= 0))
 
 
 def mean_stats(folded: DataFrame, keys: list[str]) -> DataFrame:

@@ -18,6 +18,11 @@ LAG = "Just holding made %.2f%% after the split, trading made %.2f%%."
 DECAY = "A trade made %.2f%% before the split and only %.2f%% after it."
 FALL = "Deepest fall after the split: %.2f%%."
 FEW = "%d trades on both sides of the split are few to judge by."
+NEEDS = f"A verdict needs {MIN_TRADES} out-of-sample trades or more; there are %d."
+HELD = "Held up out of sample; simulated results promise no profit."
+QUIET = "No clear edge out of sample: the small average %s is within noise."
+LOST = "Out of sample the average trade lost money."
+WEAK = "Profitable out of sample, but too weak or too uneven to rely on."
 NO_CLAIM = "No win rate was claimed."
 UNTESTED_CLAIM = "Too few trades after the split to test the claim."
 CLAIM_MET = "Claim met: %.1f%% of the trades after the split won, where %.1f%% were claimed."
@@ -61,13 +66,12 @@ def reasons(p: str = "oos_", q: str = "is_") -> Column:
 
 def headline(grade: Column, trades: Column, expectancy: Column, softened: Column) -> Column:
     """One sentence on a grade; where the average is within one standard error of zero it says so instead of naming a gain or a loss."""
-    quiet = F.concat(F.lit("No clear edge out of sample: the small average "), F.when(expectancy > 0, "gain").otherwise("loss"), F.lit(" is within noise."))
     return (
-        F.when(grade == "not_enough_data", F.concat(F.lit("A verdict needs "), F.lit(str(MIN_TRADES)), F.lit(" out-of-sample trades or more; there are "), trades.cast("string"), F.lit(".")))
-        .when(grade == "holds", "Held up out of sample; simulated results promise no profit.")
-        .when(softened, quiet)
-        .when(grade == "fails", "Out of sample the average trade lost money.")
-        .otherwise("Profitable out of sample, but too weak or too uneven to rely on.")
+        F.when(grade == "not_enough_data", F.format_string(NEEDS, trades))
+        .when(grade == "holds", HELD)
+        .when(softened, F.format_string(QUIET, F.when(expectancy > 0, "gain").otherwise("loss")))
+        .when(grade == "fails", LOST)
+        .otherwise(WEAK)
     )
 
 

@@ -7,16 +7,17 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from barloom.functions.columns import DAY, step_ms
-from barloom.operators import backtest, batches, clean, rules, sweep, timesplit, verdicts
+from barloom.functions.columns import DAY, bars_per_year, step_ms
+from barloom.operators import backtest, batches, clean, rules, stats, sweep, timesplit, verdicts
 from barloom.operators.indicators import crosses
 from barloom.sources import runs as store
+from barloom.sources.adapters import bars_at, event_ticks
 from barloom.sources.candle_store import merge_candles, stored_candles
 from barloom.sources.paths import materialise, shared_path
 
 from .base import BARS, SQL, query, trades_sql
 from .data import NOW, W, bars, c1_sma, c2_ema, c3_rsi, c4_atr, c5_crosses
-from .trading import CROSS, FRAME_GRADES, FRAMES, GRID, HOUR_YEAR, NUMBERED, RUN, SERIES_KEYS, STEPS, TRADE_ROWS, TRIAL_EQUITY, TRIAL_FLAGS, _frames, e5_backtest_trades
+from .trading import CROSS, FRAME_GRADES, FRAMES, GRID, HOUR_YEAR, KEYS, NUMBERED, RUN, SERIES_KEYS, STEPS, TRADE_COLUMNS, TRADE_ROWS, TRIAL_EQUITY, TRIAL_FLAGS, _frames, _six, e5_backtest_trades
 
 #: The buckets of the queries, so short that every series has many.
 SPAN = 36 * 3_600_000
@@ -160,6 +161,20 @@ def job_requested_markets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vote.withColumns({"reasons": F.array_join("reasons", " "), "unchecked": F.array_join("unchecked", ", ")})
 
 
+@query(
+    f"""WITH RECURSIVE {trades_sql(FRAMES, keys=SERIES_KEYS, stop="4", target="8")} {FRAME_GRADES},
+  sd AS (SELECT symbol, interval, stddev_pop(return_pct) AS sd FROM ru JOIN tx USING ({SERIES_KEYS}) WHERE entry_idx >= cut GROUP BY ALL),
+  h AS (SELECT gr.symbol, gr.interval, gr.grade, coalesce(o.trades, 0) AS n, coalesce(o.expectancy_pct, 0) AS e, coalesce(o.trades >= 10 AND abs(o.expectancy_pct) < sd / sqrt(o.trades), false) AS softened FROM gr LEFT JOIN o USING ({SERIES_KEYS}) LEFT JOIN sd USING ({SERIES_KEYS}))
+  SELECT symbol, interval, grade, softened, CASE WHEN grade = 'not_enough_data' THEN printf('{verdicts.NEEDS}', n) WHEN grade = 'holds' THEN '{verdicts.HELD}' WHEN softened THEN printf('{verdicts.QUIET}', CASE WHEN e > 0 THEN 'gain' ELSE 'loss' END) WHEN grade = 'fails' THEN '{verdicts.LOST}' ELSE '{verdicts.WEAK}' END AS headline FROM h"""
+)
+def g2_headlines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Grade and headline of one strategy on every market in four timeframes."""
+    b = materialise(clean.fit_range(bars_at(event_ticks(spark, sf_dir), STEPS), NOW), "bars")
+    t = materialise(backtest.run_strategy(b, CROSS), "trades")
+    split = _six(stats.split_stats(t, backtest.equity_curve(b, t), KEYS, 0.7, bars_per_year(F.col("interval"))), TRADE_COLUMNS)
+    return verdicts.verdicts(split, KEYS).select("symbol", "interval", "grade", "softened", "headline")
+
+
 class OneFillADay(backtest.Strategy):
     """Wide rising bars, until there was a fill on their day."""
 

@@ -587,13 +587,15 @@ def h4_sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
 TRIAL_EQUITY = f""", te AS (SELECT *, coalesce(product(1 + return_pct / 100) OVER (PARTITION BY trial_id, symbol ORDER BY trade_no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 1.0) AS before FROM tx),
   eq AS (SELECT f.symbol, f.trial_id, f.idx, f.n, f.open, f.close, coalesce(o.before * (f.close / o.entry_price - {COST}::DOUBLE * (1 + f.close / o.entry_price)), last_value(x.before * (1 + x.return_pct / 100) IGNORE NULLS) OVER (PARTITION BY f.symbol, f.trial_id ORDER BY f.idx), 1.0) AS equity
     FROM f LEFT JOIN te o ON o.symbol = f.symbol AND o.trial_id = f.trial_id AND f.idx >= o.entry_idx AND f.idx < o.exit_idx LEFT JOIN te x ON x.symbol = f.symbol AND x.trial_id = f.trial_id AND x.exit_idx = f.idx)"""
+#: Without a gain the profit factor is 0, which windows of few trades show.
+WINDOW_SQL = TRADE_SQL.replace("sum(return_pct) FILTER (return_pct > 0) /", "coalesce(sum(return_pct) FILTER (return_pct > 0), 0) /")
 TRIAL_FOLDS = f"""{TRIAL_EQUITY},
   fo AS (SELECT symbol, trial_id, k::INTEGER AS fold, part, CASE WHEN part = 'IS' THEN 0 ELSE n * (k + 1) // 4 END AS lo, CASE WHEN part = 'IS' THEN n * (k + 1) // 4 ELSE n * (k + 2) // 4 END AS hi FROM f, range(3) AS r(k), (VALUES ('IS'), ('OOS')) AS p(part) WHERE f.idx = 0),
   fw AS (SELECT eq.symbol, eq.trial_id, fold, part, idx, open, close, equity / first_value(equity) OVER (PARTITION BY eq.symbol, eq.trial_id, fold, part ORDER BY idx) AS equity FROM eq JOIN fo ON fo.symbol = eq.symbol AND fo.trial_id = eq.trial_id AND idx >= lo AND idx < hi),
   fg AS (SELECT *, equity / lag(equity) OVER w AS g, max(equity) OVER w AS peak FROM fw WINDOW w AS (PARTITION BY symbol, trial_id, fold, part ORDER BY idx)),
   fc AS (SELECT symbol, trial_id, fold, part, round(100 * (max_by(equity, idx) / min_by(equity, idx) - 1), 6) AS total_return_pct, round(100 * (max_by(close, idx) / min_by(open, idx) - 1), 6) AS buy_and_hold_pct, round(max(100 * (peak - equity) / peak), 6) AS max_drawdown_pct,
     CASE WHEN stddev_pop(g - 1) > 1e-15 THEN round(avg(g - 1) / stddev_pop(g - 1) * sqrt({HOUR_YEAR}), 6) ELSE 0.0 END AS sharpe FROM fg GROUP BY ALL),
-  fs AS (SELECT te.symbol, te.trial_id, fold, part, {TRADE_SQL} FROM te JOIN fo ON fo.symbol = te.symbol AND fo.trial_id = te.trial_id AND entry_idx >= lo AND entry_idx < hi GROUP BY ALL)
+  fs AS (SELECT te.symbol, te.trial_id, fold, part, {WINDOW_SQL} FROM te JOIN fo ON fo.symbol = te.symbol AND fo.trial_id = te.trial_id AND entry_idx >= lo AND entry_idx < hi GROUP BY ALL)
   SELECT symbol, '1h' AS interval, trial_id, fold, part, {", ".join(f"coalesce({c}, 0) AS {c}" if c != "profit_factor" else c for c in ["trades", "wins", "losses", *TRADE_COLUMNS])}, {", ".join(CURVE_COLUMNS)}, NULL::VARCHAR AS error FROM fc LEFT JOIN fs USING (symbol, trial_id, fold, part)"""
 
 
