@@ -274,28 +274,33 @@ def encode_payload(text: Column) -> Column:
     return run(text)
 
 
-_READ = "payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, n_frames long, error string"
+_READ = "payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, n_frames long, error string, frames array<struct<start_ms:long,delay_ms:long,histogram:array<long>>>"
 
 
 def read_payload(media: Column) -> Column:
-    """Decode a GIF column: the payload's size and digests, the stored form's, and a feature text of frames and colours.
+    """Decode a GIF column: the payload's size and digests, the stored form's, a feature text of all frames, and the timed frames.
 
-    A NULL gives NULLs. A broken GIF, or one with a screen or frame of more
+    ``frames`` has the start, the delay and the colour histogram of each frame's
+    canvas, in order. A NULL gives NULLs. A broken GIF, or one with a screen or frame of more
     than ``MAX_PIXELS``, gives the stored form's size and digest and the error.
     """
 
     def one(blob: bytes | None) -> tuple:
         if blob is None:
-            return (None,) * 8
+            return (None,) * 9
         stored = len(blob), hashlib.sha256(blob).hexdigest()
         try:
             w, h, found = decode_gif(blob, draw=False)
         except ValueError as e:
-            return None, None, None, *stored, None, None, str(e)
+            return None, None, None, *stored, None, None, str(e), None
         payload = b"".join(f.samples for f in found)
-        colours = np.sum([np.zeros(BINS, np.int64), *(histogram(canvas) for _, canvas in drawn_frames(w, h, found))], axis=0)
-        feature = json.dumps({"screen": [w, h], "frames": len(found), "ms": sum(f.delay_ms for f in found), "colours": colours.tolist()}, separators=(",", ":"))
-        return len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-16:]), *stored, feature, len(found), None
+        timed, start, colours = [], 0, np.zeros(BINS, np.int64)
+        for f, canvas in drawn_frames(w, h, found):
+            timed.append({"start_ms": start, "delay_ms": f.delay_ms, "histogram": histogram(canvas)})
+            start += f.delay_ms
+            colours += timed[-1]["histogram"]
+        feature = json.dumps({"screen": [w, h], "frames": len(found), "ms": start, "colours": colours.tolist()}, separators=(",", ":"))
+        return len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-16:]), *stored, feature, len(found), None, timed
 
     @F.pandas_udf(_READ)
     def run(blobs: pd.Series) -> pd.DataFrame:

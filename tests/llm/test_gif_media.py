@@ -1,4 +1,5 @@
 import hashlib
+import json
 import struct
 import zlib
 
@@ -7,7 +8,7 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from barloom.llm.gif_media import decode_gif, encode_samples, frames, lzw_decode, lzw_encode, op3_gif_media, read_payload
+from barloom.llm.gif_media import decode_gif, encode_samples, frames, histogram, lzw_decode, lzw_encode, op3_gif_media, read_payload
 
 
 @settings(max_examples=60, deadline=None)
@@ -87,6 +88,9 @@ def test_query(spark, tmp_path):
         padded = raw + b" " * (192 * max(1, -(-len(raw) // 192)) - len(raw))
         r = got[i]
         assert (r.n_bytes, r.payload_bytes, r.payload_sha256, r.tail_crc32) == (len(raw), len(padded), hashlib.sha256(padded).hexdigest(), zlib.crc32(padded[-16:]))
+        timed = [histogram(f.canvas) for f in decode_gif(encode_samples(padded))[2]]
+        assert [tuple(f) for f in r.frames] == [(40 * k, 40, h) for k, h in enumerate(timed)] and len(timed) == -(-len(padded) // (192 * 64))
+        assert json.loads(r.feature)["colours"] == [sum(h) for h in zip(*timed, strict=True)]
     assert got[3][2:] == got[5][2:]
 
 
@@ -100,5 +104,6 @@ def test_reading_of_missing_broken_and_huge_images(spark):
     got = [r.r for r in sorted(df.select("id", read_payload(df["media"]).alias("r")).collect())]
     assert [r.error for r in got] == [None, "not a GIF", "truncated GIF", "screen too large", None]
     assert [r.media_bytes for r in got] == [None, *(len(b) for b in blobs[1:])]
+    assert got[0].frames is None and got[1].frames is None and [f.delay_ms for f in got[4].frames] == [40]
     assert got[0].payload_bytes is None and got[4].payload_bytes == 192 and got[4].n_frames == 1
     assert sorted((r.id, r.error) for r in frames(df, "id", "media").where("error is not null").collect()) == [(1, "not a GIF"), (2, "truncated GIF"), (3, "screen too large")]
