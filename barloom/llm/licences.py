@@ -11,7 +11,8 @@ sentences. Everything happens inside the row: no shuffle, no Python.
 
 Defined cases: NULL and empty texts have no sentences and no licences; a
 sentence that is repeated counts each time; a rule that matches several times
-is reported once; other columns pass through ``scan``.
+is reported once; other columns pass through ``scan``, and where one has the
+name of a new column, the new one gets an underscore before its name.
 """
 
 from __future__ import annotations
@@ -22,7 +23,7 @@ from operator import or_
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import free_name, table
 
 # Sentences of public licences and licence notices, and the licences that ordered sentences make.
 SENTENCES = {
@@ -54,6 +55,18 @@ SENTENCES = {
     "mpl_form": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.",
     "unlicense": "This is free and unencumbered software released into the public domain.",
     "reserved": "All rights reserved.",
+    "gpl2_free": "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version.",
+    "lgpl_free": "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version.",
+    "lgpl_hope": "This library is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY;",
+    "agpl_free": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
+    "zlib_as_is": "This software is provided 'as-is', without any express or implied warranty.",
+    "zlib_grant": "Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions:",
+    "boost_line": "Distributed under the Boost Software License, Version 1.0.",
+    "ccbynd_line": "Licensed under CC BY-ND 4.0.",
+    "spdx_mit": "SPDX-License-Identifier: MIT",
+    "spdx_apache": "SPDX-License-Identifier: Apache-2.0",
+    "spdx_bsd3": "SPDX-License-Identifier: BSD-3-Clause",
+    "spdx_gpl3": "SPDX-License-Identifier: GPL-3.0-only",
 }
 RULES = [
     ("MIT", ["mit_grant", "mit_notice", "mit_warranty"]),
@@ -73,6 +86,16 @@ RULES = [
     ("MPL-2.0", ["mpl_form"]),
     ("Unlicense", ["unlicense"]),
     ("all-rights-reserved", ["reserved"]),
+    ("GPL-2.0-or-later", ["gpl2_free", "gpl_hope"]),
+    ("LGPL-2.1-or-later", ["lgpl_free", "lgpl_hope"]),
+    ("AGPL-3.0-or-later", ["agpl_free", "gpl_hope"]),
+    ("Zlib", ["zlib_as_is", "zlib_grant"]),
+    ("BSL-1.0", ["boost_line"]),
+    ("CC-BY-ND-4.0", ["ccbynd_line"]),
+    ("MIT", ["spdx_mit"]),
+    ("Apache-2.0", ["spdx_apache"]),
+    ("BSD-3-Clause", ["spdx_bsd3"]),
+    ("GPL-3.0", ["spdx_gpl3"]),
 ]
 #: A rule that another contains is not reported where the longer one matches.
 COVERED_BY = {"BSD-2-Clause": "BSD-3-Clause"}
@@ -121,11 +144,13 @@ def licences(ids: Column, rules: list[tuple[str, list[str]]] = RULES, known: dic
 
 def scan(docs: DataFrame, text: str = "text") -> DataFrame:
     """``docs`` with n_sentences, licence_sentences (how many are known) and licences (array)."""
-    pieces = docs.withColumn("_pieces", normalised_sentences(F.col(text)))
-    ids = pieces.withColumn("_ids", sentence_ids(F.col("_pieces")))
-    known = F.size(F.filter("_ids", lambda i: i > 0))
-    names = F.when(known > 0, licences(F.col("_ids"))).otherwise(F.array().cast("array<string>"))
-    return ids.withColumns({"n_sentences": F.size("_pieces").cast("long"), "licence_sentences": known.cast("long"), "licences": names}).drop("_pieces", "_ids")
+    pieces, ids = free_name("pieces", docs), free_name("ids", docs)
+    cut = docs.withColumn(pieces, normalised_sentences(F.col(text)))
+    cut = cut.withColumn(ids, sentence_ids(F.col(pieces)))
+    known = F.size(F.filter(ids, lambda i: i > 0))
+    names = F.when(known > 0, licences(F.col(ids))).otherwise(F.array().cast("array<string>"))
+    new = {"n_sentences": F.size(pieces).cast("long"), "licence_sentences": known.cast("long"), "licences": names}
+    return cut.withColumns({free_name(c, docs): x for c, x in new.items()}).drop(pieces, ids)
 
 
 def op7_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -134,8 +159,12 @@ def op7_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _sql() -> str:
-    keys = ", ".join("'" + _normal(s).replace("'", "''") + "'" for s in SENTENCES.values())
+    """Pieces stand between bars of their own, so that one pattern a sentence finds it over any number of whole pieces."""
     number = {k: i for i, k in enumerate(SENTENCES, 1)}
+    normal = {number[k]: _normal(s) for k, s in SENTENCES.items()}
+    marked = "p"
+    for i, words in sorted(normal.items(), key=lambda x: (-len(x[1]), x[0])):
+        marked = f"regexp_replace({marked}, '[|]{words.replace(' ', '( |[|][|])')}[|]', '|#{i}|', 'g')"
     between = rf" (?:\d+ ){{0,{MAX_GAP}}}"
     names = sorted({n for n, _ in RULES})
     of = {n: " OR ".join(f"regexp_matches(q, ' {between.join(str(number[s]) for s in r)} ')" for m, r in RULES if m == n) for n in names}
@@ -147,7 +176,9 @@ WITH s AS (
   SELECT doc_id, list_filter(list_transform(string_split_regex(regexp_replace(lower(coalesce(text, '')), '[.!?;:]+(\s|$)', chr(10), 'g'), '\n'),
          lambda x: trim(regexp_replace(x, '[^a-z0-9]+', ' ', 'g'))), lambda x: x <> '') AS s
   FROM documents),
-i AS (SELECT doc_id, len(s) AS n, list_transform(s, lambda x: coalesce(list_position([{keys}], x), 0)) AS i FROM s),
+p AS (SELECT doc_id, len(s) AS n, array_to_string(list_transform(s, lambda x: '|' || x || '|'), '') AS p FROM s),
+m AS (SELECT doc_id, n, list_filter(string_split({marked}, '|'), lambda x: x <> '') AS m FROM p),
+i AS (SELECT doc_id, n, list_transform(m, lambda x: CASE WHEN x[1] = '#' THEN x[2:]::INT ELSE 0 END) AS i FROM m),
 t AS (SELECT doc_id, n, len(list_filter(i, lambda x: x > 0)) AS k, ' ' || array_to_string(list_transform(i, lambda x: x::VARCHAR), ' ') || ' ' AS q FROM i)
 SELECT doc_id, n::BIGINT AS n_sentences, k::BIGINT AS licence_sentences, array_to_string(list_filter([{cases}], lambda x: x IS NOT NULL), ',') AS licences FROM t
 """
