@@ -33,8 +33,9 @@ of fixed size.
 Of a pair the longer set (of equally long ones the later) looks for the shorter
 one, which needs only the first n / 7 + 1 of its prefix for that.
 
-Defined cases: NULL texts and rows of NULL ids stay as they are and have no
-lines; repeated rows have the same lines at the same place and are kept or cut
+Defined cases: ids are of any type that has an order, negative and huge ones too
+(texts are ordered by their bytes); NULL texts and rows of NULL ids stay as they
+are and have no lines; repeated rows have the same lines at the same place and are kept or cut
 alike; empty lines and lines of fewer than ``min_words`` words stay; other
 columns stay as they are.
 """
@@ -46,9 +47,9 @@ from functools import reduce
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import DataType
+from pyspark.sql.types import IntegralType
 
-from .common import MAX_BROADCAST, free_name, only, stash, table
+from .common import MAX_BROADCAST, free_name, only, place, stash, table
 
 MIN_WORDS = 1
 RARITY_BUCKETS = 1 << 18  # as the table is part of plans, which the driver keeps
@@ -73,36 +74,56 @@ def words_of(line: Column) -> Column:
 
 
 class Place:
-    """Puts a document's id and a line's number into one number that orders lines: a long if all ids fit, else a decimal."""
+    """Puts the number of a document and that of a line into one long that orders lines."""
 
-    def __init__(self, docs: DataFrame, key: str, text: str):
-        # a text has no more lines than bytes, and one
-        low, high, most, rows, ids = docs.agg(F.min(key), F.max(key), F.max(F.octet_length(text)) + 1, F.count(key), F.count_distinct(key)).first()
-        bits = max(1, int(most or 0).bit_length())
-        self.long = low is None or 0 <= low and high < 1 << (62 - bits)
-        self.base, self.kind = (1 << bits, "long") if self.long else (1 << 32, "decimal(31,0)")
-        self.digits = -(-(int(high or 0).bit_length() + bits) // DIGIT)
-        self.unique = rows == ids  # no document is repeated
+    def __init__(self, most_lines: int, numbers: int):
+        bits = max(1, most_lines.bit_length())
+        if numbers.bit_length() + bits > 62:
+            raise ValueError("places of lines need more than 62 bits")
+        self.base, self.digits = 1 << bits, -(-(numbers.bit_length() + bits) // DIGIT)
 
-    def of(self, key: Column, number: Column) -> Column:
-        if self.long:
-            return key.cast("long") * F.lit(self.base).cast("long") + number
-        return (key.cast("decimal(20,0)") * F.lit(self.base).cast("decimal(10,0)") + number).cast(self.kind)
+    def of(self, number: Column, line: Column) -> Column:
+        return number * F.lit(self.base).cast("long") + line
 
-    def split(self, at: Column, key_type: DataType) -> tuple[Column, Column]:
-        if self.long:
-            number = at.bitwiseAND(F.lit(self.base - 1).cast("long"))
-            return F.shiftright(at, self.base.bit_length() - 1).cast(key_type), number.cast("int")
-        number = F.pmod(at, F.lit(self.base).cast("decimal(31,0)"))
-        return ((at - number) / F.lit(self.base)).cast("decimal(20,0)").cast(key_type), number.cast("int")
+    def split(self, at: Column) -> tuple[Column, Column]:
+        return F.shiftright(at, self.base.bit_length() - 1), at.bitwiseAND(F.lit(self.base - 1).cast("long")).cast("int")
 
 
 class Lines:
-    """The lines of ``docs``, at places that order them by document and number."""
+    """The lines of ``docs``, at places that order them by document and number.
+
+    The number of a document, ``k``, is how far its id is from the smallest one,
+    if ids are integers with room for line numbers; else (texts, decimals, ids of
+    a wide range) it is the id's rank, which is joined to the texts once.
+    """
 
     def __init__(self, docs: DataFrame, key: str, text: str):
-        self.key_type, self.place = docs.schema[key].dataType, Place(docs, key, text)
-        self.docs = docs.where(F.col(text).isNotNull() & F.col(key).isNotNull()).select(F.col(key).alias("k"), F.col(text).alias("text"))
+        self.key_type = docs.schema[key].dataType
+        whole = isinstance(self.key_type, IntegralType)
+        ends = [F.min(key), F.max(key)] if whole else [F.lit(0), F.lit(0)]
+        # a text has no more lines than bytes, and one
+        low, high, most, rows, ids = docs.agg(*ends, F.max(F.octet_length(text)) + 1, F.count(key), F.count_distinct(key)).first()
+        self.low, span, most = low or 0, (high or 0) - (low or 0), int(most or 0)
+        self.unique = rows == ids  # no document is repeated
+        self.ranks: DataFrame | None = None
+        found = docs.where(F.col(text).isNotNull() & F.col(key).isNotNull()).select(F.col(key).alias("k"), F.col(text).alias("text"))
+        if whole and span.bit_length() + most.bit_length() <= 62:
+            self.docs = found.select((F.col("k").cast("long") - F.lit(self.low).cast("long")).alias("k"), "text")
+        else:
+            self.ranks = stash(place(found.select(F.col("k").alias("id")).distinct(), [], ["id"], "rank"), "ranks")
+            self.docs = stash(found.join(self.ranks, F.col("k") == F.col("id")).select(F.col("rank").alias("k"), "text"), "ranked")
+            span, most = ids, self.docs.agg(F.max(F.size(F.split("text", "\n")))).first()[0] or 0
+        self.place = Place(most, span)
+
+    def named(self, df: DataFrame, **names: str) -> DataFrame:
+        """``df`` with the ids in place of the numbers in its columns ``names``, which get the names given there."""
+        for number, name in names.items():
+            value = (F.col(number) + F.lit(self.low).cast("long")).cast(self.key_type)
+            columns = df.columns
+            if self.ranks is not None:
+                df, value = df.join(self.ranks.select(F.col("id").alias("_id"), F.col("rank").alias("_rank")), F.col(number) == F.col("_rank")), F.col("_id")
+            df = df.select(*(value.alias(name) if c == number else F.col(c) for c in columns))
+        return df
 
     def all(self, docs: DataFrame | None = None) -> DataFrame:
         """(at, line), lower-cased."""
@@ -111,7 +132,7 @@ class Lines:
 
     def at(self, wanted: DataFrame) -> DataFrame:
         """(at, words) of the places in ``wanted``; only their documents are split. Repeated rows count once."""
-        ids = stash(wanted.select(self.place.split(F.col("at"), self.key_type)[0].alias("k")).distinct(), "ids")
+        ids = stash(wanted.select(self.place.split(F.col("at"))[0].alias("k")).distinct(), "ids")
         found = only(self.all(only(self.docs, ids, "k")), wanted, "at")
         return found.groupBy("at").agg(F.min("line").alias("line")).select("at", words_of(F.col("line")).alias("words"))
 
@@ -229,8 +250,6 @@ def _candidates(x: DataFrame, y: DataFrame, more: Column) -> DataFrame:
 
 def _poles(classes: DataFrame, lines: Lines) -> DataFrame:
     """(x, pole, n, delta): the classes, of n words, that are similar to poles or are one, with the first such pole."""
-    if not lines.place.long:
-        return lines.docs.sparkSession.createDataFrame([], f"x {lines.place.kind}, pole {lines.place.kind}, n int, delta array<string>")
     poles = classes.groupBy("ends").agg(F.min("at").alias("at"), F.count("*").alias("size")).where(F.col("size") >= LARGE).select("at")
     columns = ["at", "n", *PARITIES, "prefix"]
     poles = stash(only(classes, stash(poles, "poles"), "at").select(columns), "poles")
@@ -296,8 +315,11 @@ def near_links(members: DataFrame, digits: int) -> DataFrame:
     return each.join(counts, ["pole", "level", "above", "digit"]).groupBy("x").agg(F.sum("links").alias("links"))
 
 
-def far_links(members: DataFrame) -> DataFrame:
-    """(x, ys): places ys of earlier similar members of x's pole, in rows of some of them, for pairs of which one or both are far."""
+def far_links(members: DataFrame, listed: bool = False) -> DataFrame:
+    """(x, links): the number of earlier similar members of x's pole, in rows of some of them, for pairs of which one or both are far.
+
+    With ``listed`` (x, y), a row for each of them.
+    """
     sizes = members.groupBy("pole", _near().alias("near")).agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
     sizes = stash(sizes.groupBy("pole").agg(*(F.coalesce(F.max(F.when(c, F.col("blocks"))), F.lit(0)).alias(n) for n, c in (("near_blocks", F.col("near")), ("far_blocks", ~F.col("near"))))).where("far_blocks > 0"), "blocks")
     own = members.join(sizes, "pole").withColumn("near", _near())
@@ -309,7 +331,9 @@ def far_links(members: DataFrame) -> DataFrame:
     both = asked.join(lists, ["pole", "listed", "block"])
     differ = lambda o: F.size("delta") + F.size(o["delta"]) - 2 * F.size(F.array_intersect(F.col("delta"), o["delta"]))
     found = F.filter("others", lambda o: (o["x"] < F.col("x")) & (7 * differ(o) <= F.col("n") + o["n"]))
-    return both.select("x", F.transform(found, lambda o: o["x"]).alias("ys"))
+    if listed:
+        return both.select("x", F.explode(F.transform(found, lambda o: o["x"])).alias("y"))
+    return both.select("x", F.size(found).cast("long").alias("links")).where("links > 0")
 
 
 class Join:
@@ -323,7 +347,7 @@ class Join:
         sets = stash(line_sets(self.lines.all(), rarity(docs, text)), "lines").where(F.col("n") >= max(min_words, 1))
         self.copies = stash(copies(sets), "copies")
         gone, rest = self.copies.select(F.col("x").alias("at")), ["ends", "n", *PARITIES, "prefix"]
-        small = self.lines.place.unique and gone.limit(MAX_COPIES + 1).count() <= MAX_COPIES
+        small = self.lines.unique and gone.limit(MAX_COPIES + 1).count() <= MAX_COPIES
         self.classes = sets.select("at", *rest).join(F.broadcast(gone) if small else gone.hint("merge"), "at", "left_anti")
         if not small:  # rows of one place, from repeated documents, are one
             self.classes = stash(self.classes.groupBy("at").agg(*(F.first(c).alias(c) for c in rest)), "classes")
@@ -340,12 +364,12 @@ def line_links(docs: DataFrame, key: str = "doc_id", text: str = "text", min_wor
     lists what ``linked_lines`` only counts, so it is as large as the number of links.
     """
     join = Join(docs, key, text, min_words, links=True)
-    place, near = join.lines.place, join.at_poles.where(_near())
+    at, near = join.lines.place, join.at_poles.where(_near())
     known = near.select("x", "pole").join(near.select(F.col("x").alias("y"), "pole"), "pole").where("y < x").select("x", "y")
-    known = known.union(far_links(join.at_poles).select("x", F.explode("ys")))
+    known = known.union(far_links(join.at_poles, listed=True))
     both = join.pairs.union(known).withColumn("same", F.lit(False)).union(join.copies.withColumn("same", F.lit(True)))
-    (k, no), (to, to_no) = place.split(F.col("x"), join.lines.key_type), place.split(F.col("y"), join.lines.key_type)
-    return both.select(k.alias(key), no.alias("no"), to.alias(f"to_{key}"), to_no.alias("to_no"), "same")
+    (k, no), (to, to_no) = at.split(F.col("x")), at.split(F.col("y"))
+    return join.lines.named(both.select(k.alias("k"), no.alias("no"), to.alias("to"), to_no.alias("to_no"), "same"), k=key, to=f"to_{key}")
 
 
 def linked_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
@@ -353,18 +377,18 @@ def linked_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", min_w
     join = Join(docs, key, text, min_words, links=True)
     one = F.lit(1).cast("long").alias("links")
     links = join.pairs.select("x", one).union(join.copies.select("x", one)).union(near_links(join.at_poles, join.lines.place.digits))
-    links = links.union(far_links(join.at_poles).select("x", F.size("ys").cast("long")).where("size(ys) > 0"))
-    k, number = join.lines.place.split(F.col("x"), join.lines.key_type)
-    gone = links.groupBy("x").agg(F.sum("links").alias("links")).select(k.alias(key), number.alias("no"), "links")
-    return gone.groupBy(key).agg(F.array_sort(F.collect_list("no")).alias("removed"), F.sum("links").alias("links"))
+    links = links.union(far_links(join.at_poles))
+    k, number = join.lines.place.split(F.col("x"))
+    gone = links.groupBy("x").agg(F.sum("links").alias("links")).select(k.alias("k"), number.alias("no"), "links")
+    return join.lines.named(gone.groupBy("k").agg(F.array_sort(F.collect_list("no")).alias("removed"), F.sum("links").alias("links")), k=key)
 
 
 def removed_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
     """(key, removed): the numbers of the lines to cut, sorted, of each document that has any."""
     join = Join(docs, key, text, min_words, links=False)
-    k, number = join.lines.place.split(F.col("x"), join.lines.key_type)
+    k, number = join.lines.place.split(F.col("x"))
     gone = join.pairs.select("x").union(join.copies.select("x")).union(join.matched.select("at")).distinct()
-    return gone.select(k.alias(key), number.alias("no")).groupBy(key).agg(F.array_sort(F.collect_list("no")).alias("removed"))
+    return join.lines.named(gone.select(k.alias("k"), number.alias("no")).groupBy("k").agg(F.array_sort(F.collect_list("no")).alias("removed")), k=key)
 
 
 def dedup_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", with_links: bool = False, min_words: int = MIN_WORDS) -> DataFrame:

@@ -1,6 +1,7 @@
 """Large groups of near copies, which are counted instead of listed."""
 
 import random
+from decimal import Decimal
 
 import pytest
 
@@ -54,3 +55,21 @@ def test_clashing_names(spark):
     got = dedup_lines(df)
     assert got.columns == df.columns
     assert sorted(tuple(r) for r in got.collect() if r.text is not None) == [(1, "a b c d e f\nz", *range(len(names))), (2, "", *range(len(names)))]
+
+
+@pytest.mark.parametrize("kind, of", [("long", lambda i: i - 100), ("long", lambda i: (i - 80) * 2**55), ("string", lambda i: f"é{i:03d}"), ("decimal(38,0)", lambda i: Decimal(i - 80) * 10**30)])
+def test_ids_of_every_kind(spark, monkeypatch, kind, of):
+    """Negative, huge and text ids lose no pole and no link: the result is that of small ids in the same order."""
+    monkeypatch.setattr(line_dedup, "LARGE", 2)
+    rows = [(of(i), t) for i, t in made(2)]
+    df = spark.createDataFrame([*rows, (None, "base0x1 base0x2")], f"doc_id {kind}, text string")
+    links = brute(rows)
+    assert {tuple(r) for r in line_links(df).collect()} == links
+    counts = {r.doc_id: (r.n_links, r.removed_lines) for r in dedup_lines(df, with_links=True).collect() if r.doc_id is not None}
+    assert counts == {i: (sum(x[0] == i for x in links), sorted({x[1] for x in links if x[0] == i})) for i, _ in rows}
+    cut = {r.doc_id: r.text for r in dedup_lines(df).collect()}
+    assert cut == {None: "base0x1 base0x2"} | {i: "\n".join(x for no, x in enumerate(t.split("\n")) if no not in counts[i][1]) for i, t in rows}
+    if kind == "long":
+        lines = line_dedup.Lines(df, "doc_id", "text")
+        assert (lines.ranks is None) == (of(0) > -1000)
+        assert line_dedup._poles(line_dedup.Join(df, "doc_id", "text", 1, True).classes, lines).count() > 0
