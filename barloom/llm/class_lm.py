@@ -20,7 +20,8 @@ probabilities of all words and of one unknown word for each class add up to 1.
 
 Defined cases: NULL and empty texts have one token, their end; without any
 training row the score is the base score; repeated rows count each time in
-training and are scored apart; other columns are ignored.
+training and are scored apart; rows of a NULL id are scored, are never trained
+on and have a NULL ``held_out``; other columns are ignored.
 """
 
 from __future__ import annotations

@@ -27,7 +27,8 @@ out of this where the triangle inequality of the Jaccard distance rules a link o
 
 Defined cases: NULL and wordless texts have an empty set and stay alone;
 repeated rows and equal texts share a component; rows of one id are one
-document, which is kept or not as a whole; other columns are ignored by ``near_duplicates`` and
+document, which is kept or not as a whole; a row of a NULL id has a NULL
+``kept``, and ``keep_first`` keeps it; other columns are ignored by ``near_duplicates`` and
 kept by ``keep_first``.
 """
 

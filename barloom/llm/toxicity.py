@@ -9,11 +9,15 @@ reporting, count as a feature of their own. A logistic regression on a handful
 of features gives the score.
 
 Terms, stems and weights are learnt from at most ``SAMPLE`` labelled rows,
-taken in the order of a hash of their ids, from the training folds only.
+taken in the order of a hash of their ids, from the training folds only. Only
+words of 3 to 40 letters can become terms, and only with at least three toxic
+holders and a surprise of 12 nats; so few labels may give no term of their own,
+and the general terms decide.
 
 Defined cases: NULL and empty texts are scored like texts without hits; a
 document with several labels counts as toxic if any says so; unlabelled tables
 leave the general terms and default weights; repeated rows give repeated rows;
+rows of a NULL id are scored, never learnt from and have a NULL ``held_out``;
 other columns are ignored by ``score`` and kept by ``drop_toxic``.
 """
 
