@@ -1,8 +1,9 @@
 """Benchmark decontamination: broadcast hash set of normalised test n-grams (DataFrame functions only).
 
 Every window of ``n`` consecutive words of a benchmark item (an item with fewer
-words is one window) is hashed. Document windows are hashed in place, matched
-against that set, and each hit is verified word by word. What remains is spans
+words is one window) is hashed. Document windows are hashed in place, from the
+hashes of runs of 1, 2, 4, ... words that all window sizes share, matched against
+that set, and each hit is verified word by word. What remains is spans
 of hit words, from which documents are judged, cut or dropped.
 
 The set is broadcast only while it has at most ``MAX_BROADCAST`` windows, which
@@ -31,21 +32,39 @@ RAW_BREAKS = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 
 
 def raw_words(text: Column) -> Column:
-    return F.filter(F.split(F.coalesce(text, F.lit("")), RAW_BREAKS), lambda w: w != "")
+    return F.array_remove(F.split(F.coalesce(text, F.lit("")), RAW_BREAKS), "")
 
 
-def _window_hash(words: Column, at: Column, n: Column | int) -> Column:
-    return F.xxhash64(F.slice(words, at, n))
+def _hashed(words: DataFrame, raw: str, n: int) -> DataFrame:
+    """``words`` with run0, run1, ...: the hashes of the runs of 1, 2, 4, ... lower-cased words, up to n, that begin at each word.
+
+    Two runs make the next one, so a word is read once. Runs that go beyond the end are there too, and mean nothing.
+    """
+    out = words.withColumn("run0", F.transform(raw, lambda w: F.xxhash64(F.lower(w))))
+    for k in range(1, n.bit_length()):
+        out = out.withColumn(f"run{k}", _joined(k - 1, 1 << (k - 1)))
+    return out
+
+
+def _joined(k: int, by: int) -> Column:
+    """The hashes of the runs of run``k`` together with those ``by`` words later."""
+    later = F.slice(f"run{k}", F.lit(by + 1), F.size("run0"))
+    return F.zip_with(f"run{k}", later, lambda a, b: F.xxhash64(a, b))
+
+
+def _windows(size: int) -> Column:
+    """The hashes of windows of ``size`` words from each word on: two runs that may overlap."""
+    k = size.bit_length() - 1
+    return F.col(f"run{k}") if size == 1 << k else _joined(k, size - (1 << k))
 
 
 def benchmark_windows(benchmark: DataFrame, n: int = N) -> DataFrame:
     """(item_id, size, hash, window): the distinct windows of each item; window is its words joined by a space."""
     words = benchmark.select("item_id", raw_words(ascii_lower(F.col("text"))).alias("w")).where(F.size("w") > 0)
-    at = words.select("item_id", "w", F.least(F.size("w"), F.lit(n)).alias("size")).select(
-        "item_id", "w", "size", F.explode(F.sequence(F.lit(1), F.size("w") - F.col("size") + 1)).alias("at")
-    )
-    lowered = F.transform(F.slice("w", F.col("at"), F.col("size")), lambda x: F.lower(x))
-    return at.select("item_id", "size", F.xxhash64(lowered).alias("hash"), F.array_join(F.slice("w", F.col("at"), F.col("size")), " ").alias("window")).distinct()
+    words = _hashed(words.withColumn("size", F.least(F.size("w"), F.lit(n))), "w", n)
+    hashes = F.coalesce(*(F.when(F.col("size") == s, _windows(s)) for s in range(1, n + 1)))
+    at = words.select("item_id", "w", "size", F.posexplode(F.slice(hashes, F.lit(1), F.size("w") - F.col("size") + 1)).alias("at", "hash"))
+    return at.select("item_id", "size", "hash", F.array_join(F.slice("w", F.col("at") + 1, F.col("size")), " ").alias("window")).distinct()
 
 
 def hits(docs: DataFrame, benchmark: DataFrame, key: list[str], n: int = N, max_broadcast: int = MAX_BROADCAST) -> DataFrame:
@@ -56,27 +75,27 @@ def hits(docs: DataFrame, benchmark: DataFrame, key: list[str], n: int = N, max_
     few hits are compared as the contract says.
     """
     grams = benchmark_windows(benchmark, n)
-    sizes = [r["size"] for r in grams.select("size").distinct().collect()]  # at most n numbers
+    sizes = sorted(r["size"] for r in grams.select("size").distinct().collect())  # at most n numbers
     small = grams.limit(max_broadcast + 1).count() <= max_broadcast
-    grams = grams.withColumnRenamed("size", "g_size")
+    grams = grams.withColumnsRenamed({"size": "g_size", "hash": "g_hash"})
     grams = F.broadcast(grams) if small else grams.hint("shuffle_hash")
 
     words = docs.select(*key, raw_words(F.col("text")).alias("raw"))
-    words = words.withColumn("low", F.transform("raw", lambda w: F.lower(w)))
-    none = F.array(F.struct(F.lit(0).alias("at"), F.lit(0).alias("size"), F.lit(None).cast("long").alias("hash")))
-
-    def windows(size: int) -> Column:
-        starts = F.when(F.size("low") >= size, F.sequence(F.lit(1), F.size("low") - size + 1)).otherwise(F.array().cast("array<int>"))
-        return F.transform(starts, lambda i: F.struct(i.alias("at"), F.lit(size).alias("size"), _window_hash(F.col("low"), i, size).alias("hash")))
-
+    hashed = _hashed(words, "raw", max(sizes, default=1)).withColumn("count", F.size("raw"))
+    # a hash for each size and word; the first place is that of the row itself
+    every = F.concat(F.array(F.lit(None).cast("long")), *map(_windows, sizes))
+    number = F.col("pos") - 1
+    size = F.get(F.array(*map(F.lit, sizes)), F.floor(number / F.col("count")).cast("int")) if sizes else F.lit(0)
+    placed = {"at": F.when(F.col("pos") == 0, 0).otherwise(number % F.col("count") + 1).cast("int"), "size": F.when(F.col("pos") == 0, 0).otherwise(size).cast("int")}
+    inside = F.col("at") + F.col("size") <= F.col("count") + 1
     lowered = lambda c: F.array_join(F.transform(F.slice("raw", F.col("at"), F.col("size")), ascii_lower), " ") == F.col(c)
     if small:
-        each = words.select(*key, F.size("raw").cast("long").alias("n_words"), "raw", F.explode(F.concat(none, *map(windows, sizes))).alias("x"))
-        each = each.select(*key, "n_words", "raw", "x.at", "x.size", "x.hash")
-        found = each.join(grams, (F.col("size") == F.col("g_size")) & (each["hash"] == grams["hash"]), "left").where("at = 0 or item_id is not null")
-        return found.where((F.col("at") == 0) | F.when(F.col("at") > 0, lowered("window"))).select(*key, "n_words", "at", "size", "item_id")
-    each = words.select(*key, F.explode(F.concat(F.array().cast("array<struct<at:int,size:int,hash:bigint>>"), *map(windows, sizes))).alias("x")).select(*key, "x.*")
-    found = each.join(grams, (F.col("size") == F.col("g_size")) & (each["hash"] == grams["hash"])).select(*(F.col(k).alias(f"of_{k}") for k in key), "at", "size", "item_id", "window").distinct()
+        each = hashed.select(*key, "count", "raw", F.posexplode(every).alias("pos", "hash"))
+        found = each.join(grams, F.col("hash") == F.col("g_hash"), "left").where("pos = 0 or item_id is not null").withColumns(placed)
+        same = inside & (F.col("size") == F.col("g_size"))
+        return found.where((F.col("pos") == 0) | F.when((F.col("pos") > 0) & same, lowered("window"))).select(*key, F.col("count").cast("long").alias("n_words"), "at", "size", "item_id")
+    each = hashed.select(*key, "count", F.posexplode(every).alias("pos", "hash")).where("pos > 0").withColumns(placed).where(inside).select(*key, "at", "size", "hash")
+    found = each.join(grams, (F.col("size") == F.col("g_size")) & (F.col("hash") == F.col("g_hash"))).select(*(F.col(k).alias(f"of_{k}") for k in key), "at", "size", "item_id", "window").distinct()
     sized = words.select(*key, F.size("raw").cast("long").alias("n_words"), "raw")
     of = [F.col(k).eqNullSafe(F.col(f"of_{k}")) for k in key]
     verified = sized.dropDuplicates(key).join(found, of).where(lowered("window")).select(*key, "n_words", "at", "size", "item_id")
