@@ -12,11 +12,13 @@ Every class is joined, by all prefix words, with all earlier classes, under the
 length, positional and parity filters, and every pair is verified on its words;
 equal sets are given by membership.
 
-Large groups of near copies are not expanded into pairs. The first class of each
-group of at least ``LARGE`` classes that agree in the smallest and the largest
-hash of their words is a pole. Classes that share a prefix word with a pole are
-held against it; each belongs to the first pole that it is similar to, with its
-``delta``, the words that only one of the two has. Sets of n and m words are
+Large groups of near copies are not expanded into pairs. Of each group of at
+least ``LARGE`` classes that agree in the smallest and the largest hash of their
+words the class nearest to the middle is a pole: the one whose parities differ
+least from those that most of the group have. Classes that share a prefix
+word with a pole are held against it; each belongs to that similar pole which
+most classes are similar to, with its ``delta``, the words that only one of the
+two has. Sets of n and m words are
 similar if they differ in (n + m) / 7 words at most. So two classes of a pole
 whose deltas have up to n / 7 and m / 7 words are similar in any case, and such
 links are only counted (``near_links``). Other classes of the pole are compared
@@ -24,7 +26,8 @@ by their deltas in blocks (``far_links``): two sets differ in the words that are
 in one of the deltas. All pairs of no common pole are listed.
 
 To cut lines one link of a line is enough: ``removed_lines`` leaves out the
-pairs of classes that are known to be similar to an earlier one by their pole.
+pairs of a common pole and those of classes that are known to be similar to an
+earlier one by their pole.
 
 Rarity only orders words and needs no exactness: it is the power of two of the
 number of occurrences in the word's hash bucket, over all documents, in a table
@@ -49,7 +52,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegralType
 
-from .common import MAX_BROADCAST, free_name, only, place, stash, table
+from .common import MAX_BROADCAST, free_name, known_join, only, place, stash, table
 
 MIN_WORDS = 1
 RARITY_BUCKETS = 1 << 18  # as the table is part of plans, which the driver keeps
@@ -58,7 +61,6 @@ LONG, LONGER = 80, 150  # sets of more words have 128 and 256 parities instead o
 PARITIES = ["parity", "parity2", "parity3", "parity4"]
 MAX_COPIES = 1_000_000  # places, of 8 bytes each, that may be broadcast
 MOST = (1 << 16) - 1  # larger sets are stored with this size
-TRIED = 8  # prefix tokens by which poles are looked for
 DIGIT = 4  # bits of a place that near_links takes at a time
 BLOCK = 256  # classes of a pole that are compared at once
 
@@ -248,26 +250,44 @@ def _candidates(x: DataFrame, y: DataFrame, more: Column) -> DataFrame:
     return x.join(y, _token("entry_x") == _token("entry_y")).where(_alike() & more).select("x", "y").distinct()
 
 
+def _middles(classes: DataFrame) -> DataFrame:
+    """(at): of each group of classes with the same ends, ``LARGE`` of which or more are near its middle, the one nearest to that.
+
+    The middle is only known by its parity, which has each bit as most of the
+    group have it; so groups of any size are sums of 64 bits.
+    """
+    groups = stash(classes.groupBy("ends").agg(F.count("*").alias("size")).where(F.col("size") >= LARGE).select("ends"), "groups")
+    members = only(classes.select("ends", "at", "n", "parity"), groups, "ends")
+    most = lambda b: F.avg(F.getbit("parity", F.lit(b))) > 0.5
+    bits = members.groupBy("ends").agg(*(most(b).alias(f"b{b}") for b in range(64)))
+    middle = reduce(Column.bitwiseOR, (F.when(F.col(f"b{b}"), F.lit((1 << b) - (1 << 64 if b == 63 else 0)).cast("long")).otherwise(F.lit(0).cast("long")) for b in range(64)))
+    off = F.bit_count(F.col("parity").bitwiseXOR(F.col("middle")))
+    placed = known_join(members, stash(bits.select("ends", middle.alias("middle")), "middles"), ["ends"])
+    found = placed.groupBy("ends").agg(F.min_by("at", F.struct(off, "at")).alias("at"), F.count_if(7 * off <= 2 * F.col("n")).alias("near"))
+    return found.where(F.col("near") >= LARGE).select("at")
+
+
 def _poles(classes: DataFrame, lines: Lines) -> DataFrame:
-    """(x, pole, n, delta): the classes, of n words, that are similar to poles or are one, with the first such pole."""
-    poles = classes.groupBy("ends").agg(F.min("at").alias("at"), F.count("*").alias("size")).where(F.col("size") >= LARGE).select("at")
+    """(x, pole, n, delta): the classes, of n words, that are similar to poles or are one, with that pole which most are similar to."""
     columns = ["at", "n", *PARITIES, "prefix"]
-    poles = stash(only(classes, stash(poles, "poles"), "at").select(columns), "poles")
+    poles = stash(only(classes, stash(_middles(classes), "poles"), "at").select(columns), "poles")
     of_pole = _side(_index(poles), "y")
     small = of_pole.limit(MAX_BROADCAST + 1).count() <= MAX_BROADCAST
-    tried = classes.select(columns).withColumn("prefix", F.slice("prefix", 1, TRIED))
-    pairs = _candidates(_side(_index(tried), "x"), F.broadcast(of_pole) if small else of_pole, F.col("x") != F.col("y"))
+    pairs = _candidates(_side(_index(classes.select(columns)), "x"), F.broadcast(of_pole) if small else of_pole, F.col("x") != F.col("y"))
     only_one = F.concat(F.array_except("words_x", "words_y"), F.array_except("words_y", "words_x"))
     found = verify(stash(pairs, "pairs"), lines).select("x", "y", F.size("words_x").alias("n"), only_one.alias("delta"))
-    found = found.union(poles.select("at", "at", "n", F.array().cast("array<string>")))
-    return stash(found.groupBy("x").agg(F.min("y").alias("pole"), F.first("n").alias("n"), F.min_by("delta", "y").alias("delta")), "at_poles")
+    found = stash(found.union(poles.select("at", "at", "n", F.array().cast("array<string>"))), "of_poles")
+    sizes = found.groupBy("y").agg(F.count("*").alias("size"))
+    found = known_join(found, stash(sizes, "sizes"), ["y"])
+    first = F.struct(-F.col("size"), "y")
+    return stash(found.groupBy("x").agg(F.min_by("y", first).alias("pole"), F.first("n").alias("n"), F.min_by("delta", first).alias("delta")), "at_poles")
 
 
-def _pairs(classes: DataFrame, skip: DataFrame, links: bool, lines: Lines) -> DataFrame:
+def _pairs(classes: DataFrame, skip: DataFrame, lines: Lines) -> DataFrame:
     """(x, y): all similar pairs of a class x and an earlier class y but those to be skipped.
 
-    ``skip`` has (at, mark): with ``links`` pairs of one mark are skipped, else
-    those of a class x with a mark.
+    ``skip`` has (at, mark): pairs of one pole, which is mark, or -1 - mark, and
+    those of a class x with a mark below 0 are skipped.
     """
     index = _index(classes.join(skip, "at", "left").select("n", "parity", "at", "mark", *PARITIES[1:], "prefix"))
     longer, shorter = _side(index, "x"), _side(index, "y")
@@ -276,20 +296,18 @@ def _pairs(classes: DataFrame, skip: DataFrame, links: bool, lines: Lines) -> Da
     shorter = shorter.where(7 * j <= m)
     late = F.col("y") < F.col("x")
     order = (n > m) | ((n == m) & (late | (m == MOST)))
-    if links:
-        skipped = F.coalesce(F.col("mark_x") == F.col("mark_y"), F.lit(False))
-    else:
-        skipped = F.when(late, F.col("mark_x").isNotNull()).otherwise(F.col("mark_y").isNotNull())
+    pole = lambda c: F.greatest(F.col(c), -1 - F.col(c))
+    skipped = F.coalesce(pole("mark_x") == pole("mark_y"), F.lit(False)) | F.coalesce(F.when(late, F.col("mark_x")).otherwise(F.col("mark_y")) < 0, F.lit(False))
     pairs = _candidates(longer, shorter, order & (F.col("x") != F.col("y")) & ~skipped).select(F.greatest("x", "y").alias("x"), F.least("x", "y").alias("y")).distinct()
     return verify(stash(pairs, "pairs"), lines).select("x", "y")
 
 
 def _matched(members: DataFrame) -> DataFrame:
-    """(at, mark): members of poles that are similar to an earlier one: to the pole, or both are near it."""
-    near = F.expr("7 * size(delta) <= n")
-    first = members.where(near).groupBy("pole").agg(F.min("x").alias("first"))
-    late = (F.col("pole") < F.col("x")) | (near & (F.col("first") < F.col("x")))
-    return members.join(first, "pole", "left").where(late).select(F.col("x").alias("at"), F.lit(1).alias("mark"))
+    """(at): members of poles that are similar to an earlier member: to the pole, both are near it, or by their differences."""
+    first = members.where(_near()).groupBy("pole").agg(F.min("x").alias("first"))
+    late = (F.col("pole") < F.col("x")) | (_near() & (F.col("first") < F.col("x")))
+    known = stash(members.join(first, "pole", "left").withColumn("late", F.coalesce(late, F.lit(False))), "known")
+    return known.where("late").select(F.col("x").alias("at")).union(far_links(known.drop("first")).select("x")).distinct()
 
 
 def _near() -> Column:
@@ -318,7 +336,8 @@ def near_links(members: DataFrame, digits: int) -> DataFrame:
 def far_links(members: DataFrame, listed: bool = False) -> DataFrame:
     """(x, links): the number of earlier similar members of x's pole, in rows of some of them, for pairs of which one or both are far.
 
-    With ``listed`` (x, y), a row for each of them.
+    With ``listed`` (x, y), a row for each of them. Members that are known to be
+    ``late``, if that column is there, look for no earlier ones.
     """
     sizes = members.groupBy("pole", _near().alias("near")).agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
     sizes = stash(sizes.groupBy("pole").agg(*(F.coalesce(F.max(F.when(c, F.col("blocks"))), F.lit(0)).alias(n) for n, c in (("near_blocks", F.col("near")), ("far_blocks", ~F.col("near"))))).where("far_blocks > 0"), "blocks")
@@ -327,7 +346,7 @@ def far_links(members: DataFrame, listed: bool = False) -> DataFrame:
     lists = lists.agg(F.collect_list(F.struct("x", "n", "delta")).alias("others"))
     blocks = lambda c, listed: F.transform(F.sequence(F.lit(1), F.col(c)), lambda b: F.struct(F.lit(listed).alias("listed"), (b - 1).alias("block")))
     far, near = blocks("far_blocks", False), F.when(F.col("near") | (F.col("near_blocks") == 0), F.array()).otherwise(blocks("near_blocks", True))
-    asked = own.select("pole", "x", "n", "delta", F.inline(F.concat(far, near)))
+    asked = (own.where("not late") if "late" in own.columns else own).select("pole", "x", "n", "delta", F.inline(F.concat(far, near)))
     both = asked.join(lists, ["pole", "listed", "block"])
     differ = lambda o: F.size("delta") + F.size(o["delta"]) - 2 * F.size(F.array_intersect(F.col("delta"), o["delta"]))
     found = F.filter("others", lambda o: (o["x"] < F.col("x")) & (7 * differ(o) <= F.col("n") + o["n"]))
@@ -339,7 +358,7 @@ def far_links(members: DataFrame, listed: bool = False) -> DataFrame:
 class Join:
     """The similarity join of the lines of ``docs``: copies (x, y), at_poles (x, pole, n, delta) and further pairs (x, y).
 
-    Without ``links`` pairs lack those of lines in matched, (at, mark), which have an earlier similar line.
+    Pairs of one pole are not among them. Without ``links`` pairs lack those of lines in matched, (at), too, which have an earlier similar line.
     """
 
     def __init__(self, docs: DataFrame, key: str, text: str, min_words: int, links: bool):
@@ -353,8 +372,11 @@ class Join:
             self.classes = stash(self.classes.groupBy("at").agg(*(F.first(c).alias(c) for c in rest)), "classes")
         self.at_poles = _poles(self.classes, self.lines)
         self.matched = None if links else stash(_matched(self.at_poles), "matched")
-        skip = self.matched or self.at_poles.select(F.col("x").alias("at"), F.col("pole").alias("mark"))
-        self.pairs = stash(_pairs(self.classes, skip, links, self.lines), "links")
+        skip = self.at_poles.select(F.col("x").alias("at"), F.col("pole").alias("mark"))
+        if not links:
+            late = self.matched.withColumn("late", F.lit(True))
+            skip = skip.join(late, "at", "left").select("at", F.when(F.col("late"), -1 - F.col("mark")).otherwise(F.col("mark")).alias("mark"))
+        self.pairs = stash(_pairs(self.classes, skip, self.lines), "links")
 
 
 def line_links(docs: DataFrame, key: str = "doc_id", text: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
