@@ -133,10 +133,10 @@ class Lines:
         return each.select(self.place.of(F.col("k"), F.col("no")).alias("at"), "line")
 
     def at(self, wanted: DataFrame) -> DataFrame:
-        """(at, words) of the places in ``wanted``; only their documents are split. Repeated rows count once."""
+        """(at, line) of the places in ``wanted``; only their documents are split. Repeated rows count once."""
         ids = stash(wanted.select(self.place.split(F.col("at"))[0].alias("k")).distinct(), "ids")
         found = only(self.all(only(self.docs, ids, "k")), wanted, "at")
-        return found.groupBy("at").agg(F.min("line").alias("line")).select("at", words_of(F.col("line")).alias("words"))
+        return found if self.unique else found.groupBy("at").agg(F.min("line").alias("line"))
 
 
 def rarity(docs: DataFrame, text: str) -> Column:
@@ -198,9 +198,11 @@ def copies(sets: DataFrame) -> DataFrame:
 def verify(pairs: DataFrame, lines: Lines) -> DataFrame:
     """(x, y, words_x, words_y) of the pairs of places of lines whose word sets have Jaccard 0.75 or more."""
     wanted = stash(pairs.select(F.col("x").alias("at")).union(pairs.select(F.col("y").alias("at"))).distinct(), "wanted")
-    words = stash(lines.at(wanted), "words")
-    side = lambda c: words.select(F.col("at").alias(c), F.col("words").alias(f"words_{c}"))
+    texts = stash(lines.at(wanted), "texts")
+    side = lambda c: texts.select(F.col("at").alias(c), F.col("line").alias(f"line_{c}"))
     both = pairs.join(side("x"), "x").join(side("y"), "y")
+    # lines are moved, which are smaller than lists of their words; inline keeps the filter from splitting them twice
+    both = both.select("x", "y", F.inline(F.array(F.struct(*(words_of(F.col(f"line_{c}")).alias(f"words_{c}") for c in "xy")))))
     n, same = F.size("words_x") + F.size("words_y"), F.size(F.array_intersect("words_x", "words_y"))
     return both.where(7 * (n - 2 * same) <= n)
 
@@ -257,8 +259,8 @@ def _middles(classes: DataFrame) -> DataFrame:
     group have it; so groups of any size are sums of 64 bits.
     """
     groups = stash(classes.groupBy("ends").agg(F.count("*").alias("size")).where(F.col("size") >= LARGE).select("ends"), "groups")
-    members = only(classes.select("ends", "at", "n", "parity"), groups, "ends")
-    most = lambda b: F.avg(F.getbit("parity", F.lit(b))) > 0.5
+    members = stash(only(classes.select("ends", "at", "n", "parity"), groups, "ends"), "members")
+    most = lambda b: 2 * F.sum(F.getbit("parity", F.lit(b))) > F.count("*")
     bits = members.groupBy("ends").agg(*(most(b).alias(f"b{b}") for b in range(64)))
     middle = reduce(Column.bitwiseOR, (F.when(F.col(f"b{b}"), F.lit((1 << b) - (1 << 64 if b == 63 else 0)).cast("long")).otherwise(F.lit(0).cast("long")) for b in range(64)))
     off = F.bit_count(F.col("parity").bitwiseXOR(F.col("middle")))
