@@ -7,7 +7,7 @@ line, in the order (doc_id, line number), has a Jaccard similarity of 0.75 or
 more with it, whether or not that earlier line stays itself.
 
 Equal sets are one class, of which the first line stands for all. The words of
-a class are ordered by rarity; two similar sets share a word of their prefixes.
+a class are ordered, the longest first; two similar sets share a word of their prefixes.
 Every class is joined, by all prefix words, with all earlier classes, under the
 length, positional and parity filters, and every pair is verified on its words;
 equal sets are given by membership.
@@ -29,12 +29,14 @@ To cut lines one link of a line is enough: ``removed_lines`` leaves out the
 pairs of a common pole and those of classes that are known to be similar to an
 earlier one by their pole.
 
-Rarity only orders words and needs no exactness: it is the power of two of the
-number of occurrences in the word's hash bucket, over all documents, in a table
-of fixed size.
+Any order of words that is the same for all sets loses no pair; rare words first
+leave the fewest pairs to filter. Long words are rare, and their bytes are known
+without counting words over all documents: length, then hash.
 
 Of a pair the longer set (of equally long ones the later) looks for the shorter
-one, which needs only the first n / 7 + 1 of its prefix for that.
+one, which needs only the first n / 7 + 1 of its prefix for that. Both must agree
+in the band of the longer set's size: the shorter one, of m words, has a row in
+each band of sizes from m to (4 m - 7 j) / 3, for its word at position j.
 
 Defined cases: ids are of any type that has an order, negative and huge ones too
 (texts are ordered by their bytes); NULL texts and rows of NULL ids stay as they
@@ -45,9 +47,10 @@ columns stay as they are.
 
 from __future__ import annotations
 
+import math
+from collections.abc import Callable
 from functools import reduce
 
-import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegralType
@@ -55,12 +58,12 @@ from pyspark.sql.types import IntegralType
 from .common import MAX_BROADCAST, free_name, known_join, only, place, stash, table
 
 MIN_WORDS = 1
-RARITY_BUCKETS = 1 << 18  # as the table is part of plans, which the driver keeps
 LARGE = 32  # smaller groups of near copies are listed as pairs: at most so many for each class
 LONG, LONGER = 80, 150  # sets of more words have 128 and 256 parities instead of 64
 PARITIES = ["parity", "parity2", "parity3", "parity4"]
 MAX_COPIES = 1_000_000  # places, of 8 bytes each, that may be broadcast
 MOST = (1 << 16) - 1  # larger sets are stored with this size
+BAND = 1.6  # sizes of a band differ by this factor at most; narrower bands leave fewer pairs and need more rows
 DIGIT = 4  # bits of a place that near_links takes at a time
 BLOCK = 256  # classes of a pole that are compared at once
 
@@ -103,8 +106,8 @@ class Lines:
         self.key_type = docs.schema[key].dataType
         whole = isinstance(self.key_type, IntegralType)
         ends = [F.min(key), F.max(key)] if whole else [F.lit(0), F.lit(0)]
-        # a text has no more lines than bytes, and one
-        low, high, most, rows, ids = docs.agg(*ends, F.max(F.octet_length(text)) + 1, F.count(key), F.count_distinct(key)).first()
+        breaks = F.octet_length(text) - F.octet_length(F.replace(F.col(text), F.lit("\n")))
+        low, high, most, rows, ids = docs.agg(*ends, F.max(breaks) + 1, F.count(key), F.count_distinct(key)).first()
         self.low, span, most = low or 0, (high or 0) - (low or 0), int(most or 0)
         self.unique = rows == ids  # no document is repeated
         self.ranks: DataFrame | None = None
@@ -114,7 +117,7 @@ class Lines:
         else:
             self.ranks = stash(place(found.select(F.col("k").alias("id")).distinct(), [], ["id"], "rank"), "ranks")
             self.docs = stash(found.join(self.ranks, F.col("k") == F.col("id")).select(F.col("rank").alias("k"), "text"), "ranked")
-            span, most = ids, self.docs.agg(F.max(F.size(F.split("text", "\n")))).first()[0] or 0
+            span = ids
         self.place = Place(most, span)
 
     def named(self, df: DataFrame, **names: str) -> DataFrame:
@@ -127,59 +130,54 @@ class Lines:
             df = df.select(*(value.alias(name) if c == number else F.col(c) for c in columns))
         return df
 
-    def all(self, docs: DataFrame | None = None) -> DataFrame:
+    def all(self) -> DataFrame:
         """(at, line), lower-cased."""
-        each = (docs or self.docs).select("k", F.posexplode(F.split(F.lower("text"), "\n")).alias("no", "line"))
+        return self._split(self.docs, F.lower("text"))
+
+    def _split(self, docs: DataFrame, text: Column) -> DataFrame:
+        each = docs.select("k", F.posexplode(F.split(text, "\n")).alias("no", "line"))
         return each.select(self.place.of(F.col("k"), F.col("no")).alias("at"), "line")
 
     def at(self, wanted: DataFrame) -> DataFrame:
-        """(at, line) of the places in ``wanted``; only their documents are split. Repeated rows count once."""
+        """(at, line), lower-cased, of the places in ``wanted``; only their documents are split. Repeated rows count once."""
         ids = stash(wanted.select(self.place.split(F.col("at"))[0].alias("k")).distinct(), "ids")
-        found = only(self.all(only(self.docs, ids, "k")), wanted, "at")
+        found = only(self._split(only(self.docs, ids, "k"), F.col("text")), wanted, "at").select("at", F.lower("line").alias("line"))
         return found if self.unique else found.groupBy("at").agg(F.min("line").alias("line"))
 
 
-def rarity(docs: DataFrame, text: str) -> Column:
-    """An array of fixed size: for each hash bucket the power of two of its words' occurrences."""
-    words = docs.select(F.explode(split_words(F.lower(F.col(text)))).alias("w"))
-    counts = words.groupBy(F.xxhash64("w").bitwiseAND(F.lit(RARITY_BUCKETS - 1).cast("long")).cast("int").alias("bucket")).count()
-    found = counts.select("bucket", F.floor(F.log2("count")).cast("int").alias("level")).toArrow()  # RARITY_BUCKETS rows at most
-    levels = np.zeros(RARITY_BUCKETS, np.int64)
-    levels[found["bucket"].to_numpy()] = found["level"].to_numpy()
-    return F.split(F.lit(",".join(map(str, levels.tolist()))), ",").cast("array<bigint>")  # folded to a literal
-
-
 def _prefix(n: Column) -> Column:
-    """A set of n shares one of its n - ceil(0.75 n) + 1 rarest tokens with each similar set."""
+    """A set of n shares one of its n - ceil(0.75 n) + 1 first tokens with each similar set."""
     return F.shiftright(n, 2) + 1
 
 
-def line_sets(lines: DataFrame, levels: Column) -> DataFrame:
+def line_sets(lines: DataFrame) -> DataFrame:
     """(at, h1, h2, ends, n, parity, ..., parity4, prefix) of each line.
 
-    h1 and h2 are the digest of its set, ends that of its smallest and largest
-    hash, prefix its rarest tokens, cut to their upper 40 bits. parity has a bit
+    A word's token has its length in bytes, modulo 64, in the upper 6 bits, so
+    that longer words come first, and 58 bits of its hash. h1 and h2 are the
+    digest of a set, ends that of the smallest and largest hash, prefix its first
+    tokens, cut to their upper 40 bits. parity has a bit
     for each of 64 groups of words, set if the set holds an odd number of them:
     two sets differ in at least as many words as their parities in bits. Long
-    sets have more groups: parity2 counts the words with bit 6 of their token,
+    sets have more groups: parity2 counts the words with bit 6 of their hash,
     parity3 those with bit 7 and parity4 those with both; else these are NULL.
     """
-    hashes = F.array_remove(F.array_distinct(F.transform(split_words(F.col("line")), lambda w: F.xxhash64(w))), F.xxhash64(F.lit("")))
-    level = lambda h: F.get(levels, h.bitwiseAND(F.lit(RARITY_BUCKETS - 1).cast("long")).cast("int"))
-    token = lambda h: F.shiftleft(level(h), 57).bitwiseOR(F.shiftrightunsigned(h, 7))
-    sets = lines.select("at", hashes.alias("hashes"))
-    sets = sets.select("at", F.xxhash64(F.array_min("hashes"), F.array_max("hashes")).alias("ends"), F.sort_array(F.transform("hashes", token)).alias("tokens"))
-    bit = lambda t: F.call_function("shiftleft", F.lit(1).cast("long"), t.bitwiseAND(F.lit(63).cast("long")).cast("int"))
+    token = lambda w: F.shiftrightunsigned(F.xxhash64(w), 6).bitwiseXOR(F.shiftleft((31 - F.octet_length(w)).cast("long"), 58))
+    tokens = F.array_remove(F.array_distinct(F.transform(split_words(F.col("line")), token)), token(F.lit("")))
+    sets = lines.select("at", F.sort_array(tokens).alias("tokens"))
+    sets = sets.select("at", "tokens", F.transform("tokens", lambda t: F.shiftright(F.shiftleft(t, 6), 32).cast("int")).alias("hashes"))
+    one = F.lit(1).cast("long")
 
     def parity(least: int, mask: int) -> Column:
-        of = lambda a, t: a.bitwiseXOR(bit(t)) if not mask else F.when(t.bitwiseAND(F.lit(mask).cast("long")) == mask, a.bitwiseXOR(bit(t))).otherwise(a)
-        return F.when(F.size("tokens") > least, F.aggregate("tokens", F.lit(0).cast("long"), of))
+        flip = lambda a, h: a.bitwiseXOR(F.call_function("shiftleft", one, h))  # noqa: E731  by the last 6 bits of h
+        of = lambda a, h: flip(a, h) if not mask else F.when(h.bitwiseAND(F.lit(mask)) == mask, flip(a, h)).otherwise(a)
+        return F.when(F.size("hashes") > least, F.aggregate("hashes", F.lit(0).cast("long"), of))
 
     return sets.select(
         "at",
         F.xxhash64("tokens").alias("h1"),
         F.xxhash64(F.lit(1), "tokens").alias("h2"),
-        "ends",
+        F.xxhash64(F.array_min("hashes"), F.array_max("hashes")).alias("ends"),
         F.size("tokens").alias("n"),
         *(parity(*how).alias(name) for name, how in zip(PARITIES, ((0, 0), (LONG, 64), (LONGER, 128), (LONGER, 192)), strict=True)),
         F.transform(F.slice("tokens", 1, _prefix(F.size("tokens"))), lambda t: t.bitwiseAND(F.lit(-1 << 24).cast("long"))).alias("prefix"),
@@ -196,27 +194,35 @@ def copies(sets: DataFrame) -> DataFrame:
 
 
 def verify(pairs: DataFrame, lines: Lines) -> DataFrame:
-    """(x, y, words_x, words_y) of the pairs of places of lines whose word sets have Jaccard 0.75 or more."""
+    """(x, y, words_x, words_y) of the pairs of places of lines whose word sets have Jaccard 0.75 or more; the words as they stand, '' among them."""
     wanted = stash(pairs.select(F.col("x").alias("at")).union(pairs.select(F.col("y").alias("at"))).distinct(), "wanted")
     texts = stash(lines.at(wanted), "texts")
     side = lambda c: texts.select(F.col("at").alias(c), F.col("line").alias(f"line_{c}"))
     both = pairs.join(side("x"), "x").join(side("y"), "y")
     # lines are moved, which are smaller than lists of their words; inline keeps the filter from splitting them twice
-    both = both.select("x", "y", F.inline(F.array(F.struct(*(words_of(F.col(f"line_{c}")).alias(f"words_{c}") for c in "xy")))))
-    n, same = F.size("words_x") + F.size("words_y"), F.size(F.array_intersect("words_x", "words_y"))
-    return both.where(7 * (n - 2 * same) <= n)
+    both = both.select("x", "y", F.inline(F.array(F.struct(*(split_words(F.col(f"line_{c}")).alias(f"words_{c}") for c in "xy")))))
+    same, all_words = (F.size(F.array_remove(of("words_x", "words_y"), "")) for of in (F.array_intersect, F.array_union))
+    return both.where(4 * same >= 3 * all_words)
+
+
+def _band(size: Column) -> Column:
+    return F.floor(F.log(F.least(size, F.lit(MOST)).cast("double")) * (1 / math.log(BAND))).cast("long")
 
 
-def _index(classes: DataFrame) -> DataFrame:
-    """(entry, ...): a row for each prefix token; entry holds the token, the size of the set and the token's position.
+def _index(classes: DataFrame, reach: Callable[[Column, Column], tuple[Column, Column]] | None = None) -> DataFrame:
+    """(entry, ...): a row for each prefix token, in the band of the set's size; or in the bands of the sizes from ``reach`` (size, position).
 
-    Positions beyond 255 are stored as 255, and as 0 in sets of more than
-    ``MOST`` words, which only lets more pairs pass.
+    entry holds 34 bits of the token's hash, the band, the size of the set and
+    the token's position. Positions beyond 255 are stored as 255, and as 0 in sets
+    of more than ``MOST`` words, which only lets more pairs pass.
     """
     rest = [c for c in classes.columns if c not in ("n", "prefix")]
-    each = classes.select("n", *rest, F.posexplode("prefix").alias("pos", "token"))
-    low = F.shiftleft(F.least("n", F.lit(MOST)).cast("long"), 8) + F.when(F.col("n") < MOST, F.least("pos", F.lit(255))).otherwise(0)
-    return each.select(F.col("token").bitwiseOR(low).alias("entry"), *rest)
+    each = classes.select("n", _band(F.col("n")).alias("band"), *rest, F.posexplode("prefix").alias("pos", "token"))
+    each = each.withColumns({"n": F.least("n", F.lit(MOST)), "pos": F.when(F.col("n") < MOST, F.least("pos", F.lit(255))).otherwise(0)})
+    if reach:
+        each = each.select("n", "pos", "token", *rest, F.explode(F.sequence(*map(_band, reach(F.col("n"), F.col("pos"))))).alias("band"))
+    low = F.shiftleft("band", 24).bitwiseOR(F.shiftleft(F.col("n").cast("long"), 8)).bitwiseOR(F.col("pos").cast("long"))
+    return each.select(F.shiftleft("token", 6).bitwiseOR(low).alias("entry"), *rest)
 
 
 def _side(index: DataFrame, c: str) -> DataFrame:
@@ -224,6 +230,7 @@ def _side(index: DataFrame, c: str) -> DataFrame:
 
 
 def _token(entry: str) -> Column:
+    """A token's hash and a band."""
     return F.shiftright(entry, 24)
 
 
@@ -248,7 +255,7 @@ def _alike() -> Column:
 
 
 def _candidates(x: DataFrame, y: DataFrame, more: Column) -> DataFrame:
-    """(x, y): pairs that share a prefix token and pass the filters and ``more``."""
+    """(x, y): pairs that share a prefix token and a band and pass the filters and ``more``."""
     return x.join(y, _token("entry_x") == _token("entry_y")).where(_alike() & more).select("x", "y").distinct()
 
 
@@ -273,11 +280,12 @@ def _poles(classes: DataFrame, lines: Lines) -> DataFrame:
     """(x, pole, n, delta): the classes, of n words, that are similar to poles or are one, with that pole which most are similar to."""
     columns = ["at", "n", *PARITIES, "prefix"]
     poles = stash(only(classes, stash(_middles(classes), "poles"), "at").select(columns), "poles")
-    of_pole = _side(_index(poles), "y")
+    of_pole = _side(_index(poles, lambda m, j: (F.greatest(F.floor(3 * m / 4), F.lit(1)), F.floor(4 * m / 3))), "y")
     small = of_pole.limit(MAX_BROADCAST + 1).count() <= MAX_BROADCAST
     pairs = _candidates(_side(_index(classes.select(columns)), "x"), F.broadcast(of_pole) if small else of_pole, F.col("x") != F.col("y"))
-    only_one = F.concat(F.array_except("words_x", "words_y"), F.array_except("words_y", "words_x"))
-    found = verify(stash(pairs, "pairs"), lines).select("x", "y", F.size("words_x").alias("n"), only_one.alias("delta"))
+    only_one = F.array_remove(F.concat(F.array_except("words_x", "words_y"), F.array_except("words_y", "words_x")), "")
+    n = F.size(F.array_remove(F.array_distinct("words_x"), ""))
+    found = verify(stash(pairs, "pairs"), lines).select("x", "y", n.alias("n"), only_one.alias("delta"))
     found = stash(found.union(poles.select("at", "at", "n", F.array().cast("array<string>"))), "of_poles")
     sizes = found.groupBy("y").agg(F.count("*").alias("size"))
     found = known_join(found, stash(sizes, "sizes"), ["y"])
@@ -291,11 +299,12 @@ def _pairs(classes: DataFrame, skip: DataFrame, lines: Lines) -> DataFrame:
     ``skip`` has (at, mark): pairs of one pole, which is mark, or -1 - mark, and
     those of a class x with a mark below 0 are skipped.
     """
-    index = _index(classes.join(skip, "at", "left").select("n", "parity", "at", "mark", *PARITIES[1:], "prefix"))
-    longer, shorter = _side(index, "x"), _side(index, "y")
-    (n, _), (m, j) = _sizes("x"), _sizes("y")
-    # a set can be the shorter one at positions j <= m / 7 only, whatever n >= m is
-    shorter = shorter.where(7 * j <= m)
+    sets = classes.join(skip, "at", "left").select("n", "parity", "at", "mark", *PARITIES[1:], "prefix")
+    longer = _side(_index(sets), "x")
+    (n, _), (m, _) = _sizes("x"), _sizes("y")
+    # a set of m words can be the shorter one at positions j <= m / 7 only, whatever n >= m is: 3 n is at most 4 m - 7 j
+    first = F.when(F.col("n") < MOST, F.slice("prefix", 1, (F.col("n") / 7).cast("int") + 1)).otherwise(F.col("prefix"))
+    shorter = _side(_index(sets.withColumn("prefix", first), lambda m, j: (m, F.greatest(m, F.floor((4 * m - 7 * j) / 3)))), "y")
     late = F.col("y") < F.col("x")
     order = (n > m) | ((n == m) & (late | (m == MOST)))
     pole = lambda c: F.greatest(F.col(c), -1 - F.col(c))
@@ -365,7 +374,7 @@ class Join:
 
     def __init__(self, docs: DataFrame, key: str, text: str, min_words: int, links: bool):
         self.lines = Lines(docs, key, text)
-        sets = stash(line_sets(self.lines.all(), rarity(docs, text)), "lines").where(F.col("n") >= max(min_words, 1))
+        sets = stash(line_sets(self.lines.all()), "lines").where(F.col("n") >= max(min_words, 1))
         self.copies = stash(copies(sets), "copies")
         gone, rest = self.copies.select(F.col("x").alias("at")), ["ends", "n", *PARITIES, "prefix"]
         small = self.lines.unique and gone.limit(MAX_COPIES + 1).count() <= MAX_COPIES
