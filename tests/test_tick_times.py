@@ -43,8 +43,8 @@ def edges(spark, tmp_path_factory):
     return path
 
 
-#: The queries that have been held against their SQL here.
-CHECKED = ["a0_candles", "b3_align_start"]
+#: The queries that are held against their SQL here.
+CHECKED = ["a0_candles", "a1_read_klines", "b3_align_start"]
 
 
 @pytest.mark.parametrize("name", CHECKED)
