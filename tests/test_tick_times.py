@@ -44,7 +44,7 @@ def edges(spark, tmp_path_factory):
 
 
 #: The queries that are held against their SQL here.
-CHECKED = ["a0_candles", "a1_read_klines", "b3_align_start"]
+CHECKED = ["a0_candles", "a1_read_klines", "a2_read_candles_csv", "b3_align_start"]
 
 
 @pytest.mark.parametrize("name", CHECKED)
