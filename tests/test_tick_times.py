@@ -44,7 +44,7 @@ def edges(spark, tmp_path_factory):
 
 
 #: The queries that are held against their SQL here.
-CHECKED = ["a0_candles", "a1_read_klines", "a2_read_candles_csv", "b3_align_start", "c1_sma", "c1_split_sma", "c2_ema", "c2_split_ema"]
+CHECKED = ["a0_candles", "a1_read_klines", "a2_read_candles_csv", "b3_align_start", "c1_sma", "c1_split_sma", "c2_ema", "c2_split_ema", "c3_rsi"]
 
 
 @pytest.mark.parametrize("name", CHECKED)
