@@ -249,13 +249,14 @@ def equity_curve(candles: DataFrame, trades: DataFrame, keys: list[str] | None =
     return marked.select(*keys, "idx", "ts", "open", "close", F.coalesce(own, F.lit(start)).alias("equity"))
 
 
-def trailing_levels(path: DataFrame, trail_pct: float) -> DataFrame:
-    """``path`` (trade, idx, sign, entry_price, high, low) with peak, level and level_before of a trailing stop."""
+def trailing_levels(path: DataFrame, trail_pct: float, digits: int | None = 12) -> DataFrame:
+    """``path`` (trade, idx, sign, entry_price, high, low) with peak, level and level_before of a trailing stop; levels are rounded to ``digits`` (None: not at all)."""
     w = Window.partitionBy("trade").orderBy("idx")
     sign = F.col("sign")
     high, low = F.max("high").over(w), F.min("low").over(w)
     peak = F.when(sign > 0, F.greatest(high, "entry_price")).otherwise(F.least(low, "entry_price"))
-    level = lambda p: F.round(p * (1 - sign * trail_pct / 100), 12)
+    exact = lambda p: p * (1 - sign * trail_pct / 100)
+    level = exact if digits is None else lambda p: F.round(exact(p), digits)
     out = path.withColumn("peak", peak).withColumn("level", level(F.col("peak")))
     return out.withColumn("level_before", F.coalesce(F.lag("level").over(w), level(F.col("entry_price"))))
 

@@ -209,13 +209,13 @@ PATH = """, p0 AS (SELECT *, symbol || idx // 25 AS trade, CASE WHEN (idx // 25)
   p AS (SELECT *, coalesce(lag(level) OVER (PARTITION BY trade ORDER BY idx), entry_price * (1 - sign * 0.05::DOUBLE)) AS level_before FROM p2)"""
 
 
-def _paths(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _paths(spark: SparkSession, sf_dir: str, digits: int | None = 12) -> DataFrame:
     b = with_idx(bars(spark, sf_dir)).withColumn("k", F.floor(F.col("idx") / 25))
     b = b.withColumns({"trade": F.concat("symbol", F.col("k").cast("string")), "sign": F.when(F.col("k") % 2 == 0, 1).otherwise(-1)})
     from pyspark.sql import Window
 
     b = b.withColumn("entry_price", F.first("open").over(Window.partitionBy("trade").orderBy("idx")))
-    return backtest.trailing_levels(b, 5.0)
+    return backtest.trailing_levels(b, 5.0, digits)
 
 
 @query(W(PATH + " SELECT trade, idx, round(peak, 6) AS peak, round(level, 6) AS level, round(level_before, 6) AS level_before FROM p"))
@@ -234,7 +234,8 @@ def e3_trailing_level(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 )
 def e4_resolve_exit(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p = _paths(spark, sf_dir)
+    """The exits of given levels; these are not rounded, as the SQL has them, so that an open within a rounding of a level is judged alike."""
+    p = _paths(spark, sf_dir, None)
     e, s = F.col("entry_price"), F.col("sign")
     price, reason = col.resolve_exit(s, F.col("open"), F.col("high"), F.col("low"), e * (1 - s * 0.06), e * (1 + s * 0.08), F.col("level"), F.col("level_before"))
     return p.select("trade", "idx", F.round(price, 6).alias("price"), reason.alias("reason"))
