@@ -44,7 +44,7 @@ def edges(spark, tmp_path_factory):
 
 
 #: The queries that are held against their SQL here.
-CHECKED = ["a0_candles", "a1_read_klines", "a2_read_candles_csv", "b3_align_start", "c1_sma", "c1_split_sma", "c2_ema", "c2_split_ema", "c3_rsi", "c3_split_rsi", "e1_order_fill_price", "e2_bracket_levels", "e4_resolve_exit"]
+CHECKED = ["a0_candles", "a1_read_klines", "a2_read_candles_csv", "a3_late_candles", "b3_align_start", "c1_sma", "c1_split_sma", "c2_ema", "c2_split_ema", "c3_rsi", "c3_split_rsi", "e1_order_fill_price", "e2_bracket_levels", "e4_resolve_exit"]
 
 
 @pytest.mark.parametrize("name", CHECKED)
